@@ -6,6 +6,7 @@ import importlib
 
 QUERY_MODULES = (
     "raresift.plans.evaluation_queries",
+    "raresift.plans.data_queries",
 )
 
 
