@@ -35,6 +35,13 @@ def uniform(*parts) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
 
 
+def gaussian(*parts) -> Column:
+    """Deterministic standard normal draw (Box-Muller on two hash uniforms)."""
+    u1 = F.lit(1.0) - uniform(*parts, "bm1")  # in (0, 1], so log is finite
+    u2 = uniform(*parts, "bm2")
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2)
+
+
 def sql_hash_key(*parts: str) -> str:
     """DuckDB text of :func:`hash_key`; parts are SQL expressions."""
     return "md5(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"

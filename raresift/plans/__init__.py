@@ -7,6 +7,7 @@ import importlib
 QUERY_MODULES = (
     "raresift.plans.evaluation_queries",
     "raresift.plans.data_queries",
+    "raresift.plans.sampling_queries",
 )
 
 
