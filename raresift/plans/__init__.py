@@ -8,6 +8,7 @@ QUERY_MODULES = (
     "raresift.plans.evaluation_queries",
     "raresift.plans.data_queries",
     "raresift.plans.sampling_queries",
+    "raresift.plans.anomaly_queries",
 )
 
 
