@@ -9,6 +9,7 @@ QUERY_MODULES = (
     "raresift.plans.data_queries",
     "raresift.plans.sampling_queries",
     "raresift.plans.anomaly_queries",
+    "raresift.plans.model_queries",
 )
 
 

@@ -78,7 +78,10 @@ def _sel_sql(method: str, group_cols: tuple[str, ...]) -> str:
     )
 
 
-def eval_sql(method: str, src: str = "scored", group_cols: tuple[str, ...] = (), label: str | None = None) -> str:
+def eval_sql(
+    method: str, src: str = "scored", group_cols: tuple[str, ...] = (), label: str | None = None, raw: bool = False
+) -> str:
+    R = (lambda e: f"({e})") if raw else globals()["R"]
     g = ", ".join(group_cols)
     gsel = g + ", " if g else ""
     summ = (
@@ -357,10 +360,10 @@ for _m in ("pr_curve", "cost_based", "roc_curve", "percentile", "default"):
 _MATRIX_METHODS = ("pr_curve", "cost_based", "percentile", "default")
 
 
-def experiment_matrix_sql() -> str:
+def experiment_matrix_sql(raw: bool = False) -> str:
     parts = []
     for m in _MATRIX_METHODS:
-        q = eval_sql(m, "scored_groups", ("model", "oversampling"), label=m)
+        q = eval_sql(m, "scored_groups", ("model", "oversampling"), label=m, raw=raw)
         parts.append(f"SELECT * FROM ({q})")
     return " UNION ALL ".join(parts)
 

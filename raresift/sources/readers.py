@@ -56,8 +56,9 @@ def read_curves(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def _tag_curve_file(raw: DataFrame) -> DataFrame:
-    base = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    stem = F.regexp_replace(F.regexp_replace(base, "curves_", ""), r"\.csv", "")
+    # the curves_*.csv component of the path: a plain file, or the directory
+    # Spark wrote for it (then the file itself is a part-* file)
+    stem = F.regexp_extract(F.input_file_name(), r"curves_([^/]*)\.csv", 1)
     tokens = F.split(stem, "_")
     kind = (
         F.when(F.array_contains(tokens, "pr"), F.lit("pr_curve"))
@@ -70,4 +71,4 @@ def _tag_curve_file(raw: DataFrame) -> DataFrame:
         F.when(F.size(tokens) >= 2, F.element_at(tokens, 2)).alias("oversampling"),
         kind.alias("curve_type"),
     )
-    return out.where(F.col("oversampling").isNotNull() & F.col("curve_type").isNotNull())
+    return out.where((F.col("model") != "") & F.col("oversampling").isNotNull() & F.col("curve_type").isNotNull())
