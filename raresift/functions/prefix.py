@@ -88,7 +88,10 @@ def running_totals(
     if cuts is None:
         n = n_ranges if n_ranges is not None else shuffle_partitions(spark)
         cuts = quantile_cuts(df, rcol, n)
-    ranged = with_range(df, rcol, cuts)
+    # the same explicit filter on both branches (totals and rows) keeps their
+    # plans identical, so Spark reuses the shared exchange instead of
+    # computing the input twice
+    ranged = with_range(df, rcol, cuts).where(F.col(RANGE_COL).isNotNull())
     n_rng = len(clean_cuts(cuts)) + 1
 
     totals = ranged.groupBy(*pcols, RANGE_COL).agg(*[F.sum(v).alias(v) for v in value_cols])

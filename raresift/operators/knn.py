@@ -54,25 +54,35 @@ def _cell_topk(k: int, metric: str, exclude_self: bool, extra: list[str], chunk_
         Q = np.stack(q["qx"].to_numpy()).astype(np.float64)
         qid = q["qid"].to_numpy()
         n_r, d = R.shape
-        step = max(1, int(chunk_bytes // max(1, n_r * d * 8)))
+        step = max(1, int(chunk_bytes // max(1, n_r * 8)))
+        kk = min(k, n_r)
         out_q, out_r, out_d = [], [], []
         for s in range(0, len(Q), step):
-            diff = Q[s : s + step, None, :] - R[None, :, :]
+            Qc = Q[s : s + step]
+            # accumulate over dimensions in order (same summation order as
+            # an SQL sum of per-dimension terms), one 2-d array at a time
+            D = np.zeros((len(Qc), n_r))
+            for j in range(d):
+                t = Qc[:, j, None] - R[None, :, j]
+                D += t * t if metric == "euclidean" else np.abs(t)
             if metric == "euclidean":
-                D = np.sqrt(np.sum(diff * diff, axis=2))
-            else:
-                D = np.sum(np.abs(diff), axis=2)
-            D = np.round(D, DIST_DIGITS)
+                np.sqrt(D, out=D)
             if exclude_self:
                 D[qid[s : s + step, None] == rid[None, :]] = np.inf
-            kk = min(k, n_r)
-            order = np.argsort(D, axis=1, kind="stable")[:, :kk]  # stable: ties by ref id
-            dk = np.take_along_axis(D, order, axis=1)
-            keep = np.isfinite(dk)
-            rows = np.repeat(np.arange(order.shape[0]), kk).reshape(order.shape)
-            out_q.append(qid[s : s + step][rows[keep]])
-            out_r.append(order[keep])
-            out_d.append(dk[keep])
+            # k-th smallest per row; every entry that can round to <= it is a
+            # candidate (more than k only with ties).  Only candidates are
+            # rounded; np.nonzero yields them by row and, refs being sorted, by
+            # ref id, so lexsort (row, rounded distance, id) is the exact order.
+            kth = np.partition(D, kk - 1, axis=1)[:, kk - 1 : kk]
+            rows, cols = np.nonzero((D <= kth + 10.0 ** -DIST_DIGITS) & np.isfinite(D))
+            dv = np.round(D[rows, cols], DIST_DIGITS)
+            o = np.lexsort((cols, dv, rows))
+            rows, cols, dv = rows[o], cols[o], dv[o]
+            first = np.searchsorted(rows, rows, side="left")
+            take = (np.arange(len(rows)) - first) < kk
+            out_q.append(qid[s : s + step][rows[take]])
+            out_r.append(cols[take])
+            out_d.append(dv[take])
         ridx = np.concatenate(out_r)
         res = pd.DataFrame({"qid": np.concatenate(out_q), "rid": rid[ridx], "distance": np.concatenate(out_d)})
         for c in extra:
@@ -92,6 +102,7 @@ def knn_join(
     exclude_self: bool = True,
     ref_cols: Sequence[str] = (),
     block_rows: int = 4096,
+    max_cell_partitions: int | None = None,
 ) -> DataFrame:
     """(query_id, ref_id, rank, distance, ref_cols...): for every query row its
     k nearest ref rows (rank 1..k), the query itself excluded when
@@ -118,6 +129,12 @@ def knn_join(
             *extra_fields,
         ]
     )
+    # explicit, equal partitioning of both sides on the cell key: the cogroup
+    # needs no further exchange, and AQE keeps the user-given partition count
+    # instead of coalescing the (small but CPU-heavy) cells into one task
+    n_part = max(1, min(qb * rb, max_cell_partitions or 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    q_rep = q_rep.repartition(n_part, "qb", "rb")
+    r_rep = r_rep.repartition(n_part, "qb", "rb")
     cells = (
         q_rep.groupBy("qb", "rb")
         .cogroup(r_rep.groupBy("qb", "rb"))

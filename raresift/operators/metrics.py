@@ -110,9 +110,12 @@ def average_precision(
 METRIC_COLUMNS = ["accuracy", "roc_auc", "pr_auc", "f1_score", "precision", "recall", "selected_threshold"]
 
 
-def evaluate(
-    df: DataFrame,
-    method: str = "default",
+THRESHOLD_METHODS = ("pr_curve", "cost_based", "roc_curve", "percentile")
+
+
+def evaluate_many(
+    df: DataFrame | None,
+    methods: Sequence[str] = ("pr_curve",),
     threshold: float | None = None,
     cost_fp: float = 1.0,
     cost_fn: float = 3.0,
@@ -124,87 +127,113 @@ def evaluate(
     max_groups: int | None = None,
     cum: DataFrame | None = None,
 ) -> DataFrame:
-    """Choose a threshold and measure at it (one row per group).
-
-    A manual ``threshold`` wins; else ``pr_curve`` (best F1), ``cost_based``
-    (lowest cost), ``roc_curve`` (Youden J), ``percentile``; anything else 0.5.
-    Predictions are ``score >= threshold``.  A precomputed ``cum``
-    (:func:`curves.cumulative_table`) may be shared between calls.  Columns: accuracy, roc_auc,
-    pr_auc, f1_score, precision, recall, selected_threshold.
-
-    One scan of the scored rows: the score table is built once, running totals
-    give tp/fp at every threshold, and the chosen threshold's counts ride along
-    in the selecting aggregate -- no join back to the rows.
+    """Choose a threshold per method and measure at it: one row per
+    (group..., metric) with accuracy, roc_auc, pr_auc, f1_score, precision,
+    recall, selected_threshold.
+
+    A manual ``threshold`` wins over every method; else ``pr_curve`` (best
+    F1), ``cost_based`` (lowest cost), ``roc_curve`` (Youden J),
+    ``percentile``; any other name means 0.5.  Predictions are
+    ``score >= threshold``.
+
+    One scan of the scored rows: the cumulative score table is built once
+    (or passed in as ``cum``); ONE aggregate over it yields the AUCs and, for
+    every method, the chosen threshold with its tp/fp (``min(struct)``
+    selections and conditional maxima); only the percentile rule needs a
+    second small aggregate.  The per-group row is then exploded into one row
+    per method -- no per-method re-scan, no join back to the rows.
     """
     gcols = list(group_cols)
     if cum is None:
         cum = curves.cumulative_table(df, label_col, score_col, gcols, n_ranges=n_ranges, max_groups=max_groups)
-    summary = ranking_summary(cum, gcols)
-
-    if threshold is not None or method not in ("pr_curve", "cost_based", "roc_curve", "percentile"):
-        t = float(0.5 if threshold is None else threshold)
-        chosen = cum.groupBy(*gcols).agg(
-            F.lit(t).alias("selected_threshold"),
-            F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("tp"))), F.lit(0)).alias("tp_t"),
-            F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("fp"))), F.lit(0)).alias("fp_t"),
-        )
-    elif method == "percentile":
-        pt = curves.percentile_from_cumulative(cum, percentile, gcols).withColumnRenamed(
-            "threshold", "selected_threshold"
-        )
+    pos, neg, tpd, fpd = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
+    aggs = [
+        F.sum(neg * (2 * tpd - pos)).alias("_auc_num"),
+        F.sum(pos * tpd / (tpd + fpd)).alias("_ap_num"),
+        F.max("P").alias("P"),
+        F.max("N").alias("N"),
+    ]
+    picks = {}
+    for m in methods:
+        if threshold is not None or m not in THRESHOLD_METHODS:
+            t = float(0.5 if threshold is None else threshold)
+            key = f"_fix_{len(picks)}"
+            aggs += [
+                F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("tp"))), F.lit(0)).alias(f"{key}_tp"),
+                F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("fp"))), F.lit(0)).alias(f"{key}_fp"),
+            ]
+            picks[m] = (F.lit(t), F.col(f"{key}_tp"), F.col(f"{key}_fp"))
+        elif m in ("pr_curve", "cost_based", "roc_curve"):
+            aggs.append(curves.selection_struct(m, cost_fp, cost_fn).alias(f"_sel_{m}"))
+            sel = F.col(f"_sel_{m}")
+            if m == "roc_curve":
+                # the (+inf, J = 0) starting point competes like in sklearn
+                start = F.struct(
+                    F.lit(-0.0).alias("k1"), F.lit(float("-inf")).alias("k2"), F.lit(float("inf")).alias("t"),
+                    F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
+                )
+                sel = F.when(sel.isNull() | (F.lit(-0.0) <= sel["k1"]), start).otherwise(sel)
+            picks[m] = (sel["t"], sel["tp"], sel["fp"])
+    base = cum.groupBy(*gcols).agg(*aggs) if gcols else cum.agg(*aggs)
+    if "percentile" in methods and threshold is None:
+        pt = curves.percentile_from_cumulative(cum, percentile, gcols).withColumnRenamed("threshold", "_pt")
         key = gcols or ["_g"]
         if not gcols:
-            pt = F.broadcast(pt.withColumn("_g", F.lit(0)))
-            cum_k = cum.withColumn("_g", F.lit(0))
+            pt, cum_k = F.broadcast(pt.withColumn("_g", F.lit(0))), cum.withColumn("_g", F.lit(0))
         else:
             cum_k = cum
-        chosen = (
+        at = (
             cum_k.join(pt, on=key, how="inner")
             .groupBy(*key)
             .agg(
-                F.first("selected_threshold").alias("selected_threshold"),
-                F.coalesce(F.max(F.when(F.col("threshold") >= F.col("selected_threshold"), F.col("tp"))), F.lit(0)).alias("tp_t"),
-                F.coalesce(F.max(F.when(F.col("threshold") >= F.col("selected_threshold"), F.col("fp"))), F.lit(0)).alias("fp_t"),
+                F.first("_pt").alias("_pt"),
+                F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("tp"))), F.lit(0)).alias("_pt_tp"),
+                F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("fp"))), F.lit(0)).alias("_pt_fp"),
             )
         )
-        if not gcols:
-            chosen = chosen.drop("_g")
-    else:
-        if method == "roc_curve":
-            start = cum.where(F.col("idx") == 1).select(
-                *gcols, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"),
-                F.lit(0).cast("long").alias("fp"), "P", "N",
-            )
-            base = cum.select(*gcols, "threshold", "tp", "fp", "P", "N").unionByName(start)
+        if gcols:
+            base = base.join(at, on=gcols, how="inner")
         else:
-            base = cum
-        chosen = base.groupBy(*gcols).agg(curves.selection_struct(method, cost_fp, cost_fn).alias("best")).select(
-            *gcols,
-            F.col("best.t").alias("selected_threshold"),
-            F.col("best.tp").alias("tp_t"),
-            F.col("best.fp").alias("fp_t"),
+            base = base.withColumn("_g", F.lit(0)).join(F.broadcast(at), "_g").drop("_g")
+        picks["percentile"] = (F.col("_pt"), F.col("_pt_tp"), F.col("_pt_fp"))
+
+    per_method = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(m).alias("metric"), t.cast("double").alias("t"), tp.alias("tp"), fp.alias("fp"))
+                for m, (t, tp, fp) in picks.items()
+            ]
         )
-
-    if gcols:
-        joined = summary.join(chosen, on=gcols, how="inner")
-    else:
-        # both sides are single-row aggregates
-        joined = summary.withColumn("_g", F.lit(0)).join(F.broadcast(chosen.withColumn("_g", F.lit(0))), "_g").drop("_g")
-    tp, fp = F.col("tp_t"), F.col("fp_t")
-    fn, tn = F.col("P") - tp, F.col("N") - fp
-    r = rates(tp, fp, tn, fn)
-    return joined.select(
+    ).alias("_m")
+    P, N = F.col("P").cast("double"), F.col("N").cast("double")
+    rows = base.select(
+        *gcols,
+        per_method,
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_auc_num") / (2 * P * N)).alias("roc_auc"),
+        F.when(F.col("P") > 0, F.col("_ap_num") / P).otherwise(F.lit(0.0)).alias("pr_auc"),
+        "P",
+        "N",
+    )
+    tp, fp = F.col("_m.tp"), F.col("_m.fp")
+    r = rates(tp, fp, F.col("N") - fp, F.col("P") - tp)
+    return rows.select(
         *gcols,
+        F.col("_m.metric").alias("metric"),
         r["accuracy"].alias("accuracy"),
         "roc_auc",
         "pr_auc",
         r["f1_score"].alias("f1_score"),
         r["precision"].alias("precision"),
         r["recall"].alias("recall"),
-        F.col("selected_threshold").cast("double").alias("selected_threshold"),
+        F.col("_m.t").alias("selected_threshold"),
     )
 
 
+def evaluate(df: DataFrame, method: str = "default", **kw) -> DataFrame:
+    """:func:`evaluate_many` for one method (no ``metric`` column)."""
+    return evaluate_many(df, [method], **kw).drop("metric")
+
+
 def compute_metrics(df: DataFrame, threshold: float = 0.5, **kw) -> DataFrame:
     """All metrics at a fixed threshold (``score >= threshold``)."""
     return evaluate(df, threshold=threshold, **kw)

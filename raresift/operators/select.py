@@ -26,17 +26,13 @@ def experiment_matrix(
     ``scored`` holds the test-split scores of every experiment, keyed by
     ``group_cols``; the cumulative score table is built once and shared by all
     methods (the union reuses its exchanges), so the scored rows are scanned
-    once however many experiments and methods there are."""
+    once however many experiments and methods there are (one aggregate
+    serves every method, see :func:`metrics.evaluate_many`)."""
     gcols = list(group_cols)
-    cum = curves.cumulative_table(scored, label_col, score_col, gcols, max_groups=max_groups)
-    out = None
-    for m in methods:
-        part = metrics.evaluate(
-            scored, method=m, cost_fp=cost_fp, cost_fn=cost_fn, percentile=percentile,
-            label_col=label_col, score_col=score_col, group_cols=gcols, cum=cum,
-        ).select(*gcols, F.lit(m).alias("metric"), *metrics.METRIC_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return metrics.evaluate_many(
+        scored, methods=methods, cost_fp=cost_fp, cost_fn=cost_fn, percentile=percentile,
+        label_col=label_col, score_col=score_col, group_cols=gcols, max_groups=max_groups,
+    )
 
 
 # ---------------------------------------------------------------- J1: search space

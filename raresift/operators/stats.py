@@ -81,19 +81,24 @@ def exact_quantiles(
     long = unpivot_values(df, cols)
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
     cum = running_totals(counts, "v", ["c"], partition_by=["column"], n_ranges=n_ranges, max_groups=len(cols))
-    out = None
-    for p in probs:
+    aggs = []
+    for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("tot_c") - 1)
-        agg = cum.groupBy("column").agg(
-            F.min(F.when(F.col("cum_c") > F.floor(pos), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("cum_c") > F.ceil(pos), F.col("v"))).alias("b"),
-            F.first(pos - F.floor(pos)).alias("t"),
-        )
-        a, b, t = F.col("a"), F.col("b"), F.col("t")
-        val = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
-        part = agg.select("column", F.lit(float(p)).alias("p"), val.alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        aggs += [
+            F.min(F.when(F.col("cum_c") > F.floor(pos), F.col("v"))).alias(f"a{i}"),
+            F.min(F.when(F.col("cum_c") > F.ceil(pos), F.col("v"))).alias(f"b{i}"),
+            F.first(pos - F.floor(pos)).alias(f"t{i}"),
+        ]
+    agg = cum.groupBy("column").agg(*aggs)  # every probability in one aggregate
+
+    def lerp(i):
+        a, b, t = F.col(f"a{i}"), F.col(f"b{i}"), F.col(f"t{i}")
+        return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+
+    per_p = F.explode(
+        F.array(*[F.struct(F.lit(float(p)).alias("p"), lerp(i).alias("value")) for i, p in enumerate(probs)])
+    ).alias("q")
+    return agg.select("column", per_p).select("column", "q.p", "q.value")
 
 
 def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
