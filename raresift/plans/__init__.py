@@ -10,6 +10,7 @@ QUERY_MODULES = (
     "raresift.plans.sampling_queries",
     "raresift.plans.anomaly_queries",
     "raresift.plans.model_queries",
+    "raresift.plans.streaming_queries",
 )
 
 

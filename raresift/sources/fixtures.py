@@ -24,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with a rare, learnable label (2-3 % positive)."""
-    ev = table(spark, sf_dir, "events")
+    return txn_from_events(table(spark, sf_dir, "events"))
+
+
+def txn_from_events(ev: DataFrame) -> DataFrame:
+    """The txn projection of an events frame (batch or stream)."""
     return ev.select(
         F.col("event_id").alias("row_id"),
         # whole seconds since 2024-01-01; `ts` is TIMESTAMP_NTZ, so no zone enters
@@ -39,7 +43,10 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, label, score) with a fixed logistic score rounded to 4 places (ties)."""
-    t = txn(spark, sf_dir)
+    return scored_from_txn(txn(spark, sf_dir))
+
+
+def scored_from_txn(t: DataFrame) -> DataFrame:
     margin = (F.col("Amount") - 100) / 20 + (F.col("V3") - 50) / 50
     return t.select(
         "row_id",
