@@ -19,8 +19,10 @@ Z95 = 1.959963984540054
 
 
 def unpivot_metrics(results: DataFrame, id_cols: Sequence[str], metric_cols: Sequence[str] = PLOT_METRICS) -> DataFrame:
-    """(id..., metric_name, value) long form."""
-    return results.unpivot(list(id_cols), list(metric_cols), "metric_name", "value")
+    """(id..., metric_name, value) long form; undefined (NULL) values are
+    dropped, as a bar chart skips NaN."""
+    long = results.unpivot(list(id_cols), list(metric_cols), "metric_name", "value")
+    return long.where(F.col("value").isNotNull())
 
 
 def metrics_summary(results: DataFrame, by: Sequence[str], metric_cols: Sequence[str] = PLOT_METRICS) -> DataFrame:
@@ -29,7 +31,7 @@ def metrics_summary(results: DataFrame, by: Sequence[str], metric_cols: Sequence
     agg = long.groupBy("metric_name", *by).agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n")
     )
-    half = F.lit(Z95) * F.coalesce(F.col("std"), F.lit(0.0)) / F.sqrt(F.col("n"))
+    half = F.try_divide(F.lit(Z95) * F.coalesce(F.col("std"), F.lit(0.0)), F.sqrt(F.col("n")))
     return agg.select("metric_name", *by, "mean", "std", "n", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
 
 
