@@ -45,7 +45,7 @@ from raresift.functions.hashing import gaussian, hash_key, uniform
 from raresift.functions.prefix import running_totals, uniform_cuts
 from raresift.operators.knn import knn_join, packed
 from raresift.operators.stats import class_balance
-from raresift.session import shuffle_partitions
+from raresift.session import materialize, shuffle_partitions
 
 CHUNK = 10_000
 FEATURE_VEC = "_fx"
@@ -182,6 +182,9 @@ def adasyn(
     mins = allx.where(F.col(label_col) == F.lit(m)).drop(label_col)
     hard = knn_join(mins, allx, k, FEATURE_VEC, id_col, metric, ref_cols=[label_col])
     cnt = hard.groupBy(F.col("query_id").alias(id_col)).agg(F.count_if(F.col(label_col) != F.lit(m)).alias("_cnt"))
+    # n_min rows, used twice (the total and the generation): computed once and
+    # kept in the shared checkpoint folder, so the kNN join is not redone
+    cnt = materialize(cnt)
     total = cnt.agg(F.sum("_cnt")).first()[0] or 0  # scalar
     if total == 0:
         raise ValueError("Not any neigbours belong to the majority class; ADASYN cannot weight rows")
@@ -235,6 +238,7 @@ def svm_smote(
     bases = sv.join(share, id_col).where(F.col("_maj") < m_neighbors).withColumn(
         "_extra", F.col("_maj") < F.lit(m_neighbors / 2.0)
     )
+    bases = materialize(bases)  # at most n_min rows; counted, ranked and joined
     n_base = bases.count()
     if n_base == 0:
         raise ValueError("SVM-SMOTE found no usable support vector")

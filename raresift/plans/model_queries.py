@@ -146,3 +146,27 @@ def q_k2(spark, sf):
 @register("leaderboard", f"SELECT * FROM ({experiment_matrix_sql()}) ORDER BY pr_auc DESC")
 def q_k3(spark, sf):
     return rounded(report.leaderboard(_results(spark, sf), "pr_auc"))
+
+
+# ---------------------------------------------------------------- B8 with fixed coefficients
+
+FIXED_W, FIXED_B = [0.001, 0.01, 0.02, 0.05], -6.0
+
+
+@register(
+    "predict_positive_score",
+    fx.with_ctes(
+        ["txn"],
+        "SELECT row_id, \"Class\" AS label, "
+        + R("1 / (1 + exp(-(" + f"({FIXED_B!r})" + "".join(f" + {c} * ({w!r})" for c, w in zip(FEATS, FIXED_W)) + ")))")
+        + " AS score, CAST(1 / (1 + exp(-("
+        + f"({FIXED_B!r})" + "".join(f" + {c} * ({w!r})" for c, w in zip(FEATS, FIXED_W))
+        + "))) > 0.5 AS INTEGER) AS prediction FROM txn",
+    ),
+)
+def q_positive_score(spark, sf):
+    """B8 through a PipelineModel whose logistic stage has fixed coefficients."""
+    from pyspark.ml import PipelineModel
+
+    model = PipelineModel(stages=[classify.assembler(FEATS), classify.SGDLogisticModel(FIXED_W, FIXED_B)])
+    return rounded(classify.score(model, fx.txn(spark, sf)))

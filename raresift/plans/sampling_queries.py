@@ -195,3 +195,51 @@ def q_gmm_counts(spark, sf):
 @register("density_oversample")
 def q_gmm(spark, sf):
     return rounded(resample.density_oversample(_txn_clean(spark, sf), FEATS, n_components=3, seed=SEED, keep_original=False))
+
+
+# ---------------------------------------------------------------- SVM-SMOTE, fixed hyperplane
+
+SVM_W, SVM_B, SVM_M = [0.0, 0.0, 0.0, 0.02], -2.0, 10
+
+
+def svm_smote_sql() -> str:
+    margin = f"({SVM_B!r})" + "".join(f" + {c} * ({w!r})" for c, w in zip(FEATS, SVM_W))
+    sv = f"SELECT * FROM mins WHERE {margin} <= 1"
+    near = (
+        'SELECT q.row_id AS qid, r."Class" AS rc, '
+        f"row_number() OVER (PARTITION BY q.row_id ORDER BY {_DIST_TXN}, r.row_id) AS rnk "
+        "FROM sv q JOIN txn r ON q.row_id <> r.row_id"
+    )
+    maj = f"SELECT qid AS row_id, count_if(rc <> (SELECT minority FROM bal)) AS maj FROM near WHERE rnk <= {SVM_M} GROUP BY 1"
+    bases = f"SELECT sv.*, maj < {SVM_M / 2!r} AS extra FROM sv JOIN maj USING (row_id) WHERE maj < {SVM_M}"
+    rk = f"SELECT row_id, row_number() OVER (ORDER BY {sql_hash_key(str(SEED), repr('svmsmote'), 'row_id')}, row_id) AS rk FROM bases"
+    src = (
+        "SELECT b.*, (SELECT deficit // (SELECT count(*) FROM bases) FROM bal) + "
+        "CAST(rk.rk <= (SELECT deficit % (SELECT count(*) FROM bases) FROM bal) AS BIGINT) AS g "
+        "FROM bases b JOIN rk USING (row_id)"
+    )
+    nbr = (
+        "SELECT q.row_id AS qid, " + ", ".join(f"r.{c} AS b_{c}" for c in FEATS) + ", "
+        f"row_number() OVER (PARTITION BY q.row_id ORDER BY {_DIST_TXN}, r.row_id) AS rnk "
+        "FROM bases q JOIN mins r ON q.row_id <> r.row_id"
+    )
+    extra = [("bal", _BAL), ("mins", _MINS), ("sv", sv), ("near", near), ("maj", maj), ("bases", bases), ("rk", rk),
+             ("src", src), ("nbr", nbr)] + _gen_sql("svmsmote", "src")
+    cols = ", ".join(
+        f"{R(f'CASE WHEN extra THEN g.{c} + gap * 0.5 * (g.{c} - n.b_{c}) ELSE g.{c} + gap * (n.b_{c} - g.{c}) END')} AS {c}"
+        for c in FEATS
+    )
+    body = (
+        f"SELECT g.row_id, CAST(j AS INTEGER) AS syn_seq, {cols}, (SELECT minority FROM bal) AS \"Class\", "
+        "TRUE AS is_synthetic FROM gen2 g JOIN nbr n ON n.qid = g.row_id AND n.rnk = g.nn"
+    )
+    return fx.with_ctes(["txn"], body, extra)
+
+
+@register("svm_smote_fixed_plane", svm_smote_sql())
+def q_svm_fixed(spark, sf):
+    out = resample.svm_smote(
+        _txn_clean(spark, sf), FEATS, m_neighbors=SVM_M, seed=SEED, keep_original=False,
+        svm_coefficients=SVM_W, svm_intercept=SVM_B,
+    )
+    return rounded(out)
