@@ -116,23 +116,26 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     dtypes = dict(df.dtypes)
     long = unpivot_values(df, cols)
     basic = long.groupBy("column").agg(
+        F.count("v").alias("non_null"),
         F.count("v").cast("double").alias("count"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    basic_long = basic.selectExpr(
-        "column", "stack(5, 'count', `count`, 'mean', mean, 'std', std, 'min', `min`, 'max', `max`) AS (stat, value)"
+    # one row per column: statistics, non-null count (values are unpivoted
+    # without NULLs, so count(v) is the non-null count) and the dtype
+    dtype = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
+    per_col = basic.withColumn("dtype", dtype[F.col("column")])
+    basic_long = per_col.selectExpr(
+        "column", "dtype", "non_null",
+        "stack(5, 'count', `count`, 'mean', mean, 'std', std, 'min', `min`, 'max', `max`) AS (stat, value)",
     )
     q = exact_quantiles(df, cols).select(
         "column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"), "value"
     )
-    info = df.sparkSession.createDataFrame([(c, dtypes[c]) for c in cols], "column string, dtype string")
-    nn = df.agg(*[F.count(c).alias(c) for c in cols]).selectExpr(
-        f"stack({len(cols)}, " + ", ".join(f"'{c}', `{c}`" for c in cols) + ") AS (column, non_null)"
-    )
-    return basic_long.unionByName(q).join(F.broadcast(info), "column").join(F.broadcast(nn), "column")
+    q = q.join(F.broadcast(per_col.select("column", "dtype", "non_null")), "column")  # one row per column
+    return basic_long.unionByName(q)
 
 
 # ---------------------------------------------------------------- class balance

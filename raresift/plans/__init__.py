@@ -11,6 +11,7 @@ QUERY_MODULES = (
     "raresift.plans.anomaly_queries",
     "raresift.plans.model_queries",
     "raresift.plans.streaming_queries",
+    "raresift.plans.io_queries",
 )
 
 

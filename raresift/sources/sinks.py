@@ -49,9 +49,8 @@ def write_eval_results(results: DataFrame, path: str, run_date: str | None = Non
     date (the reference's ``_{YYYY_MM_DD}`` file suffix)."""
     day = run_date or dt.date.today().strftime("%Y_%m_%d")
     out = results.withColumn("run_date", F.lit(day))
-    spark = results.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    _writer(out, fmt, "overwrite").partitionBy("run_date").save(path)
+    # dynamic: overwrite only this run date's partition
+    _writer(out, fmt, "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").save(path)
 
 
 def append_run_log(
