@@ -41,9 +41,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raresift.functions.hashing import gaussian, hash_key, uniform
-from raresift.functions.prefix import running_totals, uniform_cuts
+from raresift.functions.hashing import gaussian, uniform
 from raresift.operators.knn import knn_join, packed
+from raresift.operators.splits import first_n
 from raresift.operators.stats import class_balance
 from raresift.session import materialize, shuffle_partitions
 
@@ -62,19 +62,6 @@ def _unpack(df: DataFrame, features: Sequence[str] | str, vec: str) -> list[Colu
     return [F.col(vec)[i].alias(c) for i, c in enumerate(features)]
 
 
-def _hash_rank(df: DataFrame, id_col: str, seed: int, tag: str) -> DataFrame:
-    """Add ``_rank`` (1-based) in (md5, id) order over the whole frame, as a
-    two-level running count (hash ranges are uniform, so cuts are fixed)."""
-    n = shuffle_partitions(df.sparkSession)
-    staged = (
-        df.withColumn("_h", hash_key(seed, tag, F.col(id_col)))
-        .withColumn("_u", uniform(seed, tag, F.col(id_col)))
-        .withColumn("_one", F.lit(1))
-    )
-    r = running_totals(staged, "_h", ["_one"], tiebreak=[F.col(id_col)], cuts=uniform_cuts(n), range_col="_u")
-    return r.withColumnRenamed("cum__one", "_rank").drop("_h", "_u", "_one", "tot__one")
-
-
 def expand(df: DataFrame, count_col: str, out_col: str = "j", chunk: int = CHUNK) -> DataFrame:
     """One row per j in 1..count (two-level, skew-safe)."""
     if chunk < 1:
@@ -154,10 +141,8 @@ def smote(
     k_eff = min(k, n_min - 1)
     mins = df.where(F.col(label_col) == F.lit(m)).select(F.col(id_col), packed(df, features).alias(FEATURE_VEC))
     base, rem = divmod(int(deficit), int(n_min))
-    ranked = _hash_rank(mins, id_col, seed, "smote")
-    sources = ranked.select(
-        id_col, FEATURE_VEC, (F.lit(base) + (F.col("_rank") <= rem).cast("int")).alias("g")
-    )
+    extra = first_n(mins, id_col, seed, "smote", rem)  # the rem smallest hashes get one more
+    sources = mins.select(id_col, FEATURE_VEC, (F.lit(base) + extra.cast("int")).alias("g"))
     nbrs = knn_join(mins, mins, k_eff, FEATURE_VEC, id_col, metric)
     syn = _generate(sources, nbrs, mins, k_eff, seed, "smote", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
@@ -243,10 +228,8 @@ def svm_smote(
     if n_base == 0:
         raise ValueError("SVM-SMOTE found no usable support vector")
     base, rem = divmod(int(deficit), int(n_base))
-    ranked = _hash_rank(bases, id_col, seed, "svmsmote")
-    sources = ranked.select(
-        id_col, FEATURE_VEC, "_extra", (F.lit(base) + (F.col("_rank") <= rem).cast("int")).alias("g")
-    )
+    extra = first_n(bases, id_col, seed, "svmsmote", rem)
+    sources = bases.select(id_col, FEATURE_VEC, "_extra", (F.lit(base) + extra.cast("int")).alias("g"))
     k_eff = min(k, n_min - 1)
     nbrs = knn_join(bases, mins, k_eff, FEATURE_VEC, id_col)
     syn = _generate(sources, nbrs, mins, k_eff, seed, "svmsmote", id_col, "_extra", out_step)

@@ -6,17 +6,19 @@ from ``md5(seed | tag | row_id)`` (see :mod:`raresift.functions.hashing`), so
 the split does not change with partitioning or task retries.
 
 Two modes:
-- ``exact``: rank rows inside each class by the hash and cut at
-  ``ceil(test_size * n_class)``; the per-class rank is a two-level running
-  count (hash ranges -> offsets -> window inside a range), never a window over
-  a whole class;
+- ``exact``: the first ``ceil(test_size * n_class)`` rows of each class in
+  (hash, id) order are the test part.  The cut is located by counting rows
+  per 16-bit hash bucket (twice), so the table is never sorted and the split
+  itself is a projection (:func:`class_cutoffs`);
 - ``bernoulli``: ``u < test_size`` per row, no shuffle at all, ratio
   approximate.  The choice for very large tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import hash_key, uniform
@@ -50,6 +52,93 @@ def class_rank(
     return ranked.withColumnRenamed("cum__one", "_rank").withColumnRenamed("tot__one", "_n").drop("_h", "_u", "_one")
 
 
+def class_cutoffs(
+    df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, fraction: float | None = None,
+    need: dict | None = None,
+) -> dict:
+    """Per class y, the (hash, id) of row number ceil(fraction * n_y) in
+    (md5, id) order -- rows at or before it form the first part.
+
+    Found without sorting the table: the 32 leading hash bits are resolved 16
+    at a time.  Each round counts rows per (class, 16-bit bucket) among the rows
+    still in play (at most classes x 65536 counts, map-side combined), finds the
+    bucket that holds the target position with a window over that bounded
+    table, and narrows to it.  Only the rows sharing the final 32-bit prefix
+    (about n / 2^32 per class) are ranked exactly.  Only per-class scalars
+    reach the driver.  Row ids must be unique."""
+    h = hash_key(seed, tag, F.col(id_col))
+    base = df.select(F.col(label_col).alias("_y"), F.col(id_col).alias("_id"), h.alias("_h"))
+    if need is None:
+        sizes = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        need = {y: int(math.ceil(fraction * n)) for y, n in sizes.items()}  # same double arithmetic as SQL ceil(0.2 * n)
+    live = {y: k for y, k in need.items() if k > 0}
+    prefix = {y: "" for y in live}
+    for level in range(2):
+        if not live:
+            break
+        cond = None
+        for y in live:
+            c = (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, 4 * level) == F.lit(prefix[y]) if level else F.lit(True))
+            cond = c if cond is None else cond | c
+        counts = (
+            base.where(cond)
+            .groupBy("_y", F.substring("_h", 4 * level + 1, 4).alias("_b"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        w = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.withColumn("_cum", F.sum("_n").over(w))  # <= 65536 rows per class
+        target = F.create_map(*[x for y, k in live.items() for x in (F.lit(y), F.lit(k))])
+        picks = (
+            cum.where(F.col("_cum") >= target[F.col("_y")])
+            .groupBy("_y")
+            .agg(F.min(F.struct("_b", "_cum", "_n")).alias("p"))
+            .collect()
+        )
+        for r in picks:
+            y, p = r["_y"], r["p"]
+            live[y] -= p["_cum"] - p["_n"]  # rows of earlier buckets come first
+            prefix[y] += p["_b"]
+    cut = {}
+    if live:
+        cond = None
+        for y in live:
+            c = (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, 8) == F.lit(prefix[y]))
+            cond = c if cond is None else cond | c
+        w = Window.partitionBy("_y").orderBy("_h", "_id")  # rows sharing a 32-bit prefix only
+        target = F.create_map(*[x for y, k in live.items() for x in (F.lit(y), F.lit(k))])
+        rows = (
+            base.where(cond)
+            .withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") == target[F.col("_y")])
+            .select("_y", "_h", "_id")
+            .collect()
+        )
+        cut = {r["_y"]: (r["_h"], r["_id"]) for r in rows}
+    return cut
+
+
+def first_n(df: DataFrame, id_col: str, seed: int, tag: str, n: int) -> Column:
+    """Boolean column: the row is among the first ``n`` rows of ``df`` in
+    (md5(seed | tag | id), id) order -- found with :func:`class_cutoffs`,
+    without sorting."""
+    if n <= 0:
+        return F.lit(False)
+    cut = class_cutoffs(df.withColumn("_all", F.lit(0)), "_all", id_col, seed, tag, need={0: int(n)})
+    hc, ic = cut[0]
+    h = hash_key(seed, tag, F.col(id_col))
+    return (h < F.lit(hc)) | ((h == F.lit(hc)) & (F.col(id_col) <= F.lit(ic)))
+
+
+def _before_cutoff(label_col: str, id_col: str, seed: int, tag: str, cut: dict):
+    h = hash_key(seed, tag, F.col(id_col))
+    cond = F.lit(False)
+    for y, (hc, ic) in cut.items():
+        cond = cond | (
+            (F.col(label_col) == F.lit(y)) & ((h < F.lit(hc)) | ((h == F.lit(hc)) & (F.col(id_col) <= F.lit(ic))))
+        )
+    return cond
+
+
 def stratified_split(
     df: DataFrame,
     label_col: str = "Class",
@@ -64,8 +153,8 @@ def stratified_split(
         return df.withColumn(out_col, uniform(seed, "split", F.col(id_col)) < F.lit(float(test_size)))
     if mode != "exact":
         raise ValueError("mode must be 'exact' or 'bernoulli'")
-    r = class_rank(df, label_col, id_col, seed, "split")
-    return r.withColumn(out_col, F.col("_rank") <= F.ceil(F.lit(float(test_size)) * F.col("_n"))).drop("_rank", "_n")
+    cut = class_cutoffs(df, label_col, id_col, seed, "split", test_size)
+    return df.withColumn(out_col, _before_cutoff(label_col, id_col, seed, "split", cut))
 
 
 def train_test(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:

@@ -85,3 +85,16 @@ def test_folds_disjoint_covering_stratified(spark):
 def test_kfold_range(spark):
     f = splits.kfold(fx.txn(spark, SF0001), 5)
     assert {r["fold"] for r in f.select("fold").distinct().collect()} == set(range(5))
+
+
+def test_first_n_matches_sorted_rank(spark):
+    import hashlib
+
+    from raresift.operators.splits import first_n
+
+    df = spark.range(0, 3000).withColumnRenamed("id", "row_id")
+    for n in (0, 1, 17, 2999, 3000):
+        flag = first_n(df, "row_id", 7, "t", n)
+        got = {r["row_id"] for r in df.where(flag).collect()}
+        keyed = sorted((hashlib.md5(f"7|t|{i}".encode()).hexdigest(), i) for i in range(3000))
+        assert got == {i for _, i in keyed[:n]}
