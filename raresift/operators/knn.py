@@ -160,6 +160,7 @@ def knn_classify(
     """(row_id, score, prediction): score = share of positives among the k
     nearest refs (uniform weights); prediction = score > 0.5 (F2)."""
     nb = knn_join(queries, refs, k, features, id_col, metric, exclude_self, ref_cols=[label_col])
+    # queries without refs within reach keep no row; callers left-join
     agg = nb.groupBy("query_id").agg(F.avg((F.col(label_col) == 1).cast("double")).alias("score"))
     return agg.select(
         F.col("query_id").alias(id_col), "score", (F.col("score") > 0.5).cast("int").alias("prediction")
@@ -196,3 +197,64 @@ def approx_knn_join(
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         F.col("qid").alias("query_id"), F.col("rid").alias("ref_id"), "rank", "distance"
     )
+
+
+# ---------------------------------------------------------------- pyspark.ml wrapper
+
+from pyspark.ml import Estimator, Model  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, Param, Params, TypeConverters  # noqa: E402
+
+
+class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    k = Param(Params._dummy(), "k", "number of neighbours", TypeConverters.toInt)
+    metric = Param(Params._dummy(), "metric", "euclidean | manhattan", TypeConverters.toString)
+    idCol = Param(Params._dummy(), "idCol", "unique row id column", TypeConverters.toString)
+
+
+class KNNModel(Model, _KNNParams):
+    """Scores rows against the stored reference rows with :func:`knn_join`;
+    adds ``probability`` (2-vector), ``rawPrediction`` and ``prediction``.
+    Rows whose id is in the reference set are not their own neighbour."""
+
+    def __init__(self, refs: DataFrame | None = None):
+        super().__init__()
+        self.refs = refs
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        idc, fc, lc = self.getOrDefault(self.idCol), self.getFeaturesCol(), self.getLabelCol()
+        q = df.select(F.col(idc), vector_to_array(F.col(fc)).alias("_x"))
+        scores = knn_classify(
+            q, self.refs, self.getOrDefault(self.k), "_x", "_y", idc, self.getOrDefault(self.metric)
+        ).select(F.col(idc), F.col("score").alias("_p1"))
+        out = df.join(scores, idc, "left")
+        p1 = F.coalesce(F.col("_p1"), F.lit(0.0))
+        return (
+            out.withColumn("probability", array_to_vector(F.array(1 - p1, p1)))
+            .withColumn("rawPrediction", array_to_vector(F.array(1 - p1, p1)))
+            .withColumn(self.getPredictionCol(), (p1 > 0.5).cast("double"))
+            .drop("_p1")
+        )
+
+
+class KNNClassifier(Estimator, _KNNParams):
+    """F2 as an Estimator: ``fit`` keeps the (checkpointed) reference rows,
+    ``transform`` runs the exact blocked k-nearest join.  Usable inside
+    ``CrossValidator`` with the reference's search space (k, metric)."""
+
+    def __init__(self, k: int = 5, metric: str = "euclidean", idCol: str = "row_id", featuresCol: str = "features",
+                 labelCol: str = "Class", predictionCol: str = "prediction"):
+        super().__init__()
+        self._set(k=k, metric=metric, idCol=idCol, featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol)
+
+    def _fit(self, df: DataFrame) -> KNNModel:
+        from raresift.session import materialize
+
+        refs = df.select(
+            F.col(self.getOrDefault(self.idCol)),
+            vector_to_array(F.col(self.getFeaturesCol())).alias("_x"),
+            F.col(self.getLabelCol()).cast("int").alias("_y"),
+        )
+        model = KNNModel(materialize(refs))
+        model._set(**{p.name: self.getOrDefault(p) for p in (self.k, self.metric, self.idCol, self.featuresCol, self.labelCol, self.predictionCol)})
+        return model

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.operators import classify, metrics, report, resample, select, splits, stats
+from raresift.operators.knn import KNNClassifier
 from raresift.plans.catalog import R, register, rounded
 from raresift.plans.evaluation_queries import COST_FN, COST_FP, experiment_matrix_sql
 from raresift.plans.flagged import flagged_at_cost, prepared_split
@@ -89,7 +90,7 @@ def q_best_trial(spark, sf):
 
 @register("experiment_matrix_models")
 def q_matrix_models(spark, sf):
-    """J6 over fitted models: {lr, rf} x {none, smote}, test split scored,
+    """J6 over fitted models: {lr, rf, knn} x {none, smote}, test split scored,
     threshold by best F1, one metrics row each."""
     train, test = prepared_split(spark, sf)
     n_train = train.count()
@@ -99,6 +100,7 @@ def q_matrix_models(spark, sf):
         for name, est in (
             ("lr", classify.logistic_regression(C=1.0, n_train=n_train, max_iter=100)),
             ("rf", classify.random_forest(num_trees=30, max_depth=6)),
+            ("knn", KNNClassifier(k=5)),
         ):
             model = classify.fit(est, tr, FEATS)
             s = classify.score(model, test).withColumn("model", F.lit(name)).withColumn("oversampling", F.lit(ovs))
@@ -106,7 +108,7 @@ def q_matrix_models(spark, sf):
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    return rounded(select.experiment_matrix(scored, methods=("pr_curve",), group_cols=["model", "oversampling"], max_groups=4))
+    return rounded(select.experiment_matrix(scored, methods=("pr_curve",), group_cols=["model", "oversampling"], max_groups=6))
 
 
 # ---------------------------------------------------------------- reports (K1-K3)
@@ -170,3 +172,15 @@ def q_positive_score(spark, sf):
 
     model = PipelineModel(stages=[classify.assembler(FEATS), classify.SGDLogisticModel(FIXED_W, FIXED_B)])
     return rounded(classify.score(model, fx.txn(spark, sf)))
+
+
+@register("cross_validate_knn")
+def q_cv_knn(spark, sf):
+    """J2 for kNN over part of the reference's search space (k, metric)."""
+    train, _ = prepared_split(spark, sf)
+    train = splits.stratified_kfold(train, 3, seed=SEED)
+    knn_est = KNNClassifier()
+    pipe = classify.make_pipeline(knn_est, FEATS)
+    grid = [{knn_est.k: 3, knn_est.metric: "euclidean"}, {knn_est.k: 7, knn_est.metric: "manhattan"}]
+    _, trials = select.cross_validate(train, pipe, grid, metric="prauc", parallelism=1)
+    return rounded(trials)
