@@ -20,6 +20,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # AQE sizes post-shuffle partitions towards this many bytes, so one
+    # shuffle-partition setting serves sf0.1 and 100 TB alike
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # remove reliable checkpoint files once their DataFrame is unreachable
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -74,5 +79,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cluster_conf(input_bytes: float, cores: int, partition_bytes: int = 128 << 20) -> dict:
+    """Suggested settings for a job over ``input_bytes`` on ``cores`` cores:
+    shuffle partitions so a partition is about ``partition_bytes`` (at least
+    2 per core), the same target for file splits.  E.g. 100 TB on 8 000 cores
+    -> 800 000 shuffle partitions, coalesced at runtime by AQE."""
+    n = max(2 * cores, int(input_bytes // partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

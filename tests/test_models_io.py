@@ -180,3 +180,31 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 1 and 0.0 <= rows[0]["accuracy"] <= 1.0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_approx_knn_subset_of_candidates(spark):
+    from raresift.operators import knn
+
+    v = fx.vec(spark, SF0001)
+    a = knn.approx_knn_join(v, v, 3, "x", bucket_length=2.0)
+    per = a.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert per is None or per <= 3
+    assert a.where(F.col("query_id") == F.col("ref_id")).count() == 0
+
+
+def test_model_scores_stream_like_batch(spark):
+    import tempfile
+
+    from raresift.operators.relational import drop_time
+    from raresift.streaming import scoring
+
+    train, test = splits.train_test(drop_time(fx.txn(spark, SF0001)))
+    model = classify.fit(classify.logistic_regression(C=1.0, n_train=train.count()), train, FEATS)
+    batch = {r["row_id"]: r["score"] for r in classify.score(model, test).collect()}
+    src = fx.txn_from_events(scoring.read_stream(spark, f"{SF0001}/events.parq*", fx.table(spark, SF0001, "events")))
+    sink = tempfile.mkdtemp(prefix="rs-stream-")
+    scoring.write_stream(scoring.score_stream(drop_time(src), model), sink).awaitTermination()
+    got = {r["row_id"]: r["score"] for r in spark.read.parquet(sink).collect()}
+    assert len(got) == 1000
+    for rid, s in batch.items():
+        assert got[rid] == pytest.approx(s)
