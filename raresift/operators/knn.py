@@ -111,7 +111,10 @@ def knn_join(
         raise ValueError(f"metric must be one of {METRICS}")
     q = queries.select(F.col(id_col).cast("long").alias("qid"), packed(queries, features).alias("qx"))
     r = refs.select(F.col(id_col).cast("long").alias("rid"), packed(refs, features).alias("rx"), *ref_cols)
-    n_q, n_r = q.count(), r.count()  # scalars; decide the grid
+    # both sizes in one job (scalars; they decide the grid)
+    sizes = q.select(F.lit(0).alias("_s")).unionByName(r.select(F.lit(1).alias("_s"))).groupBy("_s").count().collect()
+    size = {row["_s"]: row["count"] for row in sizes}
+    n_q, n_r = size.get(0, 0), size.get(1, 0)
     qb = max(1, math.ceil(n_q / block_rows))
     rb = max(1, math.ceil(n_r / block_rows))
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn(

@@ -52,6 +52,9 @@ def class_rank(
     return ranked.withColumnRenamed("cum__one", "_rank").withColumnRenamed("tot__one", "_n").drop("_h", "_u", "_one")
 
 
+FINAL_RANK_ROWS = 1_000_000  # at most this many rows are ranked exactly per class
+
+
 def class_cutoffs(
     df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, fraction: float | None = None,
     need: dict | None = None,
@@ -63,8 +66,9 @@ def class_cutoffs(
     at a time.  Each round counts rows per (class, 16-bit bucket) among the rows
     still in play (at most classes x 65536 counts, map-side combined), finds the
     bucket that holds the target position with a window over that bounded
-    table, and narrows to it.  Only the rows sharing the final 32-bit prefix
-    (about n / 2^32 per class) are ranked exactly.  Only per-class scalars
+    table, and narrows to it; a second round runs only when that bucket holds
+    more than ``FINAL_RANK_ROWS`` rows.  Only the rows of the final bucket
+    (about n / 2^16 or n / 2^32 per class) are ranked exactly.  Only per-class scalars
     reach the driver.  Row ids must be unique."""
     h = hash_key(seed, tag, F.col(id_col))
     base = df.select(F.col(label_col).alias("_y"), F.col(id_col).alias("_id"), h.alias("_h"))
@@ -73,6 +77,7 @@ def class_cutoffs(
         need = {y: int(math.ceil(fraction * n)) for y, n in sizes.items()}  # same double arithmetic as SQL ceil(0.2 * n)
     live = {y: k for y, k in need.items() if k > 0}
     prefix = {y: "" for y in live}
+    levels = 0
     for level in range(2):
         if not live:
             break
@@ -98,13 +103,16 @@ def class_cutoffs(
             y, p = r["_y"], r["p"]
             live[y] -= p["_cum"] - p["_n"]  # rows of earlier buckets come first
             prefix[y] += p["_b"]
+        levels += 1
+        if max(r["p"]["_n"] for r in picks) <= FINAL_RANK_ROWS:
+            break  # the chosen buckets are small enough to rank directly
     cut = {}
     if live:
         cond = None
         for y in live:
-            c = (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, 8) == F.lit(prefix[y]))
+            c = (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, 4 * levels) == F.lit(prefix[y]))
             cond = c if cond is None else cond | c
-        w = Window.partitionBy("_y").orderBy("_h", "_id")  # rows sharing a 32-bit prefix only
+        w = Window.partitionBy("_y").orderBy("_h", "_id")  # rows of the chosen bucket only (bounded)
         target = F.create_map(*[x for y, k in live.items() for x in (F.lit(y), F.lit(k))])
         rows = (
             base.where(cond)

@@ -98,3 +98,17 @@ def test_first_n_matches_sorted_rank(spark):
         got = {r["row_id"] for r in df.where(flag).collect()}
         keyed = sorted((hashlib.md5(f"7|t|{i}".encode()).hexdigest(), i) for i in range(3000))
         assert got == {i for _, i in keyed[:n]}
+
+
+def test_first_n_two_rounds(spark, monkeypatch):
+    """Force the second 16-bit round (taken on large tables) on small data."""
+    import hashlib
+
+    from raresift.operators import splits as sp
+
+    monkeypatch.setattr(sp, "FINAL_RANK_ROWS", 0)
+    df = spark.range(0, 2000).withColumnRenamed("id", "row_id")
+    keyed = sorted((hashlib.md5(f"3|u|{i}".encode()).hexdigest(), i) for i in range(2000))
+    for n in (1, 999, 2000):
+        got = {r["row_id"] for r in df.where(sp.first_n(df, "row_id", 3, "u", n)).collect()}
+        assert got == {i for _, i in keyed[:n]}
