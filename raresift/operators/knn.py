@@ -101,12 +101,19 @@ def knn_join(
     metric: str = "euclidean",
     exclude_self: bool = True,
     ref_cols: Sequence[str] = (),
-    block_rows: int = 4096,
+    block_rows: int | None = None,
     max_cell_partitions: int | None = None,
+    max_queries_per_cell: int = 65_536,
+    max_refs_per_cell: int = 262_144,
 ) -> DataFrame:
     """(query_id, ref_id, rank, distance, ref_cols...): for every query row its
     k nearest ref rows (rank 1..k), the query itself excluded when
-    ``exclude_self`` (same id), ties by ref id."""
+    ``exclude_self`` (same id), ties by ref id.
+
+    Grid shape: each cell holds at most ``max_queries_per_cell`` queries and
+    ``max_refs_per_cell`` refs (memory bound per task); within that, ref
+    blocks are added until there are about 4 cells per core, so small inputs
+    still use every core.  ``block_rows`` forces square blocks (tests)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     q = queries.select(F.col(id_col).cast("long").alias("qid"), packed(queries, features).alias("qx"))
@@ -115,8 +122,17 @@ def knn_join(
     sizes = q.select(F.lit(0).alias("_s")).unionByName(r.select(F.lit(1).alias("_s"))).groupBy("_s").count().collect()
     size = {row["_s"]: row["count"] for row in sizes}
     n_q, n_r = size.get(0, 0), size.get(1, 0)
-    qb = max(1, math.ceil(n_q / block_rows))
-    rb = max(1, math.ceil(n_r / block_rows))
+    parallel = queries.sparkSession.sparkContext.defaultParallelism
+    if block_rows:
+        qb = max(1, math.ceil(n_q / block_rows))
+        rb = max(1, math.ceil(n_r / block_rows))
+    else:
+        qb = max(1, math.ceil(n_q / max_queries_per_cell))
+        rb = max(1, math.ceil(n_r / max_refs_per_cell))
+        # more ref blocks (replicating the queries, the smaller side in the
+        # samplers) until the grid keeps every core busy; never below ~1k refs a cell
+        want = max(1, math.ceil(4 * parallel / qb))
+        rb = max(rb, min(want, max(1, n_r // 1024)))
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))
     )
@@ -135,7 +151,7 @@ def knn_join(
     # explicit, equal partitioning of both sides on the cell key: the cogroup
     # needs no further exchange, and AQE keeps the user-given partition count
     # instead of coalescing the (small but CPU-heavy) cells into one task
-    n_part = max(1, min(qb * rb, max_cell_partitions or 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    n_part = max(1, min(qb * rb, max_cell_partitions or 4 * parallel))
     q_rep = q_rep.repartition(n_part, "qb", "rb")
     r_rep = r_rep.repartition(n_part, "qb", "rb")
     cells = (
@@ -180,25 +196,31 @@ def approx_knn_join(
     num_hash_tables: int = 3,
     max_distance: float = math.inf,
     seed: int = 42,
+    ref_cols: Sequence[str] = (),
+    exclude_self: bool = True,
 ) -> DataFrame:
     """APPROXIMATE k nearest (Euclidean) with random-projection LSH: pairs are
     only compared inside shared buckets, so some true neighbours can be
-    missed.  Opt-in for tables where the exact grid is too costly."""
+    missed and a query may get fewer than k.  Opt-in for tables where the
+    exact grid is too costly (same output columns as :func:`knn_join`)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     qv = queries.select(F.col(id_col).alias("qid"), array_to_vector(packed(queries, features)).alias("v"))
-    rv = refs.select(F.col(id_col).alias("rid"), array_to_vector(packed(refs, features)).alias("v"))
+    rv = refs.select(F.col(id_col).alias("rid"), array_to_vector(packed(refs, features)).alias("v"), *ref_cols)
     lsh = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=num_hash_tables, seed=seed
     ).fit(rv)
     thr = max_distance if math.isfinite(max_distance) else 1e300
     pairs = lsh.approxSimilarityJoin(qv, rv, thr, distCol="distance").select(
-        F.col("datasetA.qid").alias("qid"), F.col("datasetB.rid").alias("rid"), "distance"
-    ).where(F.col("qid") != F.col("rid"))
+        F.col("datasetA.qid").alias("qid"), F.col("datasetB.rid").alias("rid"),
+        F.round("distance", DIST_DIGITS).alias("distance"), *[F.col(f"datasetB.{c}").alias(c) for c in ref_cols]
+    )
+    if exclude_self:
+        pairs = pairs.where(F.col("qid") != F.col("rid"))
     w = Window.partitionBy("qid").orderBy("distance", "rid")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        F.col("qid").alias("query_id"), F.col("rid").alias("ref_id"), "rank", "distance"
+        F.col("qid").alias("query_id"), F.col("rid").alias("ref_id"), "rank", "distance", *ref_cols
     )
 
 

@@ -75,6 +75,15 @@ def expand(df: DataFrame, count_col: str, out_col: str = "j", chunk: int = CHUNK
     return spread.withColumn(out_col, F.explode(F.sequence(lo, hi))).drop("_c")
 
 
+def _neighbours(queries, refs, k, id_col, metric="euclidean", ref_cols=(), approximate=False, lsh_bucket=1.0):
+    """Exact blocked kNN, or (opt-in) LSH approximate neighbours."""
+    if approximate:
+        from raresift.operators.knn import approx_knn_join
+
+        return approx_knn_join(queries, refs, k, FEATURE_VEC, id_col, bucket_length=lsh_bucket, ref_cols=ref_cols)
+    return knn_join(queries, refs, k, FEATURE_VEC, id_col, metric, ref_cols=ref_cols)
+
+
 def _generate(
     sources: DataFrame,
     neighbours: DataFrame,
@@ -132,8 +141,12 @@ def smote(
     seed: int = 42,
     keep_original: bool = True,
     metric: str = "euclidean",
+    approximate: bool = False,
 ) -> DataFrame:
-    """E1 (see module doc).  Exactly balances the two classes."""
+    """E1 (see module doc).  Exactly balances the two classes.
+    ``approximate=True`` finds neighbours with LSH (opt-in): a draw whose
+    neighbour number was not found is dropped, so the balance is then only
+    approximate."""
     bal = _balance(df, label_col)
     m, n_min, deficit = bal["minority"], bal["n_min"], bal["deficit"]
     if n_min < 2:
@@ -143,7 +156,7 @@ def smote(
     base, rem = divmod(int(deficit), int(n_min))
     extra = first_n(mins, id_col, seed, "smote", rem)  # the rem smallest hashes get one more
     sources = mins.select(id_col, FEATURE_VEC, (F.lit(base) + extra.cast("int")).alias("g"))
-    nbrs = knn_join(mins, mins, k_eff, FEATURE_VEC, id_col, metric)
+    nbrs = _neighbours(mins, mins, k_eff, id_col, metric, approximate=approximate)
     syn = _generate(sources, nbrs, mins, k_eff, seed, "smote", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
 
@@ -157,15 +170,16 @@ def adasyn(
     seed: int = 42,
     keep_original: bool = True,
     metric: str = "euclidean",
+    approximate: bool = False,
 ) -> DataFrame:
-    """E2 (see module doc)."""
+    """E2 (see module doc).  ``approximate=True``: LSH neighbours (opt-in)."""
     bal = _balance(df, label_col)
     m, n_min, deficit = bal["minority"], bal["n_min"], bal["deficit"]
     if n_min < 2:
         raise ValueError("ADASYN needs at least two minority rows")
     allx = df.select(F.col(id_col), packed(df, features).alias(FEATURE_VEC), F.col(label_col))
     mins = allx.where(F.col(label_col) == F.lit(m)).drop(label_col)
-    hard = knn_join(mins, allx, k, FEATURE_VEC, id_col, metric, ref_cols=[label_col])
+    hard = _neighbours(mins, allx, k, id_col, metric, ref_cols=[label_col], approximate=approximate)
     cnt = hard.groupBy(F.col("query_id").alias(id_col)).agg(F.count_if(F.col(label_col) != F.lit(m)).alias("_cnt"))
     # n_min rows, used twice (the total and the generation): computed once and
     # kept in the shared checkpoint folder, so the kNN join is not redone
@@ -176,7 +190,7 @@ def adasyn(
     g = F.bround(F.col("_cnt") * F.lit(int(deficit)) / F.lit(float(total)), 0).cast("long")
     sources = mins.join(cnt, id_col).select(id_col, FEATURE_VEC, g.alias("g"))
     k_eff = min(k, n_min - 1)
-    nbrs = knn_join(mins, mins, k_eff, FEATURE_VEC, id_col, metric)
+    nbrs = _neighbours(mins, mins, k_eff, id_col, metric, approximate=approximate)
     syn = _generate(sources, nbrs, mins, k_eff, seed, "adasyn", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
 

@@ -122,3 +122,12 @@ def test_expand_is_exact(spark):
     out = resample.expand(df, "g", chunk=7)
     got = sorted((r["row_id"], r["j"]) for r in out.collect())
     assert got == [(2, j) for j in range(1, 4)] + [(3, j) for j in range(1, 26)]
+
+
+def test_approximate_smote_runs_and_stays_minority(spark):
+    t = _txn(spark)
+    out = resample.smote(t, FEATS, keep_original=False, approximate=True)
+    n_min = t.where("Class = 1").count()
+    deficit = t.count() - 2 * n_min
+    n = out.count()
+    assert 0 <= n <= deficit and out.where("Class != 1").count() == 0
