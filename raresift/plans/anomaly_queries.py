@@ -240,3 +240,14 @@ def q_pca(spark, sf):
 def q_recon_search(spark, sf):
     x = normal_only(scaled_txn(spark, sf))
     return rounded(select.reconstruction_search(x, FEATS, ks=range(1, 4), k_folds=5, seed=SEED))
+
+
+@register("reconstruction_flow")
+def q_recon_flow(spark, sf):
+    """Entry 3 end to end on txn: PCA latent search, test errors, F1 threshold,
+    flags; the metrics row (rows-only: the PCA fit is not SQL)."""
+    from raresift.plans.flows import reconstruction_flow
+
+    t = fx.txn(spark, sf).select("row_id", *FEATS, "Class")
+    _, m = reconstruction_flow(t, FEATS, latent=[1, 2, 3], method="pr_curve")
+    return rounded(m)

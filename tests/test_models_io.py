@@ -208,3 +208,28 @@ def test_model_scores_stream_like_batch(spark):
     assert len(got) == 1000
     for rid, s in batch.items():
         assert got[rid] == pytest.approx(s)
+
+
+def test_optimize_then_evaluate_registry(spark, tmpdir_path):
+    from raresift.operators.relational import drop_time
+    from raresift.plans import flows
+
+    train, test = splits.train_test(drop_time(fx.txn(spark, SF0001)))
+    reg, log = f"{tmpdir_path}/models", f"{tmpdir_path}/log"
+    fitted, trials = flows.optimize_model(
+        spark, train, FEATS, "lr", None, "prauc", trials=2, folds=3, registry=reg, run_log=log, parallelism=1
+    )
+    assert trials.count() == 2
+    res = flows.evaluate_registry(reg, test, models=("lr", "rf"), samplers=(None,), metrics_=("prauc",))
+    rows = res.collect()
+    assert len(rows) == 1 and rows[0]["model"] == "lr"  # rf is absent and skipped
+    assert sinks.read_run_log(spark, log).count() == 1
+
+
+def test_reconstruction_flow(spark):
+    from raresift.plans import flows
+
+    t = fx.txn(spark, SF0001).select("row_id", *FEATS, "Class")
+    flagged, m = flows.reconstruction_flow(t, FEATS, latent=[1, 2], method="percentile")
+    assert flagged.count() == splits.stratified_split(t).where("is_test").count()
+    assert m.count() == 1
