@@ -7,9 +7,10 @@ the split does not change with partitioning or task retries.
 
 Two modes:
 - ``exact``: the first ``ceil(test_size * n_class)`` rows of each class in
-  (hash, id) order are the test part.  The cut is located by counting rows
-  per 16-bit hash bucket (twice), so the table is never sorted and the split
-  itself is a projection (:func:`class_cutoffs`);
+  (hash, id) order are the test part; folds are contiguous blocks of that
+  order.  Cut rows are located by counting rows per 16-bit hash bucket, so
+  the table is never sorted and splits/folds are projections
+  (:func:`hash_cutoffs`);
 - ``bernoulli``: ``u < test_size`` per row, no shuffle at all, ratio
   approximate.  The choice for very large tables.
 """
@@ -22,107 +23,114 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import hash_key, uniform
-from raresift.functions.prefix import running_totals, uniform_cuts
-from raresift.session import shuffle_partitions
 
 
-def class_rank(
-    df: DataFrame,
-    label_col: str,
-    id_col: str,
-    seed: int,
-    tag: str,
-    n_ranges: int | None = None,
-    max_classes: int = 1000,
-) -> DataFrame:
-    """Add ``_rank`` (1-based, per class, in hash order) and ``_n`` (class size)."""
-    n = n_ranges or shuffle_partitions(df.sparkSession)
-    staged = df.withColumn("_h", hash_key(seed, tag, F.col(id_col))).withColumn("_u", uniform(seed, tag, F.col(id_col)))
-    staged = staged.withColumn("_one", F.lit(1))
-    ranked = running_totals(
-        staged,
-        "_h",
-        ["_one"],
-        partition_by=[label_col],
-        tiebreak=[F.col(id_col)],
-        cuts=uniform_cuts(n),
-        range_col="_u",
-        max_groups=max_classes,
-    )
-    return ranked.withColumnRenamed("cum__one", "_rank").withColumnRenamed("tot__one", "_n").drop("_h", "_u", "_one")
-
-
-FINAL_RANK_ROWS = 1_000_000  # at most this many rows are ranked exactly per class
+FINAL_RANK_ROWS = 1_000_000  # at most this many rows are ranked exactly per bucket
 
 
-def class_cutoffs(
-    df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, fraction: float | None = None,
-    need: dict | None = None,
+def _any(conds):
+    out = None
+    for c in conds:
+        out = c if out is None else out | c
+    return out if out is not None else F.lit(False)
+
+
+def hash_cutoffs(
+    df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, targets: dict
 ) -> dict:
-    """Per class y, the (hash, id) of row number ceil(fraction * n_y) in
-    (md5, id) order -- rows at or before it form the first part.
-
-    Found without sorting the table: the 32 leading hash bits are resolved 16
-    at a time.  Each round counts rows per (class, 16-bit bucket) among the rows
-    still in play (at most classes x 65536 counts, map-side combined), finds the
-    bucket that holds the target position with a window over that bounded
-    table, and narrows to it; a second round runs only when that bucket holds
-    more than ``FINAL_RANK_ROWS`` rows.  Only the rows of the final bucket
-    (about n / 2^16 or n / 2^32 per class) are ranked exactly.  Only per-class scalars
-    reach the driver.  Row ids must be unique."""
+    """For each class y and each position p in ``targets[y]`` (1-based, in
+    (md5(seed | tag | id), id) order within the class), the (hash, id) of the
+    row at that position.  Returns {y: {p: (hash, id)}}.
+
+    Found without sorting the table: the leading hash bits are resolved 16 at
+    a time.  A round counts rows per (class, 16-bit bucket) among the rows
+    still in play (at most classes x 65 536 counts per prefix, map-side
+    combined), runs a window over that bounded table and picks, for every
+    target, the bucket holding its position; a second round runs only when a
+    picked bucket holds more than ``FINAL_RANK_ROWS`` rows.  Only the rows of
+    the final buckets are ranked exactly.  Only per-target scalars reach the
+    driver.  Row ids must be unique."""
+    spark = df.sparkSession
     h = hash_key(seed, tag, F.col(id_col))
     base = df.select(F.col(label_col).alias("_y"), F.col(id_col).alias("_id"), h.alias("_h"))
-    if need is None:
-        sizes = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        need = {y: int(math.ceil(fraction * n)) for y, n in sizes.items()}  # same double arithmetic as SQL ceil(0.2 * n)
-    live = {y: k for y, k in need.items() if k > 0}
-    prefix = {y: "" for y in live}
-    levels = 0
-    for level in range(2):
-        if not live:
+    # state per (y, p): (prefix, remaining position inside the prefix)
+    state = {(y, p): ("", p) for y, ps in targets.items() for p in ps if p > 0}
+    plen = 0
+    for _ in range(2):
+        if not state:
             break
-        cond = None
-        for y in live:
-            c = (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, 4 * level) == F.lit(prefix[y]) if level else F.lit(True))
-            cond = c if cond is None else cond | c
+        groups = sorted({(y, pre) for (y, _p), (pre, _r) in state.items()})
+        cond = _any(
+            (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, plen) == F.lit(pre) if plen else F.lit(True))
+            for y, pre in groups
+        )
         counts = (
             base.where(cond)
-            .groupBy("_y", F.substring("_h", 4 * level + 1, 4).alias("_b"))
+            .groupBy("_y", F.substring("_h", 1, plen).alias("_pre"), F.substring("_h", plen + 1, 4).alias("_b"))
             .agg(F.count(F.lit(1)).alias("_n"))
         )
-        w = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = counts.withColumn("_cum", F.sum("_n").over(w))  # <= 65536 rows per class
-        target = F.create_map(*[x for y, k in live.items() for x in (F.lit(y), F.lit(k))])
+        w = Window.partitionBy("_y", "_pre").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.withColumn("_cum", F.sum("_n").over(w))  # <= 65 536 rows per (class, prefix)
+        tgt = spark.createDataFrame(
+            [(y, pre, int(p), int(r)) for (y, p), (pre, r) in state.items()],
+            f"_y {dict(df.dtypes)[label_col]}, _pre string, _p long, _r long",
+        )
         picks = (
-            cum.where(F.col("_cum") >= target[F.col("_y")])
-            .groupBy("_y")
-            .agg(F.min(F.struct("_b", "_cum", "_n")).alias("p"))
+            cum.join(F.broadcast(tgt), ["_y", "_pre"])  # one row per target: a bounded table
+            .where(F.col("_cum") >= F.col("_r"))
+            .groupBy("_y", "_p")
+            .agg(F.min(F.struct("_b", "_cum", "_n")).alias("k"), F.first("_pre").alias("_pre"), F.first("_r").alias("_r"))
             .collect()
         )
+        biggest = 0
         for r in picks:
-            y, p = r["_y"], r["p"]
-            live[y] -= p["_cum"] - p["_n"]  # rows of earlier buckets come first
-            prefix[y] += p["_b"]
-        levels += 1
-        if max(r["p"]["_n"] for r in picks) <= FINAL_RANK_ROWS:
-            break  # the chosen buckets are small enough to rank directly
-    cut = {}
-    if live:
-        cond = None
-        for y in live:
-            c = (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, 4 * levels) == F.lit(prefix[y]))
-            cond = c if cond is None else cond | c
-        w = Window.partitionBy("_y").orderBy("_h", "_id")  # rows of the chosen bucket only (bounded)
-        target = F.create_map(*[x for y, k in live.items() for x in (F.lit(y), F.lit(k))])
+            k = r["k"]
+            state[(r["_y"], r["_p"])] = (r["_pre"] + k["_b"], r["_r"] - (k["_cum"] - k["_n"]))
+            biggest = max(biggest, k["_n"])
+        plen += 4
+        if biggest <= FINAL_RANK_ROWS:
+            break
+    out: dict = {y: {} for y in targets}
+    if state:
+        groups = sorted({(y, pre) for (y, _p), (pre, _r) in state.items()})
+        cond = _any((F.col("_y") == F.lit(y)) & (F.substring("_h", 1, plen) == F.lit(pre)) for y, pre in groups)
+        w = Window.partitionBy("_y", "_pre").orderBy("_h", "_id")  # rows of the picked buckets only (bounded)
+        tgt = spark.createDataFrame(
+            [(y, pre, int(p), int(r)) for (y, p), (pre, r) in state.items()],
+            f"_y {dict(df.dtypes)[label_col]}, _pre string, _p long, _r long",
+        )
+        ranked = base.where(cond).withColumn("_pre", F.substring("_h", 1, plen)).withColumn("_rn", F.row_number().over(w))
         rows = (
-            base.where(cond)
-            .withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") == target[F.col("_y")])
-            .select("_y", "_h", "_id")
+            ranked.join(F.broadcast(tgt), ["_y", "_pre"])
+            .where(F.col("_rn") == F.col("_r"))
+            .select("_y", "_p", "_h", "_id")
             .collect()
         )
-        cut = {r["_y"]: (r["_h"], r["_id"]) for r in rows}
-    return cut
+        for r in rows:
+            out[r["_y"]][r["_p"]] = (r["_h"], r["_id"])
+    return out
+
+
+def class_cutoffs(
+    df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, fraction: float | None = None,
+    need: dict | None = None,
+) -> dict:
+    """Per class y, the (hash, id) of row ``need[y]`` (default
+    ``ceil(fraction * n_y)``) in (md5, id) order; classes with 0 are absent."""
+    if need is None:
+        sizes = class_sizes(df, label_col)
+        need = {y: int(math.ceil(fraction * n)) for y, n in sizes.items()}  # same double arithmetic as SQL ceil(0.2 * n)
+    cuts = hash_cutoffs(df, label_col, id_col, seed, tag, {y: [k] for y, k in need.items() if k > 0})
+    return {y: c[need[y]] for y, c in cuts.items() if need[y] in c}
+
+
+def class_sizes(df: DataFrame, label_col: str) -> dict:
+    return {r["_y"]: r["n"] for r in df.groupBy(F.col(label_col).alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _after(h: Column, id_col: str, cut: tuple) -> Column:
+    hc, ic = cut
+    return (h > F.lit(hc)) | ((h == F.lit(hc)) & (F.col(id_col) > F.lit(ic)))
 
 
 def first_n(df: DataFrame, id_col: str, seed: int, tag: str, n: int) -> Column:
@@ -180,13 +188,26 @@ def stratified_kfold(
     mode: str = "exact",
     out_col: str = "fold",
 ) -> DataFrame:
-    """Add ``fold`` in [0, k) (D2), stratified: in exact mode the i-th row of
-    each class in hash order goes to fold (i-1) mod k, so every fold holds
-    floor or ceil of n_class/k rows of each class."""
+    """Add ``fold`` in [0, k) (D2), stratified.  Exact mode: inside each class,
+    rows in (hash, id) order are cut into k contiguous blocks,
+    ``fold = floor((rank - 1) * k / n_class)``, so every fold holds floor or
+    ceil of n_class / k rows of each class.  The k - 1 block ends per class
+    come from :func:`hash_cutoffs` (bucket counts, no sort) and the fold is
+    then a projection.  ``mode="bernoulli"``: ``floor(u * k)``, no job at all."""
     if mode == "bernoulli":
         return df.withColumn(out_col, F.floor(uniform(seed, "fold", F.col(id_col)) * k).cast("int"))
-    r = class_rank(df, label_col, id_col, seed, "fold")
-    return r.withColumn(out_col, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n")
+    sizes = class_sizes(df, label_col)
+    ends = {y: [((i + 1) * n + k - 1) // k for i in range(k - 1)] for y, n in sizes.items()}
+    cuts = hash_cutoffs(df, label_col, id_col, seed, "fold", ends)
+    h = hash_key(seed, "fold", F.col(id_col))
+    fold = F.lit(0)
+    for y, es in ends.items():
+        past = F.lit(0)
+        for e in es:
+            if e > 0 and e in cuts[y]:
+                past = past + _after(h, id_col, cuts[y][e]).cast("int")
+        fold = F.when(F.col(label_col) == F.lit(y), past).otherwise(fold)
+    return df.withColumn(out_col, fold.cast("int"))
 
 
 def kfold(df: DataFrame, k: int = 5, id_col: str = "row_id", seed: int = 42, out_col: str = "fold") -> DataFrame:

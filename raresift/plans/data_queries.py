@@ -220,7 +220,8 @@ def q_split_b(spark, sf):
     fx.with_ctes(
         ["txn"],
         "SELECT row_id, \"Class\", CAST((row_number() OVER (PARTITION BY \"Class\" ORDER BY "
-        f"{sql_hash_key(str(SEED), repr('fold'), 'row_id')}, row_id) - 1) % 5 AS INTEGER) AS fold FROM txn",
+        f"{sql_hash_key(str(SEED), repr('fold'), 'row_id')}, row_id) - 1) * 5 // count(*) OVER (PARTITION BY \"Class\") "
+        "AS INTEGER) AS fold FROM txn",
     ),
 )
 def q_skfold(spark, sf):
@@ -243,7 +244,8 @@ def q_kfold(spark, sf):
     fx.with_ctes(
         ["txn"],
         "SELECT fold, \"Class\", count(*) AS n FROM (SELECT \"Class\", CAST((row_number() OVER (PARTITION BY \"Class\" ORDER BY "
-        f"{sql_hash_key(str(SEED), repr('fold'), 'row_id')}, row_id) - 1) % 5 AS INTEGER) AS fold FROM txn) GROUP BY ALL",
+        f"{sql_hash_key(str(SEED), repr('fold'), 'row_id')}, row_id) - 1) * 5 // count(*) OVER (PARTITION BY \"Class\") "
+        "AS INTEGER) AS fold FROM txn) GROUP BY ALL",
     ),
 )
 def q_fold_counts(spark, sf):

@@ -112,3 +112,20 @@ def test_first_n_two_rounds(spark, monkeypatch):
     for n in (1, 999, 2000):
         got = {r["row_id"] for r in df.where(sp.first_n(df, "row_id", 3, "u", n)).collect()}
         assert got == {i for _, i in keyed[:n]}
+
+
+def test_kfold_blocks_two_rounds_match_rank_rule(spark, monkeypatch):
+    """fold = floor((rank - 1) * k / n_class), with the second bucket round forced."""
+    import hashlib
+
+    from raresift.operators import splits as sp
+
+    monkeypatch.setattr(sp, "FINAL_RANK_ROWS", 0)
+    t = fx.txn(spark, SF0001).select("row_id", "Class")
+    got = {r["row_id"]: r["fold"] for r in sp.stratified_kfold(t, 4, seed=9).collect()}
+    rows = [(r["row_id"], r["Class"]) for r in t.collect()]
+    for cls in (0, 1):
+        ids = sorted((hashlib.md5(f"9|fold|{i}".encode()).hexdigest(), i) for i, c in rows if c == cls)
+        n = len(ids)
+        for rank, (_, i) in enumerate(ids, start=1):
+            assert got[i] == (rank - 1) * 4 // n
