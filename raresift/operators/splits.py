@@ -38,76 +38,88 @@ def _any(conds):
 def hash_cutoffs(
     df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, targets: dict
 ) -> dict:
-    """For each class y and each position p in ``targets[y]`` (1-based, in
-    (md5(seed | tag | id), id) order within the class), the (hash, id) of the
-    row at that position.  Returns {y: {p: (hash, id)}}.
+    """For each class y and each target ``key -> position(n)`` in ``targets``
+    (a function of the class size column, 1-based, in (md5(seed | tag | id),
+    id) order within the class), the (hash, id) of the row at that position.
+    Returns {y: {key: (hash, id)}}; positions <= 0 give no entry.
 
     Found without sorting the table: the leading hash bits are resolved 16 at
-    a time.  A round counts rows per (class, 16-bit bucket) among the rows
-    still in play (at most classes x 65 536 counts per prefix, map-side
-    combined), runs a window over that bounded table and picks, for every
-    target, the bucket holding its position; a second round runs only when a
-    picked bucket holds more than ``FINAL_RANK_ROWS`` rows.  Only the rows of
-    the final buckets are ranked exactly.  Only per-target scalars reach the
-    driver.  Row ids must be unique."""
+    a time.  The first round counts rows per (class, 16-bit bucket) --
+    at most classes x 65 536 counts, map-side combined -- and, in the same
+    job, derives each class size, each target position and the bucket that
+    holds it (window over that bounded table).  A second round runs only when
+    a picked bucket holds more than ``FINAL_RANK_ROWS`` rows.  Only the rows
+    of the final buckets are ranked exactly, and only per-target scalars reach
+    the driver.  Row ids must be unique."""
     spark = df.sparkSession
+    ytype = dict(df.dtypes)[label_col]
     h = hash_key(seed, tag, F.col(id_col))
     base = df.select(F.col(label_col).alias("_y"), F.col(id_col).alias("_id"), h.alias("_h"))
-    # state per (y, p): (prefix, remaining position inside the prefix)
-    state = {(y, p): ("", p) for y, ps in targets.items() for p in ps if p > 0}
-    plen = 0
-    for _ in range(2):
-        if not state:
-            break
-        groups = sorted({(y, pre) for (y, _p), (pre, _r) in state.items()})
-        cond = _any(
-            (F.col("_y") == F.lit(y)) & (F.substring("_h", 1, plen) == F.lit(pre) if plen else F.lit(True))
-            for y, pre in groups
-        )
+
+    def counts_for(cond, plen):
         counts = (
-            base.where(cond)
+            (base.where(cond) if cond is not None else base)
             .groupBy("_y", F.substring("_h", 1, plen).alias("_pre"), F.substring("_h", plen + 1, 4).alias("_b"))
             .agg(F.count(F.lit(1)).alias("_n"))
         )
         w = Window.partitionBy("_y", "_pre").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = counts.withColumn("_cum", F.sum("_n").over(w))  # <= 65 536 rows per (class, prefix)
-        tgt = spark.createDataFrame(
-            [(y, pre, int(p), int(r)) for (y, p), (pre, r) in state.items()],
-            f"_y {dict(df.dtypes)[label_col]}, _pre string, _p long, _r long",
+        return counts.withColumn("_cum", F.sum("_n").over(w))  # <= 65 536 rows per (class, prefix)
+
+    # round 1: class sizes, target positions and their buckets in one job
+    cum = counts_for(None, 0).withColumn("_tot", F.sum("_n").over(Window.partitionBy("_y")))
+    keys = list(targets)
+    per_target = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("_p"), targets[key](F.col("_tot")).cast("long").alias("_r")) for i, key in enumerate(keys)])
+    ).alias("_t")
+    picks = (
+        cum.select("*", per_target)
+        .where((F.col("_t._r") > 0) & (F.col("_cum") >= F.col("_t._r")))
+        .groupBy("_y", F.col("_t._p").alias("_p"))
+        .agg(F.min(F.struct("_b", "_cum", "_n")).alias("k"), F.first("_t._r").alias("_r"))
+        .collect()
+    )
+    state, biggest = {}, 0
+    for r in picks:
+        k = r["k"]
+        state[(r["_y"], r["_p"])] = (k["_b"], r["_r"] - (k["_cum"] - k["_n"]))
+        biggest = max(biggest, k["_n"])
+    plen = 4
+
+    def target_table():
+        return spark.createDataFrame(
+            [(y, pre, int(p), int(rem)) for (y, p), (pre, rem) in state.items()],
+            f"_y {ytype}, _pre string, _p long, _r long",
         )
+
+    def in_play():
+        groups = sorted({(y, pre) for (y, _p), (pre, _r) in state.items()})
+        return _any((F.col("_y") == F.lit(y)) & (F.substring("_h", 1, plen) == F.lit(pre)) for y, pre in groups)
+
+    if state and biggest > FINAL_RANK_ROWS:  # round 2 inside the picked buckets
+        cum2 = counts_for(in_play(), plen)
         picks = (
-            cum.join(F.broadcast(tgt), ["_y", "_pre"])  # one row per target: a bounded table
+            cum2.join(F.broadcast(target_table()), ["_y", "_pre"])  # one row per target: bounded
             .where(F.col("_cum") >= F.col("_r"))
             .groupBy("_y", "_p")
             .agg(F.min(F.struct("_b", "_cum", "_n")).alias("k"), F.first("_pre").alias("_pre"), F.first("_r").alias("_r"))
             .collect()
         )
-        biggest = 0
         for r in picks:
             k = r["k"]
             state[(r["_y"], r["_p"])] = (r["_pre"] + k["_b"], r["_r"] - (k["_cum"] - k["_n"]))
-            biggest = max(biggest, k["_n"])
-        plen += 4
-        if biggest <= FINAL_RANK_ROWS:
-            break
-    out: dict = {y: {} for y in targets}
+        plen = 8
+    out: dict = {}
     if state:
-        groups = sorted({(y, pre) for (y, _p), (pre, _r) in state.items()})
-        cond = _any((F.col("_y") == F.lit(y)) & (F.substring("_h", 1, plen) == F.lit(pre)) for y, pre in groups)
         w = Window.partitionBy("_y", "_pre").orderBy("_h", "_id")  # rows of the picked buckets only (bounded)
-        tgt = spark.createDataFrame(
-            [(y, pre, int(p), int(r)) for (y, p), (pre, r) in state.items()],
-            f"_y {dict(df.dtypes)[label_col]}, _pre string, _p long, _r long",
-        )
-        ranked = base.where(cond).withColumn("_pre", F.substring("_h", 1, plen)).withColumn("_rn", F.row_number().over(w))
+        ranked = base.where(in_play()).withColumn("_pre", F.substring("_h", 1, plen)).withColumn("_rn", F.row_number().over(w))
         rows = (
-            ranked.join(F.broadcast(tgt), ["_y", "_pre"])
+            ranked.join(F.broadcast(target_table()), ["_y", "_pre"])
             .where(F.col("_rn") == F.col("_r"))
             .select("_y", "_p", "_h", "_id")
             .collect()
         )
         for r in rows:
-            out[r["_y"]][r["_p"]] = (r["_h"], r["_id"])
+            out.setdefault(r["_y"], {})[keys[r["_p"]]] = (r["_h"], r["_id"])
     return out
 
 
@@ -115,17 +127,15 @@ def class_cutoffs(
     df: DataFrame, label_col: str, id_col: str, seed: int, tag: str, fraction: float | None = None,
     need: dict | None = None,
 ) -> dict:
-    """Per class y, the (hash, id) of row ``need[y]`` (default
-    ``ceil(fraction * n_y)``) in (md5, id) order; classes with 0 are absent."""
-    if need is None:
-        sizes = class_sizes(df, label_col)
-        need = {y: int(math.ceil(fraction * n)) for y, n in sizes.items()}  # same double arithmetic as SQL ceil(0.2 * n)
-    cuts = hash_cutoffs(df, label_col, id_col, seed, tag, {y: [k] for y, k in need.items() if k > 0})
-    return {y: c[need[y]] for y, c in cuts.items() if need[y] in c}
-
-
-def class_sizes(df: DataFrame, label_col: str) -> dict:
-    return {r["_y"]: r["n"] for r in df.groupBy(F.col(label_col).alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Per class y, the (hash, id) of row ``ceil(fraction * n_y)`` (or the
+    fixed position ``need`` for every class) in (md5, id) order."""
+    if need is not None:
+        pos = int(need)
+        cuts = hash_cutoffs(df, label_col, id_col, seed, tag, {"cut": lambda n: F.lit(pos)})
+    else:
+        # same double arithmetic as SQL ceil(0.2 * n)
+        cuts = hash_cutoffs(df, label_col, id_col, seed, tag, {"cut": lambda n: F.ceil(F.lit(float(fraction)) * n)})
+    return {y: c["cut"] for y, c in cuts.items() if "cut" in c}
 
 
 def _after(h: Column, id_col: str, cut: tuple) -> Column:
@@ -139,7 +149,7 @@ def first_n(df: DataFrame, id_col: str, seed: int, tag: str, n: int) -> Column:
     without sorting."""
     if n <= 0:
         return F.lit(False)
-    cut = class_cutoffs(df.withColumn("_all", F.lit(0)), "_all", id_col, seed, tag, need={0: int(n)})
+    cut = class_cutoffs(df.withColumn("_all", F.lit(0)), "_all", id_col, seed, tag, need=int(n))
     hc, ic = cut[0]
     h = hash_key(seed, tag, F.col(id_col))
     return (h < F.lit(hc)) | ((h == F.lit(hc)) & (F.col(id_col) <= F.lit(ic)))
@@ -196,16 +206,16 @@ def stratified_kfold(
     then a projection.  ``mode="bernoulli"``: ``floor(u * k)``, no job at all."""
     if mode == "bernoulli":
         return df.withColumn(out_col, F.floor(uniform(seed, "fold", F.col(id_col)) * k).cast("int"))
-    sizes = class_sizes(df, label_col)
-    ends = {y: [((i + 1) * n + k - 1) // k for i in range(k - 1)] for y, n in sizes.items()}
+    # end of block i: ((i+1) n + k - 1) // k, computed per class inside the job
+    ends = {i: (lambda n, i=i: F.floor(((i + 1) * n + (k - 1)) / k)) for i in range(k - 1)}
     cuts = hash_cutoffs(df, label_col, id_col, seed, "fold", ends)
     h = hash_key(seed, "fold", F.col(id_col))
     fold = F.lit(0)
-    for y, es in ends.items():
+    for y, per in cuts.items():
         past = F.lit(0)
-        for e in es:
-            if e > 0 and e in cuts[y]:
-                past = past + _after(h, id_col, cuts[y][e]).cast("int")
+        for i in range(k - 1):
+            if i in per:
+                past = past + _after(h, id_col, per[i]).cast("int")
         fold = F.when(F.col(label_col) == F.lit(y), past).otherwise(fold)
     return df.withColumn(out_col, fold.cast("int"))
 
