@@ -113,8 +113,31 @@ def vae_ctes() -> tuple[list[tuple[str, str]], str]:
     return [("xs", _SCALED)] + enc + [lat] + dec + [fin], "verr"
 
 
+def _sql_gaussian(i: int) -> str:
+    """DuckDB text of hashing.gaussian(42, 'vae', row_id, i)."""
+    from raresift.functions.hashing import sql_uniform
+
+    u1 = sql_uniform("42", "'vae'", "row_id", str(i), "'bm1'")
+    u2 = sql_uniform("42", "'vae'", "row_id", str(i), "'bm2'")
+    return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos({2.0 * 3.141592653589793!r} * {u2}))"
+
+
+def vae_sampled_ctes() -> tuple[list[tuple[str, str]], str]:
+    enc, h, last = _net_ctes(VAE["encoder"], "xs", _X, _KEEP, "senc")
+    keep = _KEEP + ", " + ", ".join(h)
+    mu = _dense_sql(VAE["mu"], h, "mu_")
+    lv = _dense_sql(VAE["logvar"], h, "lv_")
+    lat = ("slat", f"SELECT {keep}, {', '.join(mu + lv)} FROM {last}")
+    z = ("sz", "SELECT " + _KEEP + ", " + ", ".join(
+        f"mu_{j} + {_sql_gaussian(j)} * exp(0.5 * lv_{j}) AS z_{j}" for j in range(2)) + " FROM slat")
+    dec, outs, dlast = _net_ctes(VAE["decoder"], "sz", ["z_0", "z_1"], _KEEP + ", z_0, z_1", "sdec")
+    fin = ("serr", f"SELECT row_id, \"Class\", {_err(outs)} AS recon_error FROM {dlast}")
+    return [("xs", _SCALED)] + enc + [lat, z] + dec + [fin], "serr"
+
+
 _AE_CTES, _AE = ae_error_ctes()
 _VAE_CTES, _VAE = vae_ctes()
+_SVAE_CTES, _SVAE = vae_sampled_ctes()
 
 
 # ---------------------------------------------------------------- queries
@@ -137,7 +160,10 @@ def q_vae(spark, sf):
     return rounded(out.select("row_id", "Class", "recon_error"))
 
 
-@register("vae_score_sampled")
+@register(
+    "vae_score_sampled",
+    fx.with_ctes(["txn"], f"SELECT row_id, \"Class\", {R('recon_error')} AS recon_error FROM {_SVAE}", _SVAE_CTES),
+)
 def q_vae_sample(spark, sf):
     out = anomaly.vae_score(scaled_txn(spark, sf), FEATS, VAE, mode="sample", seed=SEED)
     return rounded(out.select("row_id", "Class", "recon_error"))
