@@ -177,24 +177,27 @@ def evaluate_many(
     base = cum.groupBy(*gcols).agg(*aggs) if gcols else cum.agg(*aggs)
     if "percentile" in methods and threshold is None:
         pt = curves.percentile_from_cumulative(cum, percentile, gcols).withColumnRenamed("threshold", "_pt")
-        key = gcols or ["_g"]
-        if not gcols:
-            pt, cum_k = F.broadcast(pt.withColumn("_g", F.lit(0))), cum.withColumn("_g", F.lit(0))
-        else:
-            cum_k = cum
-        at = (
-            cum_k.join(pt, on=key, how="inner")
-            .groupBy(*key)
-            .agg(
-                F.first("_pt").alias("_pt"),
-                F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("tp"))), F.lit(0)).alias("_pt_tp"),
-                F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("fp"))), F.lit(0)).alias("_pt_fp"),
-            )
-        )
         if gcols:
+            at = (
+                cum.join(pt, on=gcols, how="inner")  # equi-join on the experiment keys
+                .groupBy(*gcols)
+                .agg(
+                    F.first("_pt").alias("_pt"),
+                    F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("tp"))), F.lit(0)).alias("_pt_tp"),
+                    F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("fp"))), F.lit(0)).alias("_pt_fp"),
+                )
+            )
             base = base.join(at, on=gcols, how="inner")
         else:
-            base = base.withColumn("_g", F.lit(0)).join(F.broadcast(at), "_g").drop("_g")
+            # one global threshold: a scalar subquery, no join
+            t = pt.select("_pt").scalar()
+            at = cum.agg(
+                F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("tp"))), F.lit(0)).alias("_pt_tp"),
+                F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("fp"))), F.lit(0)).alias("_pt_fp"),
+            )
+            base = base.withColumn("_pt", t).withColumn("_pt_tp", at.select("_pt_tp").scalar()).withColumn(
+                "_pt_fp", at.select("_pt_fp").scalar()
+            )
         picks["percentile"] = (F.col("_pt"), F.col("_pt_tp"), F.col("_pt_fp"))
 
     per_method = F.explode(
