@@ -24,7 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raresift.functions.prefix import running_totals
+from raresift.functions.prefix import quantile_cuts, running_totals
+from raresift.session import shuffle_partitions
 
 KEY_DIGITS = 12  # ranking keys are rounded here so equal rationals tie exactly
 
@@ -58,13 +59,18 @@ def cumulative_table(
     st = score_table(df, label_col, score_col, group_cols, float32).withColumn("one", F.lit(1))
     if not group_cols:
         max_groups = 1
+    # range cut points from the raw scores: a map-only pass (the score table
+    # would need its shuffle first); cuts only steer the work balance
+    s = F.col(score_col).cast("float").cast("double") if float32 else F.col(score_col).cast("double")
+    n = n_ranges if n_ranges is not None else shuffle_partitions(df.sparkSession)
+    cuts = quantile_cuts(df.select(s.alias("threshold")), "threshold", n)
     cum = running_totals(
         st,
         "threshold",
         ["pos", "neg", "one"],
         partition_by=group_cols,
         descending=True,
-        n_ranges=n_ranges,
+        cuts=cuts,
         max_groups=max_groups,
     )
     return cum.select(
@@ -271,7 +277,9 @@ def threshold_percentile(
     counts = df.groupBy(*group_cols, F.col(score_col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     if not group_cols:
         max_groups = 1
-    cum = running_totals(counts, "v", ["c"], partition_by=group_cols, n_ranges=n_ranges, max_groups=max_groups)
+    n = n_ranges if n_ranges is not None else shuffle_partitions(df.sparkSession)
+    cuts = quantile_cuts(df.select(F.col(score_col).cast("double").alias("v")), "v", n)  # map-only pass
+    cum = running_totals(counts, "v", ["c"], partition_by=group_cols, cuts=cuts, max_groups=max_groups)
     q = float(p) / 100.0
     pos = F.lit(q) * (F.col("tot_c") - 1)
     lo = F.floor(pos)
