@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raresift.functions.prefix import running_totals
+from raresift.functions.prefix import quantile_cuts, running_totals
+from raresift.session import shuffle_partitions
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -80,7 +81,9 @@ def exact_quantiles(
     ``p*(n-1)`` -- the same rule as numpy / pandas ``describe``."""
     long = unpivot_values(df, cols)
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_totals(counts, "v", ["c"], partition_by=["column"], n_ranges=n_ranges, max_groups=len(cols))
+    n = n_ranges if n_ranges is not None else shuffle_partitions(df.sparkSession)
+    cuts = quantile_cuts(long, "v", n)  # from the raw values: a map-only pass
+    cum = running_totals(counts, "v", ["c"], partition_by=["column"], cuts=cuts, max_groups=len(cols))
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("tot_c") - 1)
