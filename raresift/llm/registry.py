@@ -10,7 +10,9 @@ QUERY_MODULES = (
     "raresift.llm.sentencepiece",
     "raresift.llm.chat",
     "raresift.llm.sharding",
+    "raresift.llm.langid",
     "raresift.llm.packing",
+    "raresift.llm.fingerprint",
 )
 
 
