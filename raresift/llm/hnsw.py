@@ -116,7 +116,9 @@ def diverse(x: np.ndarray, cand: np.ndarray, sim: np.ndarray, most: int) -> np.n
     # chosen ones first, then the nearest others
     key = np.where(taken, 0, np.where(ok, 1, 2))
     order = np.argsort(key, axis=1, kind="stable")[:, :most]
-    return np.where(np.take_along_axis(key, order, 1) < 2, np.take_along_axis(cand, order, 1), -1)
+    out = np.full((len(cand), most), -1, np.int64)
+    out[:, : order.shape[1]] = np.where(np.take_along_axis(key, order, 1) < 2, np.take_along_axis(cand, order, 1), -1)
+    return out
 
 
 def build_layer(x: np.ndarray, entry_of, most: int) -> np.ndarray:
@@ -247,7 +249,7 @@ def _build(key, table):
     table = table.sort_by([("place", "ascending"), ("class_id", "ascending")])
     unit = _unit(table)
     blob = pickle.dumps((table.column("class_id").to_numpy(), table.column("copies").to_numpy(), unit, Graph(unit)))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "graph": pa.array([blob], pa.large_binary())})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "graph": pa.array([blob], pa.binary())})
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -264,7 +266,6 @@ def _search(threshold: float):
             return empty
         own_id, copies, unit, graph = pickle.loads(left.column("graph")[0].as_py())
         q_id, q_copies, q = right.column("class_id").to_numpy(), right.column("copies").to_numpy(), _unit(right)
-        same_shard = right.column("home").to_numpy() == key[0].as_py()
         i, j = audited_links(graph, q, threshold)
         exact = np.empty(len(i))
         for a in range(0, len(i), 1 << 18):
@@ -272,10 +273,8 @@ def _search(threshold: float):
         good = (exact >= threshold) & (q_id[i] != own_id[j])
         i, j = i[good], j[good]
         # inside one shard a pair is met from both of its ends; keep one
-        inner = same_shard[i]
         lo, hi = np.minimum(q_id[i], own_id[j]), np.maximum(q_id[i], own_id[j])
         pairs, first = np.unique(np.stack((lo, hi), 1), axis=0, return_index=True) if len(i) else (np.empty((0, 2), np.int64), [])
-        del inner
         i, j = i[first] if len(i) else i, j[first] if len(j) else j
         size_of_q, size_of_own = q_copies[i], copies[j]
         nodes, place = np.unique(np.concatenate((q_id[i], own_id[j])), return_inverse=True)

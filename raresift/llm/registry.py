@@ -13,6 +13,7 @@ QUERY_MODULES = (
     "raresift.llm.langid",
     "raresift.llm.packing",
     "raresift.llm.fingerprint",
+    "raresift.llm.hnsw",
 )
 
 
