@@ -14,6 +14,7 @@ QUERY_MODULES = (
     "raresift.llm.packing",
     "raresift.llm.fingerprint",
     "raresift.llm.hnsw",
+    "raresift.llm.jaccard",
 )
 
 
