@@ -76,7 +76,7 @@ def tree_paths(messages: DataFrame, score: str = "score", keep: int | None = Non
     for k in range(len(jumps) - 1, -1, -1):
         j = jumps[k].where("above IS NOT NULL")
         more = line.join(j, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
-        line = line.unionByName(more)
+        line = materialize(line.unionByName(more))  # the plan would double each round
     full = line.join(nodes, ["tree", "node"])
     entry = F.struct((-F.col("dist")).alias("depth"), F.col("role"), F.col("text"))
     paths = full.groupBy("tree", "leaf").agg(
