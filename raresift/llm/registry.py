@@ -15,6 +15,7 @@ QUERY_MODULES = (
     "raresift.llm.fingerprint",
     "raresift.llm.hnsw",
     "raresift.llm.jaccard",
+    "raresift.llm.suffix",
 )
 
 
