@@ -16,6 +16,7 @@ QUERY_MODULES = (
     "raresift.llm.hnsw",
     "raresift.llm.jaccard",
     "raresift.llm.suffix",
+    "raresift.llm.pitman_yor",
 )
 
 
