@@ -403,6 +403,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, numer: int = 80, denom: int = 100) -> DataFrame:
+    """The documents without all but the smallest id of every group of near
+    duplicates; of rows that repeat an id, one stays.  Rows without an id stay."""
+    found = jaccard_components(docs, words, numer, denom)
+    drop = found.where("doc_id != component_id").select("doc_id").distinct()
+    rest = docs.join(materialize(drop), "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.limit(1).count() == 0:
+        return rest
+    once = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 @register("op9_jaccard")
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents by Jaccard 0.85 of four-word shingles."""

@@ -16,7 +16,8 @@ over whole texts with the weights (buckets x languages) in the function.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or
 when nothing could be learned; ties between languages go to the smaller name;
-repeated rows give equal rows; other columns are passed through untouched.
+repeated rows give equal rows; other columns are passed through untouched, and
+clashing names get an underscore.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raresift.llm.catalog import register
-from raresift.llm.common import crc_text, read
+from raresift.llm.common import crc_text, fresh, read
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 4000
@@ -152,6 +153,7 @@ def fit_temperature(scores: list[np.ndarray], labels: list[int]) -> float:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from ``text`` and non-null ``lang`` outside the held-out fold."""
+    docs = docs.select("doc_id", "text", "lang")
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches):
@@ -206,8 +208,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs`` plus the predicted language and its score, under
+    names that ``docs`` does not have."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -217,22 +220,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [m.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
-                names=[*b.schema.names, "lang_pred", "lang_score"],
+                names=[*b.schema.names, *names],
             )
 
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
-    if len(own) < len(docs.schema.fields):
-        docs = docs.select(*[f.name for f in own])
-        at = docs.columns.index("text")
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType(own + added))
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added))
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Drop the documents whose language cannot be told (``und`` or a
     calibrated probability below ``min_score``); columns stay as they are."""
-    out = predict(docs, fit(docs))
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    out = predict(docs, fit(docs), (lang, score))
+    return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*docs.columns)
 
 
 @register("op4_langid")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.llm.catalog import register
-from raresift.llm.common import read, shuffle_partitions
+from raresift.llm.common import fresh, read, shuffle_partitions
 
 LENGTH = 200
 GRAM = 32
@@ -282,16 +282,18 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Every column of ``docs`` plus ``spans``: array of (start, stop) byte
-    offsets of the maximal removed runs (null where nothing goes)."""
+def removed_spans(docs: DataFrame, length: int = LENGTH, name: str = "spans") -> DataFrame:
+    """Every column of ``docs`` plus ``name``: array of (start, stop) byte
+    offsets of removed spans, unmerged (null where nothing goes)."""
     spark = docs.sparkSession
-    marked = docs.withColumn("mark", F.xxhash64("text"))
-    own = marked.select("doc_id", "mark", "text")
+    own = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     held = spark.sparkContext.broadcast(repeated_anchor_filter(own, length))
     spans = repeated_spans(contexts(own, held, length), length)
-    by_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return marked.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").drop("_doc", "_mark", "mark")
+    doc, mark, own_mark = fresh(docs, "_doc"), fresh(docs, "_mark"), fresh(docs, "_own_mark")
+    by_doc = spans.groupBy(F.col("doc_id").alias(doc), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    marked = docs.withColumn(own_mark, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own_mark) == F.col(mark))
+    return marked.join(by_doc, same, "left").select(*docs.columns, name)
 
 
 def kept_bytes(raw: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -320,7 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
-    cut = removed_spans(docs, length).select(*columns, "spans").mapInArrow(run, docs.schema)
+    cut = removed_spans(docs, length, fresh(docs, "spans")).mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else cut
 
 
@@ -339,7 +341,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             types = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans").mapInArrow(
+    return removed_spans(docs.select("doc_id", "text"), length).mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
