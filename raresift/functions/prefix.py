@@ -28,9 +28,14 @@ from pyspark.sql import functions as F
 from raresift.session import shuffle_partitions
 
 RANGE_COL = "_rng"
-# Offsets tables at most this many rows are broadcast explicitly; larger ones are
-# left to AQE, which picks broadcast or sort-merge from runtime sizes.
-MAX_BROADCAST_ROWS = 1_000_000
+# Ranges only spread the work, so their number is its own setting: the cut points
+# sit on the driver and in the plan, and must not grow with the shuffle partitions.
+MAX_RANGES = 512
+
+
+def range_count(spark) -> int:
+    """Ranges to cut an order into: one per shuffle partition, up to ``MAX_RANGES``."""
+    return min(shuffle_partitions(spark), MAX_RANGES)
 
 
 def quantile_cuts(df: DataFrame, col: str, n_ranges: int) -> list[float]:
@@ -47,7 +52,8 @@ def clean_cuts(cuts: Sequence[float]) -> list[float]:
 
 
 def with_range(df: DataFrame, col: str, cuts: Sequence[float]) -> DataFrame:
-    """Add ``_rng``: index of the value range of ``col`` (monotone in ``col``)."""
+    """Add ``_rng``: index of the value range of ``col``, monotone in ``col`` in
+    Spark's order (NULL first, in range -1; NaN last)."""
     cuts = clean_cuts(cuts)
     if not cuts:
         return df.withColumn(RANGE_COL, F.lit(0))
@@ -56,7 +62,8 @@ def with_range(df: DataFrame, col: str, cuts: Sequence[float]) -> DataFrame:
         splits=[-math.inf, *cuts, math.inf], inputCol=tmp, outputCol=RANGE_COL, handleInvalid="keep"
     )
     staged = df.withColumn(tmp, F.col(col).cast("double"))
-    return bucketizer.transform(staged).withColumn(RANGE_COL, F.col(RANGE_COL).cast("int")).drop(tmp)
+    place = F.when(F.col(tmp).isNull(), F.lit(-1)).otherwise(F.coalesce(F.col(RANGE_COL).cast("int"), F.lit(-1)))
+    return bucketizer.transform(staged).withColumn(RANGE_COL, place).drop(tmp)
 
 
 def running_totals(
@@ -69,7 +76,7 @@ def running_totals(
     cuts: Sequence[float] | None = None,
     range_col: str | None = None,
     n_ranges: int | None = None,
-    max_groups: int | None = 1,
+    next_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``cum_<v>`` (inclusive running total in the given order, per
     ``partition_by`` group) and ``tot_<v>`` (group total) for each value column.
@@ -78,23 +85,24 @@ def running_totals(
     ``order_col``) is the numeric key that is cut into ranges and must be
     monotone non-decreasing in that order.  Rows with equal order keys are
     ordered by ``tiebreak``; give a unique one when rows are not distinct.
-    ``max_groups`` bounds the number of partition groups when known (it is 1
-    without ``partition_by``); it decides whether the offsets table is
-    broadcast explicitly.
+    ``next_cols`` adds ``next_<v>``: the value of the next row in the order (NULL
+    at the end), from the next row of the range or the first of the next range.
+    The offsets table is broadcast explicitly only without groups (then it has
+    one row per range).
     """
-    spark = df.sparkSession
     pcols = list(partition_by)
     rcol = range_col or order_col
     if cuts is None:
-        n = n_ranges if n_ranges is not None else shuffle_partitions(spark)
-        cuts = quantile_cuts(df, rcol, n)
-    # the same explicit filter on both branches (totals and rows) keeps their
-    # plans identical, so Spark reuses the shared exchange instead of
-    # computing the input twice
-    ranged = with_range(df, rcol, cuts).where(F.col(RANGE_COL).isNotNull())
-    n_rng = len(clean_cuts(cuts)) + 1
-
-    totals = ranged.groupBy(*pcols, RANGE_COL).agg(*[F.sum(v).alias(v) for v in value_cols])
+        cuts = quantile_cuts(df, rcol, n_ranges if n_ranges is not None else range_count(df.sparkSession))
+    # the range is never NULL, so both branches (totals and rows) keep
+    # identical plans and Spark reuses the shared exchange
+    ranged = with_range(df, rcol, cuts)
+
+    firsts = []
+    if next_cols:
+        pick = F.max if descending else F.min
+        firsts = [pick(F.struct(order_col, *next_cols)).alias("_first")]
+    totals = ranged.groupBy(*pcols, RANGE_COL).agg(*[F.sum(v).alias(v) for v in value_cols], *firsts)
     rng_order = F.col(RANGE_COL).desc() if descending else F.col(RANGE_COL).asc()
     before = Window.partitionBy(*pcols).orderBy(rng_order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*pcols)
@@ -103,9 +111,10 @@ def running_totals(
         RANGE_COL,
         *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols],
         *[F.sum(v).over(whole).alias(f"tot_{v}") for v in value_cols],
+        *([F.lead("_first").over(Window.partitionBy(*pcols).orderBy(rng_order)).alias("_off_next")] if next_cols else []),
     )
-    if max_groups is not None and max_groups * n_rng <= MAX_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    if not pcols:
+        offsets = F.broadcast(offsets)  # one row per range; with groups AQE decides from measured sizes
     joined = ranged.join(offsets, on=[*pcols, RANGE_COL], how="inner")
 
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
@@ -114,13 +123,10 @@ def running_totals(
         .orderBy(key, *tiebreak)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    following = Window.partitionBy(*pcols, RANGE_COL).orderBy(key, *tiebreak)
     out = joined.select(
         *[c for c in joined.columns if not c.startswith("_off_")],
+        *[F.coalesce(F.lead(v).over(following), F.col("_off_next")[v]).alias(f"next_{v}") for v in next_cols],
         *[(F.col(f"_off_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}") for v in value_cols],
     )
     return out.drop(RANGE_COL)
-
-
-def uniform_cuts(n_ranges: int) -> list[float]:
-    """Cut points for a key known to be uniform on [0, 1) (md5 uniforms)."""
-    return [i / n_ranges for i in range(1, max(n_ranges, 1))]

@@ -13,8 +13,11 @@ array order:
 - F1 (PR curve, ascending thresholds): first = lowest threshold;
 - Youden J (ROC curve, descending thresholds): first = highest threshold;
 - cost (PR order): first = lowest threshold.
-Ranking keys are computed in rational form (e.g. F1 = 2tp/(tp+fp+P)) so equal
-values compare equal.
+Ranking keys are never rounded: each is a whole number or one quotient of whole
+numbers (F1 = 2tp/(tp+fp+P)), so equal values compare equal and different ones
+stay apart on tables of any size.
+
+A missing score or label raises, whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -24,10 +27,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raresift.functions.prefix import quantile_cuts, running_totals
-from raresift.session import shuffle_partitions
+from raresift.functions.missing import required, required_number
+from raresift.functions.prefix import quantile_cuts, range_count, running_totals
+
+
+KINDS = ("pr_curve", "roc_curve", "cost_based", "percentile")
 
-KEY_DIGITS = 12  # ranking keys are rounded here so equal rationals tie exactly
+
+def unknown_kind(name: str) -> ValueError:
+    return ValueError(f"no curve or threshold rule named {name!r}; known: {', '.join(KINDS)}")
 
 
 def score_table(
@@ -38,13 +46,18 @@ def score_table(
     float32: bool = False,
 ) -> DataFrame:
     """(group..., threshold, pos, neg): counts per distinct score."""
-    s = F.col(score_col).cast("float").cast("double") if float32 else F.col(score_col).cast("double")
-    return df.groupBy(*group_cols, s.alias("threshold")).agg(
-        F.count_if(F.col(label_col) == 1).alias("pos"),
-        F.count_if(F.col(label_col) != 1).alias("neg"),
+    y = required(F.col(label_col), f"label {label_col}")
+    return df.groupBy(*group_cols, _score(score_col, float32).alias("threshold")).agg(
+        F.count_if(y == 1).alias("pos"),
+        F.count_if(y != 1).alias("neg"),
     )
 
 
+def _score(score_col: str, float32: bool = False) -> Column:
+    s = required_number(F.col(score_col), f"score {score_col}")
+    return s.cast("float").cast("double") if float32 else s
+
+
 def cumulative_table(
     df: DataFrame,
     label_col: str = "label",
@@ -52,18 +65,14 @@ def cumulative_table(
     group_cols: Sequence[str] = (),
     float32: bool = False,
     n_ranges: int | None = None,
-    max_groups: int | None = None,
 ) -> DataFrame:
     """Score table plus tp, fp (rows with score >= threshold), P, N and idx
     (1-based position in descending threshold order)."""
     st = score_table(df, label_col, score_col, group_cols, float32).withColumn("one", F.lit(1))
-    if not group_cols:
-        max_groups = 1
     # range cut points from the raw scores: a map-only pass (the score table
     # would need its shuffle first); cuts only steer the work balance
-    s = F.col(score_col).cast("float").cast("double") if float32 else F.col(score_col).cast("double")
-    n = n_ranges if n_ranges is not None else shuffle_partitions(df.sparkSession)
-    cuts = quantile_cuts(df.select(s.alias("threshold")), "threshold", n)
+    n = n_ranges if n_ranges is not None else range_count(df.sparkSession)
+    cuts = quantile_cuts(df.select(_score(score_col, float32).alias("threshold")), "threshold", n)
     cum = running_totals(
         st,
         "threshold",
@@ -71,7 +80,7 @@ def cumulative_table(
         partition_by=group_cols,
         descending=True,
         cuts=cuts,
-        max_groups=max_groups,
+        next_cols=("pos", "neg"),
     )
     return cum.select(
         *group_cols,
@@ -84,6 +93,8 @@ def cumulative_table(
         F.col("tot_neg").alias("N"),
         F.col("cum_one").alias("idx"),
         F.col("tot_one").alias("n_thresholds"),
+        F.col("next_pos").alias("pos_next"),
+        F.col("next_neg").alias("neg_next"),
     )
 
 
@@ -153,15 +164,12 @@ def roc_curve(
     (+inf, 0, 0).  With ``drop_intermediate`` a point is dropped when it is
     collinear with equal steps on both sides (the first and last are kept).
 
-    The collinearity test needs the next point's counts: an equi-join on the
-    position index (``idx + 1``), not a global ``lead`` window."""
+    The collinearity test needs the next point's counts, which the running
+    totals carry along (no self-join, no global ``lead`` window)."""
     cum = cumulative_table(df, label_col, score_col, group_cols, **kw)
     pts = cum
     if drop_intermediate:
-        nxt = cum.select(
-            *group_cols, (F.col("idx") - 1).alias("idx"), F.col("pos").alias("pos_next"), F.col("neg").alias("neg_next")
-        )
-        pts = cum.join(nxt, on=[*group_cols, "idx"], how="left").where(
+        pts = cum.where(
             (F.col("idx") == 1)
             | (F.col("idx") == F.col("n_thresholds"))
             | (F.col("pos_next") != F.col("pos"))
@@ -188,32 +196,41 @@ def _f1_key() -> Column:
 
 
 def _cost_key(cost_fp: float, cost_fn: float) -> Column:
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(1.0))
-    return F.lit(float(cost_fp)) * (1 - prec) + F.lit(float(cost_fn)) * (1 - rec)
+    """P times the cost of a threshold, as one quotient; without positives the
+    recall is 1 and the cost itself is the key."""
+    tp, fp, p = (F.col(c).cast("double") for c in ("tp", "fp", "P"))
+    total = F.lit(float(cost_fp)) * fp * p + F.lit(float(cost_fn)) * (p - tp) * (tp + fp)
+    return F.when(F.col("P") > 0, total / (tp + fp)).otherwise(F.lit(float(cost_fp)) * fp / (tp + fp))
 
 
 def _youden_key() -> Column:
-    return F.coalesce(F.try_divide(F.col("tp"), F.col("P")), F.lit(0.0)) - F.coalesce(
-        F.try_divide(F.col("fp"), F.col("N")), F.lit(0.0)
-    )
+    """P * N times the J of a threshold, a whole number (J itself is tp / P or
+    -fp / N where the other class is empty)."""
+    tp, fp, p, n = (F.col(c).cast("decimal(19,0)") for c in ("tp", "fp", "P", "N"))
+    return tp * F.greatest(n, F.lit(1).cast("decimal(19,0)")) - fp * F.greatest(p, F.lit(1).cast("decimal(19,0)"))
 
 
-def _rk(c: Column) -> Column:
-    return F.round(c, KEY_DIGITS)
+def rule_value(method: str, sel: Column, cost_fp: float = 1.0, cost_fn: float = 5.0) -> Column:
+    """The F1, J or cost of a selected struct (k1, ..., P, N)."""
+    p, n = sel["P"].cast("double"), sel["N"].cast("double")
+    if method == "pr_curve":
+        return -sel["k1"]
+    if method == "roc_curve":
+        return -sel["k1"].cast("double") / (F.greatest(p, F.lit(1.0)) * F.greatest(n, F.lit(1.0)))
+    return F.when(p > 0, sel["k1"] / p).otherwise(sel["k1"])
 
 
 def selection_struct(method: str, cost_fp: float = 1.0, cost_fn: float = 5.0) -> Column:
     """``min(struct(key..., threshold, tp, fp))`` for a threshold rule."""
-    carry = [F.col("threshold").alias("t"), F.col("tp").alias("tp"), F.col("fp").alias("fp")]
+    carry = [F.col("threshold").alias("t"), *[F.col(c).alias(c) for c in ("tp", "fp", "P", "N")]]
     if method == "pr_curve":
-        return F.min(F.struct((-_rk(_f1_key())).alias("k1"), F.col("threshold").alias("k2"), *carry))
+        return F.min(F.struct((-_f1_key()).alias("k1"), F.col("threshold").alias("k2"), *carry))
     if method == "roc_curve":
         # the (+inf) starting point has J = 0 and is a candidate as in sklearn
-        return F.min(F.struct((-_rk(_youden_key())).alias("k1"), (-F.col("threshold")).alias("k2"), *carry))
+        return F.min(F.struct((-_youden_key()).alias("k1"), (-F.col("threshold")).alias("k2"), *carry))
     if method == "cost_based":
-        return F.min(F.struct(_rk(_cost_key(cost_fp, cost_fn)).alias("k1"), F.col("threshold").alias("k2"), *carry))
-    raise ValueError("Invalid curve type. Choose 'pr_curve', 'roc_curve', 'cost_based', or 'percentile'.")
+        return F.min(F.struct(_cost_key(cost_fp, cost_fn).alias("k1"), F.col("threshold").alias("k2"), *carry))
+    raise unknown_kind(method)
 
 
 def best_threshold(
@@ -246,7 +263,7 @@ def best_threshold(
         cum = cum.select(*group_cols, "threshold", "tp", "fp", "P", "N").unionByName(start)
     sel = selection_struct(method, cost_fp, cost_fn).alias("best")
     agg = cum.groupBy(*group_cols).agg(sel)
-    value = {"pr_curve": -F.col("best.k1"), "roc_curve": -F.col("best.k1"), "cost_based": F.col("best.k1")}[method]
+    value = rule_value(method, F.col("best"), cost_fp, cost_fn)
     return agg.select(*group_cols, F.col("best.t").alias("threshold"), value.alias("value"))
 
 
@@ -268,18 +285,15 @@ def threshold_percentile(
     score_col: str = "score",
     group_cols: Sequence[str] = (),
     n_ranges: int | None = None,
-    max_groups: int | None = None,
 ) -> DataFrame:
     """(group..., threshold): exact linearly interpolated percentile (numpy's
     default) of the scores, distributed: counts per distinct value, running
     counts in ascending order, then the two order statistics around
     ``p/100*(n-1)`` picked by an aggregate."""
-    counts = df.groupBy(*group_cols, F.col(score_col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    if not group_cols:
-        max_groups = 1
-    n = n_ranges if n_ranges is not None else shuffle_partitions(df.sparkSession)
-    cuts = quantile_cuts(df.select(F.col(score_col).cast("double").alias("v")), "v", n)  # map-only pass
-    cum = running_totals(counts, "v", ["c"], partition_by=group_cols, cuts=cuts, max_groups=max_groups)
+    counts = df.groupBy(*group_cols, _score(score_col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = n_ranges if n_ranges is not None else range_count(df.sparkSession)
+    cuts = quantile_cuts(df.select(_score(score_col).alias("v")), "v", n)  # map-only pass
+    cum = running_totals(counts, "v", ["c"], partition_by=group_cols, cuts=cuts)
     q = float(p) / 100.0
     pos = F.lit(q) * (F.col("tot_c") - 1)
     lo = F.floor(pos)
@@ -289,25 +303,26 @@ def threshold_percentile(
         F.min(F.when(F.col("cum_c") > hi, F.col("v"))).alias("v_hi"),
         F.first(pos - lo).alias("frac"),
     )
-    return agg.select(*group_cols, _lerp(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("threshold"))
+    return agg.select(*group_cols, lerp(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("threshold"))
 
 
-def percentile_from_cumulative(cum: DataFrame, p: float = 99, group_cols: Sequence[str] = ()) -> DataFrame:
-    """:func:`threshold_percentile` of the scores behind a cumulative table,
-    without another running-total pass: the ascending running count at a
-    distinct score is ``n - (tp + fp) + (pos + neg)``."""
+def percentile_structs(p: float) -> tuple[Column, Column, Column]:
+    """Aggregates over a cumulative table for the exact interpolated percentile
+    of the scores behind it: (lower, upper) ``struct(threshold, tp, fp)`` around
+    ``p/100*(n-1)`` and the fraction between them.  The ascending running count
+    at a distinct score is ``n - (tp + fp) + (pos + neg)``."""
     n = F.col("P") + F.col("N")
     asc = n - (F.col("tp") + F.col("fp")) + (F.col("pos") + F.col("neg"))
     pos = F.lit(float(p) / 100.0) * (n - 1)
-    agg = cum.groupBy(*group_cols).agg(
-        F.min(F.when(asc > F.floor(pos), F.col("threshold"))).alias("v_lo"),
-        F.min(F.when(asc > F.ceil(pos), F.col("threshold"))).alias("v_hi"),
-        F.first(pos - F.floor(pos)).alias("frac"),
+    point = F.struct("threshold", "tp", "fp")
+    return (
+        F.min(F.when(asc > F.floor(pos), point)),
+        F.min(F.when(asc > F.ceil(pos), point)),
+        F.first(pos - F.floor(pos)),
     )
-    return agg.select(*group_cols, _lerp(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("threshold"))
 
 
-def _lerp(a: Column, b: Column, t: Column) -> Column:
+def lerp(a: Column, b: Column, t: Column) -> Column:
     # numpy lerp: a + (b-a)*t, computed from the upper end when t >= 0.5
     return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
@@ -323,4 +338,4 @@ def curve_values(df: DataFrame, kind: str = "pr_curve", cost_fp: float = 1.0, co
     if kind == "percentile":
         score_col = kw.get("score_col", "score")
         return df.select(*kw.get("group_cols", ()), F.col(score_col).alias("threshold"))
-    raise ValueError("Invalid curve type. Choose 'pr_curve', 'roc_curve', 'cost_based', or 'percentile'.")
+    raise unknown_kind(kind)

@@ -32,15 +32,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raresift.functions.missing import required_number, required_numbers
+
 DIST_DIGITS = 9
 METRICS = ("euclidean", "manhattan")
 
 
 def packed(df: DataFrame, features: Sequence[str] | str) -> Column:
-    """The feature vector as ``array<double>`` (one array column, or many scalar columns)."""
+    """The feature vector as ``array<double>`` (one array column, or many scalar
+    columns).  A missing feature raises: there is no distance to such a row."""
     if isinstance(features, str):
-        return F.col(features).cast("array<double>")
-    return F.array(*[F.col(c).cast("double") for c in features])
+        return required_numbers(F.col(features).cast("array<double>"), f"a feature in {features}")
+    return F.array(*[required_number(F.col(c), f"feature {c}") for c in features])
 
 
 def _cell_topk(k: int, metric: str, exclude_self: bool, extra: list[str], chunk_bytes: int = 64 << 20):
@@ -102,7 +105,7 @@ def knn_join(
     exclude_self: bool = True,
     ref_cols: Sequence[str] = (),
     block_rows: int | None = None,
-    max_cell_partitions: int | None = None,
+    sizes: tuple[int, int] | None = None,
     max_queries_per_cell: int = 65_536,
     max_refs_per_cell: int = 262_144,
 ) -> DataFrame:
@@ -113,15 +116,18 @@ def knn_join(
     Grid shape: each cell holds at most ``max_queries_per_cell`` queries and
     ``max_refs_per_cell`` refs (memory bound per task); within that, ref
     blocks are added until there are about 4 cells per core, so small inputs
-    still use every core.  ``block_rows`` forces square blocks (tests)."""
+    still use every core.  ``block_rows`` forces square blocks (tests);
+    ``sizes`` gives (queries, refs) when the caller knows them.  There is one
+    partition per cell, so partitions stay bounded however large the tables."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     q = queries.select(F.col(id_col).cast("long").alias("qid"), packed(queries, features).alias("qx"))
     r = refs.select(F.col(id_col).cast("long").alias("rid"), packed(refs, features).alias("rx"), *ref_cols)
-    # both sizes in one job (scalars; they decide the grid)
-    sizes = q.select(F.lit(0).alias("_s")).unionByName(r.select(F.lit(1).alias("_s"))).groupBy("_s").count().collect()
-    size = {row["_s"]: row["count"] for row in sizes}
-    n_q, n_r = size.get(0, 0), size.get(1, 0)
+    if sizes is None:  # both sizes in one job (scalars; they decide the grid)
+        counted = q.select(F.lit(0).alias("_s")).unionByName(r.select(F.lit(1).alias("_s"))).groupBy("_s").count().collect()
+        size = {row["_s"]: row["count"] for row in counted}
+        sizes = size.get(0, 0), size.get(1, 0)
+    n_q, n_r = sizes
     parallel = queries.sparkSession.sparkContext.defaultParallelism
     if block_rows:
         qb = max(1, math.ceil(n_q / block_rows))
@@ -151,7 +157,7 @@ def knn_join(
     # explicit, equal partitioning of both sides on the cell key: the cogroup
     # needs no further exchange, and AQE keeps the user-given partition count
     # instead of coalescing the (small but CPU-heavy) cells into one task
-    n_part = max(1, min(qb * rb, max_cell_partitions or 4 * parallel))
+    n_part = max(1, qb * rb)
     q_rep = q_rep.repartition(n_part, "qb", "rb")
     r_rep = r_rep.repartition(n_part, "qb", "rb")
     cells = (
@@ -194,15 +200,17 @@ def approx_knn_join(
     id_col: str = "row_id",
     bucket_length: float = 1.0,
     num_hash_tables: int = 3,
-    max_distance: float = math.inf,
+    max_distance: float | None = None,
     seed: int = 42,
     ref_cols: Sequence[str] = (),
     exclude_self: bool = True,
 ) -> DataFrame:
     """APPROXIMATE k nearest (Euclidean) with random-projection LSH: pairs are
     only compared inside shared buckets, so some true neighbours can be
-    missed and a query may get fewer than k.  Opt-in for tables where the
-    exact grid is too costly (same output columns as :func:`knn_join`)."""
+    missed and a query may get fewer than k.  Only pairs within
+    ``max_distance`` leave the join (default: two buckets, beyond which sharing
+    one says little).  Opt-in for tables where the exact grid is too costly
+    (same output columns as :func:`knn_join`)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -211,8 +219,8 @@ def approx_knn_join(
     lsh = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=num_hash_tables, seed=seed
     ).fit(rv)
-    thr = max_distance if math.isfinite(max_distance) else 1e300
-    pairs = lsh.approxSimilarityJoin(qv, rv, thr, distCol="distance").select(
+    reach = 2.0 * bucket_length if max_distance is None else float(max_distance)
+    pairs = lsh.approxSimilarityJoin(qv, rv, reach, distCol="distance").select(
         F.col("datasetA.qid").alias("qid"), F.col("datasetB.rid").alias("rid"),
         F.round("distance", DIST_DIGITS).alias("distance"), *[F.col(f"datasetB.{c}").alias(c) for c in ref_cols]
     )
@@ -229,6 +237,7 @@ def approx_knn_join(
 from pyspark.ml import Estimator, Model  # noqa: E402
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, Param, Params, TypeConverters  # noqa: E402
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter  # noqa: E402
 
 
 class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -237,20 +246,50 @@ class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     idCol = Param(Params._dummy(), "idCol", "unique row id column", TypeConverters.toString)
 
 
-class KNNModel(Model, _KNNParams):
+class _KNNWriter(MLWriter):
+    """Parameters as Spark ML metadata, reference rows as Parquet beside them."""
+
+    def __init__(self, model: "KNNModel"):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.refs.write.parquet(f"{path.rstrip('/')}/refs")
+
+
+class _KNNReader(MLReader):
+    def load(self, path: str) -> "KNNModel":
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KNNModel(self.sparkSession.read.parquet(f"{path.rstrip('/')}/refs"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class KNNModel(Model, _KNNParams, MLWritable, MLReadable):
     """Scores rows against the stored reference rows with :func:`knn_join`;
     adds ``probability`` (2-vector), ``rawPrediction`` and ``prediction``.
-    Rows whose id is in the reference set are not their own neighbour."""
+    A reference row is a neighbour like any other, also of itself, as in the
+    usual predict on training rows."""
 
     def __init__(self, refs: DataFrame | None = None):
         super().__init__()
         self.refs = refs
 
+    def write(self) -> MLWriter:
+        return _KNNWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KNNReader()
+
     def _transform(self, df: DataFrame) -> DataFrame:
         idc, fc, lc = self.getOrDefault(self.idCol), self.getFeaturesCol(), self.getLabelCol()
         q = df.select(F.col(idc), vector_to_array(F.col(fc)).alias("_x"))
         scores = knn_classify(
-            q, self.refs, self.getOrDefault(self.k), "_x", "_y", idc, self.getOrDefault(self.metric)
+            q, self.refs, self.getOrDefault(self.k), "_x", "_y", idc, self.getOrDefault(self.metric),
+            exclude_self=False,
         ).select(F.col(idc), F.col("score").alias("_p1"))
         out = df.join(scores, idc, "left")
         p1 = F.coalesce(F.col("_p1"), F.lit(0.0))

@@ -111,6 +111,7 @@ METRIC_COLUMNS = ["accuracy", "roc_auc", "pr_auc", "f1_score", "precision", "rec
 
 
 THRESHOLD_METHODS = ("pr_curve", "cost_based", "roc_curve", "percentile")
+TRAINING_METRICS = ("prauc", "f1", "precision", "recall", "cost")
 
 
 def evaluate_many(
@@ -124,7 +125,6 @@ def evaluate_many(
     score_col: str = "score",
     group_cols: Sequence[str] = (),
     n_ranges: int | None = None,
-    max_groups: int | None = None,
     cum: DataFrame | None = None,
 ) -> DataFrame:
     """Choose a threshold per method and measure at it: one row per
@@ -132,20 +132,20 @@ def evaluate_many(
     recall, selected_threshold.
 
     A manual ``threshold`` wins over every method; else ``pr_curve`` (best
-    F1), ``cost_based`` (lowest cost), ``roc_curve`` (Youden J),
-    ``percentile``; any other name means 0.5.  Predictions are
+    F1), ``cost_based`` (lowest cost), ``percentile``; any other name means
+    0.5.  ``roc_curve`` (Youden J) is an extension over the inventory, where
+    only curves and flags know that rule.  Predictions are
     ``score >= threshold``.
 
     One scan of the scored rows: the cumulative score table is built once
     (or passed in as ``cum``); ONE aggregate over it yields the AUCs and, for
     every method, the chosen threshold with its tp/fp (``min(struct)``
-    selections and conditional maxima); only the percentile rule needs a
-    second small aggregate.  The per-group row is then exploded into one row
-    per method -- no per-method re-scan, no join back to the rows.
+    selections and conditional maxima).  The per-group row is then exploded
+    into one row per method -- no per-method re-scan, no join back to the rows.
     """
     gcols = list(group_cols)
     if cum is None:
-        cum = curves.cumulative_table(df, label_col, score_col, gcols, n_ranges=n_ranges, max_groups=max_groups)
+        cum = curves.cumulative_table(df, label_col, score_col, gcols, n_ranges=n_ranges)
     pos, neg, tpd, fpd = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     aggs = [
         F.sum(neg * (2 * tpd - pos)).alias("_auc_num"),
@@ -168,38 +168,21 @@ def evaluate_many(
             sel = F.col(f"_sel_{m}")
             if m == "roc_curve":
                 # the (+inf, J = 0) starting point competes like in sklearn
-                start = F.struct(
-                    F.lit(-0.0).alias("k1"), F.lit(float("-inf")).alias("k2"), F.lit(float("inf")).alias("t"),
-                    F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
+                start = sel.isNull() | (sel["k1"] >= 0)
+                picks[m] = tuple(
+                    F.when(start, F.lit(zero)).otherwise(sel[c])
+                    for c, zero in (("t", float("inf")), ("tp", 0), ("fp", 0))
                 )
-                sel = F.when(sel.isNull() | (F.lit(-0.0) <= sel["k1"]), start).otherwise(sel)
-            picks[m] = (sel["t"], sel["tp"], sel["fp"])
-    base = cum.groupBy(*gcols).agg(*aggs) if gcols else cum.agg(*aggs)
-    if "percentile" in methods and threshold is None:
-        pt = curves.percentile_from_cumulative(cum, percentile, gcols).withColumnRenamed("threshold", "_pt")
-        if gcols:
-            at = (
-                cum.join(pt, on=gcols, how="inner")  # equi-join on the experiment keys
-                .groupBy(*gcols)
-                .agg(
-                    F.first("_pt").alias("_pt"),
-                    F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("tp"))), F.lit(0)).alias("_pt_tp"),
-                    F.coalesce(F.max(F.when(F.col("threshold") >= F.col("_pt"), F.col("fp"))), F.lit(0)).alias("_pt_fp"),
-                )
-            )
-            base = base.join(at, on=gcols, how="inner")
+            else:
+                picks[m] = (sel["t"], sel["tp"], sel["fp"])
         else:
-            # one global threshold: a scalar subquery, no join
-            t = pt.select("_pt").scalar()
-            at = cum.agg(
-                F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("tp"))), F.lit(0)).alias("_pt_tp"),
-                F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col("fp"))), F.lit(0)).alias("_pt_fp"),
-            )
-            base = base.withColumn("_pt", t).withColumn("_pt_tp", at.select("_pt_tp").scalar()).withColumn(
-                "_pt_fp", at.select("_pt_fp").scalar()
-            )
-        picks["percentile"] = (F.col("_pt"), F.col("_pt_tp"), F.col("_pt_fp"))
-
+            for name, agg in zip(("_lo", "_hi", "_frac"), curves.percentile_structs(percentile)):
+                aggs.append(agg.alias(name))
+            lo, hi = F.col("_lo"), F.col("_hi")
+            t = curves.lerp(lo["threshold"], hi["threshold"], F.col("_frac"))
+            # the first distinct score that reaches t is the lower or the upper one
+            picks[m] = (t, *[F.when(t == lo["threshold"], lo[c]).otherwise(hi[c]) for c in ("tp", "fp")])
+    base = cum.groupBy(*gcols).agg(*aggs) if gcols else cum.agg(*aggs)
     per_method = F.explode(
         F.array(
             *[
@@ -261,7 +244,7 @@ def evaluate_metric(
     if metric == "cost":
         return total_cost(df, cost_fp, cost_fn, label_col, score_col, group_cols).withColumnRenamed("cost", "value")
     if metric not in ("f1", "precision", "recall"):
-        raise ValueError("Invalid metric. Choose from ['prauc', 'f1', 'precision', 'cost'].")
+        raise ValueError(f"no training metric named {metric!r}; known: {', '.join(TRAINING_METRICS)}")
     pred = (F.col(score_col).cast("float") >= F.lit(0.5)).cast("int")
     rep = classification_report(df.withColumn("_pred", pred), label_col, "_pred", group_cols)
     col = {"f1": "f1_score", "precision": "precision", "recall": "recall"}[metric]

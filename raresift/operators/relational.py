@@ -63,11 +63,6 @@ def head_records(df: DataFrame, n: int = 5, order_col: str = "row_id") -> DataFr
     return df.orderBy(order_col).limit(n)
 
 
-RESULT_SORT_COLUMNS = (
-    "accuracy", "roc_auc", "pr_auc", "f1_score", "precision", "recall", "model", "oversampling", "metric",
-)
-
-
 def sort_results(df: DataFrame, col: str | None, ascending: bool = False) -> DataFrame:
     """Sort a results table (B6, K3); an unknown column leaves it unsorted."""
     if not col:
@@ -76,7 +71,7 @@ def sort_results(df: DataFrame, col: str | None, ascending: bool = False) -> Dat
     if not match:
         import warnings
 
-        warnings.warn(f"Column '{col}' not found. Leaving results unsorted.")
+        warnings.warn(f"results have no column {col!r}; they stay in their order")
         return df
     c = F.col(match[0])
     return df.orderBy(c.asc() if ascending else c.desc())

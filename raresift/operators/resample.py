@@ -28,6 +28,8 @@ majority neighbours interpolate toward minority neighbours, the others
 extrapolate ``a + u * out_step * (a - b)``.  Rows are spread over the kept
 bases as in SMOTE, so the result is exactly balanced.
 
+A missing feature or label raises (see :mod:`raresift.functions.missing`).
+
 Generation is a two-level expand: a source row with a huge count is first
 split into chunks of ``CHUNK`` rows, the chunks are redistributed, then each
 chunk explodes -- no task makes all rows of a hot source row.
@@ -75,20 +77,24 @@ def expand(df: DataFrame, count_col: str, out_col: str = "j", chunk: int = CHUNK
     return spread.withColumn(out_col, F.explode(F.sequence(lo, hi))).drop("_c")
 
 
-def _neighbours(queries, refs, k, id_col, metric="euclidean", ref_cols=(), approximate=False, lsh_bucket=1.0):
-    """Exact blocked kNN, or (opt-in) LSH approximate neighbours."""
-    if approximate:
-        from raresift.operators.knn import approx_knn_join
+def _neighbours(queries, refs, k, id_col, sizes=None, metric="euclidean", ref_cols=(), approximate=False, lsh_bucket=1.0):
+    """Exact blocked kNN, or (opt-in) LSH approximate neighbours; queries for
+    which LSH finds none get their exact ones."""
+    if not approximate:
+        return knn_join(queries, refs, k, FEATURE_VEC, id_col, metric, ref_cols=ref_cols, sizes=sizes)
+    from raresift.operators.knn import approx_knn_join
 
-        return approx_knn_join(queries, refs, k, FEATURE_VEC, id_col, bucket_length=lsh_bucket, ref_cols=ref_cols)
-    return knn_join(queries, refs, k, FEATURE_VEC, id_col, metric, ref_cols=ref_cols)
+    near = materialize(approx_knn_join(queries, refs, k, FEATURE_VEC, id_col, bucket_length=lsh_bucket, ref_cols=ref_cols))
+    alone = materialize(queries.join(near.select(F.col("query_id").alias(id_col)).distinct(), id_col, "left_anti"))
+    if alone.limit(1).count() == 0:
+        return near
+    return near.unionByName(knn_join(alone, refs, k, FEATURE_VEC, id_col, metric, ref_cols=ref_cols))
 
 
 def _generate(
     sources: DataFrame,
     neighbours: DataFrame,
     minority_feats: DataFrame,
-    k_eff: int,
     seed: int,
     tag: str,
     id_col: str,
@@ -96,21 +102,35 @@ def _generate(
     out_step: float = 0.5,
 ) -> DataFrame:
     """Synthetic rows: sources (id, _fx, g[, extrapolate]) x j in 1..g, each
-    toward neighbour number 1 + floor(u1 * k_eff), gap u2."""
-    gen = expand(sources, "g").withColumn(
-        "_nn", (F.floor(uniform(seed, tag + "-nn", F.col(id_col), F.col("j")) * k_eff) + 1).cast("int")
-    ).withColumn("_gap", uniform(seed, tag + "-gap", F.col(id_col), F.col("j")))
-    nb = neighbours.select(F.col("query_id").alias(id_col), F.col("rank").alias("_nn"), "ref_id").join(
-        minority_feats.select(F.col(id_col).alias("ref_id"), F.col(FEATURE_VEC).alias("_bx")), "ref_id"
+    toward neighbour number 1 + floor(u1 * k'), gap u2, with k' the number of
+    neighbours the source has.
+
+    Every source meets its (at most k) neighbours *before* it is expanded, as
+    one array of vectors in rank order, so nothing is joined or shuffled after
+    generation and a source with very many rows is no hot key."""
+    near = (
+        neighbours.select(F.col("query_id").alias(id_col), "rank", "ref_id")
+        .join(minority_feats.select(F.col(id_col).alias("ref_id"), F.col(FEATURE_VEC).alias("_bx")), "ref_id")
+        .groupBy(id_col)
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_bx"))), lambda s: s["_bx"]).alias("_near"))
+    )
+    gen = expand(sources.join(near, id_col), "g")
+    number = (F.floor(uniform(seed, tag + "-nn", F.col(id_col), F.col("j")) * F.size("_near")) + 1).cast("int")
+    gen = gen.withColumn("_gap", uniform(seed, tag + "-gap", F.col(id_col), F.col("j"))).withColumn(
+        "_bx", F.element_at("_near", number)
     )
-    joined = gen.join(nb, [id_col, "_nn"], "inner")
-    interp = F.zip_with(F.col(FEATURE_VEC), F.col("_bx"), lambda a, b: a + F.col("_gap") * (b - a))
-    if extrapolate_col is None:
-        new = interp
-    else:
+    new = F.zip_with(F.col(FEATURE_VEC), F.col("_bx"), lambda a, b: a + F.col("_gap") * (b - a))
+    if extrapolate_col is not None:
         extra = F.zip_with(F.col(FEATURE_VEC), F.col("_bx"), lambda a, b: a + F.col("_gap") * F.lit(out_step) * (a - b))
-        new = F.when(F.col(extrapolate_col), extra).otherwise(interp)
-    return joined.select(F.col(id_col), F.col("j").alias("syn_seq"), new.alias(FEATURE_VEC))
+        new = F.when(F.col(extrapolate_col), extra).otherwise(new)
+    return gen.select(F.col(id_col), F.col("j").alias("syn_seq"), new.alias(FEATURE_VEC))
+
+
+def _minority(df: DataFrame, features, label_col: str, id_col: str, minority) -> DataFrame:
+    """The packed minority rows (n_min of them), read once and kept in the
+    shared checkpoint folder."""
+    rows = df.where(F.col(label_col) == F.lit(minority))
+    return materialize(rows.select(F.col(id_col), packed(df, features).alias(FEATURE_VEC)))
 
 
 def _finish(
@@ -144,20 +164,19 @@ def smote(
     approximate: bool = False,
 ) -> DataFrame:
     """E1 (see module doc).  Exactly balances the two classes.
-    ``approximate=True`` finds neighbours with LSH (opt-in): a draw whose
-    neighbour number was not found is dropped, so the balance is then only
-    approximate."""
+    ``approximate=True`` finds neighbours with LSH (opt-in): the draw is among
+    those found, so the classes still balance; only the neighbours differ."""
     bal = _balance(df, label_col)
     m, n_min, deficit = bal["minority"], bal["n_min"], bal["deficit"]
     if n_min < 2:
         raise ValueError("SMOTE needs at least two minority rows")
     k_eff = min(k, n_min - 1)
-    mins = df.where(F.col(label_col) == F.lit(m)).select(F.col(id_col), packed(df, features).alias(FEATURE_VEC))
+    mins = _minority(df, features, label_col, id_col, m)
     base, rem = divmod(int(deficit), int(n_min))
     extra = first_n(mins, id_col, seed, "smote", rem)  # the rem smallest hashes get one more
     sources = mins.select(id_col, FEATURE_VEC, (F.lit(base) + extra.cast("int")).alias("g"))
-    nbrs = _neighbours(mins, mins, k_eff, id_col, metric, approximate=approximate)
-    syn = _generate(sources, nbrs, mins, k_eff, seed, "smote", id_col)
+    nbrs = _neighbours(mins, mins, k_eff, id_col, (n_min, n_min), metric, approximate=approximate)
+    syn = _generate(sources, nbrs, mins, seed, "smote", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
 
 
@@ -178,20 +197,20 @@ def adasyn(
     if n_min < 2:
         raise ValueError("ADASYN needs at least two minority rows")
     allx = df.select(F.col(id_col), packed(df, features).alias(FEATURE_VEC), F.col(label_col))
-    mins = allx.where(F.col(label_col) == F.lit(m)).drop(label_col)
-    hard = _neighbours(mins, allx, k, id_col, metric, ref_cols=[label_col], approximate=approximate)
+    mins = _minority(df, features, label_col, id_col, m)
+    hard = _neighbours(mins, allx, k, id_col, (n_min, bal["n"]), metric, ref_cols=[label_col], approximate=approximate)
     cnt = hard.groupBy(F.col("query_id").alias(id_col)).agg(F.count_if(F.col(label_col) != F.lit(m)).alias("_cnt"))
     # n_min rows, used twice (the total and the generation): computed once and
     # kept in the shared checkpoint folder, so the kNN join is not redone
     cnt = materialize(cnt)
     total = cnt.agg(F.sum("_cnt")).first()[0] or 0  # scalar
     if total == 0:
-        raise ValueError("Not any neigbours belong to the majority class; ADASYN cannot weight rows")
+        raise ValueError("no minority row has a majority row among its nearest; ADASYN has no weights")
     g = F.bround(F.col("_cnt") * F.lit(int(deficit)) / F.lit(float(total)), 0).cast("long")
     sources = mins.join(cnt, id_col).select(id_col, FEATURE_VEC, g.alias("g"))
     k_eff = min(k, n_min - 1)
-    nbrs = _neighbours(mins, mins, k_eff, id_col, metric, approximate=approximate)
-    syn = _generate(sources, nbrs, mins, k_eff, seed, "adasyn", id_col)
+    nbrs = _neighbours(mins, mins, k_eff, id_col, (n_min, n_min), metric, approximate=approximate)
+    syn = _generate(sources, nbrs, mins, seed, "adasyn", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
 
 
@@ -227,7 +246,7 @@ def svm_smote(
     margin = F.lit(float(svm_intercept))
     for i, w in enumerate(svm_coefficients):
         margin = margin + F.col(FEATURE_VEC)[i] * F.lit(float(w))
-    mins = allx.where(F.col(label_col) == F.lit(mcls)).drop(label_col)
+    mins = _minority(df, features, label_col, id_col, mcls)
     # minority support vectors: on or inside the margin (y = +1 side)
     sv = mins.where(margin <= 1)
     near = knn_join(sv, allx, m_neighbors, FEATURE_VEC, id_col, ref_cols=[label_col])
@@ -245,8 +264,8 @@ def svm_smote(
     extra = first_n(bases, id_col, seed, "svmsmote", rem)
     sources = bases.select(id_col, FEATURE_VEC, "_extra", (F.lit(base) + extra.cast("int")).alias("g"))
     k_eff = min(k, n_min - 1)
-    nbrs = knn_join(bases, mins, k_eff, FEATURE_VEC, id_col)
-    syn = _generate(sources, nbrs, mins, k_eff, seed, "svmsmote", id_col, "_extra", out_step)
+    nbrs = knn_join(bases, mins, k_eff, FEATURE_VEC, id_col, sizes=(n_base, n_min))
+    syn = _generate(sources, nbrs, mins, seed, "svmsmote", id_col, "_extra", out_step)
     return _finish(df, syn, features, label_col, id_col, mcls, keep_original)
 
 

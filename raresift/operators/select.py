@@ -19,7 +19,6 @@ def experiment_matrix(
     cost_fp: float = 1.0,
     cost_fn: float = 5.0,
     percentile: float = 99,
-    max_groups: int | None = None,
 ) -> DataFrame:
     """One metrics row per (group..., threshold method).
 
@@ -31,7 +30,7 @@ def experiment_matrix(
     gcols = list(group_cols)
     return metrics.evaluate_many(
         scored, methods=methods, cost_fp=cost_fp, cost_fn=cost_fn, percentile=percentile,
-        label_col=label_col, score_col=score_col, group_cols=gcols, max_groups=max_groups,
+        label_col=label_col, score_col=score_col, group_cols=gcols,
     )
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import hash_key, uniform
+from raresift.functions.missing import required
 
 
 FINAL_RANK_ROWS = 1_000_000  # at most this many rows are ranked exactly per bucket
@@ -54,7 +55,7 @@ def hash_cutoffs(
     spark = df.sparkSession
     ytype = dict(df.dtypes)[label_col]
     h = hash_key(seed, tag, F.col(id_col))
-    base = df.select(F.col(label_col).alias("_y"), F.col(id_col).alias("_id"), h.alias("_h"))
+    base = df.select(required(F.col(label_col), f"label {label_col}").alias("_y"), F.col(id_col).alias("_id"), h.alias("_h"))
 
     def counts_for(cond, plen):
         counts = (

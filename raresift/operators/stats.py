@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raresift.functions.prefix import quantile_cuts, running_totals
-from raresift.session import shuffle_partitions
+from raresift.functions.missing import required
+from raresift.functions.prefix import quantile_cuts, range_count, running_totals
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -81,9 +81,9 @@ def exact_quantiles(
     ``p*(n-1)`` -- the same rule as numpy / pandas ``describe``."""
     long = unpivot_values(df, cols)
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
-    n = n_ranges if n_ranges is not None else shuffle_partitions(df.sparkSession)
+    n = n_ranges if n_ranges is not None else range_count(df.sparkSession)
     cuts = quantile_cuts(long, "v", n)  # from the raw values: a map-only pass
-    cum = running_totals(counts, "v", ["c"], partition_by=["column"], cuts=cuts, max_groups=len(cols))
+    cum = running_totals(counts, "v", ["c"], partition_by=["column"], cuts=cuts)
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("tot_c") - 1)
@@ -145,7 +145,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def class_counts(df: DataFrame, label_col: str = "Class") -> DataFrame:
-    return df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    y = required(F.col(label_col), f"label {label_col}")
+    return df.groupBy(y.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_balance(df: DataFrame, label_col: str = "Class") -> DataFrame:

@@ -206,7 +206,7 @@ _F1_SEL = (
     "sum(neg) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp, "
     "sum(pos) OVER () AS p FROM (SELECT recon_error AS threshold, count_if(\"Class\" = 1) AS pos, "
     f"count_if(\"Class\" <> 1) AS neg FROM {_AE} GROUP BY 1)) "
-    "ORDER BY round(coalesce(2 * tp / nullif(tp + fp + p, 0), 0), 12) DESC, threshold ASC LIMIT 1"
+    "ORDER BY coalesce(2 * tp / nullif(tp + fp + p, 0), 0) DESC, threshold ASC LIMIT 1"
 )
 
 

@@ -34,12 +34,19 @@ def _cum_sql(src: str = "scored", group_cols: tuple[str, ...] = (), float32: boo
     return [("st", st), ("cum", cum)]
 
 
-F1_KEY = 'round(coalesce(2 * tp / nullif(tp + fp + "P", 0), 0), 12)'
+F1_KEY = 'coalesce(2 * tp / nullif(tp + fp + "P", 0), 0)'
 COST_KEY = (
-    f"round({COST_FP} * (1 - tp / (tp + fp)) + {COST_FN} * "
-    f'(1 - CASE WHEN "P" > 0 THEN tp / "P" ELSE 1.0 END), 12)'
+    f'CASE WHEN "P" > 0 THEN CAST({COST_FP} * fp * "P" + {COST_FN} * ("P" - tp) * (tp + fp) AS DOUBLE) / (tp + fp) '
+    f"ELSE CAST({COST_FP} * fp AS DOUBLE) / (tp + fp) END"
+)
+YOUDEN_KEY = '(CAST(tp AS HUGEINT) * greatest("N", 1) - CAST(fp AS HUGEINT) * greatest("P", 1))'
+
+
+YOUDEN_VALUE = 'coalesce(tp / nullif("P", 0), 0) - coalesce(fp / nullif("N", 0), 0)'
+COST_VALUE = (
+    f"{COST_FP} * (1 - tp / (tp + fp)) + {COST_FN} * "
+    f'(1 - CASE WHEN "P" > 0 THEN tp / "P" ELSE 1.0 END)'
 )
-YOUDEN_KEY = 'round(coalesce(tp / nullif("P", 0), 0) - coalesce(fp / nullif("N", 0), 0), 12)'
 
 
 def _sel_sql(method: str, group_cols: tuple[str, ...]) -> str:
@@ -193,7 +200,7 @@ def q_cost_curve(spark, sf):
 )
 def q_pr_curve_groups(spark, sf):
     g = ["model", "oversampling"]
-    return rounded(curves.pr_curve(fx.scored_groups(spark, sf), group_cols=g, max_groups=12))
+    return rounded(curves.pr_curve(fx.scored_groups(spark, sf), group_cols=g))
 
 
 # ---------------------------------------------------------------- threshold rules
@@ -215,7 +222,7 @@ def q_best_f1(spark, sf):
     "best_threshold_youden",
     fx.with_ctes(
         ["scored"],
-        f"SELECT threshold, {R(YOUDEN_KEY)} AS value FROM ("
+        f"SELECT threshold, {R(YOUDEN_VALUE)} AS value FROM ("
         'SELECT threshold, tp, fp, "P", "N" FROM cum UNION ALL '
         "SELECT 'inf'::DOUBLE, 0, 0, \"P\", \"N\" FROM cum WHERE idx = 1) "
         f"ORDER BY {YOUDEN_KEY} DESC, threshold DESC LIMIT 1",
@@ -230,7 +237,7 @@ def q_best_youden(spark, sf):
     "best_threshold_cost",
     fx.with_ctes(
         ["scored"],
-        f"SELECT threshold, {R(COST_KEY)} AS value FROM cum ORDER BY {COST_KEY} ASC, threshold ASC LIMIT 1",
+        f"SELECT threshold, {R(COST_VALUE)} AS value FROM cum ORDER BY {COST_KEY} ASC, threshold ASC LIMIT 1",
         _cum_sql(),
     ),
 )
@@ -255,7 +262,7 @@ def q_percentile(spark, sf):
 )
 def q_percentile_groups(spark, sf):
     return rounded(
-        curves.threshold_percentile(fx.scored_groups(spark, sf), 90, group_cols=["model", "oversampling"], max_groups=12)
+        curves.threshold_percentile(fx.scored_groups(spark, sf), 90, group_cols=["model", "oversampling"])
     )
 
 
@@ -341,7 +348,7 @@ def q_ranking(spark, sf):
 )
 def q_ranking_groups(spark, sf):
     g = ["model", "oversampling"]
-    cum = curves.cumulative_table(fx.scored_groups(spark, sf), group_cols=g, max_groups=12)
+    cum = curves.cumulative_table(fx.scored_groups(spark, sf), group_cols=g)
     return rounded(metrics.ranking_summary(cum, g).select(*g, "roc_auc", "pr_auc"))
 
 
@@ -378,8 +385,7 @@ def q_matrix(spark, sf):
             methods=_MATRIX_METHODS,
             group_cols=["model", "oversampling"],
             cost_fp=COST_FP,
-            cost_fn=COST_FN,
-            max_groups=12,
+            cost_fn=COST_FN
         )
     )
 

@@ -85,7 +85,7 @@ def q_eval_roundtrip(spark, sf):
 
     res = experiment_matrix(
         fx.scored_groups(spark, sf), methods=_MATRIX_METHODS, group_cols=["model", "oversampling"],
-        cost_fp=COST_FP, cost_fn=COST_FN, max_groups=12,
+        cost_fp=COST_FP, cost_fn=COST_FN,
     )
     path = _scratch(spark, "results")
     sinks.write_eval_results(rounded(res), path, run_date="2025_03_29")

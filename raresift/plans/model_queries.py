@@ -108,7 +108,7 @@ def q_matrix_models(spark, sf):
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    return rounded(select.experiment_matrix(scored, methods=("pr_curve",), group_cols=["model", "oversampling"], max_groups=6))
+    return rounded(select.experiment_matrix(scored, methods=("pr_curve",), group_cols=["model", "oversampling"]))
 
 
 # ---------------------------------------------------------------- reports (K1-K3)
@@ -119,7 +119,7 @@ def _results(spark, sf):
 
     return select.experiment_matrix(
         fx.scored_groups(spark, sf), methods=_MATRIX_METHODS, group_cols=["model", "oversampling"],
-        cost_fp=COST_FP, cost_fn=COST_FN, max_groups=12,
+        cost_fp=COST_FP, cost_fn=COST_FN
     )
 
 

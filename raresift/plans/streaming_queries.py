@@ -26,7 +26,7 @@ def _events_stream(spark, sf):
 
 def _run(spark, df):
     sink = f"{checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
-    q = scoring.write_stream(df, sink)
+    q = scoring.write_stream(df, sink, f"{sink}-checkpoint")
     q.awaitTermination()
     return spark.read.parquet(sink)
 

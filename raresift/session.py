@@ -56,8 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it up if needed.
 
     Order: an already configured SparkContext folder, then the cluster's
-    ``spark.checkpoint.dir``; only when both are unset (local tests) a fresh
-    scratch folder is created.
+    ``spark.checkpoint.dir``; only when both are unset and the master is local
+    (one machine, as in tests) a fresh scratch folder is created.  On a cluster
+    a machine-local folder would be another one on every executor, so there an
+    unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="raresift-ckpt-")
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)

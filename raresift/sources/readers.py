@@ -31,28 +31,44 @@ def read_transactions(
         raise
 
 
+CURVE_COLUMNS = {
+    "pr_curve": ("threshold", "precision", "recall"),
+    "roc_curve": ("threshold", "fpr", "tpr"),
+    "cost_based": ("threshold", "cost_metric"),
+}
+
+
 def read_curves(spark: SparkSession, folder: str) -> DataFrame | None:
     """Read saved curve CSVs (A6) from ``folder`` with model, oversampling and
-    kind taken from the file name ``curves_{model}_{ovs}_..._{pr|roc|cost}.csv``:
-    model = 1st and ovs = 2nd '_'-token after stripping ``curves_`` and
-    ``.csv``; kind by presence of token pr, else roc, else cost.  Names with
-    fewer than two tokens are dropped.  Each kind has its own header, so the
-    three suffixes are read separately and unioned by name (missing columns
-    are NULL).  Returns None when there is no curve file."""
-    parts = []
-    for suffix in ("pr", "roc", "cost"):
-        pattern = f"{folder.rstrip('/')}/curves_*_{suffix}.csv"
-        try:
-            raw = spark.read.option("header", True).option("inferSchema", True).csv(pattern)
-        except AnalysisException:
-            continue
-        parts.append(_tag_curve_file(raw))
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    kind taken from the file name ``curves_{model}_{ovs}_...csv``: model = 1st
+    and ovs = 2nd '_'-token after stripping ``curves_`` and ``.csv``; kind by
+    presence of token pr, else roc, else cost, wherever it stands.  Names with
+    fewer than two tokens or without a kind are dropped.
+
+    The three kinds have known columns (``CURVE_COLUMNS``, in the order in which
+    they are written), so the files are read as lines in one pass and no schema
+    is inferred; columns that a kind does not have are NULL.  Returns None when
+    there is no curve file."""
+    try:
+        lines = spark.read.text(f"{folder.rstrip('/')}/curves_*.csv")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+    tagged = _tag_curve_file(lines)
+    cells = F.split("value", ",")
+    header = F.lower(F.trim("value")).startswith("threshold")
+    rows = tagged.where(~header & (F.trim("value") != ""))
+    out, kinds = [], list(CURVE_COLUMNS.items())
+    for name in sorted({c for _, cols in kinds for c in cols}, key=lambda c: [c != "threshold", c]):
+        value = F.lit(None).cast("double")
+        for kind, cols in kinds:
+            if name in cols:
+                cell = F.element_at(cells, cols.index(name) + 1)
+                number = F.when(F.lower(F.trim(cell)).isin("inf", "infinity"), F.lit(float("inf"))).otherwise(cell.try_cast("double"))
+                value = F.when(F.col("curve_type") == kind, number).otherwise(value)
+        out.append(value.alias(name))
+    return rows.select(*out, "model", "oversampling", "curve_type")
 
 
 def _tag_curve_file(raw: DataFrame) -> DataFrame:

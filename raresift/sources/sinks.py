@@ -96,12 +96,14 @@ def save_model(model: PipelineModel, root: str, name: str, oversampling: str | N
 
 
 def load_model(root: str, name: str, oversampling: str | None, metric: str) -> PipelineModel | None:
-    """The saved model, or None when the key is absent (the run is skipped)."""
+    """The saved model, or None when the key is absent (the run is skipped).
+    A model that is there but cannot be read raises."""
     path = model_path(root, name, oversampling, metric)
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # absent key -> skip, as the reference does
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
+    return PipelineModel.load(path)
 
 
 def write_best_params(spark: SparkSession, params: dict, model: str, path: str, run_params: dict | None = None) -> None:

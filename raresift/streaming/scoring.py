@@ -10,7 +10,6 @@ sink; a restarted query resumes where it stopped).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -20,7 +19,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from raresift.operators import anomaly
 from raresift.operators.relational import apply_threshold
-from raresift.session import checkpoint_dir
 
 
 def score_stream(
@@ -52,12 +50,11 @@ def anomaly_stream(
 
 
 def write_stream(
-    scored: DataFrame, sink_path: str, checkpoint: str | None = None, available_now: bool = True, fmt: str = "parquet"
+    scored: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True, fmt: str = "parquet"
 ) -> StreamingQuery:
-    """Start the file sink with a checkpoint under the shared checkpoint folder."""
-    spark = scored.sparkSession
-    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    writer = scored.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", ck).outputMode("append")
+    """Start the file sink.  ``checkpoint`` names the query's own folder on
+    shared storage; started again with it, the query resumes where it stopped."""
+    writer = scored.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 

@@ -203,7 +203,7 @@ def test_model_scores_stream_like_batch(spark):
     batch = {r["row_id"]: r["score"] for r in classify.score(model, test).collect()}
     src = fx.txn_from_events(scoring.read_stream(spark, f"{SF0001}/events.parq*", fx.table(spark, SF0001, "events")))
     sink = tempfile.mkdtemp(prefix="rs-stream-")
-    scoring.write_stream(scoring.score_stream(drop_time(src), model), sink).awaitTermination()
+    scoring.write_stream(scoring.score_stream(drop_time(src), model), sink, sink + "-checkpoint").awaitTermination()
     got = {r["row_id"]: r["score"] for r in spark.read.parquet(sink).collect()}
     assert len(got) == 1000
     for rid, s in batch.items():
