@@ -9,10 +9,11 @@ class-1 probability (B8) or, for models without one, the sigmoid of the margin
 Deviations from the reference's libraries, stated:
 - logistic regression: sklearn sums the losses, Spark averages them, so
   ``regParam = 1 / (C * sum of weights)``; no standardisation (as sklearn);
-- random forest depth is capped at 30 by Spark;
-- mini-batch SGD uses the RDD-based ``LogisticRegressionWithSGD`` (the only
-  SGD logistic learner in Spark), wrapped as an ``Estimator``; its schedule is
-  Spark's fixed ``step / sqrt(t)``;
+  ``PenalisedLogistic`` takes that sum from the rows it is fitted on;
+- Spark trees are at most 30 deep; deeper requests raise;
+- mini-batch SGD is one aggregate per step with the schedule
+  ``step / sqrt(t)``; a mini-batch is the rows whose hash of (seed, step, id)
+  is below the fraction, so it does not depend on partitioning;
 - boosting stops early on a validation indicator column, like the reference's
   50-stale-rounds rule on a validation fold.
 """
@@ -36,6 +37,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raresift.functions.hashing import uniform
+from raresift.operators.stats import balanced_class_weight, positive_weight
+
 MAX_TREE_DEPTH = 30
 
 
@@ -43,15 +47,21 @@ def assembler(features: Sequence[str], out_col: str = "features") -> VectorAssem
     return VectorAssembler(inputCols=list(features), outputCol=out_col, handleInvalid="keep")
 
 
+def checked_depth(depth: int) -> int:
+    if int(depth) > MAX_TREE_DEPTH:
+        raise ValueError(f"Spark trees are at most {MAX_TREE_DEPTH} deep, not {depth}")
+    return int(depth)
+
+
 def random_forest(
     label_col: str = "Class", num_trees: int = 100, max_depth: int = 5, max_bins: int = 32,
     weight_col: str | None = None, seed: int = 42, **params,
 ) -> RandomForestClassifier:
     """F1.  CPU defaults of the reference: 100 trees, balanced class weights
     (pass ``weight_col`` from :func:`stats.balanced_class_weight`); GPU: 200
-    trees, depth 15, 128 bins.  Depth is clipped to Spark's maximum of 30."""
+    trees, depth 15, 128 bins.  Spark's deepest tree has depth 30."""
     kw = dict(
-        labelCol=label_col, numTrees=num_trees, maxDepth=min(int(max_depth), MAX_TREE_DEPTH), maxBins=max_bins,
+        labelCol=label_col, numTrees=num_trees, maxDepth=checked_depth(max_depth), maxBins=max_bins,
         seed=seed, bootstrap=True,
     )
     if weight_col:
@@ -90,7 +100,7 @@ def boosted_trees(
     (:func:`stats.positive_weight`, 5 by default in the reference); with
     ``validation_col`` the fit stops when the validation loss stalls."""
     kw = dict(
-        labelCol=label_col, maxIter=max_iter, maxDepth=min(int(max_depth), MAX_TREE_DEPTH), stepSize=step_size,
+        labelCol=label_col, maxIter=max_iter, maxDepth=checked_depth(max_depth), stepSize=step_size,
         subsamplingRate=subsampling_rate, featureSubsetStrategy=feature_subset, seed=seed, lossType="logistic",
     )
     if weight_col:
@@ -142,41 +152,131 @@ class SGDLogisticModel(Model, _SGDParams, DefaultParamsReadable, DefaultParamsWr
 
 
 class SGDLogistic(Estimator, _SGDParams, DefaultParamsReadable, DefaultParamsWritable):
-    """log-loss mini-batch SGD (``pyspark.mllib`` learner, distributed)."""
+    """log-loss mini-batch SGD from zero weights.
+
+    Each step is one JVM-side aggregate (sums of the gradient terms of the
+    mini-batch); only the sums reach the driver.  L2 on the weights, not on the
+    intercept."""
+
+    seed = Param(Params._dummy(), "seed", "of the mini-batches", TypeConverters.toInt)
+    idCol = Param(Params._dummy(), "idCol", "unique row id (needed for mini-batches)", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0):
+                 iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0, seed=42, idCol="row_id"):
         super().__init__()
-        self._setDefault(iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0)
+        self._setDefault(iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0, seed=42, idCol="row_id")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> SGDLogisticModel:
-        from pyspark.mllib.classification import LogisticRegressionWithSGD
-        from pyspark.mllib.linalg import Vectors as MLlibVectors
-        from pyspark.mllib.regression import LabeledPoint
-
-        rdd = df.select(self.getLabelCol(), self.getFeaturesCol()).rdd.map(
-            lambda r: LabeledPoint(float(r[0]), MLlibVectors.dense(r[1].toArray()))
-        )
-        m = LogisticRegressionWithSGD.train(
-            rdd,
-            iterations=self.getOrDefault(self.iterations),
-            step=self.getOrDefault(self.step),
-            miniBatchFraction=self.getOrDefault(self.miniBatchFraction),
-            regParam=self.getOrDefault(self.regParam),
-            regType="l2",
-            intercept=True,
-        )
-        model = SGDLogisticModel(m.weights.toArray().tolist(), m.intercept)
+        fraction, reg = self.getOrDefault(self.miniBatchFraction), self.getOrDefault(self.regParam)
+        x = vector_to_array(F.col(self.getFeaturesCol()))
+        cols = [x.alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")]
+        if fraction < 1.0:
+            cols.append(F.col(self.getOrDefault(self.idCol)).alias("id"))
+            if "syn_seq" in df.columns:  # rows made from one source share its id
+                cols.append(F.col("syn_seq").alias("copy"))
+        rows = df.select(*cols).persist()
+        try:
+            d = rows.select(F.max(F.size("x"))).first()[0] or 0
+            w, b = [0.0] * d, 0.0
+            for t in range(1, self.getOrDefault(self.iterations) + 1):
+                batch = rows
+                if fraction < 1.0:
+                    key = [F.col(c) for c in ("id", "copy") if c in rows.columns]
+                    batch = rows.where(uniform(self.getOrDefault(self.seed), "sgd", t, *key) < F.lit(float(fraction)))
+                margin = F.lit(b)
+                for i, wi in enumerate(w):
+                    margin = margin + F.col("x")[i] * F.lit(wi)
+                error = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("y")
+                with_error = batch.select("x", error.alias("e"))
+                sums = with_error.agg(
+                    F.count(F.lit(1)), F.sum("e"), *[F.sum(F.col("e") * F.col("x")[i]) for i in range(d)]
+                ).first()
+                if not sums[0]:
+                    continue
+                rate = self.getOrDefault(self.step) / t**0.5
+                w = [wi * (1.0 - rate * reg) - rate * g / sums[0] for wi, g in zip(w, sums[2:])]
+                b -= rate * sums[1] / sums[0]
+        finally:
+            rows.unpersist()
+        model = SGDLogisticModel(w, b)
         model._set(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(), predictionCol=self.getPredictionCol())
         return model
 
 
 def sgd_logistic(label_col: str = "Class", iterations: int = 1000, step: float = 0.01,
-                 mini_batch_fraction: float = 1.0, reg_param: float = 0.0) -> SGDLogistic:
+                 mini_batch_fraction: float = 1.0, reg_param: float = 0.0, seed: int = 42) -> SGDLogistic:
     return SGDLogistic(labelCol=label_col, iterations=iterations, step=step,
-                       miniBatchFraction=mini_batch_fraction, regParam=reg_param)
+                       miniBatchFraction=mini_batch_fraction, regParam=reg_param, seed=seed)
+
+
+# ---------------------------------------------------------------- estimators that depend on the rows fitted
+
+
+class PenalisedLogistic(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    """F3 with the usual ``C``: ``regParam = 1 / (C * sum of weights)`` of the rows
+    (original or resampled) that each fit really sees, classes balanced by
+    weight unless ``balanced`` is off."""
+
+    C = Param(Params._dummy(), "C", "inverse penalty", TypeConverters.toFloat)
+    penalty = Param(Params._dummy(), "penalty", "l1 | l2 | none", TypeConverters.toString)
+    maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
+    balanced = Param(Params._dummy(), "balanced", "balanced class weights", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, C=1.0, penalty="l2", maxIter=200, balanced=True, labelCol="Class", featuresCol="features"):
+        super().__init__()
+        self._setDefault(C=1.0, penalty="l2", maxIter=200, balanced=True, labelCol="Class", featuresCol="features", predictionCol="prediction")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame):
+        label = self.getLabelCol()
+        weight = None
+        if self.getOrDefault(self.balanced):
+            weight = "_class_weight"
+            df = balanced_class_weight(df, label, weight)
+        total = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+        est = logistic_regression(
+            label, C=self.getOrDefault(self.C), n_train=total, penalty=self.getOrDefault(self.penalty),
+            max_iter=self.getOrDefault(self.maxIter), weight_col=weight, featuresCol=self.getFeaturesCol(),
+        )
+        return est.fit(df)
+
+
+class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    """F5 with the weight of positives and early stopping inside the fit, so
+    trials that differ in them share one (resampled) training table.
+
+    A hashed tenth of the ids is the validation part on which boosting stops;
+    ``maxIter`` is the upper bound."""
+
+    posWeight = Param(Params._dummy(), "posWeight", "weight of positives", TypeConverters.toFloat)
+    maxIter = Param(Params._dummy(), "maxIter", "most rounds", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", TypeConverters.toInt)
+    stepSize = Param(Params._dummy(), "stepSize", "learning rate", TypeConverters.toFloat)
+    subsamplingRate = Param(Params._dummy(), "subsamplingRate", "rows per tree", TypeConverters.toFloat)
+    featureSubset = Param(Params._dummy(), "featureSubset", "features per split", TypeConverters.toString)
+    idCol = Param(Params._dummy(), "idCol", "unique row id", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, posWeight=5.0, maxIter=5000, maxDepth=6, stepSize=0.3, subsamplingRate=1.0, featureSubset="all",
+                 labelCol="Class", featuresCol="features", idCol="row_id"):
+        super().__init__()
+        self._setDefault(posWeight=5.0, maxIter=5000, maxDepth=6, stepSize=0.3, subsamplingRate=1.0, featureSubset="all",
+                         labelCol="Class", featuresCol="features", idCol="row_id", predictionCol="prediction")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame):
+        get, label = self.getOrDefault, self.getLabelCol()
+        df = positive_weight(df, get(self.posWeight), label, "_weight")
+        df = df.withColumn("_validation", uniform(42, "validation", F.col(get(self.idCol))) < F.lit(0.1))
+        est = boosted_trees(
+            label, max_iter=get(self.maxIter), max_depth=get(self.maxDepth), step_size=get(self.stepSize),
+            subsampling_rate=get(self.subsamplingRate), feature_subset=get(self.featureSubset), weight_col="_weight",
+            validation_col="_validation", featuresCol=self.getFeaturesCol(),
+        )
+        return est.fit(df)
 
 
 # ---------------------------------------------------------------- fit / score
@@ -190,17 +290,25 @@ def fit(estimator, df: DataFrame, features: Sequence[str]) -> PipelineModel:
     return make_pipeline(estimator, features).fit(df)
 
 
+def with_score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """``df`` plus the score of class 1 in ``name``; no other column is added."""
+    out = model.transform(df)
+    return out.withColumn(name, _score_column(out)).select(*df.columns, name)
+
+
+def _score_column(out: DataFrame):
+    if "probability" in out.columns:
+        return vector_to_array(F.col("probability"))[1]
+    if "rawPrediction" in out.columns:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array(F.col("rawPrediction"))[1]))
+    return F.col("prediction").cast("double")
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("row_id",), label_col: str = "Class") -> DataFrame:
     """(keep..., label, score, prediction) with score = P(class 1) (B8), or
     the sigmoid of the margin for margin-only models (B9)."""
     out = model.transform(df)
-    if "probability" in out.columns:
-        s = vector_to_array(F.col("probability"))[1]
-    elif "rawPrediction" in out.columns:
-        s = F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array(F.col("rawPrediction"))[1]))
-    else:
-        s = F.col("prediction").cast("double")
-    return out.select(*keep, F.col(label_col).alias("label"), s.alias("score"), F.col("prediction").cast("int").alias("prediction"))
+    return out.select(*keep, F.col(label_col).alias("label"), _score_column(out).alias("score"), F.col("prediction").cast("int").alias("prediction"))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

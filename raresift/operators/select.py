@@ -45,13 +45,14 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, Param, Params, TypeConverters
 
-# Search ranges of the reference, per model (fixed values).
+# Search ranges of the reference, per model (fixed values); tree depth ends at
+# Spark's 30, and SGD batches are row counts that become fractions of the rows.
 # kind: ("int", lo, hi, step) | ("log", lo, hi) | ("float", lo, hi) | ("choice", [..])
 SEARCH_RANGES = {
     "knn": {"k": ("int", 3, 20, 1), "metric": ("choice", ["euclidean", "manhattan"])},
     "lr": {"C": ("log", 1e-4, 1e4), "max_iter": ("int", 100, 1000, 100), "penalty": ("choice", ["l1", "l2"])},
-    "rf": {"num_trees": ("int", 50, 500, 50), "max_depth": ("int", 5, 50, 5), "max_bins": ("int", 32, 256, 32)},
-    "sgd": {"reg_param": ("log", 1e-6, 1e-2), "mini_batch_fraction": ("choice", [0.25, 0.5, 1.0]),
+    "rf": {"num_trees": ("int", 50, 500, 50), "max_depth": ("int", 5, 30, 5), "max_bins": ("int", 32, 256, 32)},
+    "sgd": {"reg_param": ("log", 1e-6, 1e-2), "batch_size": ("choice", [512, 1024, 2048]),
             "iterations": ("int", 500, 5000, 500), "step": ("log", 1e-6, 1e-2)},
     "xgboost": {"max_depth": ("int", 3, 15, 1), "step_size": ("log", 0.01, 0.3), "subsampling_rate": ("float", 0.5, 1.0),
                 "feature_subset": ("float", 0.5, 1.0), "pos_weight": ("float", 1.0, 10.0)},
@@ -162,27 +163,32 @@ def cross_validate(
     cost_fp: float = 1.0,
     cost_fn: float = 5.0,
 ):
-    """``CrossValidator`` over a precomputed stratified ``fold`` column
-    (D2).  Returns (CrossValidatorModel, trial table)."""
-    from pyspark.ml.tuning import CrossValidator
-
-    n_folds = train.agg(F.max(fold_col)).first()[0] + 1
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=param_maps,
-        evaluator=MetricEvaluator(metric, label_col, cost_fp, cost_fn),
-        numFolds=int(n_folds),
-        foldCol=fold_col,
-        parallelism=parallelism,
-        seed=42,
-    )
-    model = cv.fit(train)
+    """Every trial on every fold of a precomputed stratified ``fold`` column
+    (D2): one ``fitMultiple`` per fold, so the training rows of a fold are
+    resampled once for all trials, and no fit on the whole table (the caller
+    refits the winner).  Returns (scores by trial and fold, trial table)."""
+    from multiprocessing.pool import ThreadPool
+
+    n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
+    evaluator = MetricEvaluator(metric, label_col, cost_fp, cost_fn)
+    scores = _np.zeros((len(param_maps), n_folds))
+    for f in range(n_folds):
+        valid = train.where(F.col(fold_col) == f)
+        fits = estimator.fitMultiple(train.where(F.col(fold_col) != f), param_maps)
+
+        def measure(_, fits=fits, valid=valid):
+            i, model = next(fits)
+            return i, evaluator.evaluate(model.transform(valid))
+
+        with ThreadPool(parallelism) as pool:
+            for i, value in pool.imap_unordered(measure, range(len(param_maps))):
+                scores[i, f] = value
     rows = []
-    for i, (pm, avg, std) in enumerate(zip(param_maps, model.avgMetrics, model.stdMetrics)):
+    for i, pm in enumerate(param_maps):
         params = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((i, params, float(avg), float(std)))
+        rows.append((i, params, float(scores[i].mean()), float(scores[i].std())))
     trials = train.sparkSession.createDataFrame(rows, "trial int, params string, value double, std double")
-    return model, trials
+    return scores, trials
 
 
 def best_trial(trials: DataFrame, larger_is_better: bool = True) -> DataFrame:
@@ -202,6 +208,12 @@ def refit_best(estimator, train: DataFrame, best_params, sampler=None):
     return model, time.time() - t0
 
 
+def latent_sizes(n_features: int) -> range:
+    """The search range of the latent size, below the number of features."""
+    lo, hi = SEARCH_RANGES["ae"]["latent_dim"][1:3]
+    return range(min(lo, max(1, n_features - 1)), min(hi, max(1, n_features - 1)) + 1)
+
+
 def reconstruction_search(
     normal: DataFrame,
     features,

@@ -110,35 +110,58 @@ def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(cols)}, {stack}) AS (column, v)").where(F.col("v").isNotNull())
 
 
+STATS = ("count", "mean", "std", "min", "max")
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _is_number(dtype: str) -> bool:
+    return dtype in ("double", "float", "int", "bigint", "smallint", "tinyint") or dtype.startswith("decimal")
+
+
+def _value(c: str, dtype: str):
+    """The value of a column, NaN counted as missing."""
+    return F.when(~F.isnan(c), F.col(c)) if dtype in ("double", "float") else F.col(c)
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Long-form describe (C4): (column, dtype, non_null, stat, value) with
-    count, mean, std (sample), min, 25%, 50%, 75%, max per numeric column."""
-    if cols is None:
-        numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
-        cols = [n for n, t in df.dtypes if t in numeric]
+    count, mean, std (sample), min, 25%, 50%, 75%, max per numeric column (also
+    decimals; a column without values counts 0 and has NULL statistics) and the
+    count alone for any other column.
+
+    The basic statistics of all columns are one wide aggregate."""
     dtypes = dict(df.dtypes)
-    long = unpivot_values(df, cols)
-    basic = long.groupBy("column").agg(
-        F.count("v").alias("non_null"),
-        F.count("v").cast("double").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    # one row per column: statistics, non-null count (values are unpivoted
-    # without NULLs, so count(v) is the non-null count) and the dtype
-    dtype = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
-    per_col = basic.withColumn("dtype", dtype[F.col("column")])
-    basic_long = per_col.selectExpr(
-        "column", "dtype", "non_null",
-        "stack(5, 'count', `count`, 'mean', mean, 'std', std, 'min', `min`, 'max', `max`) AS (stat, value)",
+    cols = list(cols) if cols is not None else df.columns
+    numeric = [c for c in cols if _is_number(dtypes[c])]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = _value(c, dtypes[c])
+        aggs.append(F.count(v).alias(f"n{i}"))
+        if c in numeric:
+            d = v.cast("double")
+            aggs += [F.avg(d).alias(f"mean{i}"), F.stddev_samp(d).alias(f"std{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}")]
+    wide = df.agg(*aggs)
+
+    def entry(i, c, stat, value):
+        return F.struct(F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"), F.col(f"n{i}").alias("non_null"), F.lit(stat).alias("stat"), value.alias("value"))
+
+    rows = []
+    for i, c in enumerate(cols):
+        rows.append(entry(i, c, "count", F.col(f"n{i}").cast("double")))
+        if c in numeric:
+            rows += [entry(i, c, stat, F.col(f"{stat}{i}")) for stat in STATS[1:]]
+            rows += [entry(i, c, f"{int(100 * p)}%", F.lit(None).cast("double")) for p in QUARTILES]
+    told = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if not numeric:
+        return told
+    number = df.select(*[_value(c, dtypes[c]).cast("double").alias(c) for c in numeric])
+    q = exact_quantiles(number, numeric, QUARTILES).select(
+        "column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"), F.col("value").alias("_q")
     )
-    q = exact_quantiles(df, cols).select(
-        "column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"), "value"
+    # a few rows per column on both sides
+    return told.join(F.broadcast(q), ["column", "stat"], "left").select(
+        "column", "dtype", "non_null", "stat", F.coalesce("value", "_q").alias("value")
     )
-    q = q.join(F.broadcast(per_col.select("column", "dtype", "non_null")), "column")  # one row per column
-    return basic_long.unionByName(q)
 
 
 # ---------------------------------------------------------------- class balance

@@ -3,12 +3,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import sql_hash_key, sql_uniform
 from raresift.operators import relational as rel
 from raresift.operators import splits, stats
 from raresift.plans.catalog import R, register, rounded
+from raresift.session import checkpoint_dir
 from raresift.sources import fixtures as fx
 from raresift.sources.readers import read_transactions
 
@@ -19,8 +22,16 @@ TXN_COLS = '"row_id", "Time", V1, V2, V3, Amount, "Class"'
 @register("read_transactions", fx.with_ctes(["txn"], "SELECT * FROM txn"))
 def q_read(spark, sf):
     # A1 over the events table, then the txn projection (FIXTURES.md)
-    read_transactions(spark, f"{sf}/events.parquet")
-    return fx.txn(spark, sf)
+    return fx.txn_from_events(read_transactions(spark, f"{sf}/events.parquet"))
+
+
+@register("read_transactions_csv", fx.with_ctes(["txn"], "SELECT * FROM txn"))
+def q_read_csv(spark, sf):
+    """A1 for CSV with a header and a given schema: the table written and read."""
+    t = fx.txn(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/transactions-{uuid.uuid4().hex}"
+    t.write.option("header", True).csv(path)
+    return read_transactions(spark, path, schema=t.schema, fmt="csv")
 
 
 @register("drop_time", fx.with_ctes(["txn"], "SELECT row_id, V1, V2, V3, Amount, \"Class\" FROM txn"))
@@ -165,6 +176,37 @@ def q_describe(spark, sf):
     return rounded(stats.describe(t, ["Time", "V1", "V2", "V3", "Amount"]))
 
 
+_SPARSE = (
+    "SELECT event_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value, "
+    "CAST(CASE WHEN user_id % 3 > 0 THEN user_id END AS DECIMAL(12,2)) AS code, CAST(NULL AS DOUBLE) AS nothing FROM events"
+)
+
+
+def _describe_all_sql() -> str:
+    parts = []
+    for c, dtype in (("event_id", "bigint"), ("event_type", "string"), ("value", "double"), ("code", "decimal(12,2)"), ("nothing", "double")):
+        stats_ = [("count", f"CAST(count({c}) AS DOUBLE)")]
+        if dtype != "string":
+            d = f"CAST({c} AS DOUBLE)"
+            stats_ += [("mean", f"avg({d})"), ("std", f"stddev_samp({d})"), ("min", f"min({d})"), ("max", f"max({d})")]
+            stats_ += [(f"{int(100 * p)}%", f"quantile_cont({d}, {p})") for p in (0.25, 0.5, 0.75)]
+        for stat, expr in stats_:
+            parts.append(
+                f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, count({c}) AS non_null, '{stat}' AS stat, {R(expr)} AS value FROM sparse"
+            )
+    return f"WITH sparse AS ({_SPARSE}) " + " UNION ALL ".join(parts)
+
+
+@register("describe_all_columns", _describe_all_sql())
+def q_describe_all(spark, sf):
+    """C4 over every column: text, decimals, missing values, nothing at all."""
+    events = fx.table(spark, sf, "events")
+    return rounded(stats.describe(events.selectExpr(
+        "event_id", "event_type", "CASE WHEN event_type <> 'error' THEN value END AS value",
+        "CAST(CASE WHEN user_id % 3 > 0 THEN user_id END AS DECIMAL(12,2)) AS code", "CAST(NULL AS DOUBLE) AS nothing",
+    )))
+
+
 @register(
     "class_balance",
     fx.with_ctes(

@@ -93,22 +93,56 @@ def q_eval_roundtrip(spark, sf):
     return back.withColumn("run_date", F.col("run_date").cast("string"))
 
 
-@register("training_time_summary")
+_LOG = (
+    "SELECT CAST(ts AS TIMESTAMP) AS ts, 'cpu' AS device, event_type AS model, 'o' || (user_id % 3) AS oversampling, "
+    "'prauc' AS metric, value, CAST(event_id % 97 AS DOUBLE) AS elapsed_time_sec FROM events"
+)
+
+
+@register(
+    "training_time_summary",
+    "SELECT device, model, oversampling, metric, count(*) AS runs, "
+    f"{R('avg(value)')} AS mean_value, {R('max(value)')} AS best_value, {R('avg(elapsed_time_sec)')} AS mean_elapsed_sec, "
+    f"{R('sum(elapsed_time_sec)')} AS total_elapsed_sec FROM ({_LOG}) GROUP BY ALL",
+)
 def q_training_time(spark, sf):
-    """J4 + A4 + K4: refit each model on the training split (timed), measure
-    the training metric on the test split, append a run-log row per model,
-    then summarise the log.  Rows-only (wall times vary run to run)."""
-    from raresift.operators import classify, metrics, report, select
-    from raresift.plans.flagged import prepared_split
-
-    train, test = prepared_split(spark, sf)
-    n = train.count()
+    """A4 + K4: a run log with the values of ``events``, appended by day, read
+    back and summarised."""
+    from raresift.operators import report
+
     log = _scratch(spark, "runlog")
-    for name, est in (
-        ("lr", classify.logistic_regression(C=1.0, n_train=n, max_iter=100)),
-        ("rf", classify.random_forest(num_trees=20, max_depth=6)),
-    ):
-        model, secs = select.refit_best(classify.make_pipeline(est, fx.FEATURES), train, None)
-        value = metrics.evaluate_metric(classify.score(model, test), "prauc").first()["value"]
-        sinks.append_run_log(spark, log, "cpu", name, "none", "prauc", value, secs)
-    return report.training_time_summary(sinks.read_run_log(spark, log)).drop("last_run")
+    fx.table(spark, sf, "events").createOrReplaceTempView("_run_events")
+    sinks.append_run_rows(spark.sql(_LOG.replace("FROM events", "FROM _run_events")), log)
+    return rounded(report.training_time_summary(sinks.read_run_log(spark, log)).drop("last_run"))
+
+
+@register(
+    "scaler_roundtrip",
+    fx.with_ctes(
+        ["txn"],
+        f"SELECT row_id, {R('(Amount - (SELECT avg(Amount) FROM txn)) / (SELECT stddev_pop(Amount) FROM txn)')} AS Amount FROM txn",
+    ),
+)
+def q_scaler_roundtrip(spark, sf):
+    """A fitted scaler saved, loaded and applied."""
+    from raresift.operators import stats
+
+    t = fx.txn(spark, sf).select("row_id", "Amount")
+    path = _scratch(spark, "scaler")
+    sinks.save_scaler(stats.fit_scaler(t, ["Amount"]), path)
+    return rounded(stats.transform_with_scaler(t, sinks.load_scaler(spark, path)))
+
+
+@register(
+    "best_params_roundtrip",
+    fx.with_ctes(
+        ["txn"],
+        "SELECT 'knn' AS model, 'k' AS param, CAST(count(*) % 17 AS VARCHAR) AS value FROM txn "
+        "UNION ALL SELECT 'knn', 'metric', '\"euclidean\"'",
+    ),
+)
+def q_best_params(spark, sf):
+    """Parameters (one of them from the table) written and read back."""
+    path = _scratch(spark, "params")
+    sinks.write_best_params(spark, {"k": fx.txn(spark, sf).count() % 17, "metric": "euclidean"}, "knn", path)
+    return spark.read.json(f"{path}/best_params/model=knn").select("model", "param", "value")

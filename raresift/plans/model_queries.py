@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raresift.operators import classify, metrics, report, resample, select, splits, stats
+from raresift.functions.hashing import sql_uniform
+from raresift.operators import classify, report, resample, select, splits, stats
 from raresift.operators.knn import KNNClassifier
 from raresift.plans.catalog import R, register, rounded
 from raresift.plans.evaluation_queries import COST_FN, COST_FP, experiment_matrix_sql
 from raresift.plans.flagged import flagged_at_cost, prepared_split
+from raresift.session import materialize
 from raresift.sources import fixtures as fx
 
 FEATS = fx.FEATURES
@@ -50,64 +52,120 @@ def q_gbt(spark, sf):
     train = stats.positive_weight(train, 5.0)
     # early stopping on a validation part of the training split
     train = splits.kfold(train, 5, seed=SEED).withColumn("is_val", F.col("fold") == 0).drop("fold")
-    est = classify.boosted_trees(max_iter=30, max_depth=4, step_size=0.1, weight_col="weight", validation_col="is_val")
+    est = classify.boosted_trees(max_iter=100, max_depth=4, step_size=0.1, weight_col="weight", validation_col="is_val")
     model = classify.fit(est, train, FEATS)
     return rounded(classify.score(model, test))
 
 
 @register("sgd_logistic")
 def q_sgd(spark, sf):
-    return _scores(spark, sf, lambda tr: classify.sgd_logistic(iterations=100, step=0.1, mini_batch_fraction=1.0))
+    return _scores(spark, sf, lambda tr: classify.sgd_logistic(iterations=100, step=0.1, mini_batch_fraction=0.5))
+
+
+_SGD_STEPS, _SGD_RATE, _SGD_SHARE, _SGD_REG = 3, 0.5, 0.5, 0.01
+
+
+def _sgd_sql() -> str:
+    """Three mini-batch steps from zero weights over two scaled features."""
+    ctes = [("w0", "SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS b")]
+    for t in range(1, _SGD_STEPS + 1):
+        p = "1 / (1 + exp(-(w.b + w.a * s.x1 + w.c * s.x2)))"
+        batch = f"(SELECT * FROM s WHERE {sql_uniform(str(SEED), chr(39) + 'sgd' + chr(39), str(t), 'row_id')} < {_SGD_SHARE})"
+        rate = f"({_SGD_RATE} / sqrt({t}))"
+        ctes.append(
+            (
+                f"w{t}",
+                f"SELECT any_value(w.a) * (1 - {rate} * {_SGD_REG}) - {rate} * avg(({p} - s.y) * s.x1) AS a, "
+                f"any_value(w.c) * (1 - {rate} * {_SGD_REG}) - {rate} * avg(({p} - s.y) * s.x2) AS c, "
+                f"any_value(w.b) - {rate} * avg({p} - s.y) AS b FROM {batch} s CROSS JOIN w{t - 1} w",
+            )
+        )
+    last = f"w{_SGD_STEPS}"
+    return fx.with_ctes(
+        ["txn"],
+        f"SELECT row_id, \"Class\" AS label, {R(f'1 / (1 + exp(-({last}.b + {last}.a * s.x1 + {last}.c * s.x2)))')} AS score "
+        f"FROM s CROSS JOIN {last} JOIN txn USING (row_id)",
+        [("s", 'SELECT row_id, Amount / 100 AS x1, V3 / 50 AS x2, CAST("Class" AS DOUBLE) AS y FROM txn'), *ctes],
+    )
+
+
+@register("sgd_logistic_steps", _sgd_sql())
+def q_sgd_steps(spark, sf):
+    """a few mini-batch steps, the same numbers as plain SQL."""
+    t = fx.txn(spark, sf).select("row_id", (F.col("Amount") / 100).alias("x1"), (F.col("V3") / 50).alias("x2"), "Class")
+    est = classify.sgd_logistic(iterations=_SGD_STEPS, step=_SGD_RATE, mini_batch_fraction=_SGD_SHARE, reg_param=_SGD_REG)
+    return rounded(classify.score(classify.fit(est, t, ["x1", "x2"]), t).select("row_id", "label", "score"))
 
 
 @register("linear_svc_margin_score")
 def q_svc(spark, sf):
-    return _scores(spark, sf, lambda tr: classify.linear_svc(max_iter=50))
+    return _scores(spark, sf, lambda tr: classify.linear_svc(max_iter=100))
 
 
-def _cv(spark, sf):
+@register("cross_validate")
+def q_cv(spark, sf):
+    """Five folds, each resampled once for all trials."""
     train, _ = prepared_split(spark, sf)
-    train = splits.stratified_kfold(train, 3, seed=SEED)
-    lr = classify.logistic_regression(C=1.0, n_train=train.count(), max_iter=50)
-    pipe = classify.make_pipeline(lr, FEATS)
+    train = splits.stratified_kfold(train, 5, seed=SEED)
+    lr = classify.PenalisedLogistic()
     sampler = lambda d: resample.smote(d.drop("fold"), FEATS, seed=SEED).drop("syn_seq", "is_synthetic")
-    est = select.ResampledEstimator(pipe, sampler)
-    grid = [{lr.regParam: r} for r in (1e-4, 1e-2)]
-    return select.cross_validate(train, est, grid, metric="prauc", parallelism=1)
+    est = select.ResampledEstimator(classify.make_pipeline(lr, FEATS), sampler)
+    grid = [{lr.C: c, lr.penalty: p, lr.maxIter: 200} for c in (0.01, 1.0, 100.0) for p in ("l1", "l2")]
+    _, trials = select.cross_validate(train, est, grid, metric="prauc", parallelism=2)
+    return rounded(trials)
 
 
-@register("cross_validate")
-def q_cv(spark, sf):
-    _, trials = _cv(spark, sf)
+@register("cross_validate_knn")
+def q_cv_knn(spark, sf):
+    """J2 for kNN over its search space (k, metric), five folds."""
+    train, _ = prepared_split(spark, sf)
+    train = splits.stratified_kfold(train, 5, seed=SEED)
+    knn_est = KNNClassifier()
+    grid = [{knn_est.k: k, knn_est.metric: m} for k in (3, 7) for m in ("euclidean", "manhattan")]
+    _, trials = select.cross_validate(train, classify.make_pipeline(knn_est, FEATS), grid, metric="prauc", parallelism=2)
     return rounded(trials)
 
 
-@register("best_trial")
+@register(
+    "best_trial",
+    fx.with_ctes(
+        ["scored"],
+        "SELECT trial, 'point ' || trial AS params, value, std FROM ("
+        f"SELECT CAST(row_id % 30 AS INTEGER) AS trial, {R('avg(score)')} AS value, {R('stddev_pop(score)')} AS std "
+        "FROM scored GROUP BY 1) ORDER BY value DESC, trial LIMIT 1",
+    ),
+)
 def q_best_trial(spark, sf):
-    _, trials = _cv(spark, sf)
-    return rounded(select.best_trial(trials, larger_is_better=True))
+    """J3 on a trial table of 30 points made from the scores."""
+    trials = fx.scored(spark, sf).groupBy((F.col("row_id") % 30).cast("int").alias("trial")).agg(
+        F.avg("score").alias("value"), F.stddev_pop("score").alias("std")
+    )
+    trials = rounded(trials.select("trial", F.concat(F.lit("point "), F.col("trial").cast("string")).alias("params"), "value", "std"))
+    return select.best_trial(trials, larger_is_better=True)
 
 
 @register("experiment_matrix_models")
 def q_matrix_models(spark, sf):
-    """J6 over fitted models: {lr, rf, knn} x {none, smote}, test split scored,
-    threshold by best F1, one metrics row each."""
+    """J6 over fitted models: all five x {none, smote}, the test split scored in
+    one pass, threshold by best F1, one metrics row each."""
     train, test = prepared_split(spark, sf)
-    n_train = train.count()
-    parts = []
+    rows, keys = test, []
     for ovs in ("none", "smote"):
-        tr = train if ovs == "none" else resample.smote(train, FEATS, seed=SEED).drop("syn_seq", "is_synthetic")
+        tr = train if ovs == "none" else materialize(resample.smote(train, FEATS, seed=SEED).drop("syn_seq", "is_synthetic"))
         for name, est in (
-            ("lr", classify.logistic_regression(C=1.0, n_train=n_train, max_iter=100)),
-            ("rf", classify.random_forest(num_trees=30, max_depth=6)),
+            ("lr", classify.PenalisedLogistic()),
+            ("rf", classify.random_forest(num_trees=100)),
             ("knn", KNNClassifier(k=5)),
+            ("sgd", classify.sgd_logistic(iterations=100, step=0.1)),
+            ("xgboost", classify.BoostedTrees(maxIter=100, maxDepth=4)),
         ):
-            model = classify.fit(est, tr, FEATS)
-            s = classify.score(model, test).withColumn("model", F.lit(name)).withColumn("oversampling", F.lit(ovs))
-            parts.append(s)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+            column = f"_s{len(keys)}"
+            rows = classify.with_score(classify.fit(est, tr, FEATS), rows, column)
+            keys.append((name, ovs, column))
+    runs = F.explode(
+        F.array(*[F.struct(F.lit(m).alias("model"), F.lit(o).alias("oversampling"), F.col(c).alias("score")) for m, o, c in keys])
+    )
+    scored = rows.select(F.col("Class").alias("label"), runs.alias("r")).select("label", "r.*")
     return rounded(select.experiment_matrix(scored, methods=("pr_curve",), group_cols=["model", "oversampling"]))
 
 
@@ -174,13 +232,29 @@ def q_positive_score(spark, sf):
     return rounded(classify.score(model, fx.txn(spark, sf)))
 
 
-@register("cross_validate_knn")
-def q_cv_knn(spark, sf):
-    """J2 for kNN over part of the reference's search space (k, metric)."""
-    train, _ = prepared_split(spark, sf)
-    train = splits.stratified_kfold(train, 3, seed=SEED)
-    knn_est = KNNClassifier()
-    pipe = classify.make_pipeline(knn_est, FEATS)
-    grid = [{knn_est.k: 3, knn_est.metric: "euclidean"}, {knn_est.k: 7, knn_est.metric: "manhattan"}]
-    _, trials = select.cross_validate(train, pipe, grid, metric="prauc", parallelism=1)
-    return rounded(trials)
+@register(
+    "model_registry_roundtrip",
+    fx.with_ctes(
+        ["txn"],
+        'SELECT row_id, "Class" AS label, '
+        + R("1 / (1 + exp(-(" + f"({FIXED_B!r})" + "".join(f" + {c} * ({w!r})" for c, w in zip(FEATS, FIXED_W)) + ")))")
+        + " AS score FROM txn",
+    ),
+)
+def q_registry(spark, sf):
+    """A pipeline with fixed coefficients saved under its key, loaded and
+    applied; an absent key gives no model."""
+    import uuid
+
+    from pyspark.ml import PipelineModel
+
+    from raresift.session import checkpoint_dir
+    from raresift.sources import sinks
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    model = PipelineModel(stages=[classify.assembler(FEATS), classify.SGDLogisticModel(FIXED_W, FIXED_B)])
+    sinks.save_model(model, root, "sgd", None, "prauc")
+    if sinks.load_model(root, "sgd", "smote", "prauc") is not None:
+        raise AssertionError("a model under another key")
+    back = sinks.load_model(root, "sgd", None, "prauc")
+    return rounded(classify.score(back, fx.txn(spark, sf)).select("row_id", "label", "score"))

@@ -65,10 +65,16 @@ def append_run_log(
     _writer(df, fmt, "append").partitionBy("run_date").save(path)
 
 
+def append_run_rows(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A4 for many rows with the columns of the run log."""
+    out = rows.select(*[F.col(f.name).cast(f.dataType) for f in RUN_LOG_SCHEMA.fields])
+    _writer(out.withColumn("run_date", F.date_format("ts", "yyyy_MM_dd")), fmt, "append").partitionBy("run_date").save(path)
+
+
 def read_run_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).schema(RUN_LOG_SCHEMA.add("run_date", T.StringType()))
+        reader = reader.option("header", True).schema(T.StructType([*RUN_LOG_SCHEMA.fields, T.StructField("run_date", T.StringType())]))
     return reader.load(path)
 
 

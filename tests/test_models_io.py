@@ -28,7 +28,7 @@ def test_classifiers_one_score_per_row(spark, split, name):
     train, test = split
     est = {
         "lr": lambda: classify.logistic_regression(C=1.0, n_train=train.count()),
-        "rf": lambda: classify.random_forest(num_trees=10, max_depth=50),  # depth clipped to 30
+        "rf": lambda: classify.random_forest(num_trees=10, max_depth=30),
         "gbt": lambda: classify.boosted_trees(max_iter=5),
         "sgd": lambda: classify.sgd_logistic(iterations=20, step=0.1),
         "svc": lambda: classify.linear_svc(max_iter=10),
@@ -64,13 +64,13 @@ def test_resampling_stays_inside_training_folds(spark, split):
 
     lr = classify.logistic_regression(C=1.0, n_train=1000, max_iter=10)
     est = select.ResampledEstimator(classify.make_pipeline(lr, FEATS), sampler, checkpoint=True)
-    model, trials = select.cross_validate(folded, est, [{lr.regParam: 0.01}], metric="f1", parallelism=1)
+    scores, trials = select.cross_validate(folded, est, [{lr.regParam: 0.01}, {lr.regParam: 0.1}], metric="f1", parallelism=1)
     folds = {f: {r["row_id"] for r in folded.where(F.col("fold") == f).collect()} for f in range(3)}
     # each fold's resampled set is exactly the union of the other folds:
-    # validation rows never enter; the last call is the refit on all rows
-    assert set(map(frozenset, seen[:3])) == {frozenset(folds[a] | folds[b]) for a, b in ((0, 1), (0, 2), (1, 2))}
-    assert seen[3] == folds[0] | folds[1] | folds[2]
-    assert trials.count() == 1
+    # validation rows never enter, and one resampling serves both trials
+    assert set(map(frozenset, seen)) == {frozenset(folds[a] | folds[b]) for a, b in ((0, 1), (0, 2), (1, 2))}
+    assert len(seen) == 3 and scores.shape == (2, 3)
+    assert trials.count() == 2
     assert select.best_trial(trials).count() == 1
 
 
@@ -210,20 +210,89 @@ def test_model_scores_stream_like_batch(spark):
         assert got[rid] == pytest.approx(s)
 
 
-def test_optimize_then_evaluate_registry(spark, tmpdir_path):
+POINTS = {
+    "lr": [{"C": 0.1, "penalty": "l1", "max_iter": 20}, {"C": 1.0, "penalty": "l2", "max_iter": 20}],
+    "knn": [{"k": 3, "metric": "euclidean"}, {"k": 5, "metric": "manhattan"}],
+    "rf": [{"num_trees": 5, "max_depth": 3, "max_bins": 32}],
+    "sgd": [{"iterations": 5, "step": 0.1, "reg_param": 0.0, "batch_size": 512}],
+    "xgboost": [{"pos_weight": w, "max_depth": 3, "step_size": 0.3, "subsampling_rate": 1.0, "feature_subset": 1.0} for w in (1.0, 5.0)],
+}
+
+
+@pytest.mark.parametrize("model", sorted(POINTS))
+def test_optimize_then_evaluate_registry(spark, tmpdir_path, monkeypatch, model):
+    from raresift.operators import resample
     from raresift.operators.relational import drop_time
     from raresift.plans import flows
 
+    if model == "xgboost":
+        monkeypatch.setattr(flows.classify, "boosted_trees", lambda *a, _f=flows.classify.boosted_trees, **k: _f(*a, **{**k, "max_iter": 5}))
     train, test = splits.train_test(drop_time(fx.txn(spark, SF0001)))
-    reg, log = f"{tmpdir_path}/models", f"{tmpdir_path}/log"
+    reg, log, calls = f"{tmpdir_path}/models", f"{tmpdir_path}/log", []
+
+    def counted(df, method, *a, _f=resample.resample, **k):
+        calls.append(method)
+        return _f(df, method, *a, **k)
+
+    monkeypatch.setattr(flows.resample, "resample", counted)
     fitted, trials = flows.optimize_model(
-        spark, train, FEATS, "lr", None, "prauc", trials=2, folds=3, registry=reg, run_log=log, parallelism=1
+        spark, train, FEATS, model, "smote", "prauc", folds=2, registry=reg, run_log=log, parallelism=1, points=POINTS[model]
     )
-    assert trials.count() == 2
-    res = flows.evaluate_registry(reg, test, models=("lr", "rf"), samplers=(None,), metrics_=("prauc",))
+    assert calls == ["smote"] * 3  # folds + 1
+    assert trials.count() == len(POINTS[model])
+    res = flows.evaluate_registry(reg, test, models=(model, "nothing"), samplers=("smote", None), metrics_=("prauc",))
     rows = res.collect()
-    assert len(rows) == 1 and rows[0]["model"] == "lr"  # rf is absent and skipped
+    assert len(rows) == 1 and rows[0]["model"] == model  # absent keys are skipped
+    assert rows[0]["selected_threshold"] == 0.5
     assert sinks.read_run_log(spark, log).count() == 1
+    a = classify.score(fitted, test).select("row_id", "score").collect()
+    b = classify.score(sinks.load_model(reg, model, "smote", "prauc"), test).select("row_id", "score").collect()
+    assert {r[0]: r[1] for r in a} == pytest.approx({r[0]: r[1] for r in b})
+
+
+@pytest.mark.parametrize("sampler", ["adasyn", "svmsmote", "gan"])
+def test_optimize_with_other_samplers(spark, sampler):
+    from raresift.operators.relational import drop_time
+    from raresift.plans import flows
+    from raresift.plans.sampling_queries import untrained_generator
+
+    args = {}
+    if sampler == "gan":
+        layers = [{"w": [[0.1, 0.2]] * len(FEATS), "b": [0.0] * len(FEATS), "activation": "linear"}]
+        args = {"layers": layers, "latent_dim": 2}
+    assert untrained_generator is not None
+    t = drop_time(fx.txn(spark, SF0001))
+    fitted, trials = flows.optimize_model(
+        spark, t, FEATS, "lr", sampler, "f1", folds=2, parallelism=1, points=POINTS["lr"][1:], sampler_args=args
+    )
+    assert trials.count() == 1 and classify.score(fitted, t).count() == t.count()
+
+
+def test_corrupt_model_raises(spark, tmpdir_path):
+    import os
+
+    place = f"{tmpdir_path}/model=lr/ovs=no_ovs/metric=f1"
+    os.makedirs(place)
+    assert sinks.load_model(str(tmpdir_path), "lr", "smote", "f1") is None
+    with pytest.raises(Exception):
+        sinks.load_model(str(tmpdir_path), "lr", None, "f1")
+
+
+def test_deep_trees_raise():
+    with pytest.raises(ValueError):
+        classify.random_forest(max_depth=31)
+
+
+def test_sgd_does_not_depend_on_partitions(spark):
+    from raresift.operators.relational import drop_time
+
+    t = drop_time(fx.txn(spark, SF0001))
+    est = classify.sgd_logistic(iterations=6, step=0.1, mini_batch_fraction=0.5)
+    got = []
+    for n in (1, 4, 16):
+        m = classify.fit(est, t.repartition(n), ["Amount", "V3"]).stages[-1]
+        got.append([*m.getOrDefault(m.coefficients), m.getOrDefault(m.intercept)])
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
 
 
 def test_reconstruction_flow(spark):
