@@ -18,7 +18,10 @@ PLAN_QUERIES = [
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan that ran (AQE's final one)."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
 
 
 @pytest.mark.parametrize("name", PLAN_QUERIES)
@@ -43,11 +46,25 @@ def test_scored_scans_prune_columns(spark):
 
 
 def test_running_total_windows_are_partitioned(spark):
-    # every Window over the score rows is partitioned by the range key; only
-    # the small offsets table may use an unpartitioned window
-    p = QUERIES["pr_curve"](spark, SF0001)
-    text = plan(p)
-    assert "_rng" in text
+    # windows over score rows are partitioned by the range; the others run over
+    # the offsets table, which has one row per range
+    text = plan(QUERIES["pr_curve"](spark, SF0001))
+    windows = [x for x in text.splitlines() if "Window [" in x and "windowspecdefinition(" in x and "threshold" in x]
+    assert windows and all("windowspecdefinition(_rng" in x for x in windows)
+
+
+def test_roc_curve_has_no_self_join(spark):
+    text = plan(QUERIES["roc_curve"](spark, SF0001))
+    assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["smote", "adasyn", "svm_smote_fixed_plane"])
+def test_nothing_is_shuffled_after_generation(spark, name):
+    lines = plan(QUERIES[name](spark, SF0001)).splitlines()
+    last = max(i for i, x in enumerate(lines) if "Generate explode(sequence" in x)
+    first = min(i for i, x in enumerate(lines) if "Generate explode(sequence" in x)
+    # the plan reads top down: above the first Generate is what happens to generated rows
+    assert last >= first and not any("Exchange" in x or "Join" in x for x in lines[:first])
 
 
 def test_no_pairwise_joins_in_flagship(spark):
