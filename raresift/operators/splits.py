@@ -8,7 +8,7 @@ the split does not change with partitioning or task retries.
 Two modes:
 - ``exact``: the first ``ceil(test_size * n_class)`` rows of each class in
   (hash, id) order are the test part; folds are contiguous blocks of that
-  order.  Cut rows are located by counting rows per 16-bit hash bucket, so
+  order.  Cut rows are located by counting rows per 12-bit hash bucket, so
   the table is never sorted and splits/folds are projections
   (:func:`hash_cutoffs`);
 - ``bernoulli``: ``u < test_size`` per row, no shuffle at all, ratio
@@ -26,7 +26,7 @@ from raresift.functions.hashing import hash_key, uniform
 from raresift.functions.missing import required
 
 
-FINAL_RANK_ROWS = 1_000_000  # at most this many rows are ranked exactly per bucket
+DIGITS = 3  # hex digits (12 bits) of the hash that each round resolves
 
 
 def _any(conds):
@@ -44,14 +44,14 @@ def hash_cutoffs(
     id) order within the class), the (hash, id) of the row at that position.
     Returns {y: {key: (hash, id)}}; positions <= 0 give no entry.
 
-    Found without sorting the table: the leading hash bits are resolved 16 at
-    a time.  The first round counts rows per (class, 16-bit bucket) --
-    at most classes x 65 536 counts, map-side combined -- and, in the same
-    job, derives each class size, each target position and the bucket that
-    holds it (window over that bounded table).  A second round runs only when
-    a picked bucket holds more than ``FINAL_RANK_ROWS`` rows.  Only the rows
-    of the final buckets are ranked exactly, and only per-target scalars reach
-    the driver.  Row ids must be unique."""
+    Found without sorting the table: the leading hash bits are resolved 12 at
+    a time, in two rounds.  The first counts rows per (class, 12-bit bucket) --
+    at most classes x 4096 counts per task, map-side combined -- and, in the
+    same job, derives each class size, each target position and the bucket that
+    holds it (window over that bounded table); the second does the same inside
+    the picked buckets.  Only the rows of the final buckets, one in 2^24 each, are
+    ranked exactly, and only per-target scalars reach the driver.  Row ids must
+    be unique."""
     spark = df.sparkSession
     ytype = dict(df.dtypes)[label_col]
     h = hash_key(seed, tag, F.col(id_col))
@@ -60,11 +60,11 @@ def hash_cutoffs(
     def counts_for(cond, plen):
         counts = (
             (base.where(cond) if cond is not None else base)
-            .groupBy("_y", F.substring("_h", 1, plen).alias("_pre"), F.substring("_h", plen + 1, 4).alias("_b"))
+            .groupBy("_y", F.substring("_h", 1, plen).alias("_pre"), F.substring("_h", plen + 1, DIGITS).alias("_b"))
             .agg(F.count(F.lit(1)).alias("_n"))
         )
         w = Window.partitionBy("_y", "_pre").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.withColumn("_cum", F.sum("_n").over(w))  # <= 65 536 rows per (class, prefix)
+        return counts.withColumn("_cum", F.sum("_n").over(w))  # <= 4096 rows per (class, prefix)
 
     # round 1: class sizes, target positions and their buckets in one job
     cum = counts_for(None, 0).withColumn("_tot", F.sum("_n").over(Window.partitionBy("_y")))
@@ -79,12 +79,11 @@ def hash_cutoffs(
         .agg(F.min(F.struct("_b", "_cum", "_n")).alias("k"), F.first("_t._r").alias("_r"))
         .collect()
     )
-    state, biggest = {}, 0
+    state = {}
     for r in picks:
         k = r["k"]
         state[(r["_y"], r["_p"])] = (k["_b"], r["_r"] - (k["_cum"] - k["_n"]))
-        biggest = max(biggest, k["_n"])
-    plen = 4
+    plen = DIGITS
 
     def target_table():
         return spark.createDataFrame(
@@ -96,7 +95,7 @@ def hash_cutoffs(
         groups = sorted({(y, pre) for (y, _p), (pre, _r) in state.items()})
         return _any((F.col("_y") == F.lit(y)) & (F.substring("_h", 1, plen) == F.lit(pre)) for y, pre in groups)
 
-    if state and biggest > FINAL_RANK_ROWS:  # round 2 inside the picked buckets
+    if state:  # round 2 inside the picked buckets
         cum2 = counts_for(in_play(), plen)
         picks = (
             cum2.join(F.broadcast(target_table()), ["_y", "_pre"])  # one row per target: bounded
@@ -108,7 +107,7 @@ def hash_cutoffs(
         for r in picks:
             k = r["k"]
             state[(r["_y"], r["_p"])] = (r["_pre"] + k["_b"], r["_r"] - (k["_cum"] - k["_n"]))
-        plen = 8
+        plen = 2 * DIGITS
     out: dict = {}
     if state:
         w = Window.partitionBy("_y", "_pre").orderBy("_h", "_id")  # rows of the picked buckets only (bounded)

@@ -101,12 +101,12 @@ def test_first_n_matches_sorted_rank(spark):
 
 
 def test_first_n_two_rounds(spark, monkeypatch):
-    """Force the second 16-bit round (taken on large tables) on small data."""
+    """Both rounds with one hex digit each, so that rows are left to rank."""
     import hashlib
 
     from raresift.operators import splits as sp
 
-    monkeypatch.setattr(sp, "FINAL_RANK_ROWS", 0)
+    monkeypatch.setattr(sp, "DIGITS", 1)
     df = spark.range(0, 2000).withColumnRenamed("id", "row_id")
     keyed = sorted((hashlib.md5(f"3|u|{i}".encode()).hexdigest(), i) for i in range(2000))
     for n in (1, 999, 2000):
@@ -115,12 +115,12 @@ def test_first_n_two_rounds(spark, monkeypatch):
 
 
 def test_kfold_blocks_two_rounds_match_rank_rule(spark, monkeypatch):
-    """fold = floor((rank - 1) * k / n_class), with the second bucket round forced."""
+    """fold = floor((rank - 1) * k / n_class), with rows left to rank after both rounds."""
     import hashlib
 
     from raresift.operators import splits as sp
 
-    monkeypatch.setattr(sp, "FINAL_RANK_ROWS", 0)
+    monkeypatch.setattr(sp, "DIGITS", 1)
     t = fx.txn(spark, SF0001).select("row_id", "Class")
     got = {r["row_id"]: r["fold"] for r in sp.stratified_kfold(t, 4, seed=9).collect()}
     rows = [(r["row_id"], r["Class"]) for r in t.collect()]
