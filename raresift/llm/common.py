@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.session import materialize, shuffle_partitions
 
-__all__ = ["crc_text", "fresh", "materialize", "read", "shuffle_partitions"]
+__all__ = ["crc_text", "fresh", "materialize", "read", "release", "shuffle_partitions"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,14 @@ def crc_text(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that nothing refers to
+    any more.  It does so when the driver's garbage is collected, which a driver
+    with little to do may put off for many rounds of an iterative job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (extra input columns may clash)."""
     taken = {c.lower() for c in df.columns}

@@ -19,11 +19,14 @@ Links must be found between different texts, yet a group of ``m`` near copies
 has ``m^2 / 2`` pairs.  So the lists are scanned twice.  First, neighbours in
 hashed orders of the first lists of each set are compared and the links united,
 which joins most of every group at ``m`` pairs a round.  Then all lists are
-scanned for pairs of sets that are *not yet connected*; every such pair is
-checked.  Nothing is capped: each candidate pair is either compared or already
-in one component.  A comparison first uses a parity bitmap of each set (their
-Hamming distance never exceeds the sets' difference), then the whole sets,
-which are made again from the texts of the classes that need it.
+scanned for pairs of sets that are *not yet connected*.  Short lists give their
+pairs; the members of longer ones meet again with a parity bitmap of each set
+(the Hamming distance of two never exceeds the sets' difference).  Of the pairs
+that pass it, a list first gives only a spanning part, which is checked and
+united; then the members meet once more and give every pair that passes and is
+still not connected.  Nothing is capped: each candidate pair is compared by
+bitmap or already in one component, and every pair that passes is checked on
+the whole sets, made again from the texts of the classes that need it.
 
 Defined results: null texts and texts without words have an empty set and are
 alone; texts with fewer words than a shingle are one shingle; documents with a
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.llm.catalog import register
-from raresift.llm.common import materialize, read, shuffle_partitions
+from raresift.llm.common import materialize, read, release, shuffle_partitions
 from raresift.llm.components import connected_components
 
 WORDS = 4
@@ -54,6 +57,9 @@ BITMAP = 2048
 LIGHT_MOST = 16
 CHAIN_LISTS = 3
 CHAIN_ROUNDS = 2
+SHORT_LIST = 8
+#: up to this size half a bitmap is sharp enough
+SMALL_SET = 1200
 BLOOM_BITS = 1 << 24
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -238,12 +244,27 @@ def signatures(docs: DataFrame, held, boundary: int, words: int, numer: int, den
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _columns(batch) -> list[np.ndarray]:
+    """Columns as numpy arrays; a list column as an array of arrays."""
+    out = []
+    for c in batch.columns:
+        if pa.types.is_list(c.type):
+            at, flat = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
+            own = np.empty(len(c), object)
+            own[:] = [flat[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())] if len(c) else []
+            out.append(own)
+        else:
+            out.append(c.to_numpy(zero_copy_only=False))
+    return out
+
+
 def _lists(batches, emit):
-    """Stream rows sorted by key through ``emit(columns of one list)``."""
+    """Stream rows sorted by key through ``emit(columns of one list)``, which
+    gives arrays (a, b, pos): pairs with pos -9, or members of a long list."""
     rest = None
-    for b in itertools.chain(batches, [None]):
-        if b is not None:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            cols = _columns(batch)
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
@@ -257,56 +278,119 @@ def _lists(batches, emit):
             cols, bounds = rest, [(0, len(rest[0]))]
         else:
             return
-        found = [emit(*[c[a:z] for c in cols[1:]]) for a, z in bounds if z - a > 1]
+        found = [emit(*[c[a:z] for c in cols]) for a, z in bounds if z - a > 1]
         found = [f for f in found if len(f[0])]
         if found:
-            u, v = (np.concatenate(x) for x in zip(*found))
-            pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            rows = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.T], names=["a", "b", "pos"])
+
+
+NOTHING = (np.empty(0, np.int64),) * 3
+
+
+def _as_pairs(u: np.ndarray, v: np.ndarray):
+    return np.minimum(u, v), np.maximum(u, v), np.full(len(u), -9)
 
 
 def _chain(seed: int, numer: int, denom: int):
-    def emit(pos, size, cid, comp):
+    """Pairs of neighbours in a hashed order of each list."""
+
+    def emit(key, pos, size, cid, comp):
         keep = np.unique(cid, return_index=True)[1]
-        pos, size, cid, comp = pos[keep], size[keep], cid[keep], comp[keep]
+        size, cid, comp = size[keep], cid[keep], comp[keep]
         order = np.argsort(mix(cid.view(np.uint64) * _M1 + np.uint64(seed)))
         size, cid, comp = size[order], cid[order], comp[order]
         ok = (np.minimum(size[1:], size[:-1]) * denom >= np.maximum(size[1:], size[:-1]) * numer) & (comp[1:] != comp[:-1])
-        return cid[:-1][ok], cid[1:][ok]
+        return _as_pairs(cid[:-1][ok], cid[1:][ok])
 
     return emit
 
 
-def _scan(numer: int, denom: int):
-    def emit(pos, size, cid, comp):
+def _fold(bits: np.ndarray) -> np.ndarray:
+    """A whole bitmap as the parity bitmap of half its length."""
+    half = BITMAP // 128
+    return bits if len(bits) == half else bits[:half] ^ bits[half:]
+
+
+def _root(parent: dict, c: int) -> int:
+    while parent.setdefault(c, c) != c:
+        parent[c] = parent[parent[c]]
+        c = parent[c]
+    return c
+
+
+def _scan(numer: int, denom: int, spanning: bool = False):
+    """Pairs of unconnected sets within the length and position bounds; without
+    bitmaps, a long list gives its members instead (key, cid, pos).  With
+    ``spanning``, only pairs that no others of the list connect already."""
+
+    def emit(key, pos, size, cid, comp, bits=None):
         if (comp == comp[0]).all():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return NOTHING
+        if bits is None and len(cid) > SHORT_LIST:
+            return np.full(len(cid), key[0]), cid, pos.astype(np.int64)
         order = np.argsort(size, kind="stable")
         pos, size, cid, comp = pos[order], size[order], cid[order], comp[order]
+        if bits is not None:
+            bits = [x.view(np.uint64) for x in bits[order]]  # a signed count would take the absolute value
+            half = np.stack([_fold(x) for x in bits])
+            whole = np.array([len(x) == BITMAP // 64 for x in bits])
         left = size - pos - 1  # elements after this one, for the position bound
         end = np.searchsorted(size, size * denom // numer, side="right")
         out_u, out_v = [], []
+        parent: dict = {}
         for i in range(len(size) - 1):
             j = np.arange(i + 1, end[i])
             j = j[comp[j] != comp[i]]
             # o >= t * (a + b - o), and o <= 1 + what follows in both
             most = np.where((pos[j] < 0) | (pos[i] < 0), size[i], 1 + np.minimum(left[j], left[i]))
             j = j[most * (numer + denom) >= numer * (size[i] + size[j])]
+            if bits is not None and len(j):
+                # |A xor B| = a + b - 2 o <= (denom - numer) / (denom + numer) * (a + b)
+                room = (denom - numer) * (size[i] + size[j])
+                j = j[np.bitwise_count(half[j] ^ half[i]).sum(1, dtype=np.int64) * (denom + numer) <= room]
+                if whole[i] and len(j):
+                    apart = np.array([int(np.bitwise_count(bits[k] ^ bits[i]).sum()) if whole[k] else 0 for k in j])
+                    j = j[apart * (denom + numer) <= (denom - numer) * (size[i] + size[j])]
+            if spanning and len(j):
+                own, keep = _root(parent, int(comp[i])), []
+                for k in j.tolist():
+                    other = _root(parent, int(comp[k]))
+                    if other != own:
+                        parent[other] = own
+                        keep.append(k)
+                j = np.array(keep, np.int64)
             if len(j):
                 out_u.append(np.full(len(j), cid[i]))
                 out_v.append(cid[j])
-        if not out_u:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(out_u), np.concatenate(out_v)
+        return _as_pairs(np.concatenate(out_u), np.concatenate(out_v)) if out_u else NOTHING
 
     return emit
 
 
 def _in_lists(rows: DataFrame, emit) -> DataFrame:
-    """Distinct candidate pairs out of rows (key, pos, size, cid, comp)."""
+    """What ``emit`` gives for the lists of rows (key, pos, size, cid, comp, ...)."""
     parts = shuffle_partitions(rows.sparkSession)
-    dealt = rows.select("key", "pos", "size", "cid", "comp").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda batches: _lists(batches, emit), "a long, b long").distinct()
+    dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda batches: _lists(batches, emit), "a long, b long, pos long").distinct()
+
+
+def _unconnected(found: DataFrame, labelled: DataFrame, emit) -> DataFrame:
+    """Candidate pairs between sets that are not connected, from what the lists
+    gave: pairs of short lists, and long lists by their members."""
+    comp = labelled.select("cid", "comp")
+    pairs = found.where("pos = -9").select("a", "b")
+    pairs = pairs.join(comp.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a")
+    pairs = pairs.join(comp.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b").where("ca != cb").select("a", "b")
+    half = BITMAP // 128
+    short = F.zip_with(F.slice("bitmap", 1, half), F.slice("bitmap", half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    bits = F.when(F.col("size") <= SMALL_SET, short).otherwise(F.col("bitmap"))
+    sets = labelled.select("cid", "size", "comp", bits.alias("bits"))
+    members = found.where("pos != -9").select(F.col("a").alias("key"), F.col("b").alias("cid"), "pos").join(sets, "cid")
+    # lists that are one component by now have nothing to give
+    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    more = _in_lists(members.select("key", "pos", "size", "cid", "comp", "bits").join(mixed, "key", "left_semi"), emit)
+    return pairs.unionByName(more.select("a", "b")).distinct()
 
 
 def _bloom(ids: DataFrame, col: str) -> np.ndarray:
@@ -375,26 +459,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
     linked = sig.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     classes = linked.groupBy("cid").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"), F.first("subsets").alias("subsets"), F.first("lists").alias("lists"))
     classes = materialize(classes)
+    release(spark)
 
     def rows(labelled: DataFrame, most: int | None) -> DataFrame:
         lists = F.col("lists") if most is None else F.slice("lists", 1, most)
         keep = ["size", "cid", "comp"]
-        a = labelled.select(*keep, F.posexplode(lists).alias("pos", "key"))
-        b = labelled.select(*keep, F.lit(-1).alias("pos"), F.explode("subsets").alias("key"))
-        return a.unionByName(b)
-
-    labelled = classes.select("cid", "size", "subsets", "lists", F.col("cid").alias("comp"))
-    edges = None
-    for r in range(CHAIN_ROUNDS + 1):
-        last = r == CHAIN_ROUNDS
-        emit = _scan(numer, denom) if last else _chain(r + 1, numer, denom)
-        pairs = _in_lists(rows(labelled, None if last else CHAIN_LISTS), emit)
+        a = labelled.select(F.posexplode(lists).alias("pos", "key"), *keep)
+        b = labelled.select(F.lit(-1).alias("pos"), F.explode("subsets").alias("key"), *keep)
+        return a.unionByName(b).select("key", "pos", *keep)
+
+    labelled = classes.withColumn("comp", F.col("cid"))
+    edges, found = None, None
+    for r in range(CHAIN_ROUNDS + 2):
+        if r < CHAIN_ROUNDS:
+            pairs = _in_lists(rows(labelled, CHAIN_LISTS), _chain(r + 1, numer, denom)).select("a", "b")
+        else:
+            if found is None:
+                found = materialize(_in_lists(rows(labelled, None), _scan(numer, denom)))
+            pairs = _unconnected(found, labelled, _scan(numer, denom, spanning=r == CHAIN_ROUNDS))
         new = materialize(verified(pairs, classes, docs, words, numer, denom))
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
-        labelled = classes.select("cid", "size", "subsets", "lists").join(comp, "cid", "left")
-        labelled = labelled.withColumn("comp", F.coalesce("comp", "cid"))
+        labelled = classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         edges = comp.select(F.col("cid").alias("a"), F.col("comp").alias("b"))  # the components, as stars
+        del pairs, new
+        release(spark)  # the files of this round's comparisons
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("cid", "component_id")
