@@ -53,29 +53,27 @@ def tree_paths(messages: DataFrame, score: str = "score", keep: int | None = Non
     the root.  ``keep`` bounds the branches per tree (None: all).
     """
     nodes = messages.select("tree", "node", "parent", "role", "text", F.col(score).cast("double").alias("score"))
-    up = nodes.select("tree", "node", F.col("parent").alias("above"))
-    known = up.select("tree", F.col("node").alias("above"), F.lit(True).alias("_there"))
-    # a parent that is not in the tree counts as none
-    up = up.join(known, ["tree", "above"], "left").select("tree", "node", F.when(F.col("_there"), F.col("above")).alias("above"))
-    up = materialize(up)
-    parents = up.where("above IS NOT NULL").select("tree", F.col("above").alias("node"), F.lit(True).alias("_inner")).distinct()
-    leaves = up.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
-    n, jumps, step = up.count(), [up], up
-    while step.where("above IS NOT NULL").limit(1).count():
+    ids = nodes.select("tree", "node")
+    # (node, ancestor) one step up; a parent that is not in the tree counts as none
+    up = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("above"), "node")
+    up = materialize(up.join(ids.withColumnRenamed("node", "above"), ["tree", "above"], "left_semi").select("tree", "node", "above"))
+    leaves = ids.join(up.select("tree", F.col("above").alias("node")), ["tree", "node"], "left_anti")
+    n, jumps, step = up.count(), [], up
+    while step.limit(1).count():
+        jumps.append(step)
         if 1 << (len(jumps) - 1) > n:  # farther than any path: these nodes lead into a cycle
-            leaves = leaves.join(step.where("above IS NOT NULL").select("tree", "node"), ["tree", "node"], "left_anti")
+            leaves = leaves.join(step.select("tree", "node"), ["tree", "node"], "left_anti")
             break
+        # only nodes that reach as far as this take part in the next round
         a, b = step.alias("a"), step.alias("b")
         step = materialize(
-            a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.node")), "left").select(
+            a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.node"))).select(
                 F.col("a.tree").alias("tree"), F.col("a.node").alias("node"), F.col("b.above").alias("above")
             )
         )
-        jumps.append(step)
     line = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
     for k in range(len(jumps) - 1, -1, -1):
-        j = jumps[k].where("above IS NOT NULL")
-        more = line.join(j, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
+        more = line.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
         line = materialize(line.unionByName(more))  # the plan would double each round
     full = line.join(nodes, ["tree", "node"])
     entry = F.struct((-F.col("dist")).alias("depth"), F.col("role"), F.col("text"))
