@@ -45,8 +45,10 @@ CONTEXTS = 256
 SWEEPS, SAMPLES = 4, 3
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
-PART_BYTES = 16 << 20
-MAX_PARTS = 1024
+PART_BYTES = 64 << 20
+MAX_PARTS = 256
+#: partial scores travel as whole numbers of this size
+UNIT = 1e-9
 BATCH_BYTES = 12 << 20
 BATCH_DOCS = 60_000
 
@@ -297,6 +299,17 @@ class Predictor:
         return np.log10(p), np.log10((count + 1) / (totals.n + totals.v + 1)), count > 0
 
 
+def pack_sums(sums: np.ndarray) -> bytes:
+    """Partial scores, bytes of equal weight side by side, compressed."""
+    whole = np.round(sums / UNIT).astype("<i8")
+    return zstandard.ZstdCompressor(level=1).compress(whole.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_sums(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel() * UNIT
+
+
 def _by_part(batches, use):
     """Feed the blobs of each part (rows are sorted by part) to ``use``."""
     last, held = None, []
@@ -354,6 +367,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def score(part, held):
         model = Predictor(Counts(x for _, x in held), totals, part)
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch, blob in held:
             h, w, n, doc, context, train = unpack(blob)
             log_p, base, known = model.logs(h, w, context)
@@ -362,9 +376,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 [
                     pa.array([part], pa.int32()),
                     pa.array([batch], pa.int64()),
-                    pa.array([np.bincount(doc, weights=n * known, minlength=size).astype("<u4").tobytes()], pa.binary()),
-                    pa.array([np.bincount(doc, weights=n * base, minlength=size).tobytes()], pa.binary()),
-                    pa.array([np.bincount(doc, weights=n * log_p, minlength=size).tobytes()], pa.binary()),
+                    pa.array([pack(np.bincount(doc, weights=n * known, minlength=size).astype("<u4").tobytes())], pa.binary()),
+                    pa.array([pack_sums(np.bincount(doc, weights=n * base, minlength=size))], pa.binary()),
+                    pa.array([pack_sums(np.bincount(doc, weights=n * log_p, minlength=size))], pa.binary()),
                 ],
                 names=["part", "batch", "known", "base", "score"],
             )
@@ -409,8 +423,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     head = tuple(b.column(k)[i].values for k in (2, 3, 4))
                     sums = [np.zeros(len(head[0])) for _ in range(3)]
                 else:
-                    for s, k, dtype in zip(sums, (5, 6, 7), ("<u4", "<f8", "<f8")):
-                        s += np.frombuffer(b.column(k)[i].as_py(), dtype)
+                    known = zstandard.ZstdDecompressor().decompress(b.column(5)[i].as_py())
+                    sums[0] += np.frombuffer(known, "<u4")
+                    sums[1] += unpack_sums(b.column(6)[i].as_py())
+                    sums[2] += unpack_sums(b.column(7)[i].as_py())
         if head is not None:
             yield out()
 
