@@ -4,7 +4,9 @@ Equal vectors are one class (counted, never expanded into pairs).  The classes
 are dealt into shards by hash; every shard gets a hierarchical navigable
 small-world graph, built in batches in one task (at most about ``SHARD_ROWS``
 vectors).  Every class is searched in its own shard and all later ones, in
-blocks of ``BLOCK_ROWS`` queries, so each pair of shards meets once.
+blocks of ``BLOCK_ROWS`` queries, so each pair of shards meets once.  A shard
+meets itself in a single task, which sees each of its pairs from both ends and
+counts it once.
 
 A search keeps a beam of candidates.  A beam whose worst member is still a link
 is widened until it is not, and an audit compares a part of the queries of
@@ -319,7 +321,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     blocked = graphs.select("shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     of_length = F.floor(F.col("home") / shards) * shards
     later = F.explode(F.sequence(F.col("home"), of_length + (shards - 1)))
-    queries = classes.select("home", "class_id", "copies", "unit", later.alias("shard"), F.pmod(F.xxhash64("h1"), F.lit(blocks)).cast("int").alias("block"))
+    queries = classes.select("home", "class_id", "copies", "unit", later.alias("shard"), "h1")
+    # the classes of a shard search it in one block (about SHARD_ROWS of them)
+    block = F.when(F.col("home") == F.col("shard"), F.pmod("shard", F.lit(blocks))).otherwise(F.pmod(F.xxhash64("h1"), F.lit(blocks)))
+    queries = queries.withColumn("block", block.cast("int")).drop("h1")
     found = (
         blocked.groupBy("shard", "block")
         .cogroup(queries.groupBy("shard", "block"))

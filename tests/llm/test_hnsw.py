@@ -52,6 +52,14 @@ def test_all_links_and_components(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
 
 
+def test_pairs_of_one_shard_count_once_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_ROWS", 40)
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    told = sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1) for r in H.near_duplicates(df).collect())
+    assert told == brute(rows)
+
+
 def test_recall_of_the_graph_itself():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(300, 16))
