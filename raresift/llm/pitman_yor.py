@@ -1,9 +1,9 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words.
 
-Restaurants: the context of a token is the token before it, hashed into one of
-``CONTEXTS`` context restaurants (the text's beginning has its own); all of them
-share one parent, the restaurant of word types, whose base is uniform over the
-``V`` known types and one for everything unknown.  A customer that opens a table
+Restaurants: the context of a token is the whole token before it (told by its
+64-bit hash; the text's beginning has its own), so there are as many context
+restaurants as words; all of them share one parent, the restaurant of word types,
+whose base is uniform over the ``V`` known types and one for everything unknown.  A customer that opens a table
 in a context restaurant sends one customer to the parent.
 
 Seating is sampled by blocked Gibbs sweeps: given all other tables, the
@@ -15,9 +15,11 @@ probabilities are averaged over the last ``SAMPLES`` of ``SWEEPS`` sweeps.
 
 On the cluster: words are dealt by hash into parts.  One pass over the texts
 makes, per batch and part, a packed list of (word, document, context, count),
-shuffled once and checkpointed.  What restaurants know of a word is in its part;
-only totals (tables per context, words, tokens) meet on the driver, a bounded
-number per part.  Sweeps are drawn from fixed seeds and given totals, so they
+shuffled once and checkpointed.  What restaurants know of a word is in its part.
+Tokens and tables of a context are summed on the cluster: every part sends those
+of its contexts to where the context's hash is dealt and gets back the sums over
+all parts.  Only totals (words, tokens, tables, counts of counts) meet on the
+driver, a fixed number per part.  Sweeps are drawn from fixed seeds and given totals, so they
 need no stored state: each pass seats again from the counts, and a lost task
 repeats the same draws.  Scores are summed per document and part, then per
 document.  Counts, words and documents are never sampled or cut.
@@ -39,8 +41,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.llm.catalog import register
-from raresift.llm.common import crc_text, materialize, read
+from raresift.llm.common import crc_text, materialize, read, release
 
+#: least places of a part's vectors over contexts (those past its contexts are
+#: empty restaurants); the contexts themselves are not limited
 CONTEXTS = 256
 SWEEPS, SAMPLES = 4, 3
 STRENGTH = 1.0
@@ -79,42 +83,45 @@ def pack_batch(texts, train, parts: int):
     del flat
     doc = np.repeat(np.arange(len(texts)), size)
     h = np.fromiter((0 if w is None else digest(w) or 1 for w in local), np.uint64, len(local))
-    context = (h >> np.uint64(40)).astype(np.int64) % (CONTEXTS - 1) + 1
-    context[0] = 0
-    before = np.zeros(len(token), np.int64)
-    before[1:] = context[token[:-1]]  # after an end token a text begins
     part = (h % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((h, part))
     rank = np.empty(len(h), np.int64)
     rank[order] = np.arange(len(h))
-    key, n = np.unique((rank[token] << 32) | (doc << 8) | before, return_counts=True)
-    at = key >> 32
+    before = np.full(len(token), rank[0])
+    before[1:] = rank[token[:-1]]  # after an end token a text begins
+    pair, at = np.unique((rank[token] << 32) | before, return_inverse=True)
+    key, n = np.unique(at * len(texts) + doc, return_counts=True)
+    pair, d = pair[key // len(texts)], key % len(texts)
+    at, context = pair >> 32, pair & 0xFFFFFFFF
     pack = zstandard.ZstdCompressor(level=1).compress
     h, part = h[order], part[order]
     for p in np.unique(part[at]).tolist():
         lo, hi = np.searchsorted(part, [p, p + 1])
         a, z = np.searchsorted(at, [lo, hi])
         runs = np.bincount(at[a:z] - lo, minlength=hi - lo)
-        d = (key[a:z] >> 8) & 0xFFFFFF
-        head = np.array([hi - lo, z - a, len(texts)], "<i8").tobytes()
+        own, g = np.unique(context[a:z], return_inverse=True)
+        steps = np.diff(g, prepend=0) % len(own)  # sorted inside a word
+        head = np.array([hi - lo, z - a, len(texts), len(own)], "<i8").tobytes()
         body = b"".join(
             x.tobytes()
-            for x in (h[lo:hi], runs.astype("<u4"), n[a:z].astype("<u4"), d.astype("<u2"), (key[a:z] & 255).astype(np.uint8), train.astype(np.uint8))
+            for x in (h[lo:hi], h[own], runs.astype("<u4"), n[a:z].astype("<u4"), d[a:z].astype("<u2"), train.astype(np.uint8), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T)
         )
         yield p, pack(head + body), size
 
 
 def unpack(blob: bytes):
-    """(hashes, word of each entry, count, document, context, train flags)."""
+    """(hashes, hashes of contexts, word of each entry, count, document, place of
+    the context, train flags)."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    words, entries, docs = np.frombuffer(raw, "<i8", 3).tolist()
-    at = 24
+    words, entries, docs, contexts = np.frombuffer(raw, "<i8", 4).tolist()
+    at = 32
     out = []
-    for kind, n in (("<u8", words), ("<u4", words), ("<u4", entries), ("<u2", entries), ("u1", entries), ("u1", docs)):
+    for kind, n in (("<u8", words), ("<u8", contexts), ("<u4", words), ("<u4", entries), ("<u2", entries), ("u1", docs), ("u1", 4 * entries)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
-    h, runs, n, doc, context, train = out
-    return h, np.repeat(np.arange(words), runs), n.astype(np.int64), doc.astype(np.int64), context.astype(np.int64), train.astype(bool)
+    h, own, runs, n, doc, train, steps = out
+    context = np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)) % contexts
+    return h, own, np.repeat(np.arange(words), runs), n.astype(np.int64), doc.astype(np.int64), context, train.astype(bool)
 
 
 def packed(docs: DataFrame, parts: int) -> DataFrame:
@@ -158,7 +165,9 @@ def packed(docs: DataFrame, parts: int) -> DataFrame:
 
 
 class Counts:
-    """What the restaurants of one part know: training counts by (word, context)."""
+    """What the restaurants of one part know: training counts by (word, context),
+    and all contexts that its entries have, in training or not (``g`` is a place
+    in ``contexts``)."""
 
     def __init__(self, blobs):
         held: list = []
@@ -167,56 +176,100 @@ class Counts:
             # entries are (word, context): unique over all batches so far
             nonlocal held
             h = np.concatenate([self.h] + [x[0] for x in held])
-            c = np.concatenate([self.g] + [x[1] for x in held])
+            c = np.concatenate([self.before] + [x[1] for x in held])
             n = np.concatenate([self.c] + [x[2] for x in held])
             order = np.lexsort((c, h))
             h, c, n = h[order], c[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))) if len(h) else np.empty(0, np.int64)
-            self.h, self.g = h[first], c[first]
+            self.h, self.before = h[first], c[first]
             self.c = np.add.reduceat(n, first) if len(first) else n
+            self.contexts = np.unique(np.concatenate([self.contexts] + [x[3] for x in held]))
             held = []
 
-        self.h, self.g, self.c = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
+        self.h, self.before, self.c = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.contexts = np.empty(0, np.uint64)
         size = 0
         for blob in blobs:
-            h, w, n, doc, context, train = unpack(blob)
+            h, own, w, n, doc, context, train = unpack(blob)
             use = train[doc]
             # per batch, sum over documents first
-            key, at = np.unique((w[use] << 8) | context[use], return_inverse=True)
-            held.append((h[key >> 8], (key & 255).astype(np.uint8), np.bincount(at, weights=n[use], minlength=len(key)).astype(np.int64)))
-            size += len(key)
+            key, at = np.unique((w[use] << 32) | context[use], return_inverse=True)
+            held.append((h[key >> 32], own[key & 0xFFFFFFFF], np.bincount(at, weights=n[use], minlength=len(key)).astype(np.int64), own))
+            size += len(key) + len(own)
             if size > 4_000_000:
                 fold()
                 size = 0
         fold()
         self.words, self.w = np.unique(self.h, return_inverse=True)
+        self.g = np.searchsorted(self.contexts, self.before)
         self.total = np.bincount(self.w, weights=self.c, minlength=len(self.words)).astype(np.int64)
+        del self.h, self.before
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.words), len(self.c), len(self.contexts)], "<i8")
+        runs = np.bincount(self.w, minlength=len(self.words))
+        cols = (head, self.words, self.contexts, self.c.astype("<i8"), runs.astype("<u4"), self.g.astype("<u4"))
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in cols))
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Counts:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        words, entries, contexts = np.frombuffer(raw, "<i8", 3).tolist()
+        at, out = 24, []
+        for kind, n in (("<u8", words), ("<u8", contexts), ("<i8", entries), ("<u4", words), ("<u4", entries)):
+            out.append(np.frombuffer(raw, kind, n, at))
+            at += out[-1].nbytes
+        c = cls.__new__(cls)
+        c.words, c.contexts, c.c, runs, g = out
+        c.w, c.g = np.repeat(np.arange(words), runs), g.astype(np.int64)
+        c.total = np.bincount(c.w, weights=c.c, minlength=words).astype(np.int64)
+        return c
+
+    def dealt(self, parts: int):
+        """Where contexts meet: their order by that, and (target, its slice)."""
+        target = (self.contexts % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        cut = np.searchsorted(target[order], np.arange(parts + 1))
+        return order, [(q, slice(cut[q], cut[q + 1])) for q in range(parts) if cut[q] < cut[q + 1]]
 
     def summary(self) -> np.ndarray:
-        """Tokens per context, then: words, counts of counts 1 and 2 for the
-        entries and for the number of contexts of a word, entries per context."""
+        """Tokens per context, entries per context, then: words, counts of counts
+        1 and 2 for the entries and for the number of contexts of a word."""
+        places = max(CONTEXTS, len(self.contexts))
         contexts = np.bincount(self.w, minlength=len(self.words))
         return np.concatenate(
             (
-                np.bincount(self.g, weights=self.c, minlength=CONTEXTS),
-                np.bincount(self.g, minlength=CONTEXTS),
+                np.bincount(self.g, weights=self.c, minlength=places),
+                np.bincount(self.g, minlength=places),
                 [len(self.words), (self.c == 1).sum(), (self.c == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum()],
             )
         )
 
 
 class Totals:
-    """Corpus totals and the table totals after each sweep."""
+    """Corpus totals and the table totals after each sweep, per context."""
 
     def __init__(self, sums: np.ndarray):
-        self.tokens_in = sums[:CONTEXTS]
+        places = (len(sums) - 5) // 2
+        self.tokens_in = sums[:places]
         self.n = float(self.tokens_in.sum())
-        self.v, e1, e2, w1, w2 = sums[2 * CONTEXTS :]
+        self.v, e1, e2, w1, w2 = sums[2 * places :]
         self.discount = min(0.95, max(0.05, e1 / (e1 + 2 * e2) if e1 else 0.5))
         self.parent_discount = min(0.95, max(0.05, w1 / (w1 + 2 * w2) if w1 else 0.5))
         self.base = 1.0 / (self.v + 1)
         # (tables per context, tables of the parent); first one table per entry
-        self.history = [(sums[CONTEXTS : 2 * CONTEXTS], self.v)]
+        self.history = [(sums[places : 2 * places], self.v)]
+
+    @classmethod
+    def of_part(cls, sums: list[np.ndarray], whole: list) -> Totals:
+        """From the sums over all parts for the contexts of one part (tokens and
+        entries, then tables after each sweep) and those of the whole corpus; the
+        last place of each vector stands for the contexts of other parts."""
+        wide = [np.append(x, n - x.sum()) for x, n in zip(sums[:2], whole[0][:2])]
+        totals = cls(np.concatenate((*wide, whole[0][2:])))
+        for x, (tables, parents) in zip(sums[2:], whole[1:]):
+            totals.history.append((np.append(x, tables - x.sum()), parents))
+        return totals
 
 
 def crp_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -262,7 +315,7 @@ class Predictor:
 
     def __init__(self, c: Counts, totals: Totals, part: int):
         self.c, self.totals = c, totals
-        self.key = (c.w.astype(np.int64) << 8) | c.g
+        self.key = (c.w.astype(np.int64) << 32) | c.g
         self.samples = []
         # the last element of the history are the totals after the last sweep
         after = totals.history[1:]
@@ -284,7 +337,7 @@ class Predictor:
         found = place < len(c.words)
         found[found] = c.words[place[found]] == h[found]
         place = np.where(found, place, len(c.words))[w]
-        key = (place << 8) | context
+        key = (place << 32) | context
         at = np.searchsorted(self.key, key)
         seen = at < len(self.key)
         seen[seen] = self.key[at[seen]] == key[seen]
@@ -299,15 +352,78 @@ class Predictor:
         return np.log10(p), np.log10((count + 1) / (totals.n + totals.v + 1)), count > 0
 
 
-def pack_sums(sums: np.ndarray) -> bytes:
-    """Partial scores, bytes of equal weight side by side, compressed."""
-    whole = np.round(sums / UNIT).astype("<i8")
+def pack_whole(whole: np.ndarray) -> bytes:
+    """Whole numbers, bytes of equal weight side by side, compressed."""
+    whole = np.ascontiguousarray(whole, "<i8")
     return zstandard.ZstdCompressor(level=1).compress(whole.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def unpack_sums(blob: bytes) -> np.ndarray:
+def unpack_whole(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel() * UNIT
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
+
+
+def pack_sums(sums: np.ndarray) -> bytes:
+    """Partial scores, as whole numbers of ``UNIT``."""
+    return pack_whole(np.round(sums / UNIT))
+
+
+def unpack_sums(blob: bytes) -> np.ndarray:
+    return unpack_whole(blob) * UNIT
+
+
+OFFERS = "part int, target int, keys binary, own binary, parents long"
+
+
+def offers(part: int, parts: int, c: Counts, values: np.ndarray, parents: int) -> pa.Table:
+    """Rows of a part: its contexts by the target where they meet, with their
+    values (one row of ``values`` after the other)."""
+    order, cuts = c.dealt(parts)
+    keys, values = c.contexts[order], values[:, order]
+    n = len(cuts)
+    return pa.table(
+        {
+            "part": pa.array([part] * n, pa.int32()),
+            "target": pa.array([q for q, _ in cuts], pa.int32()),
+            "keys": pa.array([keys[x].tobytes() for _, x in cuts], pa.binary()),
+            "own": pa.array([pack_whole(values[:, x].ravel()) for _, x in cuts], pa.binary()),
+            "parents": pa.array([parents] + [0] * (n - 1), pa.int64()),
+        }
+    )
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """All offers of one target: for each, the sums over all parts."""
+    keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+    own = [unpack_whole(x).reshape(-1, len(k)) for x, k in zip(table.column("own").to_pylist(), keys)]
+    each, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.stack([np.bincount(at, weights=v, minlength=len(each)) for v in np.concatenate(own, 1)])
+    cut = np.cumsum([0] + [len(k) for k in keys])
+    told = [pack_whole(sums[:, at[a:z]].ravel()) for a, z in zip(cut[:-1], cut[1:])]
+    return pa.table(
+        {
+            "part": table.column("part"),
+            "target": table.column("target"),
+            "sums": pa.array(told, pa.binary()),
+            "tables": pa.array([int(x[-1].sum()) for x in own], pa.int64()),
+            "parents": table.column("parents"),
+        }
+    )
+
+
+def _told(c: Counts, parts: int, told: pa.Table) -> list[np.ndarray]:
+    """Sums over all parts for the contexts of ``c``: tokens, entries, tables..."""
+    rounds: dict[int, dict] = {}
+    for r, q, blob in zip(*(told.column(x).to_pylist() for x in ("round", "target", "sums"))):
+        rounds.setdefault(r, {})[q] = unpack_whole(blob)
+    order, cuts = c.dealt(parts)
+    out = []
+    for r in sorted(rounds):
+        rows = np.empty((2 if r == 0 else 1, len(order)))
+        for q, x in cuts:
+            rows[:, order[x]] = rounds[r][q].reshape(len(rows), -1)
+        out += list(rows)
+    return out
 
 
 def _by_part(batches, use):
@@ -336,54 +452,79 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def count(part, held):
         c = Counts(x for _, x in held)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        body = np.array([len(c.c)], "<i8").tobytes() + c.h.tobytes() + c.g.tobytes() + c.c.astype("<i8").tobytes()
+        sums = c.summary()
+        whole = [c.c.sum(), len(c.c), *sums[-5:]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([c.summary().tolist()], pa.list_(pa.float64())), pa.array([pack(body)], pa.binary())],
-            names=["part", "sums", "counts"],
+            [pa.array([part], pa.int32()), pa.array([[float(x) for x in whole]], pa.list_(pa.float64())), pa.array([c.pack()], pa.binary())],
+            names=["part", "whole", "counts"],
         )
 
-    counted = materialize(blobs.mapInArrow(lambda batches: _by_part(batches, count), "part int, sums array<double>, counts binary"))
-    # a bounded vector per part, summed on the driver
-    sums = [np.array(r[0]) for r in counted.select("sums").collect()]
-    totals = Totals(np.sum(sums, axis=0) if sums else np.zeros(2 * CONTEXTS + 5))
-
-    def sweep(totals):
-        def run(batches):
-            for b in batches:
-                for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    c = _restored(blob)
-                    for t, t0 in seatings(c, totals, part):
-                        pass
-                    tables = np.append(np.bincount(c.g, weights=t, minlength=CONTEXTS), t0.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([tables.tolist()], pa.list_(pa.float64()))], names=["tables"])
+    counted = materialize(blobs.mapInArrow(lambda batches: _by_part(batches, count), "part int, whole array<double>, counts binary"))
+    # a fixed number of totals per part, summed on the driver
+    sums = [np.array(r[0]) for r in counted.select("whole").collect()]
+    whole = [np.sum(sums, axis=0) if sums else np.zeros(7)]
 
-        return run
+    def first(batches):
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = Counts.unpack(blob)
+                k = len(c.contexts)
+                values = np.stack((np.bincount(c.g, weights=c.c, minlength=k), np.bincount(c.g, minlength=k)))
+                yield from offers(part, parts, c, values, 0).to_batches()
+
+    def sweep(whole):
+        def run(left, right):
+            part, c = left.column("part")[0].as_py(), Counts.unpack(left.column("counts")[0].as_py())
+            for t, t0 in seatings(c, Totals.of_part(_told(c, parts, right), whole), part):
+                pass
+            return offers(part, parts, c, np.bincount(c.g, weights=t, minlength=len(c.contexts))[None], int(t0.sum()))
 
-    for _ in range(SWEEPS if sums else 0):
-        got = counted.select("part", "counts").mapInArrow(sweep(totals), "tables array<double>").collect()
-        new = np.sum([np.array(r[0]) for r in got], axis=0)
-        totals.history.append((new[:-1], float(new[-1])))
+        return run
 
-    def score(part, held):
-        model = Predictor(Counts(x for _, x in held), totals, part)
+    counts = counted.select("part", "counts")
+    told = None
+    for r in range(SWEEPS + 1 if sums else 0):
+        if r == 0:
+            own = counts.mapInArrow(first, OFFERS)
+        else:
+            own = counts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(sweep(list(whole)), OFFERS)
+        met = materialize(own.groupBy("target").applyInArrow(_meet, "part int, target int, sums binary, tables long, parents long"))
+        if r:
+            whole.append(tuple(float(x) for x in met.agg(F.sum("tables"), F.sum("parents")).first()))
+        met = met.select("part", F.lit(r).alias("round"), "target", "sums")
+        told = met if told is None else told.unionByName(met)
+        del own, met
+        release(spark)
+
+    names = ["part", "batch", "known", "base", "score"]
+
+    def score(left, right):
+        part, held = left.column("part")[0].as_py(), left.column("blob").to_pylist()
+        c = Counts(held)
+        model = Predictor(c, Totals.of_part(_told(c, parts, right), whole), part)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch, blob in held:
-            h, w, n, doc, context, train = unpack(blob)
-            log_p, base, known = model.logs(h, w, context)
+        out = []
+        for batch, blob in zip(left.column("batch").to_pylist(), held):
+            h, own, w, n, doc, context, train = unpack(blob)
+            log_p, base, known = model.logs(h, w, np.searchsorted(c.contexts, own)[context])
             size = len(train)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()),
-                    pa.array([batch], pa.int64()),
-                    pa.array([pack(np.bincount(doc, weights=n * known, minlength=size).astype("<u4").tobytes())], pa.binary()),
-                    pa.array([pack_sums(np.bincount(doc, weights=n * base, minlength=size))], pa.binary()),
-                    pa.array([pack_sums(np.bincount(doc, weights=n * log_p, minlength=size))], pa.binary()),
-                ],
-                names=["part", "batch", "known", "base", "score"],
+            out.append(
+                (
+                    part,
+                    batch,
+                    pack(np.bincount(doc, weights=n * known, minlength=size).astype("<u4").tobytes()),
+                    pack_sums(np.bincount(doc, weights=n * base, minlength=size)),
+                    pack_sums(np.bincount(doc, weights=n * log_p, minlength=size)),
+                )
             )
-
-    partial = blobs.mapInArrow(lambda batches: _by_part(batches, score), "part int, batch long, known binary, base binary, score binary")
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+
+    if sums:
+        # both sides are dealt by part; the blobs stay where they are
+        partial = blobs.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(score, "part int, batch long, known binary, base binary, score binary")
+    else:
+        partial = blobs.select("part", "batch", *[F.lit(None).cast("binary").alias(c) for c in names[2:]])
     heads = rows.where("part < 0").select("part", "batch", "ids", "held", "sizes", *[F.lit(None).cast("binary").alias(c) for c in ("known", "base", "score")])
     listed = partial.select(
         "part",
@@ -395,7 +536,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         "base",
         "score",
     )
-    n_train = int(totals.n)
+    n_train = int(whole[0][0])
 
     def finish(batches):
         head, sums = None, None
@@ -434,18 +575,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     return heads.unionByName(listed).repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(finish, schema)
 
 
-def _restored(blob: bytes) -> Counts:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    c = Counts.__new__(Counts)
-    c.h = np.frombuffer(raw, "<u8", n, 8)
-    c.g = np.frombuffer(raw, "u1", n, 8 + 8 * n)
-    c.c = np.frombuffer(raw, "<i8", n, 8 + 9 * n).copy()
-    c.words, c.w = np.unique(c.h, return_inverse=True)
-    c.total = np.bincount(c.w, weights=c.c, minlength=len(c.words)).astype(np.int64)
-    return c
-
-
 @register("op7_pitman_yor")
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all whole documents."""

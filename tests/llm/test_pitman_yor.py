@@ -59,6 +59,21 @@ def test_probabilities_sum_to_one():
         assert (10**log_p).sum() == pytest.approx(1.0)
 
 
+def test_every_word_is_a_context_of_its_own(spark):
+    names = [f"w{i}" for i in range(2000)]
+    c, _, _ = predictor([" ".join(names)])
+    assert len(c.contexts) == len(names) + 1  # and the beginning
+    # each word is always followed by the same one: the word before tells it
+    rows = [(i, f"a{i % 1500} b{i % 1500}") for i in range(9000)]
+    got = P.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").collect()
+    right, wrong = [], []
+    for r in P.score_documents(spark.createDataFrame(rows + [(9000 + i, f"a{i} b{(i + 7) % 1500}") for i in range(700)], "doc_id long, text string")).where("held_out").collect():
+        (right if r["doc_id"] < 9000 else wrong).append(r["score"])
+    assert np.mean(right) > np.mean(wrong) + 1.5
+    # log10: about 1 / 1500 for the first word, then the next ones are all but certain
+    assert np.mean([r["score"] for r in got]) > -4.5
+
+
 def test_seating_bounds_and_mean():
     rng = np.random.default_rng(0)
     customers = np.array([1, 2, 5, 100, 5000])
