@@ -19,6 +19,9 @@ as well (any document, overlaps included).
    ``LENGTH``, or its whole context occurs twice.  Groups run through a task
    in the order of Spark's sorted shuffle files; a round costs one sort of the
    collection at hand.
+   An anchor with more than ``COLLECTION`` occurrences (the border of a passage
+   that very many documents share) is not gathered in one task: its windows are
+   counted one by one, by a 128-bit hash of their bytes, in a partial aggregate.
 4. Removal.  The spans meet their documents again in one join.
 
 Building the suffix order of the whole corpus column by column would take as
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.llm.catalog import register
-from raresift.llm.common import fresh, read, shuffle_partitions
+from raresift.llm.common import fresh, materialize, read, shuffle_partitions
 
 LENGTH = 200
 GRAM = 32
@@ -97,8 +100,10 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def repeated_anchor_filter(docs: DataFrame, length: int) -> np.ndarray:
-    """Bits of the hashes of all anchors that occur more than once."""
+def repeated_anchor_filter(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the hashes of all anchors that occur more than once, and of those
+    that occur more than ``COLLECTION`` times."""
+    most = COLLECTION
 
     def run(batches):
         for b in batches:
@@ -108,32 +113,37 @@ def repeated_anchor_filter(docs: DataFrame, length: int) -> np.ndarray:
 
     again = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     bit = F.pmod("key", F.lit(FILTER_BITS))
-    dealt = again.select((bit / FILTER_CHUNK).cast("int").alias("chunk"), (bit % FILTER_CHUNK).cast("int").alias("bit"))
+    dealt = again.select((bit / FILTER_CHUNK).cast("int").alias("chunk"), (bit % FILTER_CHUNK).cast("int").alias("bit"), (F.col("n") > most).alias("hot"))
 
     def bits(batches):
         chunks: dict[int, np.ndarray] = {}
         for b in batches:
-            chunk, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
+            chunk, bit, hot = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             for c in np.unique(chunk).tolist():
-                own = chunks.setdefault(c, np.zeros(FILTER_CHUNK, bool))
-                own[bit[chunk == c]] = True
-        packed = [np.packbits(x, bitorder="little").tobytes() for x in chunks.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+                own = chunks.setdefault(c, np.zeros((2, FILTER_CHUNK), bool))
+                own[0, bit[chunk == c]] = True
+                own[1, bit[(chunk == c) & hot]] = True
+        packed = [[np.packbits(y, bitorder="little").tobytes() if y.any() else None for y in x] for x in chunks.values()]
+        cols = [pa.array([x[k] for x in packed], pa.binary()) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), *cols], names=["chunk", "bits", "hot"])
+
+    out = np.zeros((2, FILTER_BITS // 8), np.uint8)
     size = FILTER_CHUNK // 8
     parts = FILTER_BITS // FILTER_CHUNK
-    for r in dealt.repartition(parts, "chunk").mapInArrow(bits, "chunk int, bits binary").collect():
-        out[r[0] * size : (r[0] + 1) * size] |= np.frombuffer(r[1], np.uint8)
-    return out
+    for r in dealt.repartition(parts, "chunk").mapInArrow(bits, "chunk int, bits binary, hot binary").collect():
+        for k in range(2):
+            if r[1 + k] is not None:
+                out[k, r[0] * size : (r[0] + 1) * size] |= np.frombuffer(r[1 + k], np.uint8)
+    return out[0], out[1]
 
 
-def contexts(docs: DataFrame, held, length: int) -> DataFrame:
+def contexts(docs: DataFrame, held, length: int, but=None) -> DataFrame:
     """Rows (key, lead, context, ids, hashes, starts): the bytes of all windows
-    of an anchor, and the documents and places where these very bytes stand."""
+    of an anchor in the filter ``held`` (and not in the filter ``but``), and the
+    documents and places where these very bytes stand."""
 
     def run(batches):
-        bits = held.value
+        bits = held.value & ~but.value if but else held.value
         for b in batches:
             got: dict[tuple, tuple] = {}
             for doc, mark, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -164,6 +174,50 @@ def contexts(docs: DataFrame, held, length: int) -> DataFrame:
     return docs.select("doc_id", "mark", "text").mapInArrow(run, schema)
 
 
+def hot_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(h1, h2, n, doc_id, mark, start, stop) from context rows: each window by
+    the hash of its bytes, with its number of occurrences in the row (two stand
+    for more) and the place of the first; null hashes mark a whole context that
+    occurs again in its row."""
+    from xxhash import xxh3_128_digest as digest
+
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+    names = ["h1", "h2", "n", "doc_id", "mark", "start", "stop"]
+
+    def run(batches):
+        for b in batches:
+            for text, ids, marks, starts in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+                h = np.frombuffer(b"".join(digest(text[i : i + length]) for i in range(len(text) - length + 1)), "<i8").reshape(-1, 2)
+                again = len(ids) if len(ids) > 1 else 0
+                at = np.arange(len(h), dtype=np.int32) + starts[0]
+                stops = np.concatenate((at + length, np.array(starts[:again], np.int32) + len(text)))
+                none = [None] * again
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[:, 0].tolist() + none, pa.int64()),
+                        pa.array(h[:, 1].tolist() + none, pa.int64()),
+                        pa.array([min(2, len(ids))] * len(h) + none, pa.int64()),
+                        pa.array(ids[:1] * len(h) + ids[:again], b.column(3).type.value_type),
+                        pa.array(marks[:1] * len(h) + marks[:again], pa.int64()),
+                        pa.array(np.concatenate((at, np.array(starts[:again], np.int32))), pa.int32()),
+                        pa.array(stops, pa.int32()),
+                    ],
+                    names=names,
+                )
+
+    return rows.mapInArrow(run, f"h1 long, h2 long, n long, doc_id {kind}, mark long, start int, stop int")
+
+
+def hot_spans(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, mark, start, stop) of removed bytes, from context rows of anchors
+    of any number; no task needs all rows of an anchor."""
+    windows = materialize(hot_windows(rows, length))
+    span = ["doc_id", "mark", "start", "stop"]
+    again = windows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    single = windows.where("n = 1").join(again, ["h1", "h2"], "left_semi")
+    return windows.where("h1 IS NULL").select(*span).unionByName(single.select(*span))
+
+
 def range_min(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Minimum of values[a..z] (both ends included) for each pair."""
     out = values[z].copy()
@@ -287,8 +341,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, name: str = "spans") ->
     offsets of removed spans, unmerged (null where nothing goes)."""
     spark = docs.sparkSession
     own = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    held = spark.sparkContext.broadcast(repeated_anchor_filter(own, length))
-    spans = repeated_spans(contexts(own, held, length), length)
+    several, many = repeated_anchor_filter(own, length)
+    held = spark.sparkContext.broadcast(several)
+    if many.any():
+        hot = spark.sparkContext.broadcast(many)
+        spans = repeated_spans(contexts(own, held, length, hot), length).unionByName(hot_spans(contexts(own, hot, length), length))
+    else:
+        spans = repeated_spans(contexts(own, held, length), length)
     doc, mark, own_mark = fresh(docs, "_doc"), fresh(docs, "_mark"), fresh(docs, "_own_mark")
     by_doc = spans.groupBy(F.col("doc_id").alias(doc), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("start", "stop")).alias(name))
     marked = docs.withColumn(own_mark, F.xxhash64("text"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from raresift.llm import suffix as S
 
@@ -38,6 +39,25 @@ def test_random_small_alphabet(spark):
     assert told(S.digests(spark.createDataFrame(rows, "doc_id long, text string"), 50)) == brute(rows, 50)
 
 
+def test_hot_anchors_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(S, "COLLECTION", 8)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, tails = word(150), [word(90) for _ in range(5)]
+    rows = [(i, word(rng.randint(0, 80)) + passage + rng.choice(tails)[: rng.randint(0, 90)] + word(rng.randint(0, 40))) for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(12)] + [(200 + i, word(120)) for i in range(9)] + [(300, rows[40][1] + word(70))]
+    most, gather = [], S.repeated_spans
+
+    def held(found, length):
+        most.append(found.groupBy("key").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return gather(found, length)
+
+    monkeypatch.setattr(S, "repeated_spans", held)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert told(S.digests(df, 64)) == brute(rows, 64)
+    assert most[0] <= 8
+
+
 def test_repeated_windows_by_brute_force():
     rng = random.Random(2)
     core = "".join(rng.choice("abcd") for _ in range(400))
