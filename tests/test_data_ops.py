@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from raresift.operators import relational, splits, stats
 from raresift.sources import fixtures as fx
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_scaler_population_std_golden(spark):

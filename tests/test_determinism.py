@@ -5,7 +5,7 @@ import pytest
 from raresift.operators import curves, knn, metrics, splits
 from raresift.sources import fixtures as fx
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _rows(df):

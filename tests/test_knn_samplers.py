@@ -8,7 +8,7 @@ from raresift.operators import knn, resample
 from raresift.operators.relational import append_synthetic
 from raresift.sources import fixtures as fx
 
-from conftest import SF0001
+from paths import SF0001
 
 FEATS = fx.FEATURES
 

@@ -12,7 +12,7 @@ from raresift.plans.flagged import prepared_split
 from raresift.sources import fixtures as fx
 from raresift.sources import readers, sinks
 
-from conftest import SF0001
+from paths import SF0001
 
 FEATS = fx.FEATURES
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from oracle_compare import compare, duck
 
-from conftest import SF0001
+from paths import SF0001
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from raresift.operators import splits
 from raresift.sources import fixtures as fx
 
-from conftest import SF0001
+from paths import SF0001
 
 QUERIES = entry.queries()
 # plans are inspected without running the (slow) model-fitting flows
