@@ -17,6 +17,7 @@ QUERY_MODULES = (
     "raresift.llm.jaccard",
     "raresift.llm.suffix",
     "raresift.llm.pitman_yor",
+    "raresift.llm.ballcodes",
 )
 
 
