@@ -18,6 +18,7 @@ QUERY_MODULES = (
     "raresift.llm.suffix",
     "raresift.llm.pitman_yor",
     "raresift.llm.ballcodes",
+    "raresift.llm.quality",
     "raresift.llm.hardneg",
 )
 
