@@ -47,6 +47,8 @@ THRESHOLD = 0.3
 
 _CLASSES: list[np.ndarray] = []
 _BREAK = 10
+#: one less than the least occurrence in each place: 1, 2, 4, ...
+_LOWS = (1 << np.arange(12)) - 1
 
 
 def _classes() -> np.ndarray:
@@ -78,9 +80,9 @@ def _shapes(kind: np.ndarray) -> np.ndarray:
 
 
 def _echoes(c: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Of the words: how many are their own first, second, third to fourth, ...
-    occurrence (by powers of two), how many equal the word before, and of the
-    lines how many are first occurrences and how many are not."""
+    """Of the words: how many are the first, second to third, fourth to seventh,
+    ... occurrence of their kind and how many equal the word before, as shares;
+    the same of the lines."""
     out = np.zeros(ECHOES)
     for blank, at in (((kind == 32) | (kind == _BREAK), 0), (kind == _BREAK, 16)):
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
@@ -95,11 +97,11 @@ def _echoes(c: np.ndarray, kind: np.ndarray) -> np.ndarray:
         h[blank] = 0
         word = np.add.reduceat(h, start) * np.uint64(0xBF58476D1CE4E5B9)
         n = np.unique(word, return_counts=True)[1]
-        low = 1
-        for b in range(12):  # occurrences low .. 2 * low - 1, the last without an end
-            high = 2 * low - 1 if b < 11 else np.inf
-            out[at + b] += (np.minimum(n, high) - (low - 1)).clip(0).sum()
-            low *= 2
+        # words that are an occurrence of at least 1, 2, 4, ... of their kind
+        several = n[n > 1][:, None]
+        reach = np.maximum(several - _LOWS, 0).sum(0)
+        reach[0] += len(n) - len(several)
+        out[at : at + 12] = reach - np.append(reach[1:], 0)
         out[at + 12] += (word[1:] == word[:-1]).sum()
         out[at : at + 13] /= len(start)
     return out
