@@ -1,6 +1,7 @@
 """Exact k-nearest-neighbour join (inventory E0) and kNN classification (F2).
 
-Exact kNN costs n_queries x n_refs distance evaluations whatever the layout;
+By default the join searches pivot cells (:mod:`raresift.operators.pivot_knn`).
+The plain grid below is the other way, with the same rows.  Comparing every pair costs n_queries x n_refs distance evaluations whatever the layout;
 what the layout decides is memory, parallelism and how many rows move.  The
 join is blocked on a grid:
 
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raresift.functions.missing import required_number, required_numbers
+from raresift.operators.pivot_knn import pivot_knn_join
 
 DIST_DIGITS = 9
 METRICS = ("euclidean", "manhattan")
+METHODS = ("pivots", "grid")
 
 
 def packed(df: DataFrame, features: Sequence[str] | str) -> Column:
@@ -108,11 +111,18 @@ def knn_join(
     sizes: tuple[int, int] | None = None,
     max_queries_per_cell: int = 65_536,
     max_refs_per_cell: int = 262_144,
+    method: str = "pivots",
+    counter=None,
 ) -> DataFrame:
     """(query_id, ref_id, rank, distance, ref_cols...): for every query row its
     k nearest ref rows (rank 1..k), the query itself excluded when
     ``exclude_self`` (same id), ties by ref id.
 
+    ``method="pivots"`` searches pivot cells and skips what the triangle
+    inequality rules out (:mod:`raresift.operators.pivot_knn`); ``"grid"``
+    compares every pair.  Both give the same rows.  ``counter`` (an accumulator)
+    is told how many distances the pivot search took.
+
     Grid shape: each cell holds at most ``max_queries_per_cell`` queries and
     ``max_refs_per_cell`` refs (memory bound per task); within that, ref
     blocks are added until there are about 4 cells per core, so small inputs
@@ -121,6 +131,8 @@ def knn_join(
     partition per cell, so partitions stay bounded however large the tables."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
     q = queries.select(F.col(id_col).cast("long").alias("qid"), packed(queries, features).alias("qx"))
     r = refs.select(F.col(id_col).cast("long").alias("rid"), packed(refs, features).alias("rx"), *ref_cols)
     if sizes is None:  # both sizes in one job (scalars; they decide the grid)
@@ -128,6 +140,9 @@ def knn_join(
         size = {row["_s"]: row["count"] for row in counted}
         sizes = size.get(0, 0), size.get(1, 0)
     n_q, n_r = sizes
+    if method == "pivots" and not block_rows:
+        found = pivot_knn_join(q, r, k, metric, exclude_self, list(ref_cols), n_q, n_r, max_queries_per_cell, max_refs_per_cell, counter)
+        return _ranked(found, k, ref_cols)
     parallel = queries.sparkSession.sparkContext.defaultParallelism
     if block_rows:
         qb = max(1, math.ceil(n_q / block_rows))
@@ -165,8 +180,13 @@ def knn_join(
         .cogroup(r_rep.groupBy("qb", "rb"))
         .applyInPandas(_cell_topk(k, metric, exclude_self, list(ref_cols)), schema)
     )
+    return _ranked(cells, k, ref_cols)
+
+
+def _ranked(found: DataFrame, k: int, ref_cols: Sequence[str]) -> DataFrame:
+    """The k nearest of each query's lists, numbered."""
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("rid").asc())
-    ranked = cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(
         F.col("qid").alias("query_id"), F.col("rid").alias("ref_id"), "rank", "distance", *ref_cols
     )

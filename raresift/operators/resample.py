@@ -94,7 +94,6 @@ def _neighbours(queries, refs, k, id_col, sizes=None, metric="euclidean", ref_co
 def _generate(
     sources: DataFrame,
     neighbours: DataFrame,
-    minority_feats: DataFrame,
     seed: int,
     tag: str,
     id_col: str,
@@ -105,14 +104,12 @@ def _generate(
     toward neighbour number 1 + floor(u1 * k'), gap u2, with k' the number of
     neighbours the source has.
 
-    Every source meets its (at most k) neighbours *before* it is expanded, as
-    one array of vectors in rank order, so nothing is joined or shuffled after
-    generation and a source with very many rows is no hot key."""
-    near = (
-        neighbours.select(F.col("query_id").alias(id_col), "rank", "ref_id")
-        .join(minority_feats.select(F.col(id_col).alias("ref_id"), F.col(FEATURE_VEC).alias("_bx")), "ref_id")
-        .groupBy(id_col)
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_bx"))), lambda s: s["_bx"]).alias("_near"))
+    The neighbours bring their vectors from the search (``ref_cols``).  Every
+    source meets its (at most k) neighbours *before* it is expanded, as one array
+    of vectors in rank order, so nothing is joined or shuffled after generation
+    and a source with very many rows is no hot key."""
+    near = neighbours.groupBy(F.col("query_id").alias(id_col)).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", FEATURE_VEC))), lambda s: s[FEATURE_VEC]).alias("_near")
     )
     gen = expand(sources.join(near, id_col), "g")
     number = (F.floor(uniform(seed, tag + "-nn", F.col(id_col), F.col("j")) * F.size("_near")) + 1).cast("int")
@@ -175,8 +172,8 @@ def smote(
     base, rem = divmod(int(deficit), int(n_min))
     extra = first_n(mins, id_col, seed, "smote", rem)  # the rem smallest hashes get one more
     sources = mins.select(id_col, FEATURE_VEC, (F.lit(base) + extra.cast("int")).alias("g"))
-    nbrs = _neighbours(mins, mins, k_eff, id_col, (n_min, n_min), metric, approximate=approximate)
-    syn = _generate(sources, nbrs, mins, seed, "smote", id_col)
+    nbrs = _neighbours(mins, mins, k_eff, id_col, (n_min, n_min), metric, ref_cols=[FEATURE_VEC], approximate=approximate)
+    syn = _generate(sources, nbrs, seed, "smote", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
 
 
@@ -209,8 +206,8 @@ def adasyn(
     g = F.bround(F.col("_cnt") * F.lit(int(deficit)) / F.lit(float(total)), 0).cast("long")
     sources = mins.join(cnt, id_col).select(id_col, FEATURE_VEC, g.alias("g"))
     k_eff = min(k, n_min - 1)
-    nbrs = _neighbours(mins, mins, k_eff, id_col, (n_min, n_min), metric, approximate=approximate)
-    syn = _generate(sources, nbrs, mins, seed, "adasyn", id_col)
+    nbrs = _neighbours(mins, mins, k_eff, id_col, (n_min, n_min), metric, ref_cols=[FEATURE_VEC], approximate=approximate)
+    syn = _generate(sources, nbrs, seed, "adasyn", id_col)
     return _finish(df, syn, features, label_col, id_col, m, keep_original)
 
 
@@ -264,8 +261,8 @@ def svm_smote(
     extra = first_n(bases, id_col, seed, "svmsmote", rem)
     sources = bases.select(id_col, FEATURE_VEC, "_extra", (F.lit(base) + extra.cast("int")).alias("g"))
     k_eff = min(k, n_min - 1)
-    nbrs = knn_join(bases, mins, k_eff, FEATURE_VEC, id_col, sizes=(n_base, n_min))
-    syn = _generate(sources, nbrs, mins, seed, "svmsmote", id_col, "_extra", out_step)
+    nbrs = knn_join(bases, mins, k_eff, FEATURE_VEC, id_col, ref_cols=[FEATURE_VEC], sizes=(n_base, n_min))
+    syn = _generate(sources, nbrs, seed, "svmsmote", id_col, "_extra", out_step)
     return _finish(df, syn, features, label_col, id_col, mcls, keep_original)
 
 
