@@ -45,6 +45,8 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, Param, Params, TypeConverters
 
+from raresift.operators.boosting import with_validation
+
 # Search ranges of the reference, per model (fixed values); tree depth ends at
 # Spark's 30, and SGD batches are row counts that become fractions of the rows.
 # kind: ("int", lo, hi, step) | ("log", lo, hi) | ("float", lo, hi) | ("choice", [..])
@@ -166,7 +168,8 @@ def cross_validate(
     """Every trial on every fold of a precomputed stratified ``fold`` column
     (D2): one ``fitMultiple`` per fold, so the training rows of a fold are
     resampled once for all trials, and no fit on the whole table (the caller
-    refits the winner).  Returns (scores by trial and fold, trial table)."""
+    refits the winner).  Boosting is handed the validation fold and stops on it.
+    Returns (scores by trial and fold, trial table)."""
     from multiprocessing.pool import ThreadPool
 
     n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
@@ -174,7 +177,7 @@ def cross_validate(
     scores = _np.zeros((len(param_maps), n_folds))
     for f in range(n_folds):
         valid = train.where(F.col(fold_col) == f)
-        fits = estimator.fitMultiple(train.where(F.col(fold_col) != f), param_maps)
+        fits = with_validation(estimator, valid).fitMultiple(train.where(F.col(fold_col) != f), param_maps)
 
         def measure(_, fits=fits, valid=valid):
             i, model = next(fits)

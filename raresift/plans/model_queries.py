@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import sql_uniform
-from raresift.operators import classify, report, resample, select, splits, stats
+from raresift.operators import boosting, classify, report, resample, select, splits, stats
 from raresift.operators.knn import KNNClassifier
 from raresift.plans.catalog import R, register, rounded
 from raresift.plans.evaluation_queries import COST_FN, COST_FP, experiment_matrix_sql
@@ -57,6 +57,62 @@ def q_gbt(spark, sf):
     return rounded(classify.score(model, test))
 
 
+# ---------------------------------------------------------------- second-order boosting
+
+_BOOST = {"posWeight": 5.0, "rounds": 2, "maxDepth": 2, "stepSize": 0.3}
+_BOOST_FEATURES = ["Amount", "V3"]
+_BOOST_CUTS = [[1.0, 25.0, 50.0, 100.0, 150.0, 200.0, 300.0], [10.0, 25.0, 50.0, 75.0, 90.0]]
+
+
+def _boost_sql() -> str:
+    """Two rounds of depth two with given cut points, split by split."""
+    u, eta = boosting.UNIT, _BOOST["stepSize"]
+    cuts = ", ".join(f"({f}, {j}, {c!r})" for f, own in enumerate(_BOOST_CUTS) for j, c in enumerate(own))
+    value = "CASE f WHEN 0 THEN x0 ELSE x1 END"
+    ctes = [
+        ("cuts", f"SELECT * FROM (VALUES {cuts}) AS t(f, j, c)"),
+        ("m0", f'SELECT row_id, Amount AS x0, V3 AS x1, "Class" AS y, CASE WHEN "Class" = 1 THEN {_BOOST["posWeight"]!r} ELSE 1.0 END::DOUBLE AS w, 0.0::DOUBLE AS m FROM txn'),
+    ]
+    score = lambda g, h: f"(({g}) / {u}.0) * (({g}) / {u}.0) / (({h}) / {u}.0 + 1.0)"
+    for r in range(_BOOST["rounds"]):
+        ctes.append((f"n{r}_0", f"SELECT *, round_even(w * (p - y) * {u}, 0) AS g, round_even(w * greatest(p * (1 - p), 1e-16) * {u}, 0) AS h, 1 AS node FROM (SELECT *, 1 / (1 + exp(-m)) AS p FROM m{r}) q"))
+        for level in range(_BOOST["maxDepth"]):
+            rows = f"n{r}_{level}"
+            ctes.append(
+                (
+                    f"b{r}_{level}",
+                    f"SELECT node AS at, f, c FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, j) AS k FROM ("
+                    f"SELECT node, f, j, c, 0.5 * ({score('gl', 'hl')} + {score('ga - gl', 'ha - hl')} - {score('ga', 'ha')}) AS gain, hl, ha FROM ("
+                    f"SELECT node, f, j, any_value(c) AS c, coalesce(sum(g) FILTER ({value} < c), 0) AS gl, coalesce(sum(h) FILTER ({value} < c), 0) AS hl, sum(g) AS ga, sum(h) AS ha "
+                    f"FROM {rows} CROSS JOIN cuts GROUP BY node, f, j) z WHERE hl >= {u} AND ha - hl >= {u}) y WHERE gain > 1e-9) x WHERE k = 1",
+                )
+            )
+            ctes.append((f"n{r}_{level + 1}", f"SELECT s.* EXCLUDE (node), CASE WHEN f IS NULL THEN node WHEN {value} < c THEN 2 * node ELSE 2 * node + 1 END AS node FROM {rows} s LEFT JOIN b{r}_{level} b ON s.node = b.at"))
+        last = f"n{r}_{_BOOST['maxDepth']}"
+        ctes.append((f"v{r}", f"SELECT node AS leaf, -{eta} * (sum(g) / {u}.0) / (sum(h) / {u}.0 + 1.0) AS v FROM {last} GROUP BY node"))
+        ctes.append((f"m{r + 1}", f"SELECT row_id, x0, x1, y, w, m + v AS m FROM {last} JOIN v{r} ON node = leaf"))
+    return fx.with_ctes(["txn"], f"SELECT row_id, y AS label, {R('1 / (1 + exp(-m))')} AS score FROM m{_BOOST['rounds']}", ctes)
+
+
+@register("boosted_trees_rounds", _boost_sql())
+def q_boost_rounds(spark, sf):
+    """gradients, histograms, gains and leaves of two rounds, equal to SQL."""
+    est = boosting.HistogramBoosting(**_BOOST)
+    est.cuts = _BOOST_CUTS
+    t = fx.txn(spark, sf).select("row_id", *_BOOST_FEATURES, "Class")
+    return rounded(classify.score(classify.fit(est, t, _BOOST_FEATURES), t).select("row_id", "label", "score"))
+
+
+@register("boosted_trees_early_stop")
+def q_boost_stop(spark, sf):
+    """F5 with sketched bins, row and feature draws, stopped on a validation fold."""
+    train, test = prepared_split(spark, sf)
+    train = splits.stratified_kfold(train, 5, seed=SEED)
+    est = boosting.HistogramBoosting(posWeight=5.0, maxIter=12, stale=3, maxDepth=3, subsamplingRate=0.8, featureSubset=0.75)
+    est = boosting.with_validation(classify.make_pipeline(est, FEATS), train.where("fold = 0"))
+    return rounded(classify.score(est.fit(train.where("fold <> 0")), test))
+
+
 @register("sgd_logistic")
 def q_sgd(spark, sf):
     return _scores(spark, sf, lambda tr: classify.sgd_logistic(iterations=100, step=0.1, mini_batch_fraction=0.5))

@@ -226,7 +226,8 @@ def test_optimize_then_evaluate_registry(spark, tmpdir_path, monkeypatch, model)
     from raresift.plans import flows
 
     if model == "xgboost":
-        monkeypatch.setattr(flows.classify, "boosted_trees", lambda *a, _f=flows.classify.boosted_trees, **k: _f(*a, **{**k, "max_iter": 5}))
+        few = lambda *a, _f=flows.estimator_for: _f(*a)._set(maxIter=3, rounds=3)
+        monkeypatch.setattr(flows, "estimator_for", few)
     train, test = splits.train_test(drop_time(fx.txn(spark, SF0001)))
     reg, log, calls = f"{tmpdir_path}/models", f"{tmpdir_path}/log", []
 
