@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from raresift.session import materialize, shuffle_partitions
 
-__all__ = ["crc_text", "fresh", "materialize", "read", "release", "shuffle_partitions"]
+__all__ = ["crc_text", "fresh", "materialize", "read", "release", "shuffle_partitions", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batch, rows: int = 512):
+    """The rows of an Arrow batch a few at a time, so that not all of its texts
+    are Python objects at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (extra input columns may clash)."""
     taken = {c.lower() for c in df.columns}

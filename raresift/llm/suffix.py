@@ -20,8 +20,10 @@ as well (any document, overlaps included).
    in the order of Spark's sorted shuffle files; a round costs one sort of the
    collection at hand.
    An anchor with more than ``COLLECTION`` occurrences (the border of a passage
-   that very many documents share) is not gathered in one task: its windows are
-   counted one by one, by a 128-bit hash of their bytes, in a partial aggregate.
+   that very many documents share) is salted, not gathered in one task: its
+   windows are counted one by one, by a 128-bit hash of their bytes, in a partial
+   aggregate.  That is another method for the hottest anchors; the result is
+   the same.
 4. Removal.  The spans meet their documents again in one join.
 
 Building the suffix order of the whole corpus column by column would take as
@@ -37,14 +39,16 @@ null and repeated ids are allowed, a row is told by its id and text.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.llm.catalog import register
-from raresift.llm.common import fresh, materialize, read, shuffle_partitions
+from raresift.llm.common import fresh, materialize, read, shuffle_partitions, slices
 
 LENGTH = 200
 GRAM = 32
@@ -52,6 +56,7 @@ PIECE = 1 << 20
 FILTER_BITS = 1 << 26
 FILTER_CHUNK = 1 << 20
 COLLECTION = 1 << 14
+CONTEXT_BYTES = 8 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -107,7 +112,7 @@ def repeated_anchor_filter(docs: DataFrame, length: int) -> tuple[np.ndarray, np
 
     def run(batches):
         for b in batches:
-            found = [anchors(_bytes(t), length)[0] for t in b.column(0).to_pylist()]
+            found = [anchors(_bytes(t), length)[0] for part in slices(b) for t in part.column(0).to_pylist()]
             keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
@@ -137,85 +142,82 @@ def repeated_anchor_filter(docs: DataFrame, length: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def contexts(docs: DataFrame, held, length: int, but=None) -> DataFrame:
-    """Rows (key, lead, context, ids, hashes, starts): the bytes of all windows
-    of an anchor in the filter ``held`` (and not in the filter ``but``), and the
-    documents and places where these very bytes stand."""
+def contexts(docs: DataFrame, held, length: int, hot=None) -> DataFrame:
+    """Rows (key, salt, lead, context, ids, marks, starts): the bytes of all
+    windows of an anchor in the filter ``held``, and the documents and places
+    where these very bytes stand.  Anchors in the filter ``hot`` are salted by
+    their bytes; 0 is the salt of all others."""
+    spread = shuffle_partitions(docs.sparkSession)
+
+    def in_filter(bits, keys):
+        spot = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
+
+    def flushed(got, kind):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in got], pa.int64()),
+                pa.array([k[1] and 1 + zlib.crc32(k[3]) % spread for k in got], pa.int32()),
+                pa.array([k[2] for k in got], pa.int32()),
+                pa.array([k[3] for k in got], pa.binary()),
+                pa.array([v[0] for v in got.values()], pa.list_(kind)),
+                pa.array([v[1] for v in got.values()], pa.list_(pa.int64())),
+                pa.array([v[2] for v in got.values()], pa.list_(pa.int32())),
+            ],
+            names=["key", "salt", "lead", "context", "ids", "marks", "starts"],
+        )
 
     def run(batches):
-        bits = held.value & ~but.value if but else held.value
         for b in batches:
-            got: dict[tuple, tuple] = {}
-            for doc, mark, text in zip(*(c.to_pylist() for c in b.columns)):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                keys, places, firsts, lasts = anchors(np.frombuffer(raw, np.uint8), length)
-                spot = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                hit = np.flatnonzero((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
-                for key, place, first, last in zip(*(x[hit].tolist() for x in (keys.view(np.int64), places, firsts, lasts))):
-                    row = got.setdefault((key, place - first, raw[first : last + length]), ([], [], []))
-                    row[0].append(doc)
-                    row[1].append(mark)
-                    row[2].append(first)
-            ids = pa.list_(b.column(0).type)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in got], pa.int64()),
-                    pa.array([k[1] for k in got], pa.int32()),
-                    pa.array([k[2] for k in got], pa.binary()),
-                    pa.array([v[0] for v in got.values()], ids),
-                    pa.array([v[1] for v in got.values()], pa.list_(pa.int64())),
-                    pa.array([v[2] for v in got.values()], pa.list_(pa.int32())),
-                ],
-                names=["key", "lead", "context", "ids", "marks", "starts"],
-            )
+            kind, got, size = b.column(0).type, {}, 0
+            for part in slices(b):
+                for doc, mark, text in zip(*(c.to_pylist() for c in part.columns)):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    keys, places, firsts, lasts = anchors(np.frombuffer(raw, np.uint8), length)
+                    hit = np.flatnonzero(in_filter(held.value, keys))
+                    many = in_filter(hot.value, keys[hit]) if hot else np.zeros(len(hit), np.int8)
+                    for key, is_hot, place, first, last in zip(keys.view(np.int64)[hit].tolist(), many.tolist(), *(x[hit].tolist() for x in (places, firsts, lasts))):
+                        name = (key, is_hot, place - first, raw[first : last + length])
+                        row = got.get(name)
+                        if row is None:
+                            row = got[name] = ([], [], [])
+                            size += last + length - first
+                        row[0].append(doc)
+                        row[1].append(mark)
+                        row[2].append(first)
+                    if size > CONTEXT_BYTES:
+                        yield flushed(got, kind)
+                        got, size = {}, 0
+            if got:
+                yield flushed(got, kind)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"key long, lead int, context binary, ids array<{kind}>, marks array<long>, starts array<int>"
+    schema = f"key long, salt int, lead int, context binary, ids array<{kind}>, marks array<long>, starts array<int>"
     return docs.select("doc_id", "mark", "text").mapInArrow(run, schema)
 
 
-def hot_windows(rows: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, n, doc_id, mark, start, stop) from context rows: each window by
-    the hash of its bytes, with its number of occurrences in the row (two stand
-    for more) and the place of the first; null hashes mark a whole context that
-    occurs again in its row."""
+def window_rows(t: pa.Table, length: int):
+    """(h1, h2, n, doc_id, mark, start, stop) from context rows of hot anchors:
+    each window by the hash of its bytes, with its number of occurrences in the
+    row (two stand for more) and the place of the first; null hashes mark a whole
+    context that occurs again in its row."""
     from xxhash import xxh3_128_digest as digest
 
-    kind = rows.schema["ids"].dataType.elementType.simpleString()
-    names = ["h1", "h2", "n", "doc_id", "mark", "start", "stop"]
-
-    def run(batches):
-        for b in batches:
-            for text, ids, marks, starts in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-                h = np.frombuffer(b"".join(digest(text[i : i + length]) for i in range(len(text) - length + 1)), "<i8").reshape(-1, 2)
-                again = len(ids) if len(ids) > 1 else 0
-                at = np.arange(len(h), dtype=np.int32) + starts[0]
-                stops = np.concatenate((at + length, np.array(starts[:again], np.int32) + len(text)))
-                none = [None] * again
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[:, 0].tolist() + none, pa.int64()),
-                        pa.array(h[:, 1].tolist() + none, pa.int64()),
-                        pa.array([min(2, len(ids))] * len(h) + none, pa.int64()),
-                        pa.array(ids[:1] * len(h) + ids[:again], b.column(3).type.value_type),
-                        pa.array(marks[:1] * len(h) + marks[:again], pa.int64()),
-                        pa.array(np.concatenate((at, np.array(starts[:again], np.int32))), pa.int32()),
-                        pa.array(stops, pa.int32()),
-                    ],
-                    names=names,
-                )
-
-    return rows.mapInArrow(run, f"h1 long, h2 long, n long, doc_id {kind}, mark long, start int, stop int")
-
-
-def hot_spans(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, mark, start, stop) of removed bytes, from context rows of anchors
-    of any number; no task needs all rows of an anchor."""
-    windows = materialize(hot_windows(rows, length))
-    span = ["doc_id", "mark", "start", "stop"]
-    again = windows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    single = windows.where("n = 1").join(again, ["h1", "h2"], "left_semi")
-    return windows.where("h1 IS NULL").select(*span).unionByName(single.select(*span))
+    for text, ids, marks, starts in zip(*(t.column(k).to_pylist() for k in ("context", "ids", "marks", "starts"))):
+        h = np.frombuffer(b"".join(digest(text[i : i + length]) for i in range(len(text) - length + 1)), "<i8").reshape(-1, 2)
+        again = len(ids) if len(ids) > 1 else 0
+        at = np.arange(len(h), dtype=np.int32) + starts[0]
+        stops = np.concatenate((at + length, np.array(starts[:again], np.int32) + len(text)))
+        none = [None] * again
+        yield [
+            pa.array(h[:, 0].tolist() + none, pa.int64()),
+            pa.array(h[:, 1].tolist() + none, pa.int64()),
+            pa.array([min(2, len(ids))] * len(h) + none, pa.int64()),
+            pa.array(ids[:1] * len(h) + ids[:again], t.schema.field("ids").type.value_type),
+            pa.array(marks[:1] * len(h) + marks[:again], pa.int64()),
+            pa.array(np.concatenate((at, np.array(starts[:again], np.int32))), pa.int32()),
+            pa.array(stops, pa.int32()),
+        ]
 
 
 def range_min(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -242,24 +244,22 @@ def repeated_windows(group: np.ndarray, lead: np.ndarray, texts: list[bytes], le
     of its group; contexts are distinct and aligned by ``lead``."""
     m = len(texts)
     size = np.array([len(t) for t in texts])
-    most = int(lead.max())
-    begin = most - lead  # first column of each context
+    begin = int(lead.max()) - lead  # first column of each context
     columns = int((begin + size).max())
-    table = np.full((m, columns), 256, np.int64)
+    table = np.full((columns, m), 256, np.uint16)  # a column is a row here
     for i, t in enumerate(texts):
-        table[i, begin[i] : begin[i] + size[i]] = np.frombuffer(t, np.uint8)
-    table = np.ascontiguousarray(table.T)
+        table[begin[i] : begin[i] + size[i], i] = np.frombuffer(t, np.uint8)
     hits = np.zeros((columns, m), bool)
-    number = np.unique(group, return_inverse=True)[1]
+    number = np.unique(group, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(number, kind="stable")
-    common = np.zeros(m, np.int64)  # with the neighbour before, in this order
+    common = np.zeros(m, np.int32)  # with the neighbour before, in this order
     base = number * 512
     for col in range(columns - 1, -1, -1):
         symbol = base[order] + table[col, order]
         turn = np.argsort(symbol, kind="stable")
         symbol = symbol[turn]
         same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] & 511 < 256)) + 1
-        fresh = np.zeros(m, np.int64)
+        fresh = np.zeros(m, np.int32)
         fresh[same] = 1 + range_min(common, turn[same - 1] + 1, turn[same]) if len(same) else 0
         order, common = order[turn], fresh
         long = np.flatnonzero(common >= length)
@@ -273,56 +273,90 @@ def _runs(hit: np.ndarray):
     return zip(edge[::2].tolist(), edge[1::2].tolist())
 
 
+def solve(t: pa.Table, length: int) -> list[pa.Array]:
+    """doc_id, mark, start and stop of the repeated spans of whole groups."""
+    size = pc.binary_length(t.column("context")).to_numpy().astype(np.int64)
+    number = pc.list_value_length(t.column("starts")).to_numpy().astype(np.int64)
+    names: dict[tuple, int] = {}
+    rows = zip(t.column("key").to_pylist(), t.column("lead").to_pylist(), t.column("context").to_pylist())
+    own = np.array([names.setdefault(x, len(names)) for x in rows], np.int64)
+    total = np.bincount(own, number, len(names))
+    ids, marks, starts = (t.column(c).combine_chunks().flatten() for c in ("ids", "marks", "starts"))
+    first = starts.to_numpy().astype(np.int64)
+    # a context that occurs again goes whole
+    of = np.repeat(np.arange(len(own)), number)
+    take, begin, end = [np.flatnonzero(total[own[of]] > 1)], [], []
+    begin.append(first[take[0]])
+    end.append(begin[0] + size[of[take[0]]])
+    # the others of a group with several: windows shared with another context
+    key = np.array([k for k, _, _ in names], np.int64)
+    group, per_group = np.unique(key, return_inverse=True, return_counts=True)[1:]
+    several = np.flatnonzero(per_group[group] > 1)
+    if len(several):
+        lead, text = [x[1] for x in names], [x[2] for x in names]
+        found = repeated_windows(group[several], np.array([lead[c] for c in several]), [text[c] for c in several], length)
+        at = np.empty(len(names), np.int64)  # where the (only) occurrence stands
+        at[own] = np.cumsum(number) - number
+        spot, a, z = [], [], []
+        for c, hit in zip(several.tolist(), found):
+            if total[c] == 1 and hit.any():
+                for x, y in _runs(hit):
+                    spot.append(at[c]), a.append(x), z.append(y)
+        spot = np.array(spot, np.int64)
+        take.append(spot)
+        begin.append(first[spot] + np.array(a, np.int64))
+        end.append(first[spot] + np.array(z, np.int64) + length - 1)
+    where = pa.array(np.concatenate(take))
+    return [ids.take(where), marks.take(where), pa.array(np.concatenate(begin), pa.int32()), pa.array(np.concatenate(end), pa.int32())]
+
+
+_FOUND = ["h1", "h2", "n", "doc_id", "mark", "start", "stop"]
+
+
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, mark, start, stop) of removed bytes, from context rows."""
+    """From context rows: spans of removed bytes (null n) of the anchors that are
+    gathered, and the windows of the salted ones."""
     kind = rows.schema["ids"].dataType.elementType.simpleString()
 
-    def solve(groups):
-        """groups: list of {(lead, context): [(doc, mark, start), ...]}"""
-        out = []
-        number, lead, texts, places = [], [], [], []
-        for i, g in enumerate(groups):
-            for (off, text), occ in g.items():
-                if len(occ) > 1:
-                    out += [(d, k, s, s + len(text)) for d, k, s in occ]
-                if len(g) > 1:
-                    number.append(i), lead.append(off), texts.append(text), places.append(occ)
-        if texts:
-            found = repeated_windows(np.array(number), np.array(lead), texts, length)
-            for hit, occ in zip(found, places):
-                if len(occ) == 1:
-                    d, k, s = occ[0]
-                    out += [(d, k, s + a, s + z + length - 1) for a, z in _runs(hit)]
-        return out
+    def spans(t: pa.Table):
+        cols = solve(t, length)
+        none = pa.nulls(len(cols[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, *cols], names=_FOUND)
 
     def run(batches):
-        groups, current, last, held = [], {}, None, 0
-        kinds = None
-
-        def flush(out):
-            cols = list(zip(*out)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "mark", "start", "stop"])
-
+        held, n = [], 0  # whole groups of cold anchors, then the last one, open
         for b in batches:
-            kinds = [b.column(3).type.value_type, pa.int64(), pa.int32(), pa.int32()]
-            for key, off, text, ids, marks, starts in zip(*(c.to_pylist() for c in b.columns)):
-                if key != last:
-                    if current and (len(current) > 1 or len(next(iter(current.values()))) > 1):
-                        groups.append(current)
-                        held += len(current)
-                        if held >= COLLECTION:
-                            yield flush(solve(groups))
-                            groups, held = [], 0
-                    current, last = {}, key
-                current.setdefault((off, text), []).extend(zip(ids, marks, starts))
-        if current:
-            groups.append(current)
-        if groups:
-            yield flush(solve(groups))
+            t = pa.Table.from_batches([b])
+            salt = t.column("salt").to_numpy()
+            for cols in window_rows(t.filter(pa.array(salt != 0)), length) if salt.any() else ():
+                yield pa.RecordBatch.from_arrays(cols, names=_FOUND)
+            t = t.filter(pa.array(salt == 0))
+            if not len(t):
+                continue
+            held.append(t)
+            n += len(t)
+            if n >= COLLECTION:
+                t = pa.concat_tables(held)
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # sorted: the open group starts here
+                if cut:
+                    yield spans(t.slice(0, cut))
+                held, n = [t.slice(cut)], len(t) - cut
+        if n:
+            yield spans(pa.concat_tables(held))
+        pa.default_memory_pool().release_unused()
 
     parts = shuffle_partitions(rows.sparkSession)
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"doc_id {kind}, mark long, start int, stop int")
+    dealt = rows.repartition(parts, "key", "salt").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, f"h1 long, h2 long, n long, doc_id {kind}, mark long, start int, stop int")
+
+
+def with_windows(found: DataFrame) -> DataFrame:
+    """The spans, and of the windows those that occur again anywhere."""
+    span = ["doc_id", "mark", "start", "stop"]
+    again = found.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    single = found.where("n IS NOT NULL").join(again, ["h1", "h2"], "left_semi")
+    return found.where("h1 IS NULL").select(*span).unionByName(single.select(*span))
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
@@ -343,11 +377,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, name: str = "spans") ->
     own = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     several, many = repeated_anchor_filter(own, length)
     held = spark.sparkContext.broadcast(several)
-    if many.any():
-        hot = spark.sparkContext.broadcast(many)
-        spans = repeated_spans(contexts(own, held, length, hot), length).unionByName(hot_spans(contexts(own, hot, length), length))
-    else:
-        spans = repeated_spans(contexts(own, held, length), length)
+    hot = spark.sparkContext.broadcast(many) if many.any() else None
+    spans = repeated_spans(contexts(own, held, length, hot), length)
+    # with hot anchors the spans are used twice: counted, then picked
+    spans = with_windows(materialize(spans)) if hot else spans.select("doc_id", "mark", "start", "stop")
     doc, mark, own_mark = fresh(docs, "_doc"), fresh(docs, "_mark"), fresh(docs, "_own_mark")
     by_doc = spans.groupBy(F.col("doc_id").alias(doc), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("start", "stop")).alias(name))
     marked = docs.withColumn(own_mark, F.xxhash64("text"))

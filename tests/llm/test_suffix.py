@@ -46,16 +46,17 @@ def test_hot_anchors_are_not_gathered(spark, monkeypatch):
     passage, tails = word(150), [word(90) for _ in range(5)]
     rows = [(i, word(rng.randint(0, 80)) + passage + rng.choice(tails)[: rng.randint(0, 90)] + word(rng.randint(0, 40))) for i in range(60)]
     rows += [(100 + i, rows[0][1]) for i in range(12)] + [(200 + i, word(120)) for i in range(9)] + [(300, rows[40][1] + word(70))]
-    most, gather = [], S.repeated_spans
+    most, salted, gather = [], [], S.repeated_spans
 
     def held(found, length):
-        most.append(found.groupBy("key").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        most.append(found.where("salt = 0").groupBy("key").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        salted.append(found.where("salt > 0").count())
         return gather(found, length)
 
     monkeypatch.setattr(S, "repeated_spans", held)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert told(S.digests(df, 64)) == brute(rows, 64)
-    assert most[0] <= 8
+    assert most[0] <= 8 and salted[0] > 8
 
 
 def test_repeated_windows_by_brute_force():
