@@ -225,18 +225,27 @@ class Graph:
         return np.concatenate(out_q), np.concatenate(out_v)
 
 
-def audited_links(graph: Graph, q: np.ndarray, threshold: float, beam: int = SEARCH_BEAM):
-    """Links of all queries; beams double until the audit passes."""
+def audited_links(graph: Graph, q: np.ndarray, threshold: float, beam: int = SEARCH_BEAM, own: np.ndarray | None = None):
+    """Links of all queries; beams double until the audit passes: the mean share
+    of an audited query's links that the search has found, itself (node ``own``
+    of the graph, -1 if it isn't there) left out."""
     loose = threshold - SLACK
+    own = np.full(len(q), -1) if own is None else own
     step = max(1, min(int(1 / AUDIT_SHARE), len(q) // AUDIT_LEAST or 1))
     checked = np.arange(0, len(q), step)
-    true = 0
+    true = np.zeros(len(checked), np.int64)
     for a in range(0, len(checked), 256):
-        true += int((q[checked[a : a + 256]].astype(np.float32) @ graph.x.T >= loose).sum())
+        rows = checked[a : a + 256]
+        near = q[rows].astype(np.float32) @ graph.x.T >= loose
+        here = np.flatnonzero(own[rows] >= 0)
+        near[here, own[rows[here]]] = False
+        true[a : a + 256] = near.sum(1)
+    some = np.flatnonzero(true)
     while True:
         i, j = graph.links_of(q, loose, beam)
-        found = int((i % step == 0).sum())
-        if found >= RECALL * true or beam >= len(graph.x):
+        other = (i % step == 0) & (j != own[i])
+        found = np.bincount(i[other] // step, minlength=len(checked))
+        if not len(some) or (found[some] / true[some]).mean() >= RECALL or beam >= len(graph.x):
             return i, j
         beam *= 2
 
@@ -268,7 +277,9 @@ def _search(threshold: float):
             return empty
         own_id, copies, unit, graph = pickle.loads(left.column("graph")[0].as_py())
         q_id, q_copies, q = right.column("class_id").to_numpy(), right.column("copies").to_numpy(), _unit(right)
-        i, j = audited_links(graph, q, threshold)
+        at = {c: k for k, c in enumerate(own_id.tolist())}
+        own = np.array([at.get(c, -1) for c in q_id.tolist()], np.int64)
+        i, j = audited_links(graph, q, threshold, own=own)
         exact = np.empty(len(i))
         for a in range(0, len(i), 1 << 18):
             exact[a : a + (1 << 18)] = np.einsum("kd,kd->k", q[i[a : a + (1 << 18)]], unit[j[a : a + (1 << 18)]])
@@ -308,9 +319,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     v = v.select("id", "ok", F.transform("v", lambda e: e / norm).alias("unit"))
     v = v.withColumn("h1", F.xxhash64("unit")).withColumn("h2", F.xxhash64(F.lit(1), F.col("unit")))
     classes = v.where("ok AND id IS NOT NULL").groupBy("h1", "h2").agg(
-        F.min("id").cast("long").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")
+        F.min("id").cast("long").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")
     )
-    classes = materialize(classes.withColumn("place", F.xxhash64("h2", "h1")))
+    # ids may repeat over vectors, so classes have numbers of their own (fixed
+    # by the checkpoint)
+    classes = materialize(classes.withColumn("place", F.xxhash64("h2", "h1")).withColumn("class_id", F.monotonically_increasing_id()))
     n = classes.count()
     shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
     # shards of vectors of one length only
@@ -333,9 +346,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = materialize(found)
     components = connected_components(found, "class_id", "root")
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    told = classes.select("h1", "h2", "class_id", "copies").join(links, "class_id", "left")
+    told = classes.select("h1", "h2", "class_id", "least_id", "copies").join(links, "class_id", "left")
     told = told.join(components.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    told = told.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    told = told.withColumn("component", F.coalesce("component", "class_id"))
+    named = told.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    told = told.join(named, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = v.where("ok AND id IS NOT NULL").select("id", "h1", "h2").join(told, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = v.where("NOT ok OR id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
     out = linked.unionByName(alone)

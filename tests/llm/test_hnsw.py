@@ -60,6 +60,32 @@ def test_pairs_of_one_shard_count_once_over_many_blocks(spark, monkeypatch):
     assert told == brute(rows)
 
 
+def test_one_id_on_several_vectors(spark):
+    rows = [(3, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.02]), (6, [1.0, 0.01, 0.0]), (7, [1.0, 0.02, 0.0])]
+    rows += [(9, [0.0, 0.01, 1.0]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, 1.0])]  # links within one id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    told = sorted(tuple(r)[:3] for r in H.near_duplicates(df).collect())
+    assert told == brute(rows)
+
+
+def test_audit_leaves_the_query_itself_out():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8))
+    x[1::2] = x[::2] + rng.normal(size=(200, 8)) * 0.01  # pairs
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g, beams = H.Graph(x), []
+
+    class OnlyItself:
+        x = g.x
+
+        def links_of(self, q, threshold, beam):
+            beams.append(beam)
+            return (np.arange(len(q)),) * 2 if beam < 32 else g.links_of(q, threshold, beam)
+
+    H.audited_links(OnlyItself(), x, 0.95, 8, np.arange(400))
+    assert beams == [8, 16, 32]
+
+
 def test_recall_of_the_graph_itself():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(300, 16))
