@@ -13,16 +13,17 @@ chance of a new table is fixed inside a block).  A sweep sees the table totals
 of the one before.  Discounts follow from the counts of counts.  Predictive
 probabilities are averaged over the last ``SAMPLES`` of ``SWEEPS`` sweeps.
 
-On the cluster: words are dealt by hash into parts.  One pass over the texts
-makes, per batch and part, a packed list of (word, document, context, count),
-shuffled once and checkpointed.  What restaurants know of a word is in its part.
+On the cluster: words are dealt by hash into parts of about ``PART_BYTES`` of
+text.  One pass over the texts makes, per batch and part, a packed list of (word,
+document, context, count), shuffled once and checkpointed.  What restaurants
+know of a word is in its part; its counts are folded from one list at a time.
 Tokens and tables of a context are summed on the cluster: every part sends those
 of its contexts to where the context's hash is dealt and gets back the sums over
 all parts.  Only totals (words, tokens, tables, counts of counts) meet on the
-driver, a fixed number per part.  Sweeps are drawn from fixed seeds and given totals, so they
-need no stored state: each pass seats again from the counts, and a lost task
-repeats the same draws.  Scores are summed per document and part, then per
-document.  Counts, words and documents are never sampled or cut.
+driver, a fixed number per part.  The seats of a part are written after each
+sweep, which seats once more from them with a fixed seed, so a lost task repeats
+the same draws.  Scores are summed per document and part, then per document.
+Counts, words and documents are never sampled or cut.
 
 Defined results: a null or empty text is one end token; unknown words share
 the unknown type; repeated rows count as often as they occur; with an empty
@@ -35,6 +36,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +51,11 @@ CONTEXTS = 256
 SWEEPS, SAMPLES = 4, 3
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
-PART_BYTES = 64 << 20
-MAX_PARTS = 256
+#: text of a part; parts grow in number with the corpus, not in size
+PART_BYTES = 32 << 20
+LEAST_PARTS = 12
+#: entries that wait before they are folded into a part's counts
+FOLD = 500_000
 #: partial scores travel as whole numbers of this size
 UNIT = 1e-9
 BATCH_BYTES = 12 << 20
@@ -196,7 +201,7 @@ class Counts:
             key, at = np.unique((w[use] << 32) | context[use], return_inverse=True)
             held.append((h[key >> 32], own[key & 0xFFFFFFFF], np.bincount(at, weights=n[use], minlength=len(key)).astype(np.int64), own))
             size += len(key) + len(own)
-            if size > 4_000_000:
+            if size > max(FOLD, len(self.c) // 2):  # so that all folds cost a few times the last
                 fold()
                 size = 0
         fold()
@@ -289,18 +294,30 @@ def crp_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng)
     return tables
 
 
-def seatings(c: Counts, totals: Totals, part: int, seed: int = 11):
-    """Tables (of entries, of words) after every sweep whose totals are known."""
-    rng = np.random.default_rng([seed, part])
-    t = np.ones(len(c.c), np.int64)
-    t0 = np.ones(len(c.words), np.int64)
-    for tables, parents in totals.history:
-        p1 = parent_probability(c, totals, t, t0, tables, parents)
-        t = crp_tables(c.c, (STRENGTH + totals.discount * tables[c.g]) * p1[c.w], totals.discount, rng)
-        guests = np.bincount(c.w, weights=t, minlength=len(c.words)).astype(np.int64)
-        mass = np.full(len(c.words), (STRENGTH + totals.parent_discount * parents) * totals.base)
-        t0 = crp_tables(guests, mass, totals.parent_discount, rng)
-        yield t, t0
+def seated(c: Counts, totals: Totals, t: np.ndarray, t0: np.ndarray, part: int, sweep: int, seed: int = 11):
+    """Tables (of entries, of words) of one more sweep, given those before and
+    the latest totals."""
+    rng = np.random.default_rng([seed, part, sweep])
+    tables, parents = totals.history[-1]
+    p1 = parent_probability(c, totals, t, t0, tables, parents)
+    t = crp_tables(c.c, (STRENGTH + totals.discount * tables[c.g]) * p1[c.w], totals.discount, rng)
+    guests = np.bincount(c.w, weights=t, minlength=len(c.words)).astype(np.int64)
+    mass = np.full(len(c.words), (STRENGTH + totals.parent_discount * parents) * totals.base)
+    return t, crp_tables(guests, mass, totals.parent_discount, rng)
+
+
+def first_seats(c: Counts):
+    """One table per entry and word."""
+    return np.ones(len(c.c), np.int64), np.ones(len(c.words), np.int64)
+
+
+def pack_seats(t: np.ndarray, t0: np.ndarray) -> bytes:
+    return pack_whole(np.concatenate((t, t0)))
+
+
+def unpack_seats(blob: bytes, c: Counts):
+    both = unpack_whole(blob)
+    return both[: len(c.c)], both[len(c.c) :]
 
 
 def parent_probability(c: Counts, totals: Totals, t, t0, tables, parents) -> np.ndarray:
@@ -313,22 +330,18 @@ def parent_probability(c: Counts, totals: Totals, t, t0, tables, parents) -> np.
 class Predictor:
     """Averaged predictive probabilities of one part."""
 
-    def __init__(self, c: Counts, totals: Totals, part: int):
+    def __init__(self, c: Counts, totals: Totals, seats: list):
+        """``seats`` of some sweeps; ``totals`` has the totals after each."""
         self.c, self.totals = c, totals
         self.key = (c.w.astype(np.int64) << 32) | c.g
         self.samples = []
-        # the last element of the history are the totals after the last sweep
-        after = totals.history[1:]
-        known = Totals.__new__(Totals)
-        known.__dict__.update(totals.__dict__, history=totals.history[:-1])
-        for (t, t0), (tables, parents) in zip(seatings(c, known, part), after):
+        for (t, t0), (tables, parents) in zip(seats, totals.history[1:]):
             p1 = parent_probability(c, totals, t, t0, tables, parents)
             unknown = (STRENGTH + totals.parent_discount * parents) * totals.base / (STRENGTH + tables.sum())
             room = STRENGTH + totals.tokens_in
             own = (c.c - totals.discount * t) / room[c.g]
             rest = (STRENGTH + totals.discount * tables) / room
             self.samples.append((own, rest, np.append(p1, unknown)))
-        self.samples = self.samples[-SAMPLES:]
 
     def logs(self, h: np.ndarray, w: np.ndarray, context: np.ndarray):
         """(log10 probability, base log10, known) of packed entries."""
@@ -427,17 +440,17 @@ def _told(c: Counts, parts: int, told: pa.Table) -> list[np.ndarray]:
 
 
 def _by_part(batches, use):
-    """Feed the blobs of each part (rows are sorted by part) to ``use``."""
-    last, held = None, []
-    for b in batches:
-        for part, batch, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if part != last:
-                if held:
-                    yield from use(last, held)
-                last, held = part, []
-            held.append((batch, blob))
-    if held:
-        yield from use(last, held)
+    """Feed the blobs of each part (rows are sorted by part) to ``use``, one at
+    a time."""
+
+    def rows():
+        for b in batches:
+            parts, blobs = b.column(0).to_pylist(), b.column(1)
+            for i, part in enumerate(parts):
+                yield part, blobs[i].as_py()
+
+    for part, own in itertools.groupby(rows(), key=lambda r: r[0]):
+        yield from use(part, (blob for _, blob in own))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -446,12 +459,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(MAX_PARTS, max(12, -(-total // PART_BYTES)))
+    parts = max(LEAST_PARTS, -(-total // PART_BYTES))
     rows = materialize(packed(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "batch"))
     blobs = rows.where("part >= 0").select("part", "batch", "blob")
 
     def count(part, held):
-        c = Counts(x for _, x in held)
+        c = Counts(held)
         sums = c.summary()
         whole = [c.c.sum(), len(c.c), *sums[-5:]]
         yield pa.RecordBatch.from_arrays(
@@ -459,7 +472,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             names=["part", "whole", "counts"],
         )
 
-    counted = materialize(blobs.mapInArrow(lambda batches: _by_part(batches, count), "part int, whole array<double>, counts binary"))
+    counted = materialize(blobs.select("part", "blob").mapInArrow(lambda batches: _by_part(batches, count), "part int, whole array<double>, counts binary"))
     # a fixed number of totals per part, summed on the driver
     sums = [np.array(r[0]) for r in counted.select("whole").collect()]
     whole = [np.sum(sums, axis=0) if sums else np.zeros(7)]
@@ -472,36 +485,58 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 values = np.stack((np.bincount(c.g, weights=c.c, minlength=k), np.bincount(c.g, minlength=k)))
                 yield from offers(part, parts, c, values, 0).to_batches()
 
-    def sweep(whole):
+    state = "part int, counts binary, seats array<binary>"
+
+    def sweep(r, whole):
         def run(left, right):
-            part, c = left.column("part")[0].as_py(), Counts.unpack(left.column("counts")[0].as_py())
-            for t, t0 in seatings(c, Totals.of_part(_told(c, parts, right), whole), part):
-                pass
-            return offers(part, parts, c, np.bincount(c.g, weights=t, minlength=len(c.contexts))[None], int(t0.sum()))
+            part, blob = left.column("part")[0].as_py(), left.column("counts")[0].as_py()
+            seats, c = left.column("seats")[0].as_py(), Counts.unpack(blob)
+            t, t0 = unpack_seats(seats[-1], c) if seats else first_seats(c)
+            t, t0 = seated(c, Totals.of_part(_told(c, parts, right), whole), t, t0, part, r)
+            return pa.table({"part": left.column("part"), "counts": left.column("counts"), "seats": pa.array([[*seats, pack_seats(t, t0)][-SAMPLES:]], pa.list_(pa.binary()))})
 
         return run
 
-    counts = counted.select("part", "counts")
-    told = None
+    def tables(batches):
+        for b in batches:
+            for part, blob, seats in zip(*(x.to_pylist() for x in b.columns)):
+                c = Counts.unpack(blob)
+                t, t0 = unpack_seats(seats[-1], c)
+                own = np.bincount(c.g, weights=t, minlength=len(c.contexts))[None]
+                yield from offers(part, parts, c, own, int(t0.sum())).to_batches()
+
+    seated_parts = counted.select("part", "counts", F.array().cast("array<binary>").alias("seats"))
+    told = {}
     for r in range(SWEEPS + 1 if sums else 0):
         if r == 0:
-            own = counts.mapInArrow(first, OFFERS)
+            own = counted.select("part", "counts").mapInArrow(first, OFFERS)
         else:
-            own = counts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(sweep(list(whole)), OFFERS)
+            before = told[0] if r == 1 else told[0].unionByName(told[r - 1])
+            totals = [whole[0]] if r == 1 else [whole[0], whole[r - 1]]
+            seated_parts = materialize(seated_parts.groupBy("part").cogroup(before.groupBy("part")).applyInArrow(sweep(r, totals), state))
+            own = seated_parts.mapInArrow(tables, OFFERS)
         met = materialize(own.groupBy("target").applyInArrow(_meet, "part int, target int, sums binary, tables long, parents long"))
         if r:
             whole.append(tuple(float(x) for x in met.agg(F.sum("tables"), F.sum("parents")).first()))
-        met = met.select("part", F.lit(r).alias("round"), "target", "sums")
-        told = met if told is None else told.unionByName(met)
+        told[r] = met.select("part", F.lit(r).alias("round"), "target", "sums")
+        for old in [k for k in told if 0 < k <= r - SAMPLES]:
+            del told[old]
         del own, met
         release(spark)
+    del counted
 
     names = ["part", "batch", "known", "base", "score"]
 
+    sampled = sorted(told)[-SAMPLES:] if sums else []
+    last = [whole[0]] + [whole[r] for r in sampled]
+
     def score(left, right):
+        """Left: a part's packed lists; right: what it knows and is told."""
         part, held = left.column("part")[0].as_py(), left.column("blob").to_pylist()
-        c = Counts(held)
-        model = Predictor(c, Totals.of_part(_told(c, parts, right), whole), part)
+        known = right.filter(pc.is_valid(right.column("counts")))
+        c = Counts.unpack(known.column("counts")[0].as_py())
+        seats = [unpack_seats(x, c) for x in known.column("seats")[0].as_py()]
+        model = Predictor(c, Totals.of_part(_told(c, parts, right.filter(pc.is_valid(right.column("target")))), last), seats)
         pack = zstandard.ZstdCompressor(level=1).compress
         out = []
         for batch, blob in zip(left.column("batch").to_pylist(), held):
@@ -522,7 +557,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     if sums:
         # both sides are dealt by part; the blobs stay where they are
-        partial = blobs.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(score, "part int, batch long, known binary, base binary, score binary")
+        lists = told[0]
+        for r in sampled:
+            lists = lists.unionByName(told[r])
+        knows = lists.unionByName(seated_parts, allowMissingColumns=True)
+        partial = blobs.groupBy("part").cogroup(knows.groupBy("part")).applyInArrow(score, "part int, batch long, known binary, base binary, score binary")
     else:
         partial = blobs.select("part", "batch", *[F.lit(None).cast("binary").alias(c) for c in names[2:]])
     heads = rows.where("part < 0").select("part", "batch", "ids", "held", "sizes", *[F.lit(None).cast("binary").alias(c) for c in ("known", "base", "score")])

@@ -44,11 +44,13 @@ def predictor(texts):
     blobs = [b for _, b, _ in P.pack_batch(texts, np.ones(len(texts), bool), 1)]
     c = P.Counts(blobs)
     totals = P.Totals(c.summary().astype(float))
-    for _ in range(P.SWEEPS):
-        for t, t0 in P.seatings(c, totals, 0):
-            pass
+    (t, t0), seats = P.first_seats(c), []
+    for r in range(1, P.SWEEPS + 1):
+        t, t0 = P.seated(c, totals, t, t0, 0, r)
+        seats.append((t, t0))
         totals.history.append((np.bincount(c.g, weights=t, minlength=P.CONTEXTS).astype(float), float(t0.sum())))
-    return c, totals, P.Predictor(c, totals, 0)
+    totals.history = totals.history[:1] + totals.history[-P.SAMPLES :]
+    return c, totals, P.Predictor(c, totals, seats[-P.SAMPLES :])
 
 
 def test_probabilities_sum_to_one():
@@ -59,6 +61,69 @@ def test_probabilities_sum_to_one():
         assert (10**log_p).sum() == pytest.approx(1.0)
 
 
+def plain_scores(rows, parts):
+    """log10 probabilities by dictionaries: the same draws, everything else from
+    the definition of the two restaurants."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    name = lambda w: 0 if w is None else digest(w) or 1
+    texts = {i: [name(w) for w in (t or "").encode().lower().split()] + [0] for i, t in rows}
+    pairs = {i: list(zip([0] + ws[:-1], ws)) for i, ws in texts.items()}  # the end token is also the beginning
+    count = Counter(p for i, ps in pairs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for p in ps)
+    words = sorted({w for _, w in count})
+    per_word, kinds = Counter(w for _, w in count), Counter(count.values())
+    ones = Counter(per_word.values())
+    bound = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b) if a else 0.5))
+    d, d0, base = bound(kinds[1], kinds[2]), bound(ones[1], ones[2]), 1 / (len(words) + 1)
+    t, t0, seen = dict.fromkeys(count, 1), dict.fromkeys(words, 1), []
+    tokens = Counter()
+    for (u, _), n in count.items():
+        tokens[u] += n
+
+    def parent(w):
+        guests = sum(t[p] for p in t if p[1] == w)
+        return (guests - d0 * t0.get(w, 0) + (1 + d0 * sum(t0.values())) * base) / (1 + sum(t.values()))
+
+    for sweep in range(1, P.SWEEPS + 1):
+        p1, tables, parents = {w: parent(w) for w in words}, Counter(), sum(t0.values())
+        for (u, _), n in t.items():
+            tables[u] += n
+        for part in range(parts):
+            rng = np.random.default_rng([11, part, sweep])
+            own = [w for w in words if w % parts == part]
+            # entries in the order of the packed counts: by word, then context
+            entries = sorted((p for p in count if p[1] % parts == part), key=lambda p: (p[1], p[0]))
+            drawn = P.crp_tables(np.array([count[p] for p in entries], np.int64), np.array([(1 + d * tables[u]) * p1[w] for u, w in entries]), d, rng)
+            t.update(zip(entries, drawn.tolist()))
+            guests = np.array([sum(t[p] for p in entries if p[1] == w) for w in own], np.int64)
+            t0.update(zip(own, P.crp_tables(guests, np.full(len(own), (1 + d0 * parents) * base), d0, rng).tolist()))
+        tables = Counter()
+        for (u, _), n in t.items():
+            tables[u] += n
+        wanted = {p for ps in pairs.values() for p in ps}
+        p1 = {w: parent(w) for w in {w for _, w in wanted}}
+        seen.append({(u, w): ((count[u, w] - d * t[u, w] if (u, w) in count else 0) + (1 + d * tables[u]) * p1[w]) / (1 + tokens[u]) for u, w in wanted})
+    return {i: sum(math.log10(sum(s[p] for s in seen[-P.SAMPLES :]) / P.SAMPLES) for p in ps) for i, ps in pairs.items()}
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    texts = ["", None] + [" ".join(f"w{rng.zipf(1.6) % 40}" for _ in range(rng.integers(1, 25))) for _ in range(80)]
+    rows = list(enumerate(texts))
+    want = plain_scores(rows, P.LEAST_PARTS)
+    got = {r["doc_id"]: r["score"] for r in P.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_many_folds_give_the_same_counts(monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 37}" for k in range(1, 30)) for i in range(60)]
+    blobs = [b for k in range(0, 60, 7) for _, b, _ in P.pack_batch(texts[k : k + 7], np.ones(len(texts[k : k + 7]), bool), 1)]
+    one = P.Counts(iter(blobs))
+    monkeypatch.setattr(P, "FOLD", 10)
+    many = P.Counts(iter(blobs))
+    assert (one.c == many.c).all() and (one.g == many.g).all() and (one.words == many.words).all() and (one.contexts == many.contexts).all()
+
+
 def test_every_word_is_a_context_of_its_own(spark):
     names = [f"w{i}" for i in range(2000)]
     c, _, _ = predictor([" ".join(names)])
