@@ -21,8 +21,9 @@ k nearest rows in the whole table; g_i = round_half_even(cnt_i * deficit /
 sum cnt) rows interpolated toward its minority neighbours.  sum r = 0 raises.
 Balance is approximate by rounding, as published.
 
-SVM-SMOTE (Nguyen et al. 2011): bases are minority support vectors of a
-linear SVM (margin * (2y - 1) <= 1; linear kernel instead of RBF); bases whose
+SVM-SMOTE (Nguyen et al. 2011): bases are minority support vectors of an SVM
+with a radial kernel (random Fourier features and a linear solver, see
+:mod:`raresift.operators.kernel`) or a linear one (margin <= 1); bases whose
 m nearest rows are all majority are dropped; bases with at least half
 majority neighbours interpolate toward minority neighbours, the others
 extrapolate ``a + u * out_step * (a - b)``.  Rows are spread over the kept
@@ -44,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import gaussian, uniform
+from raresift.operators.kernel import FourierMap, draw_map, scale_gamma
 from raresift.operators.knn import knn_join, packed
 from raresift.operators.splits import first_n
 from raresift.operators.stats import class_balance
@@ -223,9 +225,19 @@ def svm_smote(
     keep_original: bool = True,
     svm_coefficients: Sequence[float] | None = None,
     svm_intercept: float = 0.0,
+    kernel: str = "rbf",
+    components: int = 128,
+    gamma: float | None = None,
+    C: float = 1.0,
+    kernel_map: FourierMap | None = None,
 ) -> DataFrame:
-    """E3 (see module doc).  ``svm_coefficients``/``svm_intercept`` fix the
-    hyperplane (tests); otherwise a ``LinearSVC`` is fitted on the table."""
+    """E3 (see module doc).  ``kernel`` is "rbf" (``components`` Fourier features;
+    ``gamma`` 1 / (d * variance) unless given) or "linear".  A ``LinearSVC`` with
+    penalty ``C`` is fitted on the (mapped) rows; ``svm_coefficients`` and
+    ``svm_intercept`` fix its plane instead, on the features of ``kernel_map`` if
+    there is one, else on the rows themselves."""
+    if kernel not in ("rbf", "linear"):
+        raise ValueError("kernel must be rbf or linear")
     bal = _balance(df, label_col)
     mcls, n_min, deficit = bal["minority"], bal["n_min"], bal["deficit"]
     if n_min < 2:
@@ -235,14 +247,20 @@ def svm_smote(
         from pyspark.ml.classification import LinearSVC
         from pyspark.ml.functions import array_to_vector
 
-        train = allx.select(
-            array_to_vector(FEATURE_VEC).alias("features"), (F.col(label_col) == F.lit(mcls)).cast("double").alias("y")
-        )
-        svc = LinearSVC(labelCol="y", maxIter=100, regParam=0.0).fit(train)
+        if kernel == "rbf" and kernel_map is None:
+            d = allx.select(F.size(FEATURE_VEC)).first()[0]
+            kernel_map = draw_map(df.sparkSession, components, d, gamma or scale_gamma(allx, FEATURE_VEC), seed)
+        x = kernel_map.mapped(F.col(FEATURE_VEC)) if kernel_map else F.col(FEATURE_VEC)
+        train = allx.select(array_to_vector(x).alias("features"), (F.col(label_col) == F.lit(mcls)).cast("double").alias("y"))
+        reg = 1.0 / (C * bal["n"]) if kernel_map else 0.0  # the solver averages the losses
+        svc = LinearSVC(labelCol="y", maxIter=100, regParam=reg, standardization=kernel_map is None).fit(train)
         svm_coefficients, svm_intercept = svc.coefficients.toArray().tolist(), float(svc.intercept)
-    margin = F.lit(float(svm_intercept))
-    for i, w in enumerate(svm_coefficients):
-        margin = margin + F.col(FEATURE_VEC)[i] * F.lit(float(w))
+    if kernel_map:
+        margin = kernel_map.margin(F.col(FEATURE_VEC), svm_coefficients, svm_intercept)
+    else:
+        margin = F.lit(float(svm_intercept))
+        for i, w in enumerate(svm_coefficients):
+            margin = margin + F.col(FEATURE_VEC)[i] * F.lit(float(w))
     mins = _minority(df, features, label_col, id_col, mcls)
     # minority support vectors: on or inside the margin (y = +1 side)
     sv = mins.where(margin <= 1)

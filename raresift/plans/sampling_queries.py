@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from raresift.functions.hashing import sql_hash_key, sql_uniform
 from raresift.operators import knn, resample
+from raresift.operators.kernel import FourierMap
 from raresift.operators.relational import append_synthetic
 from raresift.plans.catalog import R, register, rounded
 from raresift.sources import fixtures as fx
@@ -202,8 +203,8 @@ def q_gmm(spark, sf):
 SVM_W, SVM_B, SVM_M = [0.0, 0.0, 0.0, 0.02], -2.0, 10
 
 
-def svm_smote_sql() -> str:
-    margin = f"({SVM_B!r})" + "".join(f" + {c} * ({w!r})" for c, w in zip(FEATS, SVM_W))
+def svm_smote_sql(margin: str | None = None) -> str:
+    margin = margin or f"({SVM_B!r})" + "".join(f" + {c} * ({w!r})" for c, w in zip(FEATS, SVM_W))
     sv = f"SELECT * FROM mins WHERE {margin} <= 1"
     near = (
         'SELECT q.row_id AS qid, r."Class" AS rc, '
@@ -243,3 +244,29 @@ def q_svm_fixed(spark, sf):
         svm_coefficients=SVM_W, svm_intercept=SVM_B,
     )
     return rounded(out)
+
+
+# ---------------------------------------------------------------- SVM-SMOTE, fixed kernel map and plane
+
+KERNEL = FourierMap(
+    np.array([[0.01, 0.0, 0.02, 0.004], [0.0, 0.05, -0.01, 0.006], [0.003, -0.02, 0.0, 0.01], [-0.004, 0.01, 0.03, -0.002]]),
+    np.array([0.0, 0.5, 1.0, 4.0]),
+)
+KERNEL_W, KERNEL_B = [0.9, -0.7, 1.1, 0.5], 0.6
+
+
+def _kernel_margin_sql() -> str:
+    terms = []
+    for row, phase, w in zip(KERNEL.frequencies.tolist(), KERNEL.phases.tolist(), KERNEL_W):
+        angle = " + ".join(f"{c} * ({f!r})" for c, f in zip(FEATS, row))
+        terms.append(f"({w!r}) * sqrt(2.0 / {len(KERNEL_W)}) * cos({angle} + {phase!r})")
+    return f"({' + '.join(terms)} + {KERNEL_B!r})"
+
+
+@register("svm_smote_fixed_kernel", svm_smote_sql(_kernel_margin_sql()))
+def q_svm_kernel(spark, sf):
+    out = resample.svm_smote(
+        _txn_clean(spark, sf), FEATS, m_neighbors=SVM_M, seed=SEED, keep_original=False,
+        svm_coefficients=KERNEL_W, svm_intercept=KERNEL_B, kernel_map=KERNEL,
+    )
+    return rounded(out)
