@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ def release(spark: SparkSession) -> None:
     with little to do may put off for many rounds of an iterative job."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)  # the cleaner works beside
 
 
 def slices(batch, rows: int = 512):

@@ -1,7 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words.
 
-Restaurants: the context of a token is the whole token before it (told by its
-64-bit hash; the text's beginning has its own), so there are as many context
+Restaurants: the context of a token is the whole token before it (told by 48
+bits of its hash; the text's beginning has its own), so there are as many context
 restaurants as words; all of them share one parent, the restaurant of word types,
 whose base is uniform over the ``V`` known types and one for everything unknown.  A customer that opens a table
 in a context restaurant sends one customer to the parent.
@@ -48,6 +48,8 @@ from raresift.llm.common import crc_text, materialize, read, release
 #: least places of a part's vectors over contexts (those past its contexts are
 #: empty restaurants); the contexts themselves are not limited
 CONTEXTS = 256
+#: contexts are told by the upper 48 bits of their hash
+CONTEXT_SHIFT = np.uint64(16)
 SWEEPS, SAMPLES = 4, 3
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
@@ -58,7 +60,7 @@ LEAST_PARTS = 12
 FOLD = 500_000
 #: partial scores travel as whole numbers of this size
 UNIT = 1e-9
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 24 << 20
 BATCH_DOCS = 60_000
 
 
@@ -71,6 +73,25 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side (they compress better)."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(raw, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
+
+
+def gaps(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers by their differences."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)).astype("<u8"))
+
+
+def from_gaps(raw, n: int, at: int) -> np.ndarray:
+    return np.cumsum(from_planes(raw, "<u8", n, at), dtype=np.uint64)
+
+
 def pack_batch(texts, train, parts: int):
     """Packed rows (part, blob) of a batch, and the token count of each text."""
     from xxhash import xxh3_64_intdigest as digest
@@ -105,12 +126,12 @@ def pack_batch(texts, train, parts: int):
         a, z = np.searchsorted(at, [lo, hi])
         runs = np.bincount(at[a:z] - lo, minlength=hi - lo)
         own, g = np.unique(context[a:z], return_inverse=True)
-        steps = np.diff(g, prepend=0) % len(own)  # sorted inside a word
-        head = np.array([hi - lo, z - a, len(texts), len(own)], "<i8").tobytes()
-        body = b"".join(
-            x.tobytes()
-            for x in (h[lo:hi], h[own], runs.astype("<u4"), n[a:z].astype("<u4"), d[a:z].astype("<u2"), train.astype(np.uint8), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-        )
+        keys, to = np.unique(h[own] >> CONTEXT_SHIFT, return_inverse=True)
+        g = to[g]
+        steps = np.diff(g, prepend=0) % len(keys)  # mostly ascending inside a word
+        head = np.array([hi - lo, z - a, len(texts), len(keys)], "<i8").tobytes()
+        rest = (runs.astype("<u4"), n[a:z].astype("<u4"), d[a:z].astype("<u2"), train.astype(np.uint8))
+        body = b"".join((gaps(h[lo:hi]), gaps(keys), *(x.tobytes() for x in rest), planes(steps.astype("<u4"))))
         yield p, pack(head + body), size
 
 
@@ -119,13 +140,13 @@ def unpack(blob: bytes):
     the context, train flags)."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     words, entries, docs, contexts = np.frombuffer(raw, "<i8", 4).tolist()
-    at = 32
-    out = []
-    for kind, n in (("<u8", words), ("<u8", contexts), ("<u4", words), ("<u4", entries), ("<u2", entries), ("u1", docs), ("u1", 4 * entries)):
+    h, own = from_gaps(raw, words, 32), from_gaps(raw, contexts, 32 + 8 * words)
+    at, out = 32 + 8 * (words + contexts), []
+    for kind, n in (("<u4", words), ("<u4", entries), ("<u2", entries), ("u1", docs)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
-    h, own, runs, n, doc, train, steps = out
-    context = np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)) % contexts
+    runs, n, doc, train = out
+    context = np.cumsum(from_planes(raw, "<u4", entries, at).astype(np.int64)) % contexts
     return h, own, np.repeat(np.arange(words), runs), n.astype(np.int64), doc.astype(np.int64), context, train.astype(bool)
 
 
@@ -211,19 +232,21 @@ class Counts:
         del self.h, self.before
 
     def pack(self) -> bytes:
-        head = np.array([len(self.words), len(self.c), len(self.contexts)], "<i8")
+        head = np.array([len(self.words), len(self.c), len(self.contexts)], "<i8").tobytes()
         runs = np.bincount(self.w, minlength=len(self.words))
-        cols = (head, self.words, self.contexts, self.c.astype("<i8"), runs.astype("<u4"), self.g.astype("<u4"))
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in cols))
+        steps = np.diff(self.g, prepend=0) % max(1, len(self.contexts))
+        cols = (gaps(self.words), gaps(self.contexts), planes(self.c.astype("<i8")), runs.astype("<u4").tobytes(), planes(steps.astype("<u4")))
+        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(cols))
 
     @classmethod
     def unpack(cls, blob: bytes) -> Counts:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         words, entries, contexts = np.frombuffer(raw, "<i8", 3).tolist()
-        at, out = 24, []
-        for kind, n in (("<u8", words), ("<u8", contexts), ("<i8", entries), ("<u4", words), ("<u4", entries)):
-            out.append(np.frombuffer(raw, kind, n, at))
-            at += out[-1].nbytes
+        at = 24 + 8 * (words + contexts)
+        out = [from_gaps(raw, words, 24), from_gaps(raw, contexts, 24 + 8 * words), from_planes(raw, "<i8", entries, at)]
+        at += 8 * entries
+        out.append(np.frombuffer(raw, "<u4", words, at))
+        out.append(np.cumsum(from_planes(raw, "<u4", entries, at + 4 * words).astype(np.int64)) % max(1, contexts))
         c = cls.__new__(cls)
         c.words, c.contexts, c.c, runs, g = out
         c.w, c.g = np.repeat(np.arange(words), runs), g.astype(np.int64)
@@ -367,13 +390,12 @@ class Predictor:
 
 def pack_whole(whole: np.ndarray) -> bytes:
     """Whole numbers, bytes of equal weight side by side, compressed."""
-    whole = np.ascontiguousarray(whole, "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(whole.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(planes(np.ascontiguousarray(whole, "<i8")))
 
 
 def unpack_whole(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    return from_planes(raw, "<i8", len(raw) // 8, 0)
 
 
 def pack_sums(sums: np.ndarray) -> bytes:
@@ -398,7 +420,7 @@ def offers(part: int, parts: int, c: Counts, values: np.ndarray, parents: int) -
         {
             "part": pa.array([part] * n, pa.int32()),
             "target": pa.array([q for q, _ in cuts], pa.int32()),
-            "keys": pa.array([keys[x].tobytes() for _, x in cuts], pa.binary()),
+            "keys": pa.array([zstandard.ZstdCompressor(level=1).compress(gaps(keys[x])) for _, x in cuts], pa.binary()),
             "own": pa.array([pack_whole(values[:, x].ravel()) for _, x in cuts], pa.binary()),
             "parents": pa.array([parents] + [0] * (n - 1), pa.int64()),
         }
@@ -407,7 +429,8 @@ def offers(part: int, parts: int, c: Counts, values: np.ndarray, parents: int) -
 
 def _meet(table: pa.Table) -> pa.Table:
     """All offers of one target: for each, the sums over all parts."""
-    keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+    raws = map(zstandard.ZstdDecompressor().decompress, table.column("keys").to_pylist())
+    keys = [from_gaps(x, len(x) // 8, 0) for x in raws]
     own = [unpack_whole(x).reshape(-1, len(k)) for x, k in zip(table.column("own").to_pylist(), keys)]
     each, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.stack([np.bincount(at, weights=v, minlength=len(each)) for v in np.concatenate(own, 1)])
@@ -485,42 +508,43 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 values = np.stack((np.bincount(c.g, weights=c.c, minlength=k), np.bincount(c.g, minlength=k)))
                 yield from offers(part, parts, c, values, 0).to_batches()
 
-    state = "part int, counts binary, seats array<binary>"
-
     def sweep(r, whole):
+        """Left: a part's counts; right: its totals and (but for the first
+        sweep) its seats.  Gives the new seats (target -1) and the offers."""
+
         def run(left, right):
-            part, blob = left.column("part")[0].as_py(), left.column("counts")[0].as_py()
-            seats, c = left.column("seats")[0].as_py(), Counts.unpack(blob)
-            t, t0 = unpack_seats(seats[-1], c) if seats else first_seats(c)
-            t, t0 = seated(c, Totals.of_part(_told(c, parts, right), whole), t, t0, part, r)
-            return pa.table({"part": left.column("part"), "counts": left.column("counts"), "seats": pa.array([[*seats, pack_seats(t, t0)][-SAMPLES:]], pa.list_(pa.binary()))})
+            part, c = left.column("part")[0].as_py(), Counts.unpack(left.column("counts")[0].as_py())
+            own = pc.equal(right.column("target"), -1)
+            held = right.filter(own).column("sums").to_pylist()
+            t, t0 = unpack_seats(held[0], c) if held else first_seats(c)
+            t, t0 = seated(c, Totals.of_part(_told(c, parts, right.filter(pc.invert(own))), whole), t, t0, part, r)
+            tables = np.bincount(c.g, weights=t, minlength=len(c.contexts))[None]
+            given = offers(part, parts, c, tables, int(t0.sum()))
+            new = [pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([pack_seats(t, t0)], pa.binary()), pa.array([0], pa.int64())]
+            return pa.concat_tables([pa.Table.from_arrays(new, schema=given.schema), given])
 
         return run
 
-    def tables(batches):
-        for b in batches:
-            for part, blob, seats in zip(*(x.to_pylist() for x in b.columns)):
-                c = Counts.unpack(blob)
-                t, t0 = unpack_seats(seats[-1], c)
-                own = np.bincount(c.g, weights=t, minlength=len(c.contexts))[None]
-                yield from offers(part, parts, c, own, int(t0.sum())).to_batches()
-
-    seated_parts = counted.select("part", "counts", F.array().cast("array<binary>").alias("seats"))
-    told = {}
+    counts = counted.select("part", "counts")
+    told, seats = {}, {}
     for r in range(SWEEPS + 1 if sums else 0):
         if r == 0:
-            own = counted.select("part", "counts").mapInArrow(first, OFFERS)
+            own = counts.mapInArrow(first, OFFERS)
         else:
-            before = told[0] if r == 1 else told[0].unionByName(told[r - 1])
+            before = told[0]
+            if r > 1:
+                before = before.unionByName(told[r - 1]).unionByName(seats[r - 1])
             totals = [whole[0]] if r == 1 else [whole[0], whole[r - 1]]
-            seated_parts = materialize(seated_parts.groupBy("part").cogroup(before.groupBy("part")).applyInArrow(sweep(r, totals), state))
-            own = seated_parts.mapInArrow(tables, OFFERS)
+            own = materialize(counts.groupBy("part").cogroup(before.groupBy("part")).applyInArrow(sweep(r, totals), OFFERS))
+            kept = materialize(own.where("target = -1").select("part", F.lit(r).alias("round"), "target", F.col("own").alias("sums")))
+            seats[r], own = kept, own.where("target >= 0")
+            del before, kept
         met = materialize(own.groupBy("target").applyInArrow(_meet, "part int, target int, sums binary, tables long, parents long"))
         if r:
             whole.append(tuple(float(x) for x in met.agg(F.sum("tables"), F.sum("parents")).first()))
         told[r] = met.select("part", F.lit(r).alias("round"), "target", "sums")
         for old in [k for k in told if 0 < k <= r - SAMPLES]:
-            del told[old]
+            del told[old], seats[old]
         del own, met
         release(spark)
     del counted
@@ -533,10 +557,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def score(left, right):
         """Left: a part's packed lists; right: what it knows and is told."""
         part, held = left.column("part")[0].as_py(), left.column("blob").to_pylist()
-        known = right.filter(pc.is_valid(right.column("counts")))
-        c = Counts.unpack(known.column("counts")[0].as_py())
-        seats = [unpack_seats(x, c) for x in known.column("seats")[0].as_py()]
-        model = Predictor(c, Totals.of_part(_told(c, parts, right.filter(pc.is_valid(right.column("target")))), last), seats)
+        is_counts, is_seats = pc.equal(right.column("target"), -2), pc.equal(right.column("target"), -1)
+        c = Counts.unpack(right.filter(is_counts).column("sums")[0].as_py())
+        drawn = right.filter(is_seats).sort_by("round").column("sums").to_pylist()
+        totals = Totals.of_part(_told(c, parts, right.filter(pc.greater_equal(right.column("target"), 0))), last)
+        model = Predictor(c, totals, [unpack_seats(x, c) for x in drawn])
         pack = zstandard.ZstdCompressor(level=1).compress
         out = []
         for batch, blob in zip(left.column("batch").to_pylist(), held):
@@ -557,10 +582,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     if sums:
         # both sides are dealt by part; the blobs stay where they are
-        lists = told[0]
+        knows = told[0].unionByName(counts.select("part", F.lit(0).alias("round"), F.lit(-2).alias("target"), F.col("counts").alias("sums")))
         for r in sampled:
-            lists = lists.unionByName(told[r])
-        knows = lists.unionByName(seated_parts, allowMissingColumns=True)
+            knows = knows.unionByName(told[r]).unionByName(seats[r])
         partial = blobs.groupBy("part").cogroup(knows.groupBy("part")).applyInArrow(score, "part int, batch long, known binary, base binary, score binary")
     else:
         partial = blobs.select("part", "batch", *[F.lit(None).cast("binary").alias(c) for c in names[2:]])
