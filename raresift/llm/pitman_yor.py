@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raresift.llm.catalog import register
-from raresift.llm.common import crc_text, materialize, read, release
+from raresift.llm.common import crc_text, materialize, read, release, shuffle_partitions
 
 #: least places of a part's vectors over contexts (those past its contexts are
 #: empty restaurants); the contexts themselves are not limited
@@ -483,7 +483,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-total // PART_BYTES))
-    rows = materialize(packed(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "batch"))
+    # with fewer partitions than Spark's own number a later join would deal them anew
+    dealt = packed(docs, parts).repartition(max(parts, shuffle_partitions(spark)), "part")
+    rows = materialize(dealt.sortWithinPartitions("part", "batch"))
     blobs = rows.where("part >= 0").select("part", "batch", "blob")
 
     def count(part, held):
