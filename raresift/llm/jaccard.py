@@ -17,8 +17,8 @@ with equal sets are one class; only classes are joined.
 
 Links must be found between different texts, yet a group of ``m`` near copies
 has ``m^2 / 2`` pairs.  So the lists are scanned twice.  First, neighbours in
-hashed orders of the first lists of each set are compared and the links united,
-which joins most of every group at ``m`` pairs a round.  Then all lists are
+two hashed orders of the first lists of each set are compared and the links
+united, which joins most of every group at ``m`` pairs an order.  Then all lists are
 scanned for pairs of sets that are *not yet connected*.  Short lists give their
 pairs; the members of longer ones meet again with a parity bitmap of each set
 (the Hamming distance of two never exceeds the sets' difference).  Of the pairs
@@ -56,11 +56,14 @@ CHUNK = 1 << 14
 BITMAP = 2048
 LIGHT_MOST = 16
 CHAIN_LISTS = 3
-CHAIN_ROUNDS = 2
+CHAIN_ORDERS = 2
 SHORT_LIST = 8
+#: members of a list that are compared in one group
+BLOCK = 4096
 #: up to this size half a bitmap is sharp enough
 SMALL_SET = 1200
 BLOOM_BITS = 1 << 24
+BLOOM_CHUNKS = 16
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -292,16 +295,19 @@ def _as_pairs(u: np.ndarray, v: np.ndarray):
     return np.minimum(u, v), np.maximum(u, v), np.full(len(u), -9)
 
 
-def _chain(seed: int, numer: int, denom: int):
-    """Pairs of neighbours in a hashed order of each list."""
+def _chain(numer: int, denom: int):
+    """Pairs of neighbours in ``CHAIN_ORDERS`` hashed orders of each list."""
 
     def emit(key, pos, size, cid, comp):
         keep = np.unique(cid, return_index=True)[1]
-        size, cid, comp = size[keep], cid[keep], comp[keep]
-        order = np.argsort(mix(cid.view(np.uint64) * _M1 + np.uint64(seed)))
-        size, cid, comp = size[order], cid[order], comp[order]
-        ok = (np.minimum(size[1:], size[:-1]) * denom >= np.maximum(size[1:], size[:-1]) * numer) & (comp[1:] != comp[:-1])
-        return _as_pairs(cid[:-1][ok], cid[1:][ok])
+        size, cid = size[keep], cid[keep]
+        found = [NOTHING]
+        for seed in range(1, CHAIN_ORDERS + 1):
+            order = np.argsort(mix(cid.view(np.uint64) * _M1 + np.uint64(seed)))
+            s, c = size[order], cid[order]
+            ok = np.minimum(s[1:], s[:-1]) * denom >= np.maximum(s[1:], s[:-1]) * numer
+            found.append(_as_pairs(c[:-1][ok], c[1:][ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     return emit
 
@@ -324,27 +330,34 @@ def _scan(numer: int, denom: int, spanning: bool = False):
     bitmaps, a long list gives its members instead (key, cid, pos).  With
     ``spanning``, only pairs that no others of the list connect already."""
 
-    def emit(key, pos, size, cid, comp, bits=None):
+    def emit(key, pos, size, cid, comp, bits=None, side=None):
         if (comp == comp[0]).all():
             return NOTHING
         if bits is None and len(cid) > SHORT_LIST:
             return np.full(len(cid), key[0]), cid, pos.astype(np.int64)
         order = np.argsort(size, kind="stable")
         pos, size, cid, comp = pos[order], size[order], cid[order], comp[order]
+        side = np.zeros(len(size), np.int8) if side is None else side[order]
         if bits is not None:
             bits = [x.view(np.uint64) for x in bits[order]]  # a signed count would take the absolute value
             half = np.stack([_fold(x) for x in bits])
             whole = np.array([len(x) == BITMAP // 64 for x in bits])
         left = size - pos - 1  # elements after this one, for the position bound
+        begin = np.searchsorted(size, -(-size * numer // denom), side="left")
         end = np.searchsorted(size, size * denom // numer, side="right")
         out_u, out_v = [], []
         parent: dict = {}
-        for i in range(len(size) - 1):
-            j = np.arange(i + 1, end[i])
-            j = j[comp[j] != comp[i]]
+        # each pair has a member outside the largest component: those search all
+        name, at, number = np.unique(comp, return_inverse=True, return_counts=True)
+        others = at != number.argmax()
+        for i in np.flatnonzero(others).tolist():
+            j = np.arange(begin[i], end[i])
+            # of two that search, the first one gives the pair
+            j = j[(comp[j] != comp[i]) & ((j > i) | ~others[j]) & ((side[j] != side[i]) | (side[i] == 0))]
+            least, most = np.minimum(size[i], size[j]), size[i] + size[j]
             # o >= t * (a + b - o), and o <= 1 + what follows in both
-            most = np.where((pos[j] < 0) | (pos[i] < 0), size[i], 1 + np.minimum(left[j], left[i]))
-            j = j[most * (numer + denom) >= numer * (size[i] + size[j])]
+            reach = np.where((pos[j] < 0) | (pos[i] < 0), least, 1 + np.minimum(left[j], left[i]))
+            j = j[reach * (numer + denom) >= numer * most]
             if bits is not None and len(j):
                 # |A xor B| = a + b - 2 o <= (denom - numer) / (denom + numer) * (a + b)
                 room = (denom - numer) * (size[i] + size[j])
@@ -382,25 +395,41 @@ def _unconnected(found: DataFrame, labelled: DataFrame, emit) -> DataFrame:
     pairs = found.where("pos = -9").select("a", "b")
     pairs = pairs.join(comp.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a")
     pairs = pairs.join(comp.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b").where("ca != cb").select("a", "b")
-    half = BITMAP // 128
-    short = F.zip_with(F.slice("bitmap", 1, half), F.slice("bitmap", half + 1, half), lambda x, y: x.bitwiseXOR(y))
-    bits = F.when(F.col("size") <= SMALL_SET, short).otherwise(F.col("bitmap"))
-    sets = labelled.select("cid", "size", "comp", bits.alias("bits"))
+    sets = labelled.select("cid", "size", "comp", "bits")
     members = found.where("pos != -9").select(F.col("a").alias("key"), F.col("b").alias("cid"), "pos").join(sets, "cid")
-    # lists that are one component by now have nothing to give
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    more = _in_lists(members.select("key", "pos", "size", "cid", "comp", "bits").join(mixed, "key", "left_semi"), emit)
+    # lists that are one component by now have nothing to give; long ones are
+    # cut into blocks, and every two blocks of a list meet in a group of their own
+    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x != y")
+    mixed = mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(mixed, "key").withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    members = members.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).cast("byte")
+    cell = F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))
+    more = _in_lists(members.select(cell.alias("key"), "pos", "size", "cid", "comp", "bits", side.alias("side")), emit)
     return pairs.unionByName(more.select("a", "b")).distinct()
 
 
 def _bloom(ids: DataFrame, col: str) -> np.ndarray:
-    """Bits of hashed ids, at most ``BLOOM_BITS`` (a filter before a join)."""
-    h = F.pmod(F.xxhash64(col), F.lit(BLOOM_BITS))
-    words = ids.select((h / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({col}), {BLOOM_BITS}), 64) as int))").alias("m"))
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("m")).collect():
-        out[r[0]] = r[1]
-    return out
+    """Bits of hashed ids, ``BLOOM_BITS`` of them (a filter before a join); they
+    reach the driver as packed chunks."""
+    chunk = BLOOM_BITS // BLOOM_CHUNKS
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False)
+            for c in np.unique(h // chunk).tolist():
+                held.setdefault(c, np.zeros(chunk, bool))[h[h // chunk == c] % chunk] = True
+        if held:
+            packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bits"])
+
+    h = ids.select(F.pmod(F.xxhash64(col), F.lit(BLOOM_BITS)).alias("h"))
+    dealt = h.repartition(BLOOM_CHUNKS, (F.col("h") / chunk).cast("int"))
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in dealt.mapInArrow(run, "chunk int, bits binary").collect():
+        out[r[0] * chunk // 8 : (r[0] + 1) * chunk // 8] |= np.frombuffer(r[1], np.uint8)
+    return out.view("<i8")
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -430,12 +459,20 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return made.join(classes, ["cid", "rep"], "left_semi").dropDuplicates(["cid"]).select("cid", "members")
 
 
+def _folded(c: str):
+    half = BITMAP // 128
+    return F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
     """The pairs (a, b) that link, by whole sets."""
-    own = classes.select("cid", "size", "bitmap")
-    p = pairs.join(own.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("bitmap").alias("ba")), "a")
-    p = p.join(own.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("bitmap").alias("bb")), "b")
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    own = classes.select("cid", "size", "bits")
+    p = pairs.join(own.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a")
+    p = p.join(own.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
+    p = p.where(F.least("sa", "sb") * denom >= F.greatest("sa", "sb") * numer)
+    mixed = F.size("ba") != F.size("bb")  # one is folded: fold the other
+    ba, bb = (F.when(mixed & (F.size(c) == BITMAP // 64), _folded(c)).otherwise(F.col(c)) for c in ("ba", "bb"))
+    apart = F.aggregate(F.zip_with(ba, bb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # |A xor B| = a + b - 2 o <= (denom - numer) / (denom + numer) * (a + b)
     p = p.where(apart * (denom + numer) <= (denom - numer) * (F.col("sa") + F.col("sb")))
     p = materialize(p.select("a", "b", "sa", "sb"))
@@ -457,8 +494,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
     boundary = choose_boundary(docs, held, words, numer, denom)
     sig = materialize(signatures(docs, held, boundary, words, numer, denom))
     linked = sig.where("cid IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linked.groupBy("cid").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"), F.first("subsets").alias("subsets"), F.first("lists").alias("lists"))
-    classes = materialize(classes)
+    # dealt by cid once: joins by cid find the classes where they are
+    bits = F.when(F.col("size") <= SMALL_SET, _folded("bitmap")).otherwise(F.col("bitmap"))
+    firsts = [F.first(c).alias(c) for c in ("bitmap", "subsets", "lists")]
+    classes = linked.repartition(shuffle_partitions(spark), "cid").groupBy("cid").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("size"), *firsts)
+    classes = materialize(classes.withColumn("bits", bits).drop("bitmap"))
+    sig = materialize(sig.select("doc_id", "n_shingles", "cid"))
     release(spark)
 
     def rows(labelled: DataFrame, most: int | None) -> DataFrame:
@@ -470,13 +511,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
 
     labelled = classes.withColumn("comp", F.col("cid"))
     edges, found = None, None
-    for r in range(CHAIN_ROUNDS + 2):
-        if r < CHAIN_ROUNDS:
-            pairs = _in_lists(rows(labelled, CHAIN_LISTS), _chain(r + 1, numer, denom)).select("a", "b")
+    for r in range(3):
+        if r == 0:
+            pairs = _in_lists(rows(labelled, CHAIN_LISTS), _chain(numer, denom)).select("a", "b")
         else:
             if found is None:
                 found = materialize(_in_lists(rows(labelled, None), _scan(numer, denom)))
-            pairs = _unconnected(found, labelled, _scan(numer, denom, spanning=r == CHAIN_ROUNDS))
+            pairs = _unconnected(found, labelled, _scan(numer, denom, spanning=r == 1))
         new = materialize(verified(pairs, classes, docs, words, numer, denom))
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("comp")))

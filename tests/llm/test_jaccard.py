@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from raresift.llm import jaccard as J
 from raresift.llm.components import connected_components
@@ -47,7 +49,7 @@ def test_light_sets_alone(spark, monkeypatch):
 
 
 def test_every_list_is_scanned_without_chains(docs, rows, monkeypatch):
-    monkeypatch.setattr(J, "CHAIN_ROUNDS", 0)
+    monkeypatch.setattr(J, "CHAIN_ORDERS", 0)
     assert told(J.jaccard_components(docs)) == brute(rows, 4, 85, 100)
 
 
@@ -65,3 +67,45 @@ def test_connected_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     want = {**{i: 100 for i in range(100, 161)}, 7: 7, 9: 7, 1: 1, 500: 1, 501: 1, 2: 1, **{k: 1000 for k in range(1000, 1200)}}
     assert got == want
+
+
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    """One list of many sets that are not connected: blocks of it meet."""
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "CHAIN_ORDERS", 0)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        own = base[:40] + [f"g{g}x{i}" for i in range(40)]
+        for k in range(6):
+            w = list(own)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(80)] = f"r{g}{k}{rng.randrange(99)}"
+            rows.append((g * 10 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cells = []
+    scan = J._in_lists
+
+    def watched(frame, emit):
+        if "side" in frame.columns:
+            cells.append(frame.groupBy("key").count().agg(F.max("count")).first()[0])
+        return scan(frame, emit)
+
+    monkeypatch.setattr(J, "_in_lists", watched)
+    assert told(J.jaccard_components(df, 1, 80, 100)) == brute(rows, 1, 80, 100)
+    assert cells and max(c or 0 for c in cells) < 40  # two blocks at most, about 14
+
+
+def test_pairs_of_the_largest_component_are_not_tried():
+    n = 30_000
+    emit = J._scan(85, 100)
+    size, cid = np.full(n, 100), np.arange(n)
+    comp = np.where(cid % 1000 == 0, cid, 7)  # thirty sets stand outside
+    bits = np.empty(n, object)
+    rng = np.random.default_rng(1)
+    bits[:] = list(rng.integers(-(1 << 62), 1 << 62, (n, J.BITMAP // 128)))
+    a, b, _ = emit(np.zeros(n, np.int64), np.zeros(n, np.int64), size, cid, comp, bits)
+    assert len(a) == 0  # random bitmaps: none is near
