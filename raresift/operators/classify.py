@@ -11,17 +11,18 @@ Deviations from the reference's libraries, stated:
   ``regParam = 1 / (C * sum of weights)``; no standardisation (as sklearn);
   ``PenalisedLogistic`` takes that sum from the rows it is fitted on;
 - Spark trees are at most 30 deep; deeper requests raise;
-- mini-batch SGD is one aggregate per step with the schedule
-  ``step / sqrt(t)``; a mini-batch is the rows whose hash of (seed, step, id)
-  is below the fraction, so it does not depend on partitioning;
+- mini-batch SGD is one pass per step; a mini-batch is the rows whose hash of
+  (seed, step, id) is below the fraction, so it does not depend on partitioning;
 - boosting stops early on a validation indicator column, like the reference's
   50-stale-rounds rule on a validation fold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -38,9 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import uniform
+from raresift.operators.networks import gradient
 from raresift.operators.stats import balanced_class_weight, positive_weight
 
 MAX_TREE_DEPTH = 30
+SCHEDULES = ("invscaling", "constant", "optimal", "adaptive")
+PATIENCE, TOLERANCE = 5, 1e-4
 
 
 def assembler(features: Sequence[str], out_col: str = "features") -> VectorAssembler:
@@ -154,50 +158,89 @@ class SGDLogisticModel(Model, _SGDParams, DefaultParamsReadable, DefaultParamsWr
 class SGDLogistic(Estimator, _SGDParams, DefaultParamsReadable, DefaultParamsWritable):
     """log-loss mini-batch SGD from zero weights.
 
-    Each step is one JVM-side aggregate (sums of the gradient terms of the
-    mini-batch); only the sums reach the driver.  L2 on the weights, not on the
-    intercept."""
+    Each step is one pass of Arrow batches (:func:`networks.gradient`): the
+    weights go out with the task function, so nothing is compiled anew, and only
+    the added gradient reaches the driver.  L2 on the weights, not on the
+    intercept.  ``schedule`` of the learning rate: invscaling (step / t^power),
+    constant, optimal (1 / (regParam (t0 + t))) or adaptive (a fifth whenever the
+    loss stalls)."""
 
     seed = Param(Params._dummy(), "seed", "of the mini-batches", TypeConverters.toInt)
     idCol = Param(Params._dummy(), "idCol", "unique row id (needed for mini-batches)", TypeConverters.toString)
+    schedule = Param(Params._dummy(), "schedule", "invscaling | constant | optimal | adaptive", TypeConverters.toString)
+    power = Param(Params._dummy(), "power", "exponent of invscaling", TypeConverters.toFloat)
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0, seed=42, idCol="row_id"):
+                 iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0, seed=42, idCol="row_id",
+                 schedule="invscaling", power=0.5):
         super().__init__()
-        self._setDefault(iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0, seed=42, idCol="row_id")
+        self._setDefault(iterations=1000, step=0.01, miniBatchFraction=1.0, regParam=0.0, seed=42, idCol="row_id",
+                         schedule="invscaling", power=0.5)
         self._set(**self._input_kwargs)
 
+    def _rates(self, alpha: float):
+        """A function (step number from 1, mean loss) -> learning rate."""
+        eta, kind = self.getOrDefault(self.step), self.getOrDefault(self.schedule)
+        if kind == "constant":
+            return lambda t, loss: eta
+        if kind == "invscaling":
+            return lambda t, loss: eta / t ** self.getOrDefault(self.power)
+        if kind == "optimal":
+            # 1 / (alpha (t0 + t)); t0 makes the first rate fit weights of the expected size
+            size = math.sqrt(1.0 / math.sqrt(alpha)) if alpha else 1.0
+            first = size / max(1.0, 1.0 / (1.0 + math.exp(-size)))
+            return lambda t, loss: 1.0 / (alpha * (1.0 / (first * alpha) + t)) if alpha else first
+        if kind != "adaptive":
+            raise ValueError(f"schedule must be one of {', '.join(SCHEDULES)}")
+        best, stale, now = math.inf, 0, eta
+
+        def adaptive(t, loss):
+            # a fifth of the rate after PATIENCE steps that gain less than TOLERANCE
+            nonlocal best, stale, now
+            stale = 0 if loss < best - TOLERANCE else stale + 1
+            best = min(best, loss)
+            if stale >= PATIENCE:
+                now, stale = now / 5.0, 0
+            return now
+
+        return adaptive
+
     def _fit(self, df: DataFrame) -> SGDLogisticModel:
         fraction, reg = self.getOrDefault(self.miniBatchFraction), self.getOrDefault(self.regParam)
         x = vector_to_array(F.col(self.getFeaturesCol()))
-        cols = [x.alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")]
+        cols = [x.alias("x"), F.array(F.col(self.getLabelCol()).cast("double")).alias("y")]
         if fraction < 1.0:
             cols.append(F.col(self.getOrDefault(self.idCol)).alias("id"))
             if "syn_seq" in df.columns:  # rows made from one source share its id
                 cols.append(F.col("syn_seq").alias("copy"))
         rows = df.select(*cols).persist()
+        rate = self._rates(reg)
+
+        def log_loss(w, b):
+            def fn(x, y):
+                margin = x @ w + b
+                error = 1.0 / (1.0 + np.exp(-margin)) - y[:, 0]
+                return np.append(error @ x, error.sum()), float(np.logaddexp(0.0, np.where(y[:, 0] > 0, -margin, margin)).sum())
+
+            return fn
+
         try:
             d = rows.select(F.max(F.size("x"))).first()[0] or 0
-            w, b = [0.0] * d, 0.0
+            w, b = np.zeros(d), 0.0
             for t in range(1, self.getOrDefault(self.iterations) + 1):
                 batch = rows
                 if fraction < 1.0:
                     key = [F.col(c) for c in ("id", "copy") if c in rows.columns]
                     batch = rows.where(uniform(self.getOrDefault(self.seed), "sgd", t, *key) < F.lit(float(fraction)))
-                margin = F.lit(b)
-                for i, wi in enumerate(w):
-                    margin = margin + F.col("x")[i] * F.lit(wi)
-                error = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("y")
-                with_error = batch.select("x", error.alias("e"))
-                sums = with_error.agg(
-                    F.count(F.lit(1)), F.sum("e"), *[F.sum(F.col("e") * F.col("x")[i]) for i in range(d)]
-                ).first()
-                if not sums[0]:
+                g, loss, n = gradient(batch.select("x", "y"), log_loss(w, b))
+                if not n:
                     continue
-                rate = self.getOrDefault(self.step) / t**0.5
-                w = [wi * (1.0 - rate * reg) - rate * g / sums[0] for wi, g in zip(w, sums[2:])]
-                b -= rate * sums[1] / sums[0]
+                eta = rate(t, loss)
+                if eta < 1e-6 and self.getOrDefault(self.schedule) == "adaptive":
+                    break
+                w = w * (1.0 - eta * reg) - eta * g[:-1]
+                b -= eta * float(g[-1])
         finally:
             rows.unpersist()
         model = SGDLogisticModel(w, b)
@@ -206,9 +249,10 @@ class SGDLogistic(Estimator, _SGDParams, DefaultParamsReadable, DefaultParamsWri
 
 
 def sgd_logistic(label_col: str = "Class", iterations: int = 1000, step: float = 0.01,
-                 mini_batch_fraction: float = 1.0, reg_param: float = 0.0, seed: int = 42) -> SGDLogistic:
+                 mini_batch_fraction: float = 1.0, reg_param: float = 0.0, seed: int = 42,
+                 schedule: str = "invscaling") -> SGDLogistic:
     return SGDLogistic(labelCol=label_col, iterations=iterations, step=step,
-                       miniBatchFraction=mini_batch_fraction, regParam=reg_param, seed=seed)
+                       miniBatchFraction=mini_batch_fraction, regParam=reg_param, seed=seed, schedule=schedule)
 
 
 # ---------------------------------------------------------------- estimators that depend on the rows fitted

@@ -55,7 +55,8 @@ SEARCH_RANGES = {
     "lr": {"C": ("log", 1e-4, 1e4), "max_iter": ("int", 100, 1000, 100), "penalty": ("choice", ["l1", "l2"])},
     "rf": {"num_trees": ("int", 50, 500, 50), "max_depth": ("int", 5, 30, 5), "max_bins": ("int", 32, 256, 32)},
     "sgd": {"reg_param": ("log", 1e-6, 1e-2), "batch_size": ("choice", [512, 1024, 2048]),
-            "iterations": ("int", 500, 5000, 500), "step": ("log", 1e-6, 1e-2)},
+            "iterations": ("int", 500, 5000, 500), "step": ("log", 1e-6, 1e-2),
+            "schedule": ("choice", ["constant", "optimal", "invscaling", "adaptive"])},
     "xgboost": {"max_depth": ("int", 3, 15, 1), "step_size": ("log", 0.01, 0.3), "subsampling_rate": ("float", 0.5, 1.0),
                 "feature_subset": ("float", 0.5, 1.0), "pos_weight": ("float", 1.0, 10.0)},
     "ae": {"latent_dim": ("int", 4, 16, 1)},

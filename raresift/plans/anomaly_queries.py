@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raresift.operators import anomaly, metrics, select, splits, stats
+from raresift.operators import anomaly, metrics, networks, select, splits, stats
 from raresift.operators.relational import normal_only
 from raresift.plans.catalog import R, register, rounded
 from raresift.sources import fixtures as fx
@@ -262,18 +262,73 @@ def q_pca(spark, sf):
     return rounded(anomaly.pca_reconstruction(x, FEATS, V).select("row_id", "Class", "recon_error"))
 
 
+def vec_columns(spark, sf):
+    """The 64-d vectors as scalar columns f0..f63 (the latent range 4..16 fits)."""
+    names = [f"f{i}" for i in range(64)]
+    return fx.vec(spark, sf).select("row_id", *[F.col("x")[i].alias(c) for i, c in enumerate(names)], "Class"), names
+
+
 @register("reconstruction_search")
 def q_recon_search(spark, sf):
-    x = normal_only(scaled_txn(spark, sf))
-    return rounded(select.reconstruction_search(x, FEATS, ks=range(1, 4), k_folds=5, seed=SEED))
+    """J5 over the whole range of latent sizes, 4 to 16."""
+    v, names = vec_columns(spark, sf)
+    return rounded(select.reconstruction_search(normal_only(v), names, ks=select.latent_sizes(len(names)), k_folds=5, seed=SEED))
 
 
 @register("reconstruction_flow")
 def q_recon_flow(spark, sf):
-    """Entry 3 end to end on txn: PCA latent search, test errors, F1 threshold,
-    flags; the metrics row (rows-only: the PCA fit is not SQL)."""
+    """Entry 3 end to end: PCA latent search over 4 to 16, test errors, F1
+    threshold, flags; the metrics row (rows-only: the PCA fit is not SQL)."""
     from raresift.plans.flows import reconstruction_flow
 
-    t = fx.txn(spark, sf).select("row_id", *FEATS, "Class")
-    _, m = reconstruction_flow(t, FEATS, latent=[1, 2, 3], method="pr_curve")
+    v, names = vec_columns(spark, sf)
+    _, m = reconstruction_flow(v, names, method="pr_curve")
     return rounded(m)
+
+
+# ---------------------------------------------------------------- trained networks
+
+_STEP_RATE, _STEPS = 0.2, 3
+_STEP_NET = [dict(w=[[0.5, -0.3]], b=[0.1], activation="relu"), dict(w=[[0.7], [-0.2]], b=[0.05, 0.0], activation="linear")]
+
+
+def _steps_sql() -> str:
+    """Gradient steps of a 2-1-2 auto-encoder, written out."""
+    names = ["w1", "w2", "b", "v1", "v2", "c1", "c2"]
+    start = [0.5, -0.3, 0.1, 0.7, -0.2, 0.05, 0.0]
+    ctes = [
+        ("s", 'SELECT row_id, Amount / 100 AS x1, V3 / 50 AS x2 FROM txn'),
+        ("n0", "SELECT " + ", ".join(f"({v!r})::DOUBLE AS {n}" for n, v in zip(names, start))),
+    ]
+    for t in range(_STEPS):
+        ctes.append((f"h{t}", f"SELECT s.*, n.*, w1 * x1 + w2 * x2 + b AS a, greatest(w1 * x1 + w2 * x2 + b, 0.0) AS h FROM s CROSS JOIN n{t} n"))
+        ctes.append((f"d{t}", f"SELECT *, v1 * h + c1 - x1 AS e1, v2 * h + c2 - x2 AS e2, CASE WHEN a > 0 THEN (v1 * h + c1 - x1) * v1 + (v2 * h + c2 - x2) * v2 ELSE 0.0 END AS da FROM h{t}"))
+        slopes = ["da * x1", "da * x2", "da", "e1 * h", "e2 * h", "e1", "e2"]
+        ctes.append((f"n{t + 1}", "SELECT " + ", ".join(f"any_value({n}) - {_STEP_RATE} * avg({g}) AS {n}" for n, g in zip(names, slopes)) + f" FROM d{t}"))
+    h = "greatest(w1 * x1 + w2 * x2 + b, 0.0)"
+    error = f"(pow(v1 * {h} + c1 - x1, 2) + pow(v2 * {h} + c2 - x2, 2)) / 2"
+    return fx.with_ctes(["txn"], f"SELECT row_id, {R(error)} AS recon_error FROM s CROSS JOIN n{_STEPS}", ctes)
+
+
+@register("autoencoder_steps", _steps_sql())
+def q_ae_steps(spark, sf):
+    """G2's training: three full-batch steps, then scoring, equal to SQL."""
+    t = fx.txn(spark, sf).select("row_id", (F.col("Amount") / 100).alias("x1"), (F.col("V3") / 50).alias("x2"))
+    layers, _ = networks.train_autoencoder(t, ["x1", "x2"], layers=_STEP_NET, epochs=_STEPS, optimiser=networks.SGD(_STEP_RATE))
+    return rounded(anomaly.autoencoder_score(t, ["x1", "x2"], layers).select("row_id", "recon_error"))
+
+
+@register("autoencoder_trained")
+def q_ae_trained(spark, sf):
+    """G2 trained here: scaled normal rows, mini-batches, all rows scored."""
+    x = scaled_txn(spark, sf)
+    layers, _ = networks.train_autoencoder(normal_only(x), FEATS, latent=2, epochs=4, batch_rows=max(64, x.count() // 4), lr=0.01, seed=SEED)
+    return rounded(anomaly.autoencoder_score(x, FEATS, layers).select("row_id", "Class", "recon_error"))
+
+
+@register("vae_trained")
+def q_vae_trained(spark, sf):
+    """G3 trained here: noise redrawn by hash in every step."""
+    x = scaled_txn(spark, sf)
+    weights, _ = networks.train_vae(normal_only(x), FEATS, latent=2, epochs=10, lr=0.01, seed=SEED)
+    return rounded(anomaly.vae_score(x, FEATS, weights).select("row_id", "Class", "recon_error"))

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import sql_hash_key, sql_uniform
-from raresift.operators import knn, resample
+from raresift.operators import knn, networks, resample, stats
 from raresift.operators.kernel import FourierMap
-from raresift.operators.relational import append_synthetic
+from raresift.operators.relational import append_synthetic, minority_rows
 from raresift.plans.catalog import R, register, rounded
 from raresift.sources import fixtures as fx
 
@@ -270,3 +270,74 @@ def q_svm_kernel(spark, sf):
         svm_coefficients=KERNEL_W, svm_intercept=KERNEL_B, kernel_map=KERNEL,
     )
     return rounded(out)
+
+
+# ---------------------------------------------------------------- adversarial generators
+
+_WGAN = {"rounds": 2, "critic_iterations": 2, "clip": 0.5, "lr": 0.1}
+_WGAN_GEN, _WGAN_CRITIC = [0.3, -0.2, 0.5, 0.1], [0.2, -0.4, 0.0]
+
+
+def _wgan_sql() -> str:
+    """A linear generator (1 -> 2) against a linear critic (2 -> 1): clipped
+    critic steps and generator steps, then one made row for each missing one."""
+    lr, clip = _WGAN["lr"], _WGAN["clip"]
+
+    def normal(t: int | str, tag: str, key: str, *more: str) -> str:
+        parts = [str(SEED), repr(tag), key, *([str(t)] if tag == "wgan" else []), *more]
+        return f"(sqrt(-2.0 * ln(1.0 - {sql_uniform(*parts, repr('bm1'))})) * cos(2.0 * 3.141592653589793 * {sql_uniform(*parts, repr('bm2'))}))"
+
+    w = ["g1", "g2", "o1", "o2", "c1", "c2", "c0"]
+    start = [*_WGAN_GEN, *_WGAN_CRITIC]
+    ctes = [
+        ("bal", _BAL),
+        ("real", 'SELECT row_id, V3 / 100 AS x1, Amount / 500 AS x2 FROM txn WHERE "Class" = (SELECT minority FROM bal)'),
+        ("p0", "SELECT " + ", ".join(f"({v!r})::DOUBLE AS {n}, 0.0::DOUBLE AS r_{n}" for n, v in zip(w, start))),
+    ]
+    at = 0
+
+    def step(slopes: dict[str, str], source: str, clipped: bool) -> None:
+        nonlocal at
+        cols = []
+        for n in w:
+            if n not in slopes:
+                cols += [n, f"r_{n}"]
+                continue
+            r = f"0.99 * r_{n} + 0.01 * ({slopes[n]}) * ({slopes[n]})"
+            new = f"{n} - {lr} * ({slopes[n]}) / (sqrt({r}) + 1e-8)"
+            cols += [f"greatest(-{clip}, least({clip}, {new})) AS {n}" if clipped else f"{new} AS {n}", f"{r} AS r_{n}"]
+        ctes.append((f"p{at + 1}", f"SELECT {', '.join(cols)} FROM p{at} CROSS JOIN {source}"))
+        at += 1
+
+    for r in range(_WGAN["rounds"]):
+        for k in range(_WGAN["critic_iterations"]):
+            t = r * _WGAN["critic_iterations"] + k
+            ctes.append((f"m{t}", f"SELECT avg(x1) AS mx1, avg(x2) AS mx2, avg({normal(t, 'wgan', 'row_id', '0')}) AS mz FROM real"))
+            step({"c1": "g1 * mz + o1 - mx1", "c2": "g2 * mz + o2 - mx2", "c0": "0.0"}, f"m{t}", True)
+        step({"g1": "-c1 * mz", "g2": "-c2 * mz", "o1": "-c1", "o2": "-c2"}, f"m{t}", False)
+    z = normal(0, "gen", "id", "0")
+    body = (
+        f"SELECT -(id + 1) AS row_id, {R(f'g1 * {z} + o1')} AS x1, {R(f'g2 * {z} + o2')} AS x2 "
+        f"FROM (SELECT unnest(range((SELECT deficit FROM bal))) AS id) ids CROSS JOIN p{at}"
+    )
+    return fx.with_ctes(["txn"], body, ctes)
+
+
+@register("wgan_steps", _wgan_sql())
+def q_wgan_steps(spark, sf):
+    """E4 trained: clipped critic and generator steps, then the sampler, equal to SQL."""
+    t = fx.txn(spark, sf).select("row_id", (F.col("V3") / 100).alias("x1"), (F.col("Amount") / 500).alias("x2"), "Class")
+    g, c = np.array(_WGAN_GEN), np.array(_WGAN_CRITIC)
+    generator = [dict(w=g[:2].reshape(2, 1), b=g[2:], activation="linear")]
+    critic = [dict(w=c[:2].reshape(1, 2), b=c[2:], activation="linear")]
+    made, _, _ = networks.train_generator(minority_rows(t), ["x1", "x2"], "wgan", seed=SEED, generator=generator, critic=critic, **_WGAN)
+    out = resample.generator_oversample(t, ["x1", "x2"], made, 1, seed=SEED, keep_original=False)
+    return rounded(out.select("row_id", "x1", "x2"))
+
+
+@register("gan_trained_oversample")
+def q_gan_trained(spark, sf):
+    """E4 with a generator trained on the scaled rare rows."""
+    t = stats.standard_scale_all(_txn_clean(spark, sf))
+    made, _, _ = networks.train_generator(minority_rows(t), FEATS, "gan", rounds=10, seed=SEED)
+    return rounded(resample.generator_oversample(t, FEATS, made, 10, seed=SEED, keep_original=False))
