@@ -395,8 +395,7 @@ def _unconnected(found: DataFrame, labelled: DataFrame, emit) -> DataFrame:
     pairs = found.where("pos = -9").select("a", "b")
     pairs = pairs.join(comp.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a")
     pairs = pairs.join(comp.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b").where("ca != cb").select("a", "b")
-    sets = labelled.select("cid", "size", "comp", "bits")
-    members = found.where("pos != -9").select(F.col("a").alias("key"), F.col("b").alias("cid"), "pos").join(sets, "cid")
+    members = found.where("pos != -9").select(F.col("a").alias("key"), F.col("b").alias("cid"), "pos").join(comp, "cid")
     # lists that are one component by now have nothing to give; long ones are
     # cut into blocks, and every two blocks of a list meet in a group of their own
     mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x != y")
@@ -405,7 +404,9 @@ def _unconnected(found: DataFrame, labelled: DataFrame, emit) -> DataFrame:
     members = members.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).cast("byte")
     cell = F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))
-    more = _in_lists(members.select(cell.alias("key"), "pos", "size", "cid", "comp", "bits", side.alias("side")), emit)
+    # the bitmaps come last, so they move once
+    members = members.select(cell.alias("key"), "pos", "cid", "comp", side.alias("side")).join(labelled.select("cid", "size", "bits"), "cid")
+    more = _in_lists(members.select("key", "pos", "size", "cid", "comp", "bits", "side"), emit)
     return pairs.unionByName(more.select("a", "b")).distinct()
 
 

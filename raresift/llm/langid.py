@@ -6,9 +6,10 @@ as one space; all 1-, 2- and 3-grams, hashed into ``BUCKETS`` places; weight
 ``log(1 + count) * idf``, scaled to length one.  The document frequencies come
 from *all* training documents (one pass, summed by bucket).  The classifier is
 trained with follow-the-regularised-leader under elastic-net penalties on a
-sample of at most ``SAMPLE_ROWS`` training documents, the same number per
-language (its documented bound; a fixed hash picks the rows), and a temperature
-fitted on a fifth of that sample calibrates the probabilities.
+sample of about ``SAMPLE_ROWS`` training documents, the same number per
+language (a fixed hash draws each row by itself, so the number varies a little;
+twice ``SAMPLE_ROWS`` is the documented bound), and a temperature fitted on a
+fifth of that sample calibrates the probabilities.
 
 Only text and non-null labels of documents outside the held-out fold are
 learned from; a prediction uses the text alone.  Scoring is one map-only pass
