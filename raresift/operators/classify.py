@@ -220,7 +220,7 @@ class SGDLogistic(Estimator, _SGDParams, DefaultParamsReadable, DefaultParamsWri
         def log_loss(w, b):
             def fn(x, y):
                 margin = x @ w + b
-                error = 1.0 / (1.0 + np.exp(-margin)) - y[:, 0]
+                error = 1.0 / (1.0 + np.exp(-margin.clip(-700.0, 700.0))) - y[:, 0]
                 return np.append(error @ x, error.sum()), float(np.logaddexp(0.0, np.where(y[:, 0] > 0, -margin, margin)).sum())
 
             return fn

@@ -5,6 +5,7 @@ fits have rows-only checks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from raresift.operators import anomaly, metrics, networks, select, splits, stats
@@ -262,6 +263,26 @@ def q_pca(spark, sf):
     return rounded(anomaly.pca_reconstruction(x, FEATS, V).select("row_id", "Class", "recon_error"))
 
 
+_AXES = [[0.5, 0.5], [0.5, -0.5], [0.5, 0.5], [0.5, -0.5]]
+_PARTS = {"x1": ("V1", 97), "x2": ("V2", 23), "x3": ("V3", 101), "x4": ("Amount", 503)}
+
+
+def _axes_sql() -> str:
+    names = list(_PARTS)
+    p = [" + ".join(f"({v[k]!r}) * {n}" for n, v in zip(names, _AXES)) for k in range(2)]
+    error = " + ".join(f"pow({n} - (({v[0]!r}) * p1 + ({v[1]!r}) * p2), 2)" for n, v in zip(names, _AXES))
+    cols = ", ".join(f"{c} / {d} AS {n}" for n, (c, d) in _PARTS.items())
+    body = f"SELECT row_id, {R(f'({error}) / 4')} AS recon_error FROM (SELECT *, {p[0]} AS p1, {p[1]} AS p2 FROM s)"
+    return fx.with_ctes(["txn"], body, [("s", f"SELECT row_id, {cols} FROM txn")])
+
+
+@register("pca_reconstruction_fixed_axes", _axes_sql())
+def q_pca_axes(spark, sf):
+    """G1 with given axes: projection, reconstruction and error, equal to SQL."""
+    t = fx.txn(spark, sf).select("row_id", *[(F.col(c) / d).alias(n) for n, (c, d) in _PARTS.items()])
+    return rounded(anomaly.pca_reconstruction(t, list(_PARTS), np.array(_AXES)).select("row_id", "recon_error"))
+
+
 def vec_columns(spark, sf):
     """The 64-d vectors as scalar columns f0..f63 (the latent range 4..16 fits)."""
     names = [f"f{i}" for i in range(64)]

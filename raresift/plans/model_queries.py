@@ -10,7 +10,7 @@ from raresift.functions.hashing import sql_uniform
 from raresift.operators import boosting, classify, report, resample, select, splits, stats
 from raresift.operators.knn import KNNClassifier
 from raresift.plans.catalog import R, register, rounded
-from raresift.plans.evaluation_queries import COST_FN, COST_FP, experiment_matrix_sql
+from raresift.plans.evaluation_queries import _MATRIX_METHODS, COST_FN, COST_FP, experiment_matrix_sql
 from raresift.plans.flagged import flagged_at_cost, prepared_split
 from raresift.session import materialize
 from raresift.sources import fixtures as fx
@@ -46,6 +46,36 @@ def q_rf(spark, sf):
     return rounded(classify.score(model, test))
 
 
+_SHARE_SQL = fx.with_ctes(
+    ["txn"],
+    f"SELECT row_id, \"Class\" AS label, {R('avg(CAST(\"Class\" AS DOUBLE)) OVER (PARTITION BY V2 >= 12)')} AS score FROM txn",
+)
+
+
+def _late(spark, sf):
+    """One binary feature: a model that fits it gives each half its class share."""
+    return fx.txn(spark, sf).select("row_id", (F.col("V2") >= 12).cast("double").alias("late"), "Class")
+
+
+@register("logistic_regression_closed_form", _SHARE_SQL)
+def q_lr_closed(spark, sf):
+    """F3 where the solution has a closed form."""
+    t = _late(spark, sf)
+    est = classify.logistic_regression(penalty="none", max_iter=500, tol=1e-14)
+    return rounded(classify.score(classify.fit(est, t, ["late"]), t).select("row_id", "label", "score"))
+
+
+@register(
+    "random_forest_stump",
+    fx.with_ctes(["txn"], f"SELECT row_id, CAST(V3 >= 50 AS INTEGER) AS label, {R('avg(CAST(V3 >= 50 AS DOUBLE)) OVER (PARTITION BY V3 >= 45)')} AS score FROM txn"),
+)
+def q_rf_stump(spark, sf):
+    """F1 where the tree has a closed form: one split, leaves are class shares."""
+    t = fx.txn(spark, sf).select("row_id", (F.col("V3") >= 45).cast("double").alias("x"), (F.col("V3") >= 50).cast("int").alias("Class"))
+    est = classify.random_forest(num_trees=1, max_depth=1, featureSubsetStrategy="all").setBootstrap(False)
+    return rounded(classify.score(classify.fit(est, t, ["x"]), t).select("row_id", "label", "score"))
+
+
 @register("boosted_trees")
 def q_gbt(spark, sf):
     train, test = prepared_split(spark, sf)
@@ -203,7 +233,7 @@ def q_best_trial(spark, sf):
 @register("experiment_matrix_models")
 def q_matrix_models(spark, sf):
     """J6 over fitted models: all five x {none, smote}, the test split scored in
-    one pass, threshold by best F1, one metrics row each."""
+    one pass, thresholds by every rule, one metrics row each."""
     train, test = prepared_split(spark, sf)
     rows, keys = test, []
     for ovs in ("none", "smote"):
@@ -222,15 +252,13 @@ def q_matrix_models(spark, sf):
         F.array(*[F.struct(F.lit(m).alias("model"), F.lit(o).alias("oversampling"), F.col(c).alias("score")) for m, o, c in keys])
     )
     scored = rows.select(F.col("Class").alias("label"), runs.alias("r")).select("label", "r.*")
-    return rounded(select.experiment_matrix(scored, methods=("pr_curve",), group_cols=["model", "oversampling"]))
+    return rounded(select.experiment_matrix(scored, methods=_MATRIX_METHODS, group_cols=["model", "oversampling"]))
 
 
 # ---------------------------------------------------------------- reports (K1-K3)
 
 
 def _results(spark, sf):
-    from raresift.plans.evaluation_queries import _MATRIX_METHODS
-
     return select.experiment_matrix(
         fx.scored_groups(spark, sf), methods=_MATRIX_METHODS, group_cols=["model", "oversampling"],
         cost_fp=COST_FP, cost_fn=COST_FN
