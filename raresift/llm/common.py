@@ -28,6 +28,8 @@ def release(spark: SparkSession) -> None:
     any more.  It does so when the driver's garbage is collected, which a driver
     with little to do may put off for many rounds of an iterative job."""
     gc.collect()
+    # the bridge to the JVM hands over what Python let go of about once a second
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.2)  # the cleaner works beside
 
