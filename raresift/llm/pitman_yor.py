@@ -15,7 +15,7 @@ probabilities are averaged over the last ``SAMPLES`` of ``SWEEPS`` sweeps.
 
 On the cluster: words are dealt by hash into parts of about ``PART_BYTES`` of
 text.  One pass over the texts makes, per batch and part, a packed list of (word,
-document, context, count), shuffled once and checkpointed.  What restaurants
+document, context, count), once for the counts and once for the scores.  What restaurants
 know of a word is in its part; its counts are folded from one list at a time.
 Tokens and tables of a context are summed on the cluster: every part sends those
 of its contexts to where the context's hash is dealt and gets back the sums over
@@ -150,8 +150,9 @@ def unpack(blob: bytes):
     return h, own, np.repeat(np.arange(words), runs), n.astype(np.int64), doc.astype(np.int64), context, train.astype(bool)
 
 
-def packed(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, batch, ids, sizes, blob), by part; part -1 lists the ids."""
+def packed(docs: DataFrame, parts: int, heads: bool = False) -> DataFrame:
+    """Rows (part, batch, ids, sizes, blob); with ``heads`` instead the rows (of
+    part -1) that list ids, folds and sizes of the same batches."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -160,20 +161,14 @@ def packed(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush(ids, held, texts):
             batch = (TaskContext.get().partitionId() << 32) + next(number)
-            rows = list(pack_batch(texts, ~held, parts))
-            id_type = ids.type
-            none = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p for p, _, _ in rows] + [-1], pa.int32()),
-                    pa.array([batch] * (len(rows) + 1), pa.int64()),
-                    pa.array(none + [ids.to_pylist()], pa.list_(id_type)),
-                    pa.array(none + [held.tolist()], pa.list_(pa.bool_())),
-                    pa.array(none + [rows[0][2].tolist()], pa.list_(pa.int64())),
-                    pa.array([b for _, b, _ in rows] + [None], pa.binary()),
-                ],
-                names=names,
-            )
+            if heads:
+                cols = [[-1], [batch], [ids.to_pylist()], [held.tolist()], [[len(tokens(t)) + 1 for t in texts]], [None]]
+            else:
+                rows = list(pack_batch(texts, ~held, parts))
+                none = [None] * len(rows)
+                cols = [[p for p, _, _ in rows], [batch] * len(rows), none, none, none, [b for _, b, _ in rows]]
+            kinds = [pa.int32(), pa.int64(), pa.list_(ids.type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
         for b in batches:
             texts = b.column(2).to_pylist()
@@ -483,10 +478,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-total // PART_BYTES))
-    # with fewer partitions than Spark's own number a later join would deal them anew
-    dealt = packed(docs, parts).repartition(max(parts, shuffle_partitions(spark)), "part")
-    rows = materialize(dealt.sortWithinPartitions("part", "batch"))
-    blobs = rows.where("part >= 0").select("part", "batch", "blob")
+    # the lists are packed for the counts and again for the scores, which is
+    # cheaper than keeping them on disk in between
+    blobs = packed(docs, parts).select("part", "batch", "blob")
+    dealt = blobs.repartition(max(parts, shuffle_partitions(spark)), "part").sortWithinPartitions("part", "batch")
 
     def count(part, held):
         c = Counts(held)
@@ -497,7 +492,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             names=["part", "whole", "counts"],
         )
 
-    counted = materialize(blobs.select("part", "blob").mapInArrow(lambda batches: _by_part(batches, count), "part int, whole array<double>, counts binary"))
+    counted = materialize(dealt.select("part", "blob").mapInArrow(lambda batches: _by_part(batches, count), "part int, whole array<double>, counts binary"))
     # a fixed number of totals per part, summed on the driver
     sums = [np.array(r[0]) for r in counted.select("whole").collect()]
     whole = [np.sum(sums, axis=0) if sums else np.zeros(7)]
@@ -590,7 +585,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         partial = blobs.groupBy("part").cogroup(knows.groupBy("part")).applyInArrow(score, "part int, batch long, known binary, base binary, score binary")
     else:
         partial = blobs.select("part", "batch", *[F.lit(None).cast("binary").alias(c) for c in names[2:]])
-    heads = rows.where("part < 0").select("part", "batch", "ids", "held", "sizes", *[F.lit(None).cast("binary").alias(c) for c in ("known", "base", "score")])
+    heads = packed(docs, parts, heads=True).select("part", "batch", "ids", "held", "sizes", *[F.lit(None).cast("binary").alias(c) for c in ("known", "base", "score")])
     listed = partial.select(
         "part",
         "batch",
