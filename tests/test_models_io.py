@@ -215,7 +215,7 @@ POINTS = {
     "knn": [{"k": 3, "metric": "euclidean"}, {"k": 5, "metric": "manhattan"}],
     "rf": [{"num_trees": 5, "max_depth": 3, "max_bins": 32}],
     "sgd": [{"iterations": 5, "step": 0.1, "reg_param": 0.0, "batch_size": 512}],
-    "xgboost": [{"pos_weight": w, "max_depth": 3, "step_size": 0.3, "subsampling_rate": 1.0, "feature_subset": 1.0} for w in (1.0, 5.0)],
+    "xgboost": [{"pos_weight": w, "max_depth": 2, "step_size": 0.3, "subsampling_rate": 1.0, "feature_subset": 1.0} for w in (1.0, 5.0)],
 }
 
 
@@ -226,7 +226,7 @@ def test_optimize_then_evaluate_registry(spark, tmpdir_path, monkeypatch, model)
     from raresift.plans import flows
 
     if model == "xgboost":
-        few = lambda *a, _f=flows.estimator_for: _f(*a)._set(maxIter=3, rounds=3)
+        few = lambda *a, _f=flows.estimator_for: _f(*a)._set(maxIter=2, rounds=2)
         monkeypatch.setattr(flows, "estimator_for", few)
     train, test = splits.train_test(drop_time(fx.txn(spark, SF0001)))
     reg, log, calls = f"{tmpdir_path}/models", f"{tmpdir_path}/log", []
