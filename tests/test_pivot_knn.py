@@ -94,3 +94,34 @@ def test_transactions_need_a_part_of_the_distances(spark):
     t = fx.txn(spark, SF001).select("row_id", F.array(*[F.col(c).cast("double") for c in fx.FEATURES]).alias("x"), F.lit("t").alias("tag"), "Class")
     some = t.where("Class = 1 OR row_id % 5 = 0")
     assert both(some, t, 5) < some.count() * t.count() / 3
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_many_dimensions_and_many_copies(spark, metric):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(500, 24)), np.repeat(rng.normal(size=(3, 24)) * 1e3, 120, 0)])
+    df = frame(spark, x)
+    both(df, df, 6, metric=metric, max_queries_per_cell=200, max_refs_per_cell=150)
+
+
+def test_distances_of_a_task_hardly_grow_with_its_refs():
+    rng, taken = np.random.default_rng(9), []
+    x = rng.uniform(size=(600, 4)) * [1000, 24, 100, 300]
+    for n in (4000, 32_000):
+        y = rng.uniform(size=(n, 4)) * [1000, 24, 100, 300]
+        i, j, d, reach, count = pivot_knn.search(x, np.arange(600), np.full(600, np.inf), y, np.arange(n), 5, "euclidean", False)
+        whole = np.sort(pivot_knn.distances(x, y, "euclidean"), 1)[:, :5]
+        assert np.abs(d.reshape(600, 5) - whole).max() < 1e-8 and np.abs(reach - whole[:, -1]).max() < 1e-8
+        taken.append(count)
+    assert taken[1] < 2 * taken[0] and taken[1] < 600 * 32_000 / 10
+
+
+def test_a_task_is_bounded_and_refs_go_to_its_group_only(spark):
+    tasks = pivot_knn.Tasks(np.array([0, 10, 25, 1]), 10)
+    assert tasks.blocks.tolist() == [0, 1, 3, 1] and tasks.first.tolist() == [0, 0, 1, 4] and tasks.number == 5
+    y = np.arange(40.0)[:, None]
+    cells = pivot_knn.Cells(np.array([[5.0], [15.0], [25.0], [35.0]]), "euclidean", np.full(4, 10), np.zeros(4), np.full(4, 5.0), np.zeros((4, 2)))
+    refs = frame(spark, y).select(F.col("row_id").alias("rid"), F.col("x").alias("rx"))
+    first, slots, group_of = np.arange(4), np.ones(4, np.int64), np.arange(4)
+    rows = pivot_knn._task_refs(refs, cells, first, slots, group_of, tasks).groupBy("_t").count().collect()
+    assert {r["_t"]: r["count"] for r in rows} == {0: 10, 1: 10, 2: 10, 3: 10, 4: 9}
