@@ -39,7 +39,6 @@ MEMO = 300_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ"
 #: a run of letters, then a run of ASCII punctuation without the apostrophe
 _SIMPLE = re.compile(f"([{_LETTERS}]*)([!-&(-/:-@\\[-`{{-~]*)")
-_BLANK = re.compile("[ \t\n\r]+")
 
 
 class WordTokenizer:
@@ -86,8 +85,14 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        memo, out = self.memo, []
-        for w in _BLANK.split(text or ""):
+        memo = self.memo
+        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        try:
+            return b"".join(map(memo.__getitem__, words))  # most texts have known words only
+        except KeyError:
+            pass
+        out = []
+        for w in words:
             got = memo.get(w)
             if got is None:
                 got = self.word(w) if w else b""
