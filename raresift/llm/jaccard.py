@@ -22,11 +22,14 @@ united, which joins most of every group at ``m`` pairs an order.  Then all lists
 scanned for pairs of sets that are *not yet connected*.  Short lists give their
 pairs; the members of longer ones meet again with a parity bitmap of each set
 (the Hamming distance of two never exceeds the sets' difference).  Of the pairs
-that pass it, a list first gives only a spanning part, which is checked and
-united; then the members meet once more and give every pair that passes and is
-still not connected.  Nothing is capped: each candidate pair is compared by
-bitmap or already in one component, and every pair that passes is checked on
-the whole sets, made again from the texts of the classes that need it.
+that pass it, a list first gives only a spanning part, the closest of which
+between any two components is checked and united; then the members meet once
+more and give every pair that passes and is still not connected.  Nothing is
+capped: each candidate pair is compared by bitmap or already in one component,
+and every pair that passes is checked on the whole sets, made again from the
+texts of the classes that need it.  Before that, pairs of large sets meet a
+sharper bitmap, as wide as the sets are large: whole sets are many times its
+size, so only pairs that most likely link should move them.
 
 Defined results: null texts and texts without words have an empty set and are
 alone; texts with fewer words than a shingle are one shingle; documents with a
@@ -38,6 +41,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from math import comb
 
 import numpy as np
@@ -123,6 +127,16 @@ class Sketch:
         return s[np.lexsort((s, lev))] if lev.any() else s
 
 
+def _pack(n: np.ndarray) -> bytes:
+    """Counters by byte planes, compressed: most counts of a task are small."""
+    return zlib.compress(n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def document_counts(docs: DataFrame, words: int) -> Sketch:
     """Sketch over the shingles of all texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -138,18 +152,18 @@ def document_counts(docs: DataFrame, words: int) -> Sketch:
         if n.any():
             parts = n.reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], names=["chunk", "n"]
+                [pa.array(range(len(parts)), pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())], names=["chunk", "n"]
             )
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(n, "<u4").astype(np.uint64)
+                part = _unpack(n).astype(np.uint64)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())],
+                [pa.array(list(sums), pa.int32()), pa.array([_pack(np.minimum(x, 0xFFFFFFFF)) for x in sums.values()], pa.binary())],
                 names=["chunk", "n"],
             )
 
@@ -157,7 +171,7 @@ def document_counts(docs: DataFrame, words: int) -> Sketch:
     summed = parts.repartition(min(width // CHUNK, 4 * shuffle_partitions(docs.sparkSession)), "chunk").mapInArrow(add, "chunk int, n binary")
     counts = np.zeros(width, np.uint32)
     for r in summed.collect():  # width counters, whatever the input
-        counts[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], "<u4")
+        counts[r[0] * CHUNK : (r[0] + 1) * CHUNK] = _unpack(r[1])
     return Sketch(counts)
 
 
@@ -197,30 +211,39 @@ def choose_boundary(docs: DataFrame, held, words: int, numer: int, denom: int) -
     return best
 
 
-def parity_bitmap(s: np.ndarray) -> np.ndarray:
+def parity_bitmap(s: np.ndarray, width: int = BITMAP) -> np.ndarray:
     """Parity of the number of elements per hash place, as 64-bit words."""
-    at = (mix(s * _M2) & np.uint64(BITMAP - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=BITMAP) & 1).astype(np.uint8)
+    at = (mix(s * _M2) & np.uint64(width - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=width) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
+def sharp_width(size: int) -> int:
+    """Bits of the bitmap by which a large set is compared before the set moves."""
+    width = BITMAP
+    while width * SMALL_SET < size * BITMAP:
+        width *= 2
+    return width
+
+
 def signatures(docs: DataFrame, held, boundary: int, words: int, numer: int, denom: int) -> DataFrame:
-    """doc_id, n_shingles, cid (of the set), bitmap, subset and list keys."""
+    """doc_id, n_shingles, cid (of the set), bitmaps, subset and list keys."""
     from xxhash import xxh3_64_intdigest as digest
 
     def run(batches):
         sketch = held.value
         for b in batches:
-            size, cid, bitmap, subsets, lists = [], [], [], [], []
+            size, cid, bitmap, sharp, subsets, lists = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, words)
                 n = len(s)
                 size.append(n)
                 if n == 0:
-                    cid.append(None), bitmap.append(None), subsets.append([]), lists.append([])
+                    cid.append(None), bitmap.append(None), sharp.append(None), subsets.append([]), lists.append([])
                     continue
                 cid.append(digest(s.tobytes()) - (1 << 63))
                 bitmap.append(parity_bitmap(s))
+                sharp.append(parity_bitmap(s, sharp_width(n)) if n > SMALL_SET else None)
                 own = []
                 if n <= boundary:
                     for c in subset_sizes(n, numer, denom):
@@ -236,14 +259,15 @@ def signatures(docs: DataFrame, held, boundary: int, words: int, numer: int, den
                     pa.array(size, pa.int64()),
                     pa.array(cid, pa.int64()),
                     pa.array(bitmap, pa.list_(pa.int64())),
+                    pa.array(sharp, pa.list_(pa.int64())),
                     pa.array(subsets, pa.list_(pa.int64())),
                     pa.array(lists, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "cid", "bitmap", "subsets", "lists"],
+                names=["doc_id", "n_shingles", "cid", "bitmap", "sharp", "subsets", "lists"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, cid long, bitmap array<long>, subsets array<long>, lists array<long>"
+    schema = f"doc_id {kind}, n_shingles long, cid long, bitmap array<long>, sharp array<long>, subsets array<long>, lists array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -312,10 +336,14 @@ def _chain(numer: int, denom: int):
     return emit
 
 
+def _halved(bits: np.ndarray) -> np.ndarray:
+    """The parity bitmap of half the length."""
+    return bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+
+
 def _fold(bits: np.ndarray) -> np.ndarray:
     """A whole bitmap as the parity bitmap of half its length."""
-    half = BITMAP // 128
-    return bits if len(bits) == half else bits[:half] ^ bits[half:]
+    return bits if len(bits) == BITMAP // 128 else _halved(bits)
 
 
 def _root(parent: dict, c: int) -> int:
@@ -365,7 +393,9 @@ def _scan(numer: int, denom: int, spanning: bool = False):
                 if whole[i] and len(j):
                     apart = np.array([int(np.bitwise_count(bits[k] ^ bits[i]).sum()) if whole[k] else 0 for k in j])
                     j = j[apart * (denom + numer) <= (denom - numer) * (size[i] + size[j])]
-            if spanning and len(j):
+            if spanning and len(j):  # the closest first: they most likely link
+                apart = np.bitwise_count(half[j] ^ half[i]).sum(1, dtype=np.int64)
+                j = j[np.argsort(apart / (size[i] + size[j]), kind="stable")]
                 own, keep = _root(parent, int(comp[i])), []
                 for k in j.tolist():
                     other = _root(parent, int(comp[k]))
@@ -457,7 +487,8 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BLOOM_BITS)).alias("h")
     made = docs.select(place, F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(run, "rep long, cid long, members array<long>")
-    return made.join(classes, ["cid", "rep"], "left_semi").dropDuplicates(["cid"]).select("cid", "members")
+    # whichever text a set is made from, its cid names it: they are dealt by cid alone, once
+    return made.select("cid", "members").join(classes.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _folded(c: str):
@@ -465,18 +496,45 @@ def _folded(c: str):
     return F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
-    """The pairs (a, b) that link, by whole sets."""
-    own = classes.select("cid", "size", "bits")
+def _near(numer: int, denom: int):
+    """Of pairs (a, b, sa, sb, ba, bb) those within the bitmaps' bound, and how
+    far apart they are as a share of both sizes."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, sa, sb, ba, bb = _columns(batch)
+            apart = np.empty(len(a), np.int64)
+            for i, (x, y) in enumerate(zip(ba, bb)):
+                while len(x) > len(y):
+                    x = _halved(x)
+                while len(y) > len(x):
+                    y = _halved(y)
+                apart[i] = np.bitwise_count((x ^ y).view(np.uint64)).sum()
+            # |A xor B| = a + b - 2 o <= (denom - numer) / (denom + numer) * (a + b)
+            ok = np.flatnonzero(apart * (denom + numer) <= (denom - numer) * (sa + sb))
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, sa, sb, apart / (sa + sb))], names=["a", "b", "sa", "sb", "apart"])
+
+    return run
+
+
+def _closest(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of the pairs between any two components the closest one."""
+    p = pairs.join(comp.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    p = p.join(comp.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    best = p.groupBy(F.least(ca, cb), F.greatest(ca, cb)).agg(F.min(F.struct("apart", "a", "b", "sa", "sb")).alias("p"))
+    return best.select("p.a", "p.b", "p.sa", "p.sb")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, numer: int, denom: int, comp: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) that link, by whole sets; given the components (cid,
+    comp), only the closest pair between any two is checked."""
+    own = classes.select("cid", "size", F.coalesce("sharp", "bits").alias("bits"))
     p = pairs.join(own.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a")
     p = p.join(own.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
-    p = p.where(F.least("sa", "sb") * denom >= F.greatest("sa", "sb") * numer)
-    mixed = F.size("ba") != F.size("bb")  # one is folded: fold the other
-    ba, bb = (F.when(mixed & (F.size(c) == BITMAP // 64), _folded(c)).otherwise(F.col(c)) for c in ("ba", "bb"))
-    apart = F.aggregate(F.zip_with(ba, bb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # |A xor B| = a + b - 2 o <= (denom - numer) / (denom + numer) * (a + b)
-    p = p.where(apart * (denom + numer) <= (denom - numer) * (F.col("sa") + F.col("sb")))
-    p = materialize(p.select("a", "b", "sa", "sb"))
+    p = p.where(F.least("sa", "sb") * denom >= F.greatest("sa", "sb") * numer).select("a", "b", "sa", "sb", "ba", "bb")
+    p = p.mapInArrow(_near(numer, denom), "a long, b long, sa long, sb long, apart double")
+    p = materialize(p.select("a", "b", "sa", "sb") if comp is None else _closest(p, comp))
     wanted = p.select(F.col("a").alias("cid")).union(p.select("b")).distinct()
     wanted = materialize(classes.join(wanted, "cid", "left_semi").select("cid", "rep"))
     sets = materialize(whole_sets(docs, wanted, words))
@@ -497,10 +555,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
     linked = sig.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     # dealt by cid once: joins by cid find the classes where they are
     bits = F.when(F.col("size") <= SMALL_SET, _folded("bitmap")).otherwise(F.col("bitmap"))
-    firsts = [F.first(c).alias(c) for c in ("bitmap", "subsets", "lists")]
+    firsts = [F.first(c).alias(c) for c in ("bitmap", "sharp", "subsets", "lists")]
     classes = linked.repartition(shuffle_partitions(spark), "cid").groupBy("cid").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("size"), *firsts)
     classes = materialize(classes.withColumn("bits", bits).drop("bitmap"))
     sig = materialize(sig.select("doc_id", "n_shingles", "cid"))
+    del linked  # else the keys of all documents stay on disk beside those of the classes
     release(spark)
 
     def rows(labelled: DataFrame, most: int | None) -> DataFrame:
@@ -511,7 +570,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
         return a.unionByName(b).select("key", "pos", *keep)
 
     labelled = classes.withColumn("comp", F.col("cid"))
-    edges, found = None, None
+    edges, found, comp = None, None, None
     for r in range(3):
         if r == 0:
             pairs = _in_lists(rows(labelled, CHAIN_LISTS), _chain(numer, denom)).select("a", "b")
@@ -519,7 +578,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, numer: int = NUMER,
             if found is None:
                 found = materialize(_in_lists(rows(labelled, None), _scan(numer, denom)))
             pairs = _unconnected(found, labelled, _scan(numer, denom, spanning=r == 1))
-        new = materialize(verified(pairs, classes, docs, words, numer, denom))
+        new = materialize(verified(pairs, classes, docs, words, numer, denom, comp if r == 1 else None))
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
         labelled = classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -109,3 +109,39 @@ def test_pairs_of_the_largest_component_are_not_tried():
     bits[:] = list(rng.integers(-(1 << 62), 1 << 62, (n, J.BITMAP // 128)))
     a, b, _ = emit(np.zeros(n, np.int64), np.zeros(n, np.int64), size, cid, comp, bits)
     assert len(a) == 0  # random bitmaps: none is near
+
+
+def test_counters_are_packed():
+    """What a task sends for the sketch follows the counts, not four bytes each."""
+    rng = np.random.default_rng(3)
+    n = rng.poisson(2, J.CHUNK).astype(np.uint32)
+    n[7] = 0xFFFFFFFF
+    assert (J._unpack(J._pack(n)) == n).all()
+    assert len(J._pack(n)) < J.CHUNK / 2
+
+
+def test_bitmaps_of_large_sets_tell_near_misses():
+    """Large sets below the threshold stop at the bitmap; those that link don't."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n = 4000
+    rows = []
+    for far in (600, 1600, 2):  # of 8000 elements in both: 0.86, 0.67 and equal but for two
+        both = rng.integers(0, 1 << 63, n - far // 2).astype(np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 1 << 63, far // 2).astype(np.uint64)]) for _ in range(2))
+        rows.append([J.parity_bitmap(s, J.sharp_width(n)) for s in (a, b)])
+    rows.append([rows[2][0], J._halved(rows[2][1])])  # widths may differ
+    k = len(rows)
+    ids, size = pa.array(range(k), pa.int64()), pa.array([n] * k, pa.int64())
+    a, b = (pa.array([r[x] for r in rows], pa.list_(pa.int64())) for x in (0, 1))
+    batch = pa.RecordBatch.from_arrays([ids, ids, size, size, a, b], names=["a", "b", "sa", "sb", "ba", "bb"])
+    out = pa.Table.from_batches(J._near(85, 100)([batch]))
+    assert out["a"].to_pylist() == [0, 2, 3]
+    assert len(rows[0][0]) * 64 >= 1.7 * n
+
+
+def test_closest_pair_of_two_components(spark):
+    pairs = spark.createDataFrame([(1, 5, 9, 9, 0.2), (2, 5, 9, 9, 0.1), (6, 1, 9, 9, 0.3), (3, 4, 9, 9, 0.4)], "a long, b long, sa long, sb long, apart double")
+    comp = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "cid long, comp long")
+    assert sorted((r.a, r.b) for r in J._closest(pairs, comp).collect()) == [(2, 5), (3, 4)]
