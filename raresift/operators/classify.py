@@ -20,6 +20,7 @@ Deviations from the reference's libraries, stated:
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raresift.functions.hashing import uniform
+from raresift.operators.knn import KNNClassifier
 from raresift.operators.networks import gradient
 from raresift.operators.stats import balanced_class_weight, positive_weight
 
@@ -326,8 +328,46 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 # ---------------------------------------------------------------- fit / score
 
 
+class _Prefix:
+    """The stages before the last one, applied once to a table that many models score."""
+
+    def __init__(self, model: PipelineModel):
+        self.model, self.lock, self.last = model, threading.Lock(), (None, None)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        with self.lock:
+            if self.last[0] is not df:
+                self.last = df, self.model.transform(df)
+            return self.last[1]
+
+
+class _PrefixedModel(PipelineModel):
+    """A pipeline model whose first stages are shared with the other fits."""
+
+    def __init__(self, prefix: _Prefix, last):
+        super().__init__([*prefix.model.stages, last])
+        self.prefix = prefix
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.stages[-1].transform(self.prefix(dataset))
+
+
+class SharedPipeline(Pipeline):
+    """A pipeline that hands many points to its last stage at once, so that stage
+    may share work between them; the stages before run once."""
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps):
+        *first, last = self.getStages()
+        if any(p.parent != last.uid for m in paramMaps for p in m):
+            return super().fitMultiple(dataset, paramMaps)
+        prefix = _Prefix(Pipeline(stages=first).fit(dataset))
+        fits = last.fitMultiple(prefix.model.transform(dataset), paramMaps)
+        return map(lambda fit: (fit[0], _PrefixedModel(prefix, fit[1])), fits)
+
+
 def make_pipeline(estimator, features: Sequence[str]) -> Pipeline:
-    return Pipeline(stages=[assembler(features), estimator])
+    stages = [assembler(features), estimator]
+    return SharedPipeline(stages=stages) if isinstance(estimator, KNNClassifier) else Pipeline(stages=stages)
 
 
 def fit(estimator, df: DataFrame, features: Sequence[str]) -> PipelineModel:

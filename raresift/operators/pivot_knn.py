@@ -25,6 +25,11 @@ need.
    are compared with the refs of those leaves whose box is within their reach.
 6. Merge: the lists, k rows each at most, are ranked per query.
 
+Rows of few dimensions (below ``SCREENED``) have boxes for cells instead, the
+leaves of a tree of median splits over a bounded sample: a row finds its box by
+a few comparisons, the pass of step 1 keeps the box around each leaf's refs, and
+a query goes to the boxes that its reach touches.
+
 In the worst case (no structure to prune by, e.g. uniform directions in many
 dimensions) every query visits every group, which is the cost of the plain grid
 in :mod:`raresift.operators.knn`; pairs of many dimensions are screened by a
@@ -49,6 +54,11 @@ from raresift.session import materialize
 
 DIST_DIGITS = 9
 MAX_PIVOTS = 512
+#: rows drawn for the splits of boxes: for each box, and at most
+SAMPLE_ROWS = 64
+MAX_SAMPLE = 32_768
+#: rows per core from which tables in few partitions are dealt anew
+PART_ROWS = 16_384
 #: refs per pivot aimed at in small tables
 CELL_ROWS = 48
 #: products of queries, refs and dimensions that a task takes at most
@@ -85,13 +95,26 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _drawn(refs: DataFrame, number: int) -> np.ndarray:
+    """At most ``number`` refs, those of the least id hashes."""
+    rows = refs.orderBy(F.xxhash64("rid"), "rid").limit(number).select("rx").collect()
+    return np.array([r["rx"] for r in rows], np.float64)
+
+
 def draw_pivots(refs: DataFrame, number: int) -> np.ndarray:
     """At most ``number`` different refs, those of the least id hashes."""
-    rows = refs.orderBy(F.xxhash64("rid"), "rid").limit(number).select("rx").collect()
-    x = np.array([r["rx"] for r in rows], np.float64)
+    x = _drawn(refs, number)
     return np.unique(x, axis=0) if len(x) else x.reshape(0, 0)
 
 
+def _in_parts(rows: DataFrame, id_col: str, number: int, cores: int) -> DataFrame:
+    """Many rows in fewer partitions than cores (a table in few files) are dealt
+    by id hash, as every pass over them is one task a partition."""
+    if number < PART_ROWS * cores or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(2 * cores, F.xxhash64(id_col))
+
+
 def _assigner(pivots: np.ndarray, metric: str):
     def assign(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell, radius = np.empty(len(x), np.int64), np.empty(len(x))
@@ -137,6 +160,143 @@ class Cells:
         return ok & (self.count > 0)
 
 
+    @property
+    def number(self) -> int:
+        return len(self.pivots)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        return _assigner(self.pivots, self.metric)(x)[0]
+
+    def within(self, x: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+        """(query, cell): may the cell hold one of the k nearest?  ``reach`` is
+        inf where no bound is known yet."""
+        d = distances(x, self.pivots, self.metric)
+        open_ = np.isinf(reach)  # fewer than k refs at home
+        if open_.any():
+            reach[open_] = self.reach(d[open_], k)
+        return self.reachable(d, reach)
+
+
+class Boxes:
+    """Cells of few dimensions: the leaves of a tree of median splits, with the
+    box around each leaf's refs.  A row finds its leaf in a few comparisons, so
+    nothing is measured to pivots."""
+
+    def __init__(self, dim, at, left, right, metric: str):
+        # nodes: the rows below ``at`` in ``dim`` go left; a child below 0 is leaf -1 - child
+        self.dim, self.at, self.left, self.right, self.metric = dim, at, left, right, metric
+        self.number = len(dim) + 1
+        self.count = np.zeros(self.number, np.int64)
+        self.low = self.high = np.empty((self.number, 0))
+
+    @classmethod
+    def of(cls, sample: np.ndarray, leaves: int, metric: str) -> "Boxes":
+        """Leaves of about the same number of ``sample`` rows; equal rows stay together."""
+        nodes, found = [], 0  # (dim, at, left, right)
+        open_ = [(np.arange(len(sample)), leaves, -1, 0)]
+        while open_:
+            rows, n, parent, side = open_.pop()
+            x = sample[rows]
+            split = None
+            if n > 1 and len(rows) > 1:
+                for j in np.argsort(x.min(0) - x.max(0), kind="stable").tolist():
+                    v = np.sort(x[:, j])
+                    if not v[0] < v[-1]:
+                        break
+                    m = min(max(1, round(len(v) * (n // 2) / n)), len(v) - 1)
+                    at = v[m]
+                    if not v[0] < at:  # the lowest value fills the lower half
+                        at = v[np.searchsorted(v, v[0], "right")]
+                    split = j, float(at)
+                    break
+            if split is None:
+                me, found = -1 - found, found + 1
+            else:
+                me = len(nodes)
+                nodes.append([*split, 0, 0])
+                below = x[:, split[0]] < split[1]
+                open_ += [(rows[~below], n - n // 2, me, 3), (rows[below], n // 2, me, 2)]
+            if parent >= 0:
+                nodes[parent][side] = me
+        cols = list(zip(*nodes)) if nodes else [()] * 4
+        return cls(np.array(cols[0], np.int64), np.array(cols[1], np.float64), np.array(cols[2], np.int64), np.array(cols[3], np.int64), metric)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        if self.number == 1:
+            return out
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        while len(rows):
+            node = np.where(x[rows, self.dim[node]] < self.at[node], self.left[node], self.right[node])
+            done = node < 0
+            out[rows[done]] = -1 - node[done]
+            rows, node = rows[~done], node[~done]
+        return out
+
+    def leaf(self, column: str) -> str:
+        """SQL text of the leaf of a vector column (:meth:`assign` without Python)."""
+
+        def text(node: int) -> str:
+            if node < 0:
+                return str(-1 - node)
+            at = float(self.at[node])
+            value = f"{at!r}D" if math.isfinite(at) else f"CAST('{at}' AS DOUBLE)"
+            return f"IF({column}[{self.dim[node]}] < {value}, {text(int(self.left[node]))}, {text(int(self.right[node]))})"
+
+        return text(0) if self.number > 1 else "0"
+
+    def learn(self, refs: DataFrame, d: int) -> "Boxes":
+        """Counts and boxes of the leaves, in one pass over the refs."""
+        ends = [f(F.col("rx")[j]) for f in (F.min, F.max) for j in range(d)]
+        told = refs.groupBy(F.expr(self.leaf("rx")).alias("cell")).agg(F.count(F.lit(1)), *ends)
+        self.low, self.high = np.full((self.number, d), np.inf), np.full((self.number, d), -np.inf)
+        for r in told.collect():  # one a leaf
+            self.count[r[0]], self.low[r[0]], self.high[r[0]] = r[1], r[2 : 2 + d], r[2 + d :]
+        return self
+
+    def group(self, column: str, id_col: str, first, slots):
+        """The group of a row: its leaf's, or the slice of it that its id falls in."""
+        leaf = F.expr(self.leaf(column))
+        if (slots == 1).all():
+            return leaf.cast("int")
+        return (_looked_up(first, leaf) + F.pmod(_spread(id_col), _looked_up(slots, leaf))).cast("int")
+
+    def deal(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :func:`deal`: every leaf is a group, one larger than ``size`` is cut
+        into slices by id hash."""
+        slots = np.maximum(1, -(-self.count // max(1, size)))
+        return np.cumsum(slots) - slots, slots, np.arange(int(slots.sum()))
+
+    def _apart(self, x: np.ndarray, far: bool) -> np.ndarray:
+        """(query, cell): distance to the nearest (farthest) point of the box."""
+        out = np.zeros((len(x), self.number))
+        with np.errstate(invalid="ignore"):
+            for j in range(x.shape[1]):
+                below, above = self.low[None, :, j] - x[:, j, None], x[:, j, None] - self.high[None, :, j]
+                gap = np.maximum(np.abs(below), np.abs(above)) if far else np.maximum(0.0, np.maximum(below, above))
+                out += gap * gap if self.metric == "euclidean" else gap
+        return np.sqrt(out, out=out) if self.metric == "euclidean" else out
+
+    def within(self, x: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+        """As :meth:`Cells.within`; the k-th ref is no farther than the far
+        corners of the nearest boxes that hold k."""
+        open_ = np.flatnonzero(np.isinf(reach))
+        if len(open_):
+            far = np.where(self.count > 0, self._apart(x[open_], True), np.inf)
+            order = np.argsort(far, axis=1, kind="stable")
+            held = np.cumsum(self.count[order], axis=1) >= k
+            last = np.take_along_axis(order, held.argmax(1)[:, None], 1)
+            reach[open_] = np.where(held.any(1), np.take_along_axis(far, last, 1)[:, 0], np.inf)
+        limit = (reach + slack(np.where(np.isfinite(reach), reach, 0.0)))[:, None]
+        near = self._apart(x, False)
+        with np.errstate(invalid="ignore"):
+            return ~(near - slack(near) > limit) & (self.count > 0)
+
+
+def _looked_up(values: np.ndarray, at):
+    return F.element_at(F.expr(f"array({', '.join(map(str, values.tolist()))})"), at + 1)
+
+
 def learn_cells(refs: DataFrame, pivots: np.ndarray, metric: str, k: int, counter=None) -> Cells:
     """The cells' counts and radii, in one pass over the refs."""
     assign = _assigner(pivots, metric)
@@ -205,14 +365,20 @@ class Tasks:
 
 def _task_refs(refs: DataFrame, cells: Cells, first, slots, group_of, tasks: Tasks, counter=None) -> DataFrame:
     """The refs of each group, once for each of its tasks ``_t``."""
-    assign, names = _assigner(cells.pivots, cells.metric), refs.columns
+    if isinstance(cells, Boxes):
+        rows = refs.withColumn("_t", cells.group("rx", "rid", first, slots))
+        if (tasks.blocks == 1).all():
+            return rows
+        blocks, start = _looked_up(tasks.blocks, F.col("_t")), _looked_up(tasks.first, F.col("_t"))
+        return rows.where(blocks > 0).withColumn("_t", F.explode(F.sequence(start, start + blocks - 1)))
+    assign, names = cells.assign, refs.columns
     at = names.index("rx")
 
     def run(batches):
         for b in batches:
-            cell, _ = assign(_matrix(b.column(at)))
+            cell = assign(_matrix(b.column(at)))
             if counter is not None:
-                counter.add(len(cell) * len(cells.pivots))
+                counter.add(len(cell) * cells.number)
             slice_ = b.column(len(names)).to_numpy(zero_copy_only=False) % slots[cell] if len(cell) else cell
             group = group_of[first[cell] + slice_]
             step = max(1, 65_536 // max(1, int(tasks.blocks.max())))
@@ -236,13 +402,13 @@ def _spread(column: str):
 
 def _homes(cells: Cells, first, slots, group_of, counter):
     """Batch (qid, qx, _h) -> (rows, groups, reaches): a slice of the nearest cell."""
-    assign = _assigner(cells.pivots, cells.metric)
+    assign = cells.assign
 
     def run(b):
         x = _matrix(b.column(1))
-        cell, _ = assign(x)
+        cell = assign(x)
         if counter is not None:
-            counter.add(len(x) * len(cells.pivots))
+            counter.add(len(x) * cells.number)
         slice_ = b.column(2).to_numpy(zero_copy_only=False) % slots[cell] if len(cell) else cell
         yield np.arange(len(x)), group_of[first[cell] + slice_], np.full(len(x), np.inf)
 
@@ -252,25 +418,23 @@ def _homes(cells: Cells, first, slots, group_of, counter):
 def _others(cells: Cells, first, slots, group_of, k: int, counter):
     """Batch (qid, qx, _h, reach, home) -> (rows, groups, reaches): all groups
     within reach but the home group."""
-    groups = int(group_of.max()) + 1
-    holds = np.zeros((len(cells.count), groups), np.float32)
-    for c in range(len(cells.count)):
+    groups, boxes = int(group_of.max()) + 1, isinstance(cells, Boxes)
+    cell_of = np.repeat(np.arange(len(slots)), slots)  # every slot of a box is a group
+    holds = np.zeros((0 if boxes else len(cells.count), groups), np.float32)
+    for c in range(len(holds)):
         holds[c, group_of[first[c] : first[c] + slots[c]]] = 1
 
     def run(b):
         x, known = _matrix(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
         home = b.column(4).to_numpy(zero_copy_only=False)
         if counter is not None:
-            counter.add(len(x) * len(cells.pivots))
+            counter.add(len(x) * cells.number)
         step = max(1, (1 << 20) // max(len(cells.count) * (k + 1), groups))
         for a in range(0, len(x), step):
-            d = distances(x[a : a + step], cells.pivots, cells.metric)
             reach = known[a : a + step].copy()
-            open_ = np.isinf(reach)  # fewer than k refs at home
-            if open_.any():
-                reach[open_] = cells.reach(d[open_], k)
-            go = (cells.reachable(d, reach).astype(np.float32) @ holds) > 0
-            go[np.arange(len(d)), home[a : a + step]] = False
+            ok = cells.within(x[a : a + step], reach, k)
+            go = ok[:, cell_of] if boxes else (ok.astype(np.float32) @ holds) > 0
+            go[np.arange(len(reach)), home[a : a + step]] = False
             row, group = np.nonzero(go)
             yield a + row, group, reach[row]
 
@@ -287,9 +451,14 @@ def _count_groups(queries: DataFrame, route, groups: int) -> np.ndarray:
                 n += np.bincount(group, minlength=groups)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups), pa.int32()), pa.array(n)], names=["_g", "n"])
 
+    return _counted(queries.mapInArrow(run, "_g int, n long"), groups, F.sum("n"))
+
+
+def _counted(rows: DataFrame, groups: int, number=None) -> np.ndarray:
+    """Rows (or another number) by group ``_g``."""
     out = np.zeros(groups, np.int64)
-    for r in queries.mapInArrow(run, "_g int, n long").groupBy("_g").agg(F.sum("n").alias("n")).collect():
-        out[r["_g"]] = r["n"]
+    for g, n in rows.groupBy("_g").agg(F.count(F.lit(1)) if number is None else number).collect():
+        out[g] = n
     return out
 
 
@@ -371,12 +540,16 @@ def _first_ids(order: np.ndarray, ends: list[tuple[int, int]], x: np.ndarray, ri
     return out
 
 
-def _close(x: np.ndarray, y: np.ndarray, metric: str, limit: np.ndarray):
-    """(row of x, row of y, distance) of the pairs within ``limit`` of x's row."""
+def _close(x: np.ndarray, y: np.ndarray, metric: str, limit: np.ndarray, k: int | None = None):
+    """(row of x, row of y, distance) of the pairs within ``limit`` of x's row;
+    with ``k`` only those that can be among the row's k nearest of them."""
     d = x.shape[1]
-    top = max(np.abs(x).max(), np.abs(y).max())
+    top = max(np.abs(x).max(), np.abs(y).max()) if d >= SCREENED else 0.0
     if d < SCREENED or not np.isfinite(limit).all() or not top < 1e15:
         out = distances(x, y, metric)
+        if k is not None and len(y) > 2 * k:
+            kth = np.partition(out, k - 1, axis=1)[:, k - 1]
+            limit = np.minimum(limit, kth + slack(np.where(np.isfinite(kth), kth, 0.0)))
         i, j = np.nonzero((out <= limit[:, None]) & np.isfinite(out))
         return i, j, out[i, j]
     if metric == "euclidean":
@@ -438,7 +611,7 @@ def search(x: np.ndarray, qid, reach, y: np.ndarray, rid, k: int, metric: str, e
                 rows = np.repeat(start[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
                 for c in range(0, len(rows), LEAF * LEAVES):
                     part = rows[c : c + LEAF * LEAVES]
-                    i, j, d = _close(q, ys[part], metric, best.limit(own))
+                    i, j, d = _close(q, ys[part], metric, best.limit(own), None if exclude_self else k)
                     taken += len(q) * len(part)
                     j = part[j]
                     if exclude_self:
@@ -493,17 +666,22 @@ def pivot_knn_join(
     found += [T.StructField(f.name, f.dataType) for f in refs.schema.fields if f.name in extra]
     schema = T.StructType([T.StructField("qid", T.LongType()), *found])
     spark = queries.sparkSession
-    # more pivots spare distances to refs, but each ref is measured to all of them
-    pivots = draw_pivots(refs, max(1, min(MAX_PIVOTS, n_refs // CELL_ROWS, math.ceil(2 * math.sqrt(n_q)))))
-    if not len(pivots) or not n_q:
+    if not n_q or not n_refs:
         return spark.createDataFrame([], schema)
-    cells = learn_cells(refs, pivots, metric, k, counter)
+    d = refs.select(F.size("rx").alias("d")).first()["d"]
     wanted = k + 1 if exclude_self else k  # a query may be one of the refs
-    side = max(1, min(TASK_ROWS, math.isqrt(TASK_WORK // max(1, pivots.shape[1]))))
+    side = max(1, min(TASK_ROWS, math.isqrt(TASK_WORK // max(1, d))))
     most_q, most_refs = min(side, max_queries_per_cell), min(side, max_refs_per_cell)
     cores = spark.sparkContext.defaultParallelism
     groups = max(math.ceil(n_refs / most_refs), min(2 * cores, max(1, n_refs // 512)))
-    first, slots, group_of = deal(cells, groups)
+    queries, refs = _in_parts(queries, "qid", n_q, cores), _in_parts(refs, "rid", n_refs, cores)
+    if 0 < d < SCREENED:
+        cells = Boxes.of(_drawn(refs, min(MAX_SAMPLE, SAMPLE_ROWS * groups)), groups, metric).learn(refs, d)
+        first, slots, group_of = cells.deal(most_refs)
+    else:
+        # more pivots spare distances to refs, but each ref is measured to all of them
+        cells = learn_cells(refs, draw_pivots(refs, max(1, min(MAX_PIVOTS, n_refs // CELL_ROWS, math.ceil(2 * math.sqrt(n_q))))), metric, k, counter)
+        first, slots, group_of = deal(cells, groups)
     groups = int(group_of.max()) + 1
 
     def tasks_of(rows: DataFrame, route) -> Tasks:
@@ -529,10 +707,15 @@ def pivot_knn_join(
         return pa.Table.from_arrays([q.column("qid").take(pa.array(i, pa.int64())), *columns(r, j, d)], schema=pa.schema([("qid", pa.int64()), *fields]))
 
     rows = queries.withColumn("_h", _spread("qid"))
-    route = _homes(cells, first, slots, group_of, None)
-    tasks = tasks_of(rows, route)
+    if isinstance(cells, Boxes):
+        rows = rows.select("qid", "qx", "_h", F.lit(math.inf).alias("_reach"), cells.group("qx", "qid", first, slots).alias("_g"))
+        tasks = Tasks(np.full(groups, n_q) if n_q <= most_q else _counted(rows, groups), most_q)
+        at_home_of = rows.select("qid", "qx", "_reach", "_g", (_looked_up(tasks.first, F.col("_g")) + F.col("_h") % _looked_up(tasks.blocks, F.col("_g"))).cast("int").alias("_t"))
+    else:
+        tasks = tasks_of(rows, _homes(cells, first, slots, group_of, None))
+        at_home_of = _task_queries(rows, _homes(cells, first, slots, group_of, counter), tasks)
     home = _cogrouped(
-        _task_queries(rows, _homes(cells, first, slots, group_of, counter), tasks),
+        at_home_of,
         _task_refs(refs, cells, first, slots, group_of, tasks, counter),
         tasks, at_home,
         T.StructType([T.StructField("qid", T.LongType()), T.StructField("qx", T.ArrayType(T.DoubleType())), T.StructField("_reach", T.DoubleType()),
